@@ -30,48 +30,93 @@ CAPACITY, END_ID = 4096, 2
 CLASSES = 64  #: lengths up to capacity // CLASSES share the last class
 WASTE = 0.02  #: the part of a bin that a class may leave empty before a piece is cut
 NEIGHBOURS = 64  #: workers whose leftovers meet
-STORE_WORDS = 600_000
+STORE_WORDS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, sequence_id long, offset long"
 
 #: Latin text whose normal form is itself and whose letters change case one by one; other texts are left to the library whole.
-PLAIN = regex.compile(r"[\x00-\x1b\x20-\x7f\xa0-\xff\u2010-\u2027\u20ac]*+")
+PLAIN = regex.compile(r"[\x00-\x7f\xa0-\xff\u2010-\u2027\u20ac]*+")
+#: White space to Python's split() but not to the pattern.
+SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+#: Fixed: the pre-token pattern of the lower-case word vocabulary.
+PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
 
 
 class WordTokenizer:
-    """The library's ids, with each distinct word encoded once: its pre-tokens never span white space."""
+    """The library's ids, with each distinct pre-token encoded once and each distinct word put together once.
+
+    Pre-tokens never span white space, so a word's ids don't depend on its neighbours."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
-        self.index = Numbering()
-        self.ids, self.at, self.len = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        vocab = self.library.get_vocab()
+        self.ends_word = np.zeros(1 + max(vocab.values()), bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words, self.pieces = Store(), Store()
+
+    def ids_of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many pre-tokens at a time, apart by spaces; the last token of each is marked as a word's end."""
+        lines = [" ".join(pieces[i : i + 1000]) for i in range(0, len(pieces), 1000)]
+        ids = np.array([i for e in self.library.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.int64)
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) != len(pieces):
+            each = [self.library.encode(x, add_special_tokens=False).ids for x in pieces]
+            return np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each], np.int64)
+        return ids, np.diff(np.r_[-1, ends])
+
+    def learn(self, words: list[str]) -> None:
+        split = [pretokens(w) for w in words]
+        slots = np.fromiter((self.pieces.index[p] for w in split for p in w), np.int64)
+        if fresh := self.pieces.fresh():
+            self.pieces.add(*self.ids_of_pieces(fresh))
+        n = self.pieces.len[slots]
+        word = np.repeat(np.arange(len(words)), [len(w) for w in split])
+        self.words.add(self.pieces.take(slots), np.bincount(word, weights=n, minlength=len(words)).astype(np.int64))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > STORE_WORDS:
-            self.clear()
-        number, own = self.index.__getitem__, []
+        if len(self.words.index) > STORE_WORDS:
+            self.words, self.pieces = Store(), Store()
+        number, own = self.words.index.__getitem__, []
         for text in texts:
-            if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            if (text.isascii() or PLAIN.fullmatch(text)) and not SEPARATORS.search(text) and not any(s in text for s in self.special):
                 words = text.lower().split()
                 own.append(np.fromiter(map(number, words), np.int64, len(words)))
             else:
                 own.append(None)
-        if fresh := self.index.fresh:
-            each = [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
-            n = np.array([len(x) for x in each], np.int64)
-            self.at = np.r_[self.at, len(self.ids) + np.cumsum(n) - n]
-            self.len = np.r_[self.len, n]
-            self.ids = np.r_[self.ids, np.array([i for x in each for i in x], np.int32)]
-            self.index.fresh = []
-        return [
-            self.ids[ranges(self.at[s], self.len[s])] if s is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32)
-            for s, t in zip(own, texts)
-        ]
+        if fresh := self.words.fresh():
+            self.learn(fresh)
+        return [self.words.take(s) if s is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, np.int64) for s, t in zip(own, texts)]
+
+
+class Store:
+    """Ids of numbered strings in one flat array."""
+
+    def __init__(self):
+        self.index = Numbering()
+        self.ids, self.at, self.len = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def fresh(self) -> list[str]:
+        out, self.index.fresh = self.index.fresh, []
+        return out
+
+    def add(self, ids: np.ndarray, n: np.ndarray) -> None:
+        self.at = np.r_[self.at, len(self.ids) + np.cumsum(n) - n]
+        self.len = np.r_[self.len, n.astype(np.int32)]
+        self.ids = np.r_[self.ids, ids.astype(np.int32)]
+
+    def take(self, slots: np.ndarray) -> np.ndarray:
+        return self.ids[ranges(self.at[slots], self.len[slots])]
+
+
+def pretokens(word: str) -> list[str]:
+    if word.isalpha():
+        return [word]
+    if word[:-1].isalpha() and word[-1] in ".,":
+        return [word[:-1], word[-1]]
+    return PRETOKEN.findall(word)
 
 
 @lru_cache(maxsize=2)
