@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, packing
+from . import bpe, jaccard, lm, packing
 from .common import table
 
 
@@ -21,8 +21,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op4_lm_scoring": op4_lm_scoring, "op6_packing": op6_packing, "op9_bpe": op9_bpe}
+    return {"op4_lm_scoring": op4_lm_scoring, "op6_packing": op6_packing, "op9_bpe": op9_bpe, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 
 def oracle_sql() -> dict:

@@ -1,9 +1,9 @@
 """Operator 4: language-model scores from a weighted backoff automaton.
 
 Counts of all n-grams of the training rows become a backoff automaton: a state for each context, an arc
-for each n-gram seen after it, weighted log10((c + m * p) / (C + m)) with p from the next shorter state,
-and a failure arc weighted log10(m / (C + m)) to that state. m is the prior mass, C the count of the
-context; the root's arcs have the add-0.1 unigram weights. A text is traversed once from left to right;
+for each n-gram seen after it, weighted log10(w * c / C + (1 - w) * p) with p from the next shorter state,
+and a failure arc weighted log10(1 - w) to that state (0 from a context never seen). C is the count of the
+context, w the arc weight; the root's arcs have the add-0.1 unigram weights. A text is traversed once from left to right;
 the state after a token is the context that it ends, so the states of a batch are its shifted tokens.
 
 The model is never in one place. Rows are dealt to buckets by a hash of their id; a bucket sends its
@@ -26,31 +26,20 @@ from pyspark.sql import functions as F
 
 from .bpe import Numbering
 from .common import id_crc, materialize, mix64, text_parts
+from .tallies import BLOBS, KEY_BITS, TOTALS, add_up, answered, blobs
 
 HELD_OUT_EVERY = 10
-PRIOR_MASS = 4.0
+ARC_WEIGHT = 0.4
 ORDER = 2
 ADD = 0.1
 BUCKET_BYTES = 12 << 20
-KEY_BITS = 56
 #: Numbers of the end token and of the start state, before any word.
 END, START = 0, 1
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-BLOBS = "bucket long, shard long, level int, keys binary, counts binary"
-TOTALS = "bucket long, shard long, level int, counts binary, tokens long, types long"
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Byte planes: the empty high bytes of small numbers stand together and compress away."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
-
-def read_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_tokens(texts: list[str], bits: int = KEY_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token numbers of all texts, one after another, tokens per text, and the hash of each number."""
     words = Numbering()
     words[b"\n"], words[b"\r"] = END, START  # no word holds white space
@@ -60,7 +49,7 @@ def read_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own.append(np.fromiter(map(words.__getitem__, w), np.int64, len(w)))
         own.append(np.array([END], np.int64))
         n.append(len(w) + 1)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) >> np.uint64(64 - KEY_BITS)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) >> np.uint64(64 - bits)
     return np.concatenate(own) if own else np.zeros(0, np.int64), np.array(n, np.int64), hashes
 
 
@@ -79,57 +68,22 @@ def ngram_keys(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarr
     return out, n
 
 
-def slices(keys: np.ndarray, shards: int) -> np.ndarray:
-    edges = np.array([(s << KEY_BITS) // shards for s in range(shards)] + [1 << KEY_BITS], np.uint64)
-    return np.searchsorted(keys, edges)
-
-
 def count_blobs(rows: pa.Table, shards: int, order: int) -> pa.Table:
     """The sorted distinct n-grams of a bucket by level and shard, with their counts in training rows."""
     bucket = rows.column("bucket")[0].as_py()
     keys, n = ngram_keys(rows.column("text").to_pylist(), order)
     train = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool), n)
-    out = {"bucket": [], "shard": [], "level": [], "keys": [], "counts": []}
-    for level, own in enumerate(keys, 1):
+    levels = []
+    for own in keys:
         distinct = np.unique(own)
         seen, c = np.unique(own[train], return_counts=True)
         counts = np.zeros(len(distinct), np.uint64)
         counts[np.searchsorted(distinct, seen)] = c
-        cuts = slices(distinct, shards)
-        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if a < b:
-                out["bucket"].append(bucket)
-                out["shard"].append(s)
-                out["level"].append(level)
-                out["keys"].append(planes(np.diff(distinct[a:b], prepend=np.uint64(0))))
-                out["counts"].append(planes(counts[a:b]))
-    return pa.table([pa.array(v, t) for v, t in zip(out.values(), [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])], names=list(out))
-
-
-def add_up(rows: pa.Table) -> pa.Table:
-    """Answers each bucket with the total counts of its n-grams; one more row, of bucket -1, has what the shard adds to the corpus figures."""
-    rows = rows.to_pylist()
-    out = {"bucket": [], "shard": [], "level": [], "counts": [], "tokens": [], "types": []}
-
-    def put(*values):
-        for column, v in zip(out.values(), values):
-            column.append(v)
-
-    for level in sorted({r["level"] for r in rows}):
-        own = [r for r in rows if r["level"] == level]
-        keys = [np.cumsum(from_planes(r["keys"]), dtype=np.uint64) for r in own]
-        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(which, weights=np.concatenate([from_planes(r["counts"]) for r in own]).astype(np.float64), minlength=len(distinct)).astype(np.uint64)
-        ends = np.cumsum([len(k) for k in keys])
-        for r, k, e in zip(own, keys, ends):
-            put(r["bucket"], r["shard"], level, planes(totals[which[e - len(k) : e]]), 0, 0)
-        if level == 1:
-            put(-1, own[0]["shard"], level, b"", int(totals.sum()), int((totals > 0).sum()))
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.table([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
-
-
-def traverse(texts: list[str], tables: list[np.ndarray], tokens: int, types: int, order: int, mass: float) -> tuple[np.ndarray, ...]:
+        levels.append((distinct, counts))
+    return blobs(bucket, levels, shards)
+
+
+def traverse(texts: list[str], tables: list[np.ndarray], tokens: int, types: int, order: int, arc_weight: float) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known tokens, base score, score. tables: per level the total counts of the batch's distinct n-grams, by key."""
     keys, n = ngram_keys(texts, order)
     distinct = [np.unique(k) for k in keys]
@@ -144,24 +98,23 @@ def traverse(texts: list[str], tables: list[np.ndarray], tokens: int, types: int
         context = np.empty_like(p)
         context[1:] = count[level - 1][:-1]
         context[first] = ends
-        failure = np.log10(mass / (context + mass))
-        arc = np.log10((count[level] + mass * p) / (context + mass))
-        weight = np.where(count[level] > 0, arc, failure + weight)
-        p = (count[level] + mass * p) / (context + mass)
+        w = np.where(context > 0, arc_weight, 0.0)
+        lower = (1 - w) * p
+        p = w * count[level] / np.maximum(context, 1) + lower
+        weight = np.where(count[level] > 0, np.log10(p), np.log10(1 - w) + weight)
     if not len(n):
         return n, n, np.zeros(0), np.zeros(0)
     return n, np.add.reduceat((count[0] > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(weight, first)
 
 
-def score_bucket(rows: pa.Table, answers: pa.Table, tokens: int, types: int, order: int, mass: float) -> pa.Table:
-    parts = sorted(answers.to_pylist(), key=lambda r: (r["level"], r["shard"]))
-    tables = [np.concatenate([from_planes(r["counts"]) for r in parts if r["level"] == level] or [np.zeros(0)]).astype(np.float64) for level in range(1, order + 1)]
-    n, known, base, score = traverse(rows.column("text").to_pylist(), tables, tokens, types, order, mass)
+def score_bucket(rows: pa.Table, answers: pa.Table, tokens: int, types: int, order: int, arc_weight: float) -> pa.Table:
+    tables = answered(answers, order)
+    n, known, base, score = traverse(rows.column("text").to_pylist(), tables, tokens, types, order, arc_weight)
     cols = [rows.column("doc_id"), rows.column("held_out"), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score)]
     return pa.table(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def score(docs: DataFrame, order: int = ORDER, mass: float = PRIOR_MASS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, arc_weight: float = ARC_WEIGHT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Scores of all texts under the model of the training rows."""
     docs = docs.select(
         F.col("doc_id").cast("long"),
@@ -170,9 +123,9 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = PRIOR_MASS, bucket_
     )
     buckets = text_parts(docs, bucket_bytes)
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)))
-    blobs = dealt.groupBy("bucket").applyInArrow(lambda rows: count_blobs(rows, buckets, order), BLOBS)
-    totals = materialize(blobs.groupBy("shard").applyInArrow(add_up, TOTALS), "ngrams")
+    counted = dealt.groupBy("bucket").applyInArrow(lambda rows: count_blobs(rows, buckets, order), BLOBS)
+    totals = materialize(counted.groupBy("shard").applyInArrow(add_up, TOTALS), "ngrams")
     corpus = totals.filter("bucket = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     n, v = int(corpus["n"]), int(corpus["v"])
     answers = totals.filter("bucket >= 0").select("bucket", "shard", "level", "counts")
-    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda rows, found: score_bucket(rows, found, n, v, order, mass), SCHEMA)
+    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda rows, found: score_bucket(rows, found, n, v, order, arc_weight), SCHEMA)
