@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lm, packing
+from . import bpe, jaccard, lines, lm, packing, secrets
 from .common import table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), "text", "n_lines", "n_dropped")
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -26,8 +36,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_lm_scoring": op4_lm_scoring, "op6_packing": op6_packing, "op9_bpe": op9_bpe, "op10_ngram_jaccard": op10_ngram_jaccard}
+    return {"op1_secret_scans": op1_secret_scans, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op6_packing": op6_packing, "op9_bpe": op9_bpe, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_line_dedup": lines.DEDUP_SQL}
