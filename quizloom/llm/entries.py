@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lines, lm, packing, secrets
+from . import bpe, jaccard, lines, lm, packing, secrets, toxicity
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), "text", "n_lines", "n_dropped")
@@ -36,7 +41,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_secret_scans": op1_secret_scans, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op6_packing": op6_packing, "op9_bpe": op9_bpe, "op10_ngram_jaccard": op10_ngram_jaccard}
+    return {"op1_secret_scans": op1_secret_scans, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op6_packing": op6_packing, "op9_bpe": op9_bpe, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 
 def oracle_sql() -> dict:
