@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lines, lm, neighbours, packing, secrets, toxicity
+from . import bpe, descent, jaccard, lines, lm, neighbours, packing, secrets, toxicity
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,7 +49,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_secret_scans": op1_secret_scans, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op6_packing": op6_packing, "op7_ann_search": op7_ann_search, "op9_bpe": op9_bpe, "op10_ngram_jaccard": op10_ngram_jaccard}
+    return {"op1_secret_scans": op1_secret_scans, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op6_packing": op6_packing, "op7_ann_search": op7_ann_search, "op8_embedding_near_dedup": op8_embedding_near_dedup, "op9_bpe": op9_bpe, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 
 def oracle_sql() -> dict:
