@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, descent, jaccard, lines, lm, neighbours, packing, secrets, toxicity
+from . import bpe, descent, jaccard, lines, lm, neighbours, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,7 +54,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_secret_scans": op1_secret_scans, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op6_packing": op6_packing, "op7_ann_search": op7_ann_search, "op8_embedding_near_dedup": op8_embedding_near_dedup, "op9_bpe": op9_bpe, "op10_ngram_jaccard": op10_ngram_jaccard}
+    return {"op1_secret_scans": op1_secret_scans, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_ann_search": op7_ann_search, "op8_embedding_near_dedup": op8_embedding_near_dedup, "op9_bpe": op9_bpe, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 
 def oracle_sql() -> dict:
