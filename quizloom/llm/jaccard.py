@@ -85,17 +85,22 @@ def count_columns(rows: pa.Table, shards: int) -> pa.Table:
 def entries(rows: pa.Table, answers: pa.Table, percent: int) -> pa.Table:
     """Per row its set's size and name; once per name, the entries of its first columns and, if any, the set itself."""
     sets, own, first = distinct_sets(rows.column("text").to_pylist())
-    columns = np.unique(np.concatenate([short(sets[i]) for i in first] or [np.zeros(0, np.uint64)]))
+    _, column = np.unique(np.concatenate([short(sets[i]) for i in first] or [np.zeros(0, np.uint64)]), return_inverse=True)
     (total,) = answered(answers, 1)
+    often = total[column]
     held: dict[int, tuple] = {}
+    end = 0
     for i in first:
         s = sets[i]
-        n = len(s)
-        often = total[np.searchsorted(columns, short(s))]
-        take = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1]
-        shared = np.flatnonzero(often[take] > 1)
-        if len(shared):
-            held[i] = (planes(s[take[shared]]), planes(shared), float(often[take[shared]].sum()) / n, planes(np.diff(s, prepend=np.uint64(0))))
+        n, start = len(s), end
+        end += n
+        df = often[start:end]
+        reach = n - -(-percent * n // 100) + 1
+        if np.count_nonzero(df == 1) >= reach:  # its rarest columns are its own
+            continue
+        take = np.lexsort((s, df))[:reach]
+        shared = np.flatnonzero(df[take] > 1)
+        held[i] = (planes(s[take[shared]]), planes(shared), float(df[take[shared]].sum()) / n, planes(np.diff(s, prepend=np.uint64(0))))
     cols = list(zip(*[held.get(i, (None, None, None, None)) for i in range(len(sets))])) or [[], [], [], []]
     return pa.table(
         [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.binary()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.binary())],
@@ -131,19 +136,31 @@ def verify(batches, percent: int):
 
 
 def across(rows: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a column block, or of two, that lie in different components and pass the bounds of sizes and places."""
-    left = rows.filter(pc.equal(rows.column("side"), 0))
-    right = rows.filter(pc.equal(rows.column("side"), 1))
-    one = len(right) == 0
-    right = left if one else right
-    n1, n2 = left.column("n").to_numpy()[:, None], right.column("n").to_numpy()[None]
-    p1, p2 = left.column("place").to_numpy()[:, None], right.column("place").to_numpy()[None]
-    roots = {r: i for i, r in enumerate(set(left.column("root").to_pylist()) | set(right.column("root").to_pylist()))}
-    c1, c2 = (np.array([roots[r] for r in t.column("root").to_pylist()]) for t in (left, right))
-    need = -(-percent * (n1 + n2) // (100 + percent))
-    ok = (c1[:, None] != c2[None]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) >= need)
-    i, j = np.nonzero(np.triu(ok, 1) if one else ok)
-    return pa.table([left.column("name").take(pa.array(i)), right.column("name").take(pa.array(j))], names=["a", "b"])
+    """Of columns, or blocks of long ones, the pairs that lie in different components and pass the bounds of sizes and places."""
+    rows = rows.sort_by([("gram", "ascending"), ("x", "ascending"), ("y", "ascending"), ("side", "ascending")])
+    part = np.stack([rows.column(c).to_numpy() for c in ("gram", "x", "y")])
+    n, place, side = (rows.column(c).to_numpy() for c in ("n", "place", "side"))
+    _, root = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
+    begins = np.flatnonzero(np.r_[True, (part[:, 1:] != part[:, :-1]).any(axis=0)])
+    ends = np.r_[begins[1:], len(n)]
+    found = []
+    for first, last in zip(begins, ends):
+        if side[first] == side[last - 1]:  # one block with itself; half of a pair of blocks alone has none
+            if part[1, first] != part[2, first]:
+                continue
+            left = right = slice(first, last)
+        else:
+            middle = first + int(np.count_nonzero(side[first:last] == 0))
+            left, right = slice(first, middle), slice(middle, last)
+        n1, n2 = n[left][:, None], n[right][None]
+        need = -(-percent * (n1 + n2) // (100 + percent))
+        ok = (root[left][:, None] != root[right][None]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
+        ok &= np.minimum(n1 - place[left][:, None], n2 - place[right][None]) >= need
+        i, j = np.nonzero(np.triu(ok, 1) if left == right else ok)
+        if len(i):
+            found.append(np.stack([i + left.start, j + right.start]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.table([rows.column("name").take(pa.array(pairs[0])), rows.column("name").take(pa.array(pairs[1]))], names=["a", "b"])
 
 
 def join(docs: DataFrame, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -152,7 +169,7 @@ def join(docs: DataFrame, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYT
     buckets = text_parts(docs, bucket_bytes)
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)))
     counted = dealt.groupBy("bucket").applyInArrow(lambda rows: count_columns(rows, buckets), BLOBS)
-    totals = materialize(counted.groupBy("shard").applyInArrow(add_up, TOTALS), "columns")
+    totals = counted.groupBy("shard").applyInArrow(add_up, TOTALS)  # in one job with what follows: the texts are dealt once
     answers = totals.filter("bucket >= 0").select("bucket", "shard", "level", "counts")
     rows = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda r, found: entries(r, found, percent), ENTRIES)
     rows = materialize(rows, "entries")
@@ -182,7 +199,9 @@ def join(docs: DataFrame, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYT
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = mixed.select("gram", "name", "n", "place", "root", "own", pair)
     met = met.select("gram", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "name", "n", "place", "root")
-    pairs = met.groupBy("gram", "x", "y").applyInArrow(lambda r: across(r, percent), "a binary, b binary")
+    # many short columns to a task; the blocks of a long one to several
+    task = F.pmod(F.xxhash64("gram", "x", "y"), F.lit(4 * buckets)).alias("task")
+    pairs = met.groupBy(task).applyInArrow(lambda r: across(r, percent), "a binary, b binary")
     more = materialize(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
     if not more.isEmpty():
         found = components(links.union(more))
