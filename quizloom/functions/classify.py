@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -34,12 +36,12 @@ FALLBACKS = (
 
 def stem_of(body: Column) -> Column:
     """What stands before the options: before a line with A alone, or else before the last run of lines A to D."""
-    text = F.trim(body)
+    text = strip(body)
     alone = F.regexp_extract(text, r"(?s)^(.*?)(?:^|\n)[ \t]*A[ \t]*(?:\n.*)?$", 1)
     run = F.regexp_extract(text, r"(?s)^(.*)(?:^|\n)[ \t]*A[ \t]+\S[^\n]*\n\s*B[ \t]+\S[^\n]*\n\s*C[ \t]+\S[^\n]*\n\s*D[ \t]+\S", 1)
     has_alone = text.rlike(r"(?m)^[ \t]*A[ \t]*$")
     has_run = text.rlike(r"(?m)^[ \t]*A[ \t]+\S[^\n]*\n\s*B[ \t]+\S[^\n]*\n\s*C[ \t]+\S[^\n]*\n\s*D[ \t]+\S")
-    return F.trim(F.when(has_alone, alone).when(has_run, run).otherwise(text))
+    return strip(F.when(has_alone, alone).when(has_run, run).otherwise(text))
 
 
 def first_match(stem: Column, body: Column, rules: Sequence[Rule] = STEM_RULES + FALLBACKS) -> Column:

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SUBSCRIPTS, SUPERSCRIPTS, PLAIN = "₀₁₂₃₄₅₆₇₈₉₊₋", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻", "0123456789+-"
 ARROWS = ["\uf0ae", "\uf0d7", "\u2261", "\uff1d"]
@@ -18,10 +19,15 @@ PAGE = r"\n?----- PAGE \d+ -----\n?"
 FRONT = r"(?s)^---\s*\n(.*?)\n---\s*\n"
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end, line ends too."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def slug(title: Column) -> Column:
-    """Lower case; white space to dashes, other signs to underscores, these to dashes; letters of any script stay."""
-    dashed = F.regexp_replace(F.lower(F.trim(title)), r"\s+", "-")
-    marked = F.regexp_replace(dashed, r"[^\p{L}\p{N}_\-]+", "_")
+    """Lower case; white space to dashes, other signs to underscores, these to dashes."""
+    dashed = F.regexp_replace(F.lower(strip(title)), r"\s+", "-")
+    marked = F.regexp_replace(dashed, r"[^a-z0-9_\-]", "_")
     return F.btrim(F.regexp_replace(marked, "_+", "-"), F.lit("-"))
 
 
@@ -56,7 +62,7 @@ def block(text: Column) -> Column:
     """Unglued, blanks at line ends and runs of blanks and of blank lines cut."""
     a = F.regexp_replace(unglued(text), r"[ \t]+\n", "\n")
     b = F.regexp_replace(a, r"\n{3,}", "\n\n")
-    return F.trim(F.regexp_replace(b, r"[ \t]{2,}", " "))
+    return strip(F.regexp_replace(b, r"[ \t]{2,}", " "))
 
 
 def without_footers(text: Column) -> Column:
@@ -64,12 +70,12 @@ def without_footers(text: Column) -> Column:
     cut = F.regexp_replace(text, r"(?is)(^|\n)[ \t]*(Permission to reproduce\b|BLANK PAGE[ \t]*(\n|$)).*$", "")
     kept = F.array_join(F.filter(F.split(cut, "\n"), lambda x: ~x.rlike(FOOTER)), "\n")
     tail = F.regexp_replace(F.concat(F.lit("\n"), kept), r"(\n[ \t]*\d{0,2}[ \t]*)+$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(tail, r"\n{3,}", "\n\n"), r"^\n+|\n+$", ""))
+    return strip(F.regexp_replace(tail, r"\n{3,}", "\n\n"))
 
 
 def garbage(text: Column) -> Column:
     """Nothing, a mark grid read as text, or many lone ones in a short text without M1."""
-    s = F.trim(F.coalesce(text, F.lit("")))
+    s = strip(F.coalesce(text, F.lit("")))
     ones = F.size(F.regexp_extract_all(s, F.lit(r"(?:^|\s)(1)(?=\s|$)"), F.lit(1)))
     return (s == "") | s.rlike(GRID) | ((ones >= 8) & ~F.contains(s, F.lit("M1")) & (F.length(s) < 800))
 
@@ -90,7 +96,7 @@ def front_and_body(text: Column) -> Column:
 
 def section(text: Column, heading: str) -> Column:
     """What stands under a heading of the second level."""
-    return F.trim(F.regexp_extract(text, rf"(?s)(?:^|\n)## {heading}[ \t]*\n(.*?)(?=\n## |\z)", 1))
+    return strip(F.regexp_extract(text, rf"(?s)(?:^|\n)## {heading}[ \t]*\n(.*?)(?=\n## |\z)", 1))
 
 
 def answer_key(text: Column) -> Column:
@@ -127,7 +133,7 @@ def distinctive_words(text: Column, stop: list[str], k: int, least: int = 4) ->
 def word_hits(words: Column, text: Column) -> Column:
     """How many of the words the text holds as whole words."""
     low = F.lower(text)
-    return F.size(F.filter(words, lambda w: low.rlike(F.concat(F.lit(r"\b"), w, F.lit(r"\b")))))
+    return F.size(F.filter(words, lambda w: F.regexp_like(low, F.concat(F.lit(r"\b"), w, F.lit(r"\b")))))
 
 
 DELTA_H = re.compile(r"ΔH(?:_\{?([0-9]+|[cCfF])\}?|([₀-₉]+)|([0-9]+)|([cC]))?(?:\^\{?⦵\}?|⦵|°|⊖)?")
@@ -152,7 +158,7 @@ def _latex_formula(m: re.Match) -> str:
     return rf"$\mathrm{{{sub}{'^{' + sign + '}' if sign else ''}}}$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def latex(texts: pd.Series) -> pd.Series:
     """Enthalpy symbols and formulae as math; the replacement depends on the match, which SQL can't say."""
     return texts.map(lambda t: TOKEN.sub(_latex_formula, DELTA_H.sub(_latex_delta, t)) if isinstance(t, str) else None)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 PAGE = ["doc", "page"]
 
@@ -71,7 +72,7 @@ def bands(boxes: DataFrame, tolerance: float = 8.0) -> DataFrame:
             out.append(band)
         return page.assign(band=out)
 
-    return boxes.groupBy(*PAGE).applyInPandas(fold, boxes.schema.add("band", "int"))
+    return boxes.groupBy(*PAGE).applyInPandas(fold, StructType([*boxes.schema.fields, StructField("band", IntegerType())]))
 
 
 def larger_of_overlapping(boxes: DataFrame, most: float = 0.55) -> DataFrame:

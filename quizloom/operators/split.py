@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import part_id, part_key, part_label, part_slug
-from ..functions.text import FOOTER, garbage, paper_style, without_footers
+from ..functions.text import FOOTER, garbage, paper_style, strip, without_footers
 
 PAGE_LINE = r"^\s*-{3,} PAGE (\d+) -{3,}\s*$"
 MAIN_LINE = r"^(\d{1,2})(?:\s*[.)])?(?:\s+(.*))?$"
@@ -76,13 +76,13 @@ def parts(mains: DataFrame, key: str = "doc") -> DataFrame:
     rows = rows.withColumn("node", F.sum(marks.cast("int")).over(w))
     rows = rows.withColumn("roman", F.first("roman_here").over(Window.partitionBy(key, "ord", "node").orderBy("n")))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n")
-    nodes = rows.groupBy(key, "question", "ord", "node", "letter", "roman").agg(F.trim(line).alias("text"))
+    nodes = rows.groupBy(key, "question", "ord", "node", "letter", "roman").agg(strip(line).alias("text"))
     inside = Window.partitionBy(key, "ord")
     by_letter = Window.partitionBy(key, "ord", "letter")
     nodes = nodes.withColumn("stem", F.max(F.when(F.col("node") == 0, F.col("text"))).over(inside))
     nodes = nodes.withColumn("romans", F.count("roman").over(by_letter)).withColumn("preamble", F.max(F.when(F.col("roman").isNull(), F.col("text"))).over(by_letter))
     leaf = (F.col("node") > 0) & (F.col("roman").isNotNull() | (F.col("romans") == 0))
-    own = F.trim(F.regexp_replace("text", r"\n\s*\[Total:\s*\d+\s*\]\s*$", ""))
+    own = strip(F.regexp_replace(F.col("text"), r"\n\s*\[Total:\s*\d+\s*\]\s*$", ""))
     body = F.concat_ws("\n", F.nullif("stem", F.lit("")), F.when(F.col("roman").isNotNull(), F.col("preamble")), own)
     part = F.struct(F.col("question").cast("int").alias("parent"), "letter", "roman")
     return nodes.filter(leaf).select(key, "question", part_label(part).alias("label"), part_slug(part).alias("slug"), "ord", F.col("node").alias("part_ord"), body.alias("text"))
@@ -97,7 +97,7 @@ def mark_blocks(docs: DataFrame, key: str = "doc", text: str = "text", most: int
     rows = rows.withColumn("head", head).withColumn("b", F.count("head").over(w)).filter("b > 0")
     kept = F.when(~F.col("line").rlike(FOOTER), F.struct("n", "line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda s: s["line"]), "\n")
-    blocks = rows.groupBy(key, "b").agg(F.first("head", ignorenulls=True).alias("label"), F.trim(F.regexp_replace(body, r"\n{3,}", "\n\n")).alias("block"))
+    blocks = rows.groupBy(key, "b").agg(F.first("head", ignorenulls=True).alias("label"), strip(F.regexp_replace(body, r"\n{3,}", "\n\n")).alias("block"))
     return blocks.groupBy(key, "label").agg(F.max_by("block", "b").alias("block"))
 
 

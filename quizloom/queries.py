@@ -436,7 +436,7 @@ def distinctive_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", long(F.size(words)).alias("n"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(source || ' ' || lang || ' / Topic (A)')), '\\s+', '-', 'g'), '[^\\w\\-]+', '_', 'g'), '_+', '-', 'g'), '-') AS slug FROM documents".replace("\\\\", "\\"))
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(source || ' ' || lang || ' / Topic (A)')), '\\s+', '-', 'g'), '[^a-z0-9_\\-]', '_', 'g'), '_+', '-', 'g'), '-') AS slug FROM documents".replace("\\\\", "\\"))
 def slugs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.concat_ws(" ", "source", "lang", F.lit("/ Topic (A)"))).alias("slug"))
 

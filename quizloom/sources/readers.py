@@ -21,7 +21,7 @@ from ..plans.rules import RuleError, SelectRules
 
 def whole_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """(_path, value): files below a folder whose name fits."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("_path"), "value")
 
 
@@ -68,7 +68,7 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 def yaml_of(spark: SparkSession, path: str) -> Any:
     """A small YAML file, by any path that Spark reads."""
-    rows = spark.read.option("wholetext", True).text(path).limit(1).collect()
+    rows = spark.read.text(path, wholetext=True).limit(1).collect()
     try:
         return yaml.safe_load(rows[0]["value"]) if rows else None
     except yaml.YAMLError as e:
