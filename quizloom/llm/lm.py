@@ -83,11 +83,12 @@ def count_blobs(rows: pa.Table, shards: int, order: int) -> pa.Table:
     return blobs(bucket, levels, shards)
 
 
-def traverse(texts: list[str], tables: list[np.ndarray], tokens: int, types: int, order: int, arc_weight: float) -> tuple[np.ndarray, ...]:
-    """Per text: tokens, known tokens, base score, score. tables: per level the total counts of the batch's distinct n-grams, by key."""
+def walk(texts: list[str], tables: list[np.ndarray], tokens: int, types: int, order: int, arc_weight: float) -> tuple[np.ndarray, ...]:
+    """Tokens per text; for each token its training count, its base weight and its weight in the automaton.
+
+    tables: per level the total counts of the batch's distinct n-grams, by key."""
     keys, n = ngram_keys(texts, order)
-    distinct = [np.unique(k) for k in keys]
-    count = [t[np.searchsorted(d, k)] for t, d, k in zip(tables, distinct, keys)]
+    count = [t[np.unique(k, return_inverse=True)[1]] for t, k in zip(tables, keys)]
     first = np.cumsum(n) - n
     p = (count[0] + ADD) / (tokens + ADD * (types + 1))
     base = np.log10(p)
@@ -102,9 +103,16 @@ def traverse(texts: list[str], tables: list[np.ndarray], tokens: int, types: int
         lower = (1 - w) * p
         p = w * count[level] / np.maximum(context, 1) + lower
         weight = np.where(count[level] > 0, np.log10(p), np.log10(1 - w) + weight)
+    return n, count[0], base, weight
+
+
+def traverse(texts: list[str], tables: list[np.ndarray], tokens: int, types: int, order: int, arc_weight: float) -> tuple[np.ndarray, ...]:
+    """Per text: tokens, known tokens, base score, score."""
+    n, count, base, weight = walk(texts, tables, tokens, types, order, arc_weight)
     if not len(n):
         return n, n, np.zeros(0), np.zeros(0)
-    return n, np.add.reduceat((count[0] > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(weight, first)
+    first = np.cumsum(n) - n
+    return n, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(weight, first)
 
 
 def score_bucket(rows: pa.Table, answers: pa.Table, tokens: int, types: int, order: int, arc_weight: float) -> pa.Table:
