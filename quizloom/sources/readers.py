@@ -103,5 +103,8 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
 def pick(spark: SparkSession, path: str) -> DataFrame:
     """The entries of a pick list with their places."""
-    head = spark.read.option("multiLine", True).json(path)
+    kinds = {f.name: f for f in schemas.QUESTION.fields}
+    entry = T.StructType([*[kinds[n] for n in schemas.PICK_FIELDS], *[T.StructField(n, T.StringType()) for n in ("category", "source")]])
+    whole = T.StructType([T.StructField("title", T.StringType()), T.StructField("slug", T.StringType()), T.StructField("questions", T.ArrayType(entry))])
+    head = spark.read.schema(whole).option("multiLine", True).json(path)
     return head.select("title", "slug", F.posexplode("questions").alias("ord", "q")).select("title", "slug", "ord", "q.*")
