@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import id_crc
 
 ORDER, DECAY = 4, 0.7
-FIT_TOXIC, FIT_CLEAN = 3000, 6000
+FIT_TOXIC, FIT_CLEAN = 2000, 5000
 LANDMARKS = 64
 LETTERS = (4, 9)
 PREDICT = 0.7
@@ -244,23 +244,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
 
 
-def landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS) -> list[str]:
+def folded(text: str) -> set[str]:
+    return {fold(t) for t in raw_tokens(text)} - {""}
+
+
+def landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> list[str]:
     """Beginnings of tokens that many toxic rows and hardly any other row hold; of those that hold for the same rows the longest."""
-    seen = Counter(w for own in clean for w in own)
-    often = Counter(w for own in toxic for w in own)
+    name: dict[str, str] = {}
+    held = [{name.setdefault(w, w) for w in folded(t)} for t in toxic]
+    often = Counter(w for own in held for w in own)
+    seen: Counter = Counter()
+    for t in clean:
+        seen.update(folded(t) & often.keys())
     odds = len(toxic) / max(len(clean), 1)
     rare = {w for w, c in often.items() if seen[w] <= 0.05 * c / max(odds, 1e-9) and len(w) >= LETTERS[0]}
     short, long = LETTERS
     holders: dict[str, set[int]] = {}
-    for i, own in enumerate(toxic):
+    for i, own in enumerate(held):
         for w in own & rare:
             for n in range(short, min(long, len(w)) + 1):
                 holders.setdefault(w[:n], set()).add(i)
     least = max(3, len(toxic) // 200)
     holders = {g: rows for g, rows in holders.items() if len(rows) >= least}
     clean_rows: Counter = Counter()
-    for own in clean:
-        clean_rows.update({g for w in own for n in range(short, min(long, len(w)) + 1) if (g := w[:n]) in holders})
+    for t in clean:
+        clean_rows.update({g for w in folded(t) for n in range(short, min(long, len(w)) + 1) if (g := w[:n]) in holders})
     # of toxic rows per clean row, smoothed
     good = {g: rows for g, rows in holders.items() if len(rows) >= 100 * (clean_rows[g] + 0.02 * least) * odds}
     out: list[str] = []
@@ -287,22 +295,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sample = rows.join(picked[0].union(picked[1]), "doc_id").select("doc_id", "text", "toxic")
 
-    def tokens(batches):
-        for batch in batches:
-            own = [sorted({fold(t) for t in raw_tokens(x)} - {""}) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.string())), batch.column("text")], names=["toxic", "own", "text"])
-
-    got = sample.mapInArrow(tokens, "toxic int, own array<string>, text string").toArrow()
+    got = sample.select("toxic", "text").toArrow()
     y = got.column("toxic").to_numpy()
-    own = [set(x) for x in got.column("own").to_pylist()]
-    toxic, clean = [s for s, k in zip(own, y) if k == 1], [s for s, k in zip(own, y) if k != 1]
+    toxic, clean = (got.filter(pa.array(k)).column("text").to_pylist() for k in (y == 1, y != 1))
     if not toxic or not clean:
         return None
     model = Model(landmarks(toxic, clean))
     if not model.landmarks:
         return None
-    texts = got.column("text")
-    model.learn(texts.to_pylist(), y)
+    model.learn(toxic + clean, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
     return model
 
 
