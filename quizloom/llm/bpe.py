@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import ranges
+from .common import ranges, sliced
 
 #: Fixed: the pre-token pattern of the byte-level vocabulary.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
 
     def run(batches):
         model = bpe(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             for a, b in chunks(texts):
                 flat, n = model.encode_batch(texts[a:b])

@@ -56,6 +56,13 @@ def text_parts(docs: DataFrame, per_part: int = 8 << 20, least: int = 1) -> int:
     return max(least, -(-int(total) // per_part))
 
 
+def sliced(batches, rows: int = 512):
+    """The same rows in small batches, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated aranges: starts[i], starts[i]+1, ... of lengths[i] each."""
     lengths = lengths.astype(np.int64)

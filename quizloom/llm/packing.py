@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Numbering, chunks
-from .common import materialize, ranges
+from .common import materialize, ranges, sliced
 
 CAPACITY, END_ID = 4096, 2
 CLASSES = 64  #: lengths up to capacity // CLASSES share the last class
 WASTE = 0.02  #: the part of a bin that a class may leave empty before a piece is cut
 NEIGHBOURS = 64  #: workers whose leftovers meet
-STORE_WORDS = 1_000_000
+STORE_WORDS = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, sequence_id long, offset long"
 
 #: Latin text whose normal form is itself and whose letters change case one by one; other texts are left to the library whole.
@@ -55,6 +55,9 @@ class WordTokenizer:
         vocab = self.library.get_vocab()
         self.ends_word = np.zeros(1 + max(vocab.values()), bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
         self.words, self.pieces = Store(), Store()
 
     def ids_of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +81,7 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words.index) > STORE_WORDS:
-            self.words, self.pieces = Store(), Store()
+            self.forget()
         number, own = self.words.index.__getitem__, []
         for text in texts:
             if (text.isascii() or PLAIN.fullmatch(text)) and not SEPARATORS.search(text) and not any(s in text for s in self.special):
@@ -158,7 +161,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             values = [*cols[:5], [worker] * len(rows), *(cols[5:] if placed else ([None] * len(rows), [None] * len(rows)))]
             return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts, ids_of = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in chunks(texts):
                 rows = []
@@ -180,6 +183,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                             open_bins[k] = []
                 if rows:
                     yield record(rows, True)
+        tokens.forget()  # the worker lives on
         left = [p for k in sorted(open_bins) for p in open_bins[k]]
         if left:
             yield record(left, False)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import id_crc, sliced
 
 FIT, POOL = 8000, 8000
 TURNS, HANDED = 5, 200
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     others = rows.select("doc_id").join(marks, "doc_id", "left_anti").orderBy(place, "doc_id").limit(POOL).select("doc_id", F.lit(None).cast("int").alias("quality"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 256):
             a, b = views_of(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(a.tolist(), pa.list_(pa.float64())), pa.array(b.tolist(), pa.list_(pa.float64()))], names=["doc_id", "quality", "content", "metadata"])
 
@@ -183,9 +183,8 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for batch in batches:
-            parts = [own.score(views_of(batch.slice(i, 256))) for i in range(0, len(batch), 256)] if own else []
-            got = [np.concatenate(p) for p in zip(*parts)] if parts else [np.full(len(batch), 0.5)] * 3
+        for batch in sliced(batches, 256):
+            got = own.score(views_of(batch)) if own else [np.full(len(batch), 0.5)] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, got), pa.array(got[2] >= KEEP)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", F.col("n_chars").cast("long"), (id_crc(F.col("doc_id")) % 3 == 1).alias("held_out"))

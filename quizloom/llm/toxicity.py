@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import id_crc, sliced
 
 ORDER, DECAY = 4, 0.7
 FIT_TOXIC, FIT_CLEAN = 2000, 5000
@@ -37,7 +37,7 @@ LANDMARKS = 64
 LETTERS = (4, 9)
 PREDICT = 0.7
 SLACK = 2
-STORE_TOKENS = 800_000
+STORE_TOKENS = 400_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: What digits and signs stand for inside a word.
 SUBSTITUTES = str.maketrans("0134578@$!|", "oieastbasil")
@@ -313,10 +313,12 @@ def score(docs: DataFrame, model: Model | None, keep: str | None = None) -> Data
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in sliced(batches, 256):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            value = np.concatenate([own.score(texts[i : i + 256]) for i in range(0, len(texts), 256)] or [np.zeros(0)]) if own else np.zeros(len(texts))
+            value = own.score(texts) if own else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], names=[*batch.schema.names, keep or "score"])
+        if own:
+            own.forget()  # the worker lives on
 
     if keep:
         from pyspark.sql.types import DoubleType, StructType
