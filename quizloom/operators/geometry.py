@@ -23,14 +23,15 @@ def question_bands(words: DataFrame, left: float = 40, right: float = 62, most:
     return tops.withColumn("y1", F.coalesce(F.lead("y0").over(w), F.lit(bottom)))
 
 
-def best_overlap(items: DataFrame, bands: DataFrame, keys: list[str], low: str = "y0", high: str = "y1") -> DataFrame:
-    """Each item with the band of its page that it overlaps most, a bonus for the band of its middle; the first band wins ties."""
+def best_overlap(items: DataFrame, bands: DataFrame, keys: list[str], low: str = "y0", high: str = "y1", near: float = 10.0) -> DataFrame:
+    """Each item with the band of its page that it overlaps most, 2 more for the band of its middle; the first band wins ties.
+
+    Bands up to near away are compared; an item without a score above 0 has no band."""
     b = bands.select(*keys, F.col(low).alias("b0"), F.col(high).alias("b1"), F.col("question"))
-    pairs = items.join(b, keys)
-    size = overlap(F.col(low), F.col(high), F.col("b0"), F.col("b1"))
-    middle = (F.col(low) + F.col(high)) / 2
-    bonus = F.when((middle >= F.col("b0")) & (middle < F.col("b1")), F.col(high) - F.col(low)).otherwise(0.0)
-    scored = pairs.filter(size > 0).withColumn("score", size + bonus)
+    close = (F.col(high) >= F.col("b0") - near) & (F.col(low) <= F.col("b1") + near)
+    bonus = F.when(((F.col(low) + F.col(high)) / 2).between(F.col("b0"), F.col("b1")), 2.0).otherwise(0.0)
+    score = F.least(F.col(high), F.col("b1")) - F.greatest(F.col(low), F.col("b0")) + bonus
+    scored = items.join(b, keys).filter(close).withColumn("score", score).filter("score > 0")
     w = Window.partitionBy(*keys, "item").orderBy(F.desc("score"), "question")
     return scored.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "b0", "b1")
 
@@ -91,3 +92,103 @@ def larger_of_overlapping(boxes: DataFrame, most: float = 0.55) -> DataFrame:
         return page.loc[[k.Index for k in kept]].drop(columns="area")
 
     return boxes.groupBy(*PAGE).applyInPandas(fold, boxes.schema)
+
+
+def body_sizes(spans: DataFrame) -> DataFrame:
+    """(doc, page, body): the upper middle of the sizes, then of those of at least nine tenths of it."""
+    middle = lambda a: F.get(a, F.floor(F.size(a) / 2).cast("int"))
+    sizes = spans.filter("size > 0").groupBy(*PAGE).agg(F.array_sort(F.collect_list("size")).alias("s"))
+    first = sizes.withColumn("m", middle(F.col("s")))
+    return first.select(*PAGE, middle(F.filter("s", lambda x: x >= F.col("m") * 0.9)).alias("body"))
+
+
+TOKENS = "doc string, page int, ord int, x0 double, y0 double, x1 double, y1 double, text string, kind string"
+SUB, SUP, DIGITS = "₀₁₂₃₄₅₆₇₈₉₊₋", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻", "0123456789+-"
+
+
+def tokens(spans: DataFrame, script: float = 0.78) -> DataFrame:
+    """Spans as tokens: leading blanks move the left edge, and a small span close after a token joins it, raised or lowered by its
+    middle. A page at a time, as each span depends on the token before."""
+    sized = spans.join(body_sizes(spans), PAGE, "left").withColumn("body", F.coalesce("body", F.lit(11.0)))
+
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        out: list[dict] = []
+        for r in page.sort_values("ord").itertuples(index=False):
+            text = r.text.lstrip(" ")
+            x0 = r.x0 + (len(r.text) - len(text)) * r.size * 0.33
+            text = text.rstrip()
+            if not text:
+                continue
+            last = out[-1] if out else None
+            middle = (r.y0 + r.y1) / 2
+            if last and 0 < r.body and r.size / r.body < script:
+                before = (last["y0"] + last["y1"]) / 2
+                if abs(before - middle) < r.body * 1.2 and x0 - last["x1"] < r.body:
+                    raised = middle < before - r.body * 0.05
+                    last["text"] += text.strip().translate(str.maketrans(DIGITS, SUP if raised else SUB))
+                    last.update(x1=max(last["x1"], r.x1), y0=min(last["y0"], r.y0), y1=max(last["y1"], r.y1))
+                    continue
+            out.append({"doc": r.doc, "page": r.page, "ord": len(out), "x0": x0, "y0": r.y0, "x1": r.x1, "y1": r.y1, "text": text, "kind": "text"})
+        return pd.DataFrame(out, columns=[c.split()[0] for c in TOKENS.split(", ")])
+
+    return sized.groupBy(*PAGE).applyInPandas(fold, TOKENS)
+
+
+def page_lines(tokens: DataFrame, tolerance: float = 5.5, gap: float = 2.8) -> DataFrame:
+    """(doc, page, line, text): a token is on the line of the line's first token while their middles are close; a gap, a symbol beside
+    a word or a comma before one gives a blank. The first token of a line decides, so a page is folded in order."""
+
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.assign(mid=(page.y0 + page.y1) / 2, late=(page.kind != "symbol").astype(int))
+        page = page.assign(row=(page.mid / tolerance).round()).sort_values(["row", "x0", "late", "ord"])
+        lines: list[list] = []
+        for t in page.itertuples(index=False):
+            if lines and abs(lines[-1][0].mid - t.mid) <= tolerance:
+                lines[-1].append(t)
+            else:
+                lines.append([t])
+        texts = []
+        for line in lines:
+            text, last = "", None
+            for t in sorted(line, key=lambda t: (t.x0, t.late)):
+                if last is not None:
+                    word = t.text[:1].isalnum()
+                    apart = t.x0 - last.x1 > gap or (t.kind == "symbol" and last.text[-1:].isalnum()) or (word and (last.kind == "symbol" or last.text[-1:] in ",;:"))
+                    text += " " if apart and not text.endswith(" ") else ""
+                text, last = text + t.text, t
+            texts.append(" ".join(text.split(" ")).strip())
+        return pd.DataFrame({"doc": page.doc.iloc[0], "page": page.page.iloc[0], "line": range(len(texts)), "text": texts})
+
+    return tokens.groupBy(*PAGE).applyInPandas(fold, "doc string, page int, line int, text string")
+
+
+def option_rows(words: DataFrame, bands: DataFrame, most_height: float = 18, least_width: float = 180) -> DataFrame:
+    """Bands whose letters A to D stand in one row from left to right: (doc, page, question, x0, y0, x1, y1) of the row."""
+    b = bands.select(*PAGE, "question", F.col("y0").alias("b0"), F.col("y1").alias("b1"))
+    letters = words.filter(F.trim("text").isin("A", "B", "C", "D") & (F.col("x1") - F.col("x0") <= 20)).join(b, PAGE)
+    letters = letters.filter(F.col("y0").between(F.col("b0") - 5, F.col("b1") + 5))
+    top = letters.groupBy(*PAGE, "question", F.trim("text").alias("letter")).agg(F.min(F.struct("y0", "x0", "x1", "y1")).alias("w"))
+    rows = top.groupBy(*PAGE, "question").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("letter", "w"))), lambda s: s["w"]["x0"]).alias("xs"),
+        F.min("w.x0").alias("x0"), F.min("w.y0").alias("y0"), F.max("w.x1").alias("x1"), F.max("w.y1").alias("y1"), F.max("w.y0").alias("low"),
+    )
+    ok = (F.size("xs") == 4) & (F.array_sort("xs") == F.col("xs")) & (F.col("low") - F.col("y0") <= most_height) & (F.col("x1") - F.col("x0") >= least_width)
+    return rows.filter(ok).select(*PAGE, "question", "x0", "y0", "x1", "y1")
+
+
+def content_bottoms(bands: DataFrame, words: DataFrame, drawings: DataFrame, page_bottom: float = 842.0, trailer: str = r"(?i)^(©|Permission|Copyright)", footer: str = r"(?i)UCLES|^\[Turn") -> DataFrame:
+    """Each band (doc, page, question, x0, y0, x1, y1) with the lowest content in it, 10 more, above a copyright trailer if one begins there."""
+    b = bands.select(*PAGE, "question", *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
+    inside_x = (F.col("x1") >= F.col("b_x0")) & (F.col("x0") <= F.col("b_x1"))
+    w = words.join(b, PAGE).filter(inside_x & (F.col("y1") >= F.col("b_y0") - 2) & (F.col("y0") <= F.col("b_y1") + 2))
+    caps = w.filter(F.col("text").rlike(trailer)).groupBy(*PAGE, "question").agg(F.min("y0").alias("trailer"))
+    keys = [*PAGE, "question"]
+    b = b.join(caps, keys, "left").withColumn("cap", F.coalesce(F.col("trailer") - 4, F.col("b_y1")))
+    limits = b.select(*keys, "cap")
+    low_words = w.filter(~F.col("text").rlike(footer) & (F.col("y0") <= page_bottom - 50)).join(limits, keys).filter("y0 <= cap").groupBy(*keys).agg(F.max("y1").alias("w1"))
+    d = drawings.join(b.drop("trailer"), PAGE).filter(inside_x & (F.col("y1") >= F.col("b_y0") - 2) & (F.col("y0") <= F.col("cap")) & (F.col("y0") <= page_bottom - 50))
+    d = d.filter((F.col("y1") - F.col("y0") >= 1.5) | (F.col("x1") - F.col("x0") <= 200))
+    low_drawings = d.groupBy(*keys).agg(F.max("y1").alias("d1"))
+    out = b.join(low_words, keys, "left").join(low_drawings, keys, "left")
+    bottom = F.least("cap", F.greatest(F.col("b_y0") + 36, "w1", "d1") + 10)
+    return out.select(*keys, F.col("b_x0").alias("x0"), F.col("b_y0").alias("y0"), F.col("b_x1").alias("x1"), bottom.alias("y1"))

@@ -452,8 +452,8 @@ def carry_forward_asof(spark, sf_dir):
 
 @query("""WITH i AS (SELECT event_id AS item, user_id AS doc, CAST(event_id % 97 AS DOUBLE) AS y0, CAST(event_id % 97 + 5 + event_id % 7 AS DOUBLE) AS y1 FROM events),
 b AS (SELECT DISTINCT user_id AS doc, k AS question, k * 12.0 AS b0, k * 12.0 + 15 AS b1 FROM events, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS k) t),
-s AS (SELECT item, question, least(y1, b1) - greatest(y0, b0) + CASE WHEN (y0 + y1) / 2 >= b0 AND (y0 + y1) / 2 < b1 THEN y1 - y0 ELSE 0 END AS score FROM i JOIN b ON i.doc = b.doc WHERE least(y1, b1) - greatest(y0, b0) > 0),
-n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, question) AS n FROM s) SELECT item, CAST(question AS BIGINT) AS question, CAST(score AS DOUBLE) AS score FROM n WHERE n = 1""")
+s AS (SELECT item, question, least(y1, b1) - greatest(y0, b0) + CASE WHEN (y0 + y1) / 2 BETWEEN b0 AND b1 THEN 2.0 ELSE 0.0 END AS score FROM i JOIN b ON i.doc = b.doc WHERE y1 >= b0 - 10 AND y0 <= b1 + 10),
+n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, question) AS n FROM s WHERE score > 0) SELECT item, CAST(question AS BIGINT) AS question, CAST(score AS DOUBLE) AS score FROM n WHERE n = 1""")
 def interval_best_overlap(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     i = F.col("event_id")
