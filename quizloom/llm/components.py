@@ -32,4 +32,5 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
+    discard(edges)
     return labels.select("node", "root")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 from .neighbours import usable, vectors_of
 
@@ -148,8 +148,11 @@ def descend(edges: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> t
         met = lists.join(other, "via").filter((F.col("root") != F.col("other_root")) & (F.col("node") < F.col("other")))
         pairs = met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(edges.select("a", "b"), ["a", "b"], "left_anti")
         found = materialize(cosines(pairs, nodes, dim).filter(F.col("cosine") >= EXPLORE), "found")
+        settled = found.filter(F.col("cosine") >= threshold).isEmpty()
         edges = materialize(ordered(edges.union(found)), "edges")
-        if found.filter(F.col("cosine") >= threshold).isEmpty():
+        for done in (lists, found):
+            discard(done)
+        if settled:
             return edges, labels
         length *= 2
     return edges, labels_of(edges, threshold)

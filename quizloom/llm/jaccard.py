@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, ranges, text_parts
+from .common import discard, materialize, mix64, ranges, text_parts
 from .components import components
 from .lm import read_tokens
 from .tallies import BLOBS, KEY_BITS, TOTALS, add_up, answered, blobs, from_planes, planes
 
 WORDS, PERCENT = 5, 80
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 BLOCK = 1024  #: entries of a long column that meet in one task
 
 
@@ -210,6 +210,8 @@ def join(docs: DataFrame, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYT
     named = rows.groupBy("name").agg(F.min("doc_id").alias("low")).filter(F.col("name").isNotNull())
     named = named.join(found, named.name == found.node, "left").select("name", "low", F.coalesce("root", "name").alias("root"))
     named = materialize(named, "classes")
+    for done in (posted, members, links, labelled, more):
+        discard(done)
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     back = named.join(lowest, "root").select("name", "component_id", F.hex("root").alias("component"))
     out = rows.select("doc_id", "n_shingles", "name").join(back, "name", "left")
