@@ -114,28 +114,28 @@ def listed(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs with base and spans, arrays of (start, rank in ORDER, end, ...), sorted."""
+    """docs with _secret_base and _secret_spans, arrays of (start, rank in ORDER, end, ...), sorted."""
 
     def of_kind(kind: str, rank: int) -> Column:
         pattern, group, least = KINDS[kind]
-        return F.filter(located(F.col("_text"), pattern, group, rank, HINTS[kind]), lambda s: s["size"] >= least)
+        return F.filter(located(F.col("_secret_text"), pattern, group, rank, HINTS[kind]), lambda s: s["size"] >= least)
 
-    out = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    out = out.withColumns({f"_{kind}": of_kind(kind, rank) for rank, kind in enumerate(KINDS)})
-    out = out.withColumn("base", F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS])))
-    out = out.withColumn("spans", F.array_sort(F.concat("base", entropy_spans(F.col("_text"), F.col("base")))))
-    return out.drop("_text", *[f"_{k}" for k in KINDS])
+    out = docs.withColumn("_secret_text", F.coalesce("text", F.lit("")))
+    out = out.withColumns({f"_secret_{kind}": of_kind(kind, rank) for rank, kind in enumerate(KINDS)})
+    out = out.withColumn("_secret_base", F.array_sort(F.concat(*[F.col(f"_secret_{k}") for k in KINDS])))
+    out = out.withColumn("_secret_spans", F.array_sort(F.concat("_secret_base", entropy_spans(F.col("_secret_text"), F.col("_secret_base")))))
+    return out.drop("_secret_text", *[f"_secret_{k}" for k in KINDS])
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per row the counts of each kind, a digest of the base spans and the list of all spans."""
     found = scan(docs.select(F.col("doc_id").cast("long"), "text"))
-    count = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long")
+    count = lambda k: F.size(F.filter("_secret_base", lambda s: s["rank"] == k)).cast("long")
     return found.select(
         "doc_id",
         *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
-        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
-        listed(F.col("spans")).alias("spans"),
+        F.sha2(listed(F.col("_secret_base")), 256).alias("base_sha256"),
+        listed(F.col("_secret_spans")).alias("spans"),
     )
 
 
@@ -150,4 +150,4 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    return found.withColumn("text", F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))).drop("base", "spans")
+    return found.withColumn("text", F.when(F.size("_secret_spans") > 0, F.aggregate("_secret_spans", start, step, rest)).otherwise(F.col("text"))).drop("_secret_base", "_secret_spans")
