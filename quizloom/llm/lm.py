@@ -32,7 +32,7 @@ HELD_OUT_EVERY = 10
 ARC_WEIGHT = 0.4
 ORDER = 2
 ADD = 0.1
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 #: Numbers of the end token and of the start state, before any word.
 END, START = 0, 1
 
