@@ -3,9 +3,9 @@
 Equal vectors are one node. The neighbour graph begins in the leaves of random-projection trees, as many
 as find a pair at the threshold with probability START; leaves that are too full are split by further
 planes and, where a dense group stays together, by hash. Rounds then join the lists with each other:
-neighbours of neighbours that are not yet in one component are compared and enter the lists. A list whose
-every entry is above the threshold is saturated and is enlarged for the next round. Rounds end when none
-adds a link between components. The recall is audited on a bounded sample of nodes against all others;
+neighbours of neighbours that are not yet in one component are compared and enter the lists. A leaf gives
+a spanning forest of all its links and for each node the nearest one outside its own component, so that a
+dense group does not fill its lists with itself. Rounds end when none adds a link between components. The recall is audited on a bounded sample of nodes against all others;
 while the audit misses a pair, more trees are grown.
 
 Only links above the threshold are kept. Lists serve to find what hangs together; the links of a vector
@@ -76,8 +76,29 @@ def leaf_keys(nodes: DataFrame, dim: int, planes: int, trees: int, seed: int) ->
     return keys.withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("name"), F.col("parts"))).otherwise(F.lit(0)))
 
 
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of a symmetric matrix of links: each node's way to its parent, and the component of every node."""
+    group = np.arange(len(linked))
+    seen = ~linked.any(axis=1)
+    child, parent = [], []
+    for start in range(len(linked)):
+        if seen[start]:
+            continue
+        seen[start] = True
+        front = np.array([start])
+        while len(front):
+            reach = linked[front] & ~seen
+            fresh = np.flatnonzero(reach.any(axis=0))
+            child.append(fresh)
+            parent.append(front[reach[:, fresh].argmax(axis=0)])
+            seen[fresh], group[fresh] = True, start
+            front = fresh
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *child]), np.concatenate([none, *parent]), group
+
+
 def compare(rows: pa.Table, dim: int, threshold: float) -> pa.Table:
-    """The lists of the nodes of some leaves: the nearest of each, and of what is above the threshold a star for each cluster."""
+    """The lists of the nodes of some leaves: the nearest of each, the nearest outside its component of the leaf, and a spanning forest of what is above the threshold."""
     rows = rows.sort_by([(c, "ascending") for c in ("tree", "leaf", "more", "part")])
     key = np.stack([rows.column(c).to_numpy() for c in ("tree", "leaf", "more", "part")])
     x = unit(vectors_of(rows.column("embedding"), dim, np.float64))
@@ -93,11 +114,10 @@ def compare(rows: pa.Table, dim: int, threshold: float) -> pa.Table:
         near = np.argpartition(-c, k - 1, axis=1)[:, :k]
         i = np.repeat(np.arange(len(own)), k)
         j = near.ravel()
-        # clusters by labels that fall to the smallest neighbour's; each node's way down is an edge of the forest
-        linked = c >= threshold
-        low = np.where(linked.any(axis=1), np.minimum(linked.argmax(axis=1), np.arange(len(own))), np.arange(len(own)))
-        down = np.flatnonzero(low < np.arange(len(own)))
-        i, j = np.r_[i, down], np.r_[j, low[down]]
+        child, parent, group = spanning(c >= threshold)
+        far = np.where(group[:, None] == group[None], -1, c).argmax(axis=1)  # a list that its own component fills still reaches beyond it
+        i, j = np.r_[i, child, np.arange(len(own))], np.r_[j, parent, far]
+        i, j = i[i != j], j[i != j]
         keep = c[i, j] >= EXPLORE
         i, j = i[keep], j[keep]
         a, b = np.minimum(i, j), np.maximum(i, j)

@@ -104,3 +104,31 @@ def test_odd_links(spark):
     assert len(got) == len(ODD) + 1
     assert sorted(g for g in got if g[1]) == [(6, 3, 6, True), (7, 3, 6, False), (8, 3, 6, False), (9, 1, 9, True), (9, 1, 9, True), (20, 3, 6, False)]
     assert descent.near_duplicates(df.limit(0)).count() == 0 and descent.near_duplicates(df.filter("vec_id < 5")).count() == 5
+
+
+def bridged(groups=2, size=12, dim=24, lean=0.28, seed=3):
+    """Tight groups, each joined to the next only by one pair just above the threshold."""
+    base = np.eye(dim)[:groups] + 0
+    for g in range(1, groups):  # centres at cosine 0.88
+        base[g] = 0.88 * base[g - 1] + np.sqrt(1 - 0.88**2) * base[g]
+    x = np.concatenate([b + 0.002 * np.random.default_rng(seed + g).standard_normal((size, dim)) for g, b in enumerate(base)])
+    for g in range(1, groups):  # the last of a group leans to the last but one of the next
+        x[g * size - 1] = base[g - 1] + 0.06 * base[g]
+        x[(g + 1) * size - 2] = base[g] + 0.06 * base[g - 1]
+    return x.reshape(groups, size, dim).swapaxes(0, 1).reshape(-1, dim).astype(np.float32)  # every group has early rows
+
+
+def test_a_cross_link_of_full_lists_is_kept():
+    import pyarrow as pa
+
+    x = bridged()
+    n = len(x)
+    rows = pa.table({"name": pa.array([b"%02d" % i for i in range(n)], pa.binary()), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))} | {c: np.zeros(n, np.int64) for c in ("tree", "leaf", "more", "part")})
+    got = [(int(r["a"]), int(r["b"])) for r in descent.compare(rows, x.shape[1], 0.9).to_pylist() if r["cosine"] >= 0.9]
+    want = plain_links(x, range(n))
+    assert {low for _, low in want.values()} == {0}
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in got:
+            root[a] = root[b] = min(root[a], root[b])
+    assert set(root) == {0}
