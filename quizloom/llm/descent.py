@@ -1,12 +1,15 @@
 """Operator 8: near-duplicate embeddings by NN-descent.
 
 Equal vectors are one node. The neighbour graph begins in the leaves of random-projection trees, as many
-as find a pair at the threshold with probability START; leaves that are too full are split by further
-planes and, where a dense group stays together, by hash. Rounds then join the lists with each other:
+as find a pair at the threshold with probability START; leaves that are too full are split by as many
+further planes as their size asks for, in as many more trees as these need. A cell that no plane splits is
+dealt by hash, otherwise in every tree, and its parts are then bridged: all pairs of the cell that are not
+yet in one component are compared. Rounds then join the lists with each other:
 neighbours of neighbours that are not yet in one component are compared and enter the lists. A leaf gives
 a spanning forest of all its links and for each node the nearest one outside its own component, so that a
 dense group does not fill its lists with itself. Rounds end when none adds a link between components. The recall is audited on a bounded sample of nodes against all others;
-while the audit misses a pair, more trees are grown.
+while the audit misses a pair, more trees are grown; if the last of FORESTS audits still misses some, a
+warning states the recall that it measured.
 
 Only links above the threshold are kept. Lists serve to find what hangs together; the links of a vector
 are then counted exactly inside its component, block against block, so saturated or cut lists lose none
@@ -20,6 +23,7 @@ own component. Repeated rows are vectors of their own. An empty table gives an e
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ THRESHOLD = 0.9
 START = 0.999  #: chance that the trees bring a pair at the threshold into one leaf
 LEAF, FULL = 256, 1024  #: nodes wanted in a leaf, and most of them
 LIST, EXPLORE = 8, 0.6  #: length of a list; the least cosine of its entries
-ROUNDS, AUDIT, FORESTS = 5, 200, 3
+ROUNDS, AUDIT, FORESTS = 5, 200, 5
 BLOCK = 512
 EXTRA = 12  #: more planes for leaves that are too full
 
@@ -47,12 +51,19 @@ def unit(x: np.ndarray) -> np.ndarray:
 def forest(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     """Planes a tree and trees for n nodes."""
     planes = max(0, round(math.log2(max(n, 1) / LEAF)))
+    return planes, trees_for(planes, threshold)
+
+
+def trees_for(planes: int, threshold: float) -> int:
     together = (1 - math.acos(threshold) / math.pi) ** planes
-    return planes, 1 if together > START else math.ceil(math.log(1 - START) / math.log(1 - together))
+    return 1 if together > START else math.ceil(math.log(1 - START) / math.log(1 - together))
+
 
+CELL = ["tree", "leaf", "more"]
 
-def leaf_keys(nodes: DataFrame, dim: int, planes: int, trees: int, seed: int) -> DataFrame:
-    """A row for each node and tree: the leaf by the first planes, and the signs of further ones."""
+
+def grow(nodes: DataFrame, dim: int, planes: int, trees: int, seed: int, start: int = 0) -> DataFrame:
+    """A row for each node and tree: the leaf by the first planes, and the signs of as many further ones (extra) as a leaf that is too full needs."""
 
     def run(batches):
         normal = np.random.default_rng(seed).standard_normal((dim, trees * (planes + EXTRA)))
@@ -64,16 +75,28 @@ def leaf_keys(nodes: DataFrame, dim: int, planes: int, trees: int, seed: int) ->
             more = (sign[:, :, planes:] * weight[:EXTRA]).sum(axis=2)
             which = pa.array(np.repeat(np.arange(len(x)), trees))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("name").take(which), pa.array(np.tile(np.arange(trees), len(x))), pa.array(leaf.ravel().astype(np.int64)), pa.array(more.ravel().astype(np.int64))],
+                [batch.column("name").take(which), pa.array(np.tile(np.arange(start, start + trees), len(x))), pa.array(leaf.ravel().astype(np.int64)), pa.array(more.ravel().astype(np.int64))],
                 names=["name", "tree", "leaf", "more"],
             )
 
     keys = materialize(nodes.select("name", "embedding").mapInArrow(run, "name binary, tree long, leaf long, more long"), "leaves")
-    full = keys.groupBy("tree", "leaf").count().filter(F.col("count") > FULL).select("tree", "leaf", F.lit(True).alias("full"))
-    keys = keys.join(full, ["tree", "leaf"], "left").withColumn("more", F.when(F.col("full"), F.col("more")).otherwise(F.lit(-1))).drop("full")
-    dense = keys.filter("more >= 0").groupBy("tree", "leaf", "more").count().filter(F.col("count") > FULL)
-    keys = keys.join(dense.select("tree", "leaf", "more", F.ceil(F.col("count") / FULL).alias("parts")), ["tree", "leaf", "more"], "left")
-    return keys.withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("name"), F.col("parts"))).otherwise(F.lit(0)))
+    full = keys.groupBy("tree", "leaf").count().filter(F.col("count") > FULL)
+    full = full.select("tree", "leaf", F.least(F.lit(EXTRA), F.ceil(F.log2(F.col("count") / LEAF))).cast("int").alias("extra"))
+    keys = keys.join(full, ["tree", "leaf"], "left")
+    return keys.withColumn("more", F.when(F.col("extra").isNotNull(), F.expr("more & (shiftleft(1L, extra) - 1)")).otherwise(F.lit(-1)))
+
+
+def leaf_keys(nodes: DataFrame, dim: int, planes: int, trees: int, seed: int, threshold: float) -> DataFrame:
+    """The cells of every node, and the parts of cells that stay too full. Leaves that are too full stand in more trees, as their planes are more."""
+    keys = grow(nodes, dim, planes, trees, seed)
+    deepest = keys.agg(F.max("extra")).first()[0]
+    more = math.ceil(trees * trees_for(planes + deepest, threshold) / trees_for(planes, threshold)) - trees if deepest else 0
+    if more > 0:
+        keys = keys.union(grow(nodes, dim, planes, more, seed + 1000, trees).filter("extra is not null"))
+    dense = keys.filter("more >= 0").groupBy(CELL).count().filter(F.col("count") > FULL)
+    keys = keys.drop("extra").join(dense.select(*CELL, F.ceil(F.col("count") / FULL).alias("parts")), CELL, "left")
+    part = F.pmod(F.xxhash64("name", "tree", F.lit(seed)), F.col("parts"))
+    return materialize(keys.withColumn("part", F.when(F.col("parts").isNotNull(), part).otherwise(F.lit(0))).select("name", *CELL, "parts", "part"), "cells")
 
 
 def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,10 +201,36 @@ def descend(edges: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> t
     return edges, labels_of(edges, threshold)
 
 
-def audit(nodes: DataFrame, labels: DataFrame, dim: int, threshold: float) -> tuple[int, int]:
+def bridge(cells: DataFrame, labels: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """Links between components that share a cell: all its pairs that are not yet in one component are compared, block by block.
+
+    A component that fills blocks has its own, which never meet each other; the others of the cell share blocks."""
+    rooted = cells.join(labels, cells.name == labels.node, "left").select("name", *CELL, F.coalesce("root", "name").alias("root"))
+    roots = rooted.groupBy(*CELL, "root").agg(F.count("*").alias("size"), (F.count("*") > FULL).alias("large"))
+    split = roots.groupBy(CELL).agg(F.count("*").alias("roots"), F.sum(F.when(~F.col("large"), F.col("size"))).alias("few")).filter("roots > 1")
+    facts = roots.join(split, CELL).select(*CELL, "root", F.when(F.col("large"), F.col("root")).otherwise(F.lit(b"")).alias("owner"), F.ceil(F.when(F.col("large"), F.col("size")).otherwise(F.col("few")) / FULL).alias("blocks"))
+    dealt = materialize(rooted.join(facts, [*CELL, "root"]).withColumn("unit", F.struct("owner", F.pmod(F.xxhash64("name"), F.col("blocks")).alias("block"))).select("name", "root", *CELL, "unit"), "dealt")
+    units = dealt.select(*CELL, "unit").distinct()
+    both = units.withColumnRenamed("unit", "x").join(units.withColumnRenamed("unit", "y"), CELL)
+    both = both.filter((F.col("x") <= F.col("y")) & ((F.col("x.owner") != F.col("y.owner")) | (F.col("x.owner") == F.lit(b""))))
+    left = dealt.join(both, CELL).filter((F.col("unit") == F.col("x")) | (F.col("unit") == F.col("y")))
+    placed = left.join(nodes.select("name", "embedding"), "name")
+
+    def run(rows):
+        v = unit(vectors_of(rows.column("embedding"), dim, np.float64))
+        root = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)[1]
+        c = v @ v.T
+        i, j, _ = spanning((c >= threshold) & (root[:, None] != root[None]))
+        names = rows.column("name")
+        return pa.table([names.take(pa.array(i)), names.take(pa.array(j)), pa.array(c[i, j])], names=["a", "b", "cosine"])
+
+    return placed.select("name", "root", "embedding", *CELL, "x", "y").groupBy(*CELL, "x", "y").applyInArrow(run, EDGES)
+
+
+def audit(nodes: DataFrame, labels: DataFrame, dim: int, threshold: float, seed: int = 0) -> tuple[int, int]:
     """Of a bounded sample, the pairs above the threshold, and those of them in different components."""
     rooted = nodes.join(labels, nodes.name == labels.node, "left").select("name", "embedding", F.coalesce("root", "name").alias("root"))
-    sample = rooted.orderBy(F.xxhash64("name"), "name").limit(AUDIT).toArrow()
+    sample = rooted.orderBy(F.xxhash64("name", F.lit(seed)), "name").limit(AUDIT).toArrow()
     probe = (unit(vectors_of(sample.column("embedding"), dim, np.float64)), np.array(sample.column("root").to_pylist(), object), np.array(sample.column("name").to_pylist(), object))
     shared = nodes.sparkSession.sparkContext.broadcast(probe)  # at most AUDIT vectors
 
@@ -245,15 +294,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     planes, trees = forest(n, threshold)
     edges = None
     for grown in range(FORESTS):
-        keys = leaf_keys(nodes, dim, planes, trees << grown, seed=11 + grown)
-        placed = keys.join(nodes.select("name", "embedding"), "name")
+        keys = leaf_keys(nodes, dim, planes, trees << grown, 11 + grown, threshold)
+        placed = keys.drop("parts").join(nodes.select("name", "embedding"), "name")
         tasks = max(1, n * (trees << grown) // 20_000)
         task = F.pmod(F.xxhash64("tree", "leaf", "more", "part"), F.lit(tasks)).alias("task")
         fresh = placed.groupBy(task).applyInArrow(lambda r: compare(r, dim, threshold), EDGES)
         edges = materialize(ordered(fresh if edges is None else edges.union(fresh)), "edges")
         edges, labels = descend(edges, nodes, dim, threshold)
-        if not audit(nodes, labels, dim, threshold)[1]:
+        dense = keys.filter("parts is not null").select("name", *CELL)
+        if not dense.isEmpty():
+            across = materialize(bridge(dense, labels, nodes, dim, threshold), "across")
+            if not across.isEmpty():
+                edges = materialize(ordered(edges.union(across)), "edges")
+                labels = labels_of(edges, threshold)
+        hits, missed = audit(nodes, labels, dim, threshold, grown)
+        if not missed:
             break
+    else:
+        warnings.warn(f"near-duplicate vectors: after {FORESTS} forests {missed} of {hits} audited links still lie between components, recall {1 - missed / hits:.6f}", stacklevel=2)
 
     # exact counts inside the components
     rooted = labels.join(nodes, labels.node == nodes.name).select("root", "name", "size", "embedding")

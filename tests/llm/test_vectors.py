@@ -132,3 +132,30 @@ def test_a_cross_link_of_full_lists_is_kept():
         for a, b in got:
             root[a] = root[b] = min(root[a], root[b])
     assert set(root) == {0}
+
+
+def test_copies_that_no_plane_cuts_are_one_component(spark, monkeypatch):
+    monkeypatch.setattr(descent, "FULL", 64)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 24)).astype(np.float32)
+    x[:300] = x[0] * (1 + 1e-6 * rng.standard_normal((300, 24)))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in descent.near_duplicates(frame(spark, x)).collect()}
+    assert len({tuple(v) for v in x[:300]}) > 64
+    assert got == plain_links(x, range(400))
+
+
+def test_components_of_a_dense_cell_are_bridged(spark, monkeypatch):
+    monkeypatch.setattr(descent, "FULL", 10)
+    x = bridged(3, 12)
+    n = len(x)
+    name = lambda i: b"%02d" % i
+    nodes = spark.createDataFrame([(name(i), [float(v) for v in r]) for i, r in enumerate(x)], "name binary, embedding array<float>")
+    cells = spark.createDataFrame([(name(i), 0, 0, 0) for i in range(n)], "name binary, tree long, leaf long, more long")
+    for labels in ([(name(i), name(i % 3)) for i in range(n)], []):  # three components that fill blocks; none yet
+        got = descent.bridge(cells, spark.createDataFrame(labels, "node binary, root binary"), nodes, x.shape[1], 0.9).collect()
+        root = [int(r) for _, r in labels] or list(range(n))
+        for _ in range(n):
+            for r in got:
+                a, b = root[int(r.a)], root[int(r.b)]
+                root = [min(a, b) if v in (a, b) else v for v in root]
+        assert set(root) == {0} and all(r.cosine >= 0.9 for r in got)
