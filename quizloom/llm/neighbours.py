@@ -4,7 +4,8 @@ A vector is coded as a sum of one full-dimensional codeword from each of CODEBOO
 search over the residuals; its own norm and that of the sum are stored. A query's products with all
 codewords form a lookup table, so a candidate's score is a sum of table rows by its codes, scaled by the
 ratio of the stored norms. The SHORTLIST best of each query are scored again on the original vectors, in
-double precision.
+double precision. No vector beyond the list scores more than the list's last guess and the query's norm
+times the largest coding error; a query whose last answer is not above that is scored against all vectors.
 
 The books are fitted on at most SAMPLE vectors (those with the smallest hash of their id), by residual
 k-means and rounds of encoding and least squares; every vector is coded. Queries and candidates meet
@@ -12,8 +13,8 @@ block by block; a block of candidates holds codes and norms only. A block's shor
 again where blocks come together, on the map side first.
 
 Vectors that are null, empty or zero, hold null or non-finite parts or another dimension than most of the
-sample take no part, nor do rows without an id. Equal vectors are equal candidates; ties go to the smaller
-id. Rows with the query's id are not its candidates. With fewer candidates than asked for all are
+sample take no part, nor do rows without an id. Equal vectors are one candidate, which stands for the
+smallest of its ids; ties go to the smaller id. Rows with the query's id are not its candidates. With fewer candidates than asked for all are
 returned. An empty table gives an empty result.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ SAMPLE, ROUNDS = 12_000, 2
 SHORTLIST, TOP = 400, 20
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 65_536
 QUERY_EVERY = 20
+EXACT_QUERIES, EXACT_PARTS = 4096, 4_000_000  #: queries of an exact block, and parts of its vectors
 
 
 def usable(vector: Column) -> Column:
@@ -100,10 +103,54 @@ def fit_books(x: np.ndarray, seed: int = 7) -> np.ndarray:
     return books
 
 
+def named(rows: DataFrame, dim: int) -> DataFrame:
+    """The rows with a digest of their vector."""
+
+    def run(batches):
+        for batch in batches:
+            x = vectors_of(batch.column("embedding"), dim) + np.float32(0)  # one zero
+            names = [xxhash.xxh3_128_digest(v.tobytes()) for v in x]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(names, pa.binary()), batch.column("embedding"), batch.column("is_query")], names=["vec_id", "name", "embedding", "is_query"])
+
+    return rows.select("vec_id", "embedding", "is_query").mapInArrow(run, "vec_id long, name binary, embedding array<float>, is_query boolean")
+
+
+def smallest_ids(rows: DataFrame, keep: int) -> DataFrame:
+    """For each distinct vector its smallest ids, cut on the map side first."""
+    own = rows.select("name", "vec_id")
+    low = Window.partitionBy("name").orderBy("vec_id")
+    cut = own.withColumn("place", F.dense_rank().over(low)).filter(F.col("place") <= keep)  # an id may be repeated
+    return cut.groupBy("name").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+
+
+def nearest_of_block(queries: pa.Table, nodes: pa.Table, dim: int, top: int) -> pa.Table:
+    """For each query of a block the best ids of a block of distinct vectors, by exact scores. Ties at the cut go to the smaller id."""
+    q, x = (vectors_of(t.column("embedding"), dim, np.float64) for t in (queries, nodes))
+    ids = nodes.column("ids").combine_chunks()
+    count = np.diff(ids.offsets.to_numpy())
+    flat, owner = ids.flatten().to_numpy(), np.repeat(np.arange(len(x)), count)
+    q_ids = queries.column("query_id").to_numpy()
+    out = []
+    for a in range(0, len(q), 256):
+        guess = q[a : a + 256] @ x.T
+        for k, row in enumerate(guess):
+            n = min(top + 1, len(row))  # one of them may hold nothing but the query's own id
+            least = np.partition(row, len(row) - n)[len(row) - n]
+            near = row >= least - 1e-9 * max(1.0, abs(least))
+            mine = np.flatnonzero(near[owner] & (flat != q_ids[a + k]))
+            score = np.zeros(len(row))
+            score[near] = (x[near] * q[a + k]).sum(axis=1)
+            best = mine[np.lexsort((flat[mine], -score[owner[mine]]))[:top]]
+            out.append((np.full(len(best), q_ids[a + k]), flat[best], score[owner[best]]))
+    parts = [np.concatenate(p) for p in zip(*out)]
+    return pa.table([pa.array(p) for p in parts], names=["query_id", "vec_id", "score"])
+
+
 def shortlist(queries: pa.Table, codes: pa.Table, books: np.ndarray, keep: int) -> pa.Table:
     """For each query of a block the best candidates of a block by lookup tables."""
     dim = books.shape[2]
     ids = codes.column("vec_id").to_numpy()
+    alone = codes.column("copies").to_numpy() == 1
     own = np.frombuffer(b"".join(codes.column("codes").to_pylist()), np.uint8).reshape(-1, len(books))
     scale = codes.column("scale").to_numpy().astype(np.float32)
     q_ids = queries.column("query_id").to_numpy()
@@ -119,7 +166,7 @@ def shortlist(queries: pa.Table, codes: pa.Table, books: np.ndarray, keep: int)
             for m in range(1, len(books)):
                 total += tables[m][block[:, m]]
             score[b : b + 8192] = total * scale[b : b + 8192, None]
-        score[ids[:, None] == q_ids[None, a : a + 256]] = -np.inf
+        score[alone[:, None] & (ids[:, None] == q_ids[None, a : a + 256])] = -np.inf
         score = np.ascontiguousarray(score.T)
         n = min(keep, len(ids))
         best = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
@@ -152,28 +199,55 @@ def search(vectors: DataFrame, is_query: Column | None = None, top: int = TOP, k
                 codes = beam_encode(x[a : a + 2000], books.value)
                 norm = np.linalg.norm(decode(codes, books.value), axis=1)
                 scale = np.linalg.norm(x[a : a + 2000].astype(np.float64), axis=1) / np.maximum(norm, 1e-12)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").slice(a, len(codes)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)], names=["vec_id", "codes", "scale"])
-
-    rows = rows.filter(F.size("embedding") == dim)
-    index = materialize(rows.select("vec_id", "embedding").mapInArrow(encode, "vec_id long, codes binary, scale double"), "index")
+                error = np.linalg.norm(x[a : a + 2000] - decode(codes, books.value) * scale[:, None], axis=1)
+                own = [batch.column(c).slice(a, len(codes)) for c in ("vec_id", "copies")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(error)], names=["vec_id", "copies", "codes", "scale", "error"])
+
+    rows = materialize(named(rows.filter(F.size("embedding") == dim), dim), "named")
+    # distinct vectors, called by their smallest id; a vector answers for at most top ids besides the query's own
+    whole = rows.groupBy("name").agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies"))
+    nodes = materialize(whole.join(smallest_ids(rows, top + 1), "name").select(F.element_at("ids", 1).alias("vec_id"), "ids", "copies", "embedding"), "nodes")
+    index = materialize(nodes.select("vec_id", "copies", "embedding").mapInArrow(encode, "vec_id long, copies long, codes binary, scale double, error double"), "index")
     queries = rows.filter("is_query").select(F.col("vec_id").alias("query_id"), "embedding")
     n_query, n_all = queries.count(), index.count()
     across, down = max(1, -(-n_query // QUERY_BLOCK)), max(1, -(-n_all // CANDIDATE_BLOCK))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("query_id", "embedding", deal("query_id", across).alias("x"), every(down).alias("y"))
-    right = index.select("vec_id", "codes", "scale", deal("vec_id", down).alias("y"), every(across).alias("x"))
+    right = index.select("vec_id", "copies", "codes", "scale", deal("vec_id", down).alias("y"), every(across).alias("x"))
     near = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(lambda q, c: shortlist(q, c, books.value, keep), "query_id long, ids array<long>, scores array<double>")
     near = near.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("c")).select("query_id", F.col("c.ids").alias("vec_id"), F.col("c.scores").alias("guess"))
     best = Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id")
-    near = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep).select("query_id", "vec_id")
+    near = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep).select("query_id", "vec_id", "guess")
 
     def exact(batches):
         for batch in batches:
             a, b = vectors_of(batch.column("own"), dim, np.float64), vectors_of(batch.column("embedding"), dim, np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array((a * b).sum(axis=1))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), batch.column("guess"), pa.array((a * b).sum(axis=1))], names=["query_id", "ids", "guess", "score"])
 
-    pairs = near.join(rows.select("vec_id", "embedding"), "vec_id").join(queries.withColumnRenamed("embedding", "own"), "query_id")
-    scored = pairs.select("query_id", "vec_id", "own", "embedding").mapInArrow(exact, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    pairs = near.join(nodes.select("vec_id", "ids", "embedding"), "vec_id").join(queries.withColumnRenamed("embedding", "own"), "query_id")
+    scored = materialize(pairs.select("query_id", "ids", "guess", "own", "embedding").mapInArrow(exact, "query_id long, ids array<long>, guess double, score double"), "scored")
+    opened = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("query_id <> vec_id")
+    first = opened.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    if n_all <= keep:
+        return first
+    first = materialize(first, "first")
+
+    # the largest score that a vector beyond a query's list can have; double room for rounding
+    error = index.agg(F.max("error")).first()[0]
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    last = first.filter(F.col("rank") == top).select("query_id", F.col("score").alias("last"))
+    beyond = scored.groupBy("query_id").agg(F.min("guess").alias("guess"))
+    proven = queries.select("query_id", norm.alias("norm")).join(last, "query_id").join(beyond, "query_id")
+    proven = materialize(proven.filter(F.col("last") > F.col("guess") + F.col("norm") * F.lit(error * 1.001) + F.lit(1e-5) * F.abs("guess")).select("query_id").distinct(), "proven")
+    unproven = queries.join(proven, "query_id", "left_anti")
+    n_left = unproven.count()
+    if not n_left:
+        return first
+    across, down = max(1, -(-n_left // EXACT_QUERIES)), max(1, -(-n_all * dim // EXACT_PARTS))
+    left = unproven.select("query_id", "embedding", deal("query_id", across).alias("x"), every(down).alias("y"))
+    right = nodes.select("ids", "embedding", deal("vec_id", down).alias("y"), every(across).alias("x"))
+    second = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(lambda q, c: nearest_of_block(q, c, dim, top), "query_id long, vec_id long, score double")
+    second = second.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return first.join(proven, "query_id").select("query_id", "rank", "vec_id", "score").unionByName(second)

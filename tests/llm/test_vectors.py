@@ -159,3 +159,12 @@ def test_components_of_a_dense_cell_are_bridged(spark, monkeypatch):
                 a, b = root[int(r.a)], root[int(r.b)]
                 root = [min(a, b) if v in (a, b) else v for v in root]
         assert set(root) == {0} and all(r.cosine >= 0.9 for r in got)
+
+
+def test_ids_and_recall_in_groups_of_copies(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1600, 8)).astype(np.float32)
+    x[:500] = x[0]
+    x[500:1000] = x[500] + 1e-3 * rng.standard_normal((500, 8))
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.search(frame(spark, x), keep=40).collect())
+    assert got == sorted(w[:3] for w in plain_nearest(x, list(range(1600)), None, 20))
