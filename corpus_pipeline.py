@@ -36,14 +36,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialize(jaccard.join(docs), "near-copies")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        gone = found.filter(~first).select("doc_id")
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        found = materialize(jaccard.join(docs), "near-copies")
+        gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # ids that stand for several rows: the rows are told apart by their texts
-    stay = found.filter(first).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    # ids that are null or stand for several rows: rows get keys of their own, and the first by (doc_id, key) of each component stays
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
+    stay = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
+    return rows.join(stay, "_row", "left_semi").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,3 +149,13 @@ def test_stages_keep_the_columns(spark, odd, labels, tmp_path):
             out.write.mode("overwrite").parquet(str(tmp_path / "s" / name.replace(" ", "")))
             at = spark.read.parquet(str(tmp_path / "s" / name.replace(" ", "")))
         corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count()
+
+
+def test_near_copies_of_rows_with_repeated_ids(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(300)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (None, b + " more"), (None, c), (7, c + " more"), (5, ""), (5, ""), (1, a + " other")]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(1), "")
+    assert got.columns == ["doc_id", "text"]
+    near = sorted((r.doc_id, r.text[:100]) for r in got.collect())
+    assert near == sorted([(1, a[:100]), (1, b[:100]), (7, c[:100]), (5, ""), (5, "")])
