@@ -81,7 +81,7 @@ def grow(nodes: DataFrame, dim: int, planes: int, trees: int, seed: int, start:
 
     keys = materialize(nodes.select("name", "embedding").mapInArrow(run, "name binary, tree long, leaf long, more long"), "leaves")
     full = keys.groupBy("tree", "leaf").count().filter(F.col("count") > FULL)
-    full = full.select("tree", "leaf", F.least(F.lit(EXTRA), F.ceil(F.log2(F.col("count") / LEAF))).cast("int").alias("extra"))
+    full = full.select("tree", "leaf", F.greatest(F.lit(1), F.least(F.lit(EXTRA), F.ceil(F.log2(F.col("count") / LEAF)))).cast("int").alias("extra"))
     keys = keys.join(full, ["tree", "leaf"], "left")
     return keys.withColumn("more", F.when(F.col("extra").isNotNull(), F.expr("more & (shiftleft(1L, extra) - 1)")).otherwise(F.lit(-1)))
 
