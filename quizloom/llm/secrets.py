@@ -1,16 +1,19 @@
 """Operator 1: secret scans with Spark's own functions only.
 
-Three fixed patterns give the base spans. Beside them, every run of token characters is a candidate: a
-window slides over it, the counts of its character class (hex or base64) change by the character that
-enters and the one that leaves, and with them the sum of c * log2(c), so each step costs one update and
-no recount. A candidate whose best window reaches the class's entropy is a span unless the allow-list
-knows it (identifiers, paths, placeholders, plain words or numbers) or a base span covers part of it.
-
-Positions are code points, ends exclusive. They come from the pieces between the matches, so a text is
-matched twice by each pattern that occurs in it at all, and texts without an occurrence are only searched.
-
-Nulls and empty texts have no spans. Rows are independent: repeated rows, ties and extra columns change
-nothing; an empty table gives an empty result.
+Three fixed patterns give the base spans. What they cover is blanked, kind after kind, and every run of
+token characters that is left is a candidate: a window slides over it, the counts of its character class
+(hex of either case, or base64) change by the character that enters and the one that leaves, and with them
+the sum of c * log2(c), so each step costs one update and no recount. A candidate whose best window
+reaches the class's entropy is a span, unless the allow-list knows its shape (identifiers, paths, plain
+words or numbers). Placeholder words inside a candidate are cut out first: no window covers any of them.
+
+Positions are code points, ends exclusive. They are running sums over the pieces between the matches, made in
+two levels, so time grows with the length of a text and the number of its matches, however long or many
+they are. Texts without an occurrence are only searched.
+
+Nulls and empty texts have no spans. Rows are independent: repeated rows and ties change nothing; an
+empty table gives an empty result. report() ignores further columns; redact() keeps all columns as they are, and
+scan() adds two under names that no column of the input has.
 """
 
 from __future__ import annotations
@@ -36,76 +39,94 @@ CLASSES = {
     "base64": ("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.7),
 }
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+#: Shapes of whole candidates that are no secrets. Possessive, so that a long path needs no stack.
 ALLOW = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[0-9_/+-]+$",
     r"^[A-Za-z_/+-]+$",
-    r"(?i)example|placeholder|xxxxxx|changeme|dummy",
-    r"0123456789|(?i:abcdefghij)",
-    r"^([A-Za-z]+[0-9]{0,4}[/_-])+[A-Za-z]*[0-9]{0,4}$",
+    r"^(?:[A-Za-z]++[0-9]{0,4}+[/_-])++[A-Za-z]*+[0-9]{0,4}+$",
 ]
+PLACEHOLDER = r"(?i:example|placeholder|xxxxxx|changeme|dummy|abcdefghij)|0123456789"
 ORDER = [*KINDS, *(c[0] for c in CLASSES.values())]
-SPAN = "struct<start:int,rank:int,end:int,size:int,hit:string>"
+SPAN = "struct<start:int,rank:int,end:int,hit:string>"
+STRIDE = 256  #: elements of a running value that are folded one after another
+
+
+def running(values: Column, op) -> Column:
+    """For each element what op makes of 0 and all elements before it: folded stride by stride, then over the strides."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, v: Column) -> Column:
+        return F.struct(op(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    strides = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRIDE).cast("int")), lambda k: F.slice(values, k * STRIDE + 1, F.lit(STRIDE)))
+    inner = F.transform(strides, lambda part: F.aggregate(part, none, step))
+    # bound to a variable, so that it is made once
+    both = F.transform(F.array(inner), lambda i: F.flatten(F.zip_with(i, F.aggregate(i, none, lambda acc, one: step(acc, one["at"]))["out"], lambda one, before: F.transform(one["out"], lambda v: op(before, v)))))
+    return F.when(F.size(values) > 0, F.get(both, F.lit(0))).otherwise(F.array().cast("array<int>"))
 
 
-def located(text: Column, pattern: str, group: int, rank: int, hint: str) -> Column:
-    """Spans of all matches, leftmost and not overlapping; size is that of the group."""
-    occurs = text.rlike(hint)
-    parts = F.when(occurs, F.arrays_zip(
+def matched(text: Column, pattern: str, group: int, hint: str) -> Column:
+    """The pieces of a text: what is before each match, the match and its group; the last one has no match. Null where the hint doesn't occur."""
+    return F.when(text.rlike(hint), F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("own"),
     ))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(acc: Column, part: Column) -> Column:
-        a = acc["at"] + F.length(part["gap"])
-        b = a + F.length(part["hit"])
-        span = F.struct(a.alias("start"), F.lit(rank).alias("rank"), b.alias("end"), F.length(part["own"]).alias("size"), part["hit"].alias("hit"))
-        return F.when(part["hit"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.concat(acc["out"], F.array(span.cast(SPAN))).alias("out")))
 
-    return F.coalesce(F.aggregate(parts, start, step, lambda acc: acc["out"]), F.array().cast(f"array<{SPAN}>"))
+def located(parts: Column, rank: int, least: int) -> Column:
+    """Spans of the matches whose group has the least length."""
+    sizes = F.transform(parts, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0)))
+    span = lambda p, at: F.struct((at + F.length(p["gap"])).alias("start"), F.lit(rank).alias("rank"), (at + F.length(p["gap"]) + F.length(p["hit"])).alias("end"), F.when(F.length(p["own"]) >= least, p["hit"]).alias("hit"))
+    found = F.filter(F.zip_with(parts, running(sizes, lambda a, b: a + b), span), lambda s: s["hit"].isNotNull())
+    return F.coalesce(found, F.array()).cast(f"array<{SPAN}>")
 
 
-def symbol(text: Column, at: Column, alphabet: str) -> Column:
-    """The place of a character in the alphabet, from 1; 0 for any other."""
-    return F.call_function("instr", F.lit(alphabet), F.substring(text, at, F.lit(1)))
+def blanked(parts: Column, text: Column, least: int) -> Column:
+    """The text with blanks for those matches."""
+    piece = lambda p: F.concat(p["gap"], F.when(F.length(p["own"]) >= least, F.repeat(F.lit(" "), F.length(p["hit"]))).otherwise(F.coalesce(p["hit"], F.lit(""))))
+    return F.coalesce(F.array_join(F.transform(parts, piece), ""), text)
 
 
 def best_window(text: Column, alphabet: str, window: int = WINDOW) -> Column:
     """The highest entropy of a window over the text; characters outside the alphabet count as one more symbol."""
     size = len(alphabet) + 1
     term = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0)
-    start = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).cast("double").alias("sum"), F.lit(-1.0).cast("double").alias("best"))
+    start = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0).alias("n"), F.lit(0.0).cast("double").alias("sum"), F.lit(-1.0).cast("double").alias("best"))
 
-    def step(acc: Column, i: Column) -> Column:
-        enters = symbol(text, i, alphabet)
-        leaves = F.when(i > window, symbol(text, i - window, alphabet)).otherwise(-1)
-        c_in = F.get(acc["counts"], enters)
-        less = F.when(leaves == enters, 0.0).otherwise(term(c_in + 1) - term(c_in))
-        c_out = F.get(acc["counts"], leaves)
-        gone = F.when((leaves < 0) | (leaves == enters), 0.0).otherwise(term(c_out - 1) - term(c_out))
-        total = acc["sum"] + less + gone
-        counts = F.transform(acc["counts"], lambda v, k: v + (k == enters).cast("int") - (k == leaves).cast("int"))
-        entropy = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(-1.0)
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"))
+    def step(acc: Column, at: Column) -> Column:
+        enters, leaves, n = at["enters"], at["leaves"], acc["n"] + 1
+        c_in, c_out = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
+        more = F.when(leaves == enters, 0.0).otherwise(term(c_in + 1) - term(c_in))
+        less = F.when((leaves < 0) | (leaves == enters), 0.0).otherwise(term(c_out - 1) - term(c_out))
+        total = acc["sum"] + more + less
+        counts = F.when(leaves == enters, acc["counts"]).otherwise(F.transform(acc["counts"], lambda v, k: v + (k == enters).cast("int") - (k == leaves).cast("int")))
+        entropy = F.when(n >= window, F.lit(math.log2(window)) - total / window).otherwise(-1.0)
+        return F.struct(counts.alias("counts"), n.alias("n"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda acc: acc["best"])
+    symbols = F.transform(F.split(text, ""), lambda c: F.call_function("instr", F.lit(alphabet), c))
+    slid = F.transform(F.array(symbols), lambda s: F.aggregate(
+        F.zip_with(s, F.slice(F.concat(F.array_repeat(F.lit(-1), window), s), F.lit(1), F.size(s)), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves"))), start, step, lambda acc: acc["best"]))
+    return F.get(slid, F.lit(0))
 
 
-def entropy_spans(text: Column, base: Column) -> Column:
-    found = located(text, CANDIDATE, 0, 0, CANDIDATE)
-    allowed = lambda s: F.exists(F.array(*map(F.lit, ALLOW)), lambda p: F.regexp_like(s, p))
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    kept = F.filter(found, lambda s: ~allowed(s["hit"]) & apart(s))
+def hot(candidate: Column) -> Column:
+    """The rank of the class that a candidate is secret in; null if in none."""
+    of_hex = candidate.rlike("^[0-9a-fA-F]+$")
 
     def of_class(name: str, kind: str, alphabet: str, bits: float) -> Column:
-        of_hex = lambda s: s["hit"].rlike("^[0-9a-f]+$")
-        mine = F.filter(kept, lambda s: of_hex(s) if name == "hex" else ~of_hex(s))
-        hot = F.filter(mine, lambda s: best_window(s["hit"], alphabet) >= bits)
-        return F.transform(hot, lambda s: s.withField("rank", F.lit(ORDER.index(kind))))
+        pieces = F.filter(F.split(F.lower(candidate) if name == "hex" else candidate, PLACEHOLDER), lambda p: F.length(p) >= WINDOW)
+        return F.when((of_hex if name == "hex" else ~of_hex) & F.exists(pieces, lambda p: best_window(p, alphabet) >= bits), F.lit(ORDER.index(kind)))
+
+    return F.coalesce(*[of_class(name, *spec) for name, spec in CLASSES.items()])
+
 
-    return F.concat(*[of_class(name, *spec) for name, spec in CLASSES.items()])
+def entropy_spans(text: Column) -> Column:
+    found = located(matched(text, CANDIDATE, 0, CANDIDATE), 0, WINDOW)
+    allowed = lambda s: F.exists(F.array(*map(F.lit, ALLOW)), lambda p: F.regexp_like(s, p))
+    ranked = F.transform(F.filter(found, lambda s: ~allowed(s["hit"])), lambda s: s.withField("rank", hot(s["hit"])))
+    return F.filter(ranked, lambda s: s["rank"].isNotNull())
 
 
 def listed(spans: Column) -> Column:
@@ -113,41 +134,50 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs with _secret_base and _secret_spans, arrays of (start, rank in ORDER, end, ...), sorted."""
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column has them."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
 
-    def of_kind(kind: str, rank: int) -> Column:
-        pattern, group, least = KINDS[kind]
-        return F.filter(located(F.col("_secret_text"), pattern, group, rank, HINTS[kind]), lambda s: s["size"] >= least)
 
-    out = docs.withColumn("_secret_text", F.coalesce("text", F.lit("")))
-    out = out.withColumns({f"_secret_{kind}": of_kind(kind, rank) for rank, kind in enumerate(KINDS)})
-    out = out.withColumn("_secret_base", F.array_sort(F.concat(*[F.col(f"_secret_{k}") for k in KINDS])))
-    out = out.withColumn("_secret_spans", F.array_sort(F.concat("_secret_base", entropy_spans(F.col("_secret_text"), F.col("_secret_base")))))
-    return out.drop("_secret_text", *[f"_secret_{k}" for k in KINDS])
+def scan(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: the base spans and all spans, arrays of (start, rank in ORDER, end, hit), sorted."""
+    base, spans, body, *kinds = free(docs, "base", "spans", "body", *KINDS)
+    out = docs.withColumn(body, F.coalesce("text", F.lit("")))
+    out = out.withColumns({c: matched(F.col(body), pattern, group, HINTS[kind]) for c, (kind, (pattern, group, _)) in zip(kinds, KINDS.items())})
+    out = out.withColumn(base, F.array_sort(F.concat(*[located(F.col(c), rank, KINDS[kind][2]) for rank, (c, kind) in enumerate(zip(kinds, KINDS))])))
+    for rank, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
+        parts = F.col(kinds[0]) if not rank else matched(F.col(body), pattern, group, HINTS[kind])
+        out = out.withColumn(body, blanked(parts, F.col(body), least))
+    out = out.withColumn(spans, F.array_sort(F.concat(base, entropy_spans(F.col(body)))))
+    return out.drop(body, *kinds), base, spans
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per row the counts of each kind, a digest of the base spans and the list of all spans."""
-    found = scan(docs.select(F.col("doc_id").cast("long"), "text"))
-    count = lambda k: F.size(F.filter("_secret_base", lambda s: s["rank"] == k)).cast("long")
+    found, base, spans = scan(docs.select(F.col("doc_id").cast("long"), "text"))
+    count = lambda k: F.size(F.filter(base, lambda s: s["rank"] == k)).cast("long")
     return found.select(
         "doc_id",
         *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
-        F.sha2(listed(F.col("_secret_base")), 256).alias("base_sha256"),
-        listed(F.col("_secret_spans")).alias("spans"),
+        F.sha2(listed(F.col(base)), 256).alias("base_sha256"),
+        listed(F.col(spans)).alias("spans"),
     )
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every span of the text replaced by the mark; overlapping spans become one."""
-    found = scan(docs)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    return found.withColumn("text", F.when(F.size("_secret_spans") > 0, F.aggregate("_secret_spans", start, step, rest)).otherwise(F.col("text"))).drop("_secret_base", "_secret_spans")
+    """docs with every span of the text replaced by the mark; spans that overlap or touch become one."""
+    found, base, spans = scan(docs)
+    signs, before = free(found, "signs", "before")
+    some = F.size(spans) > 0
+    found = found.withColumn(signs, F.when(some, F.split("text", ""))).withColumn(before, F.when(some, running(F.transform(spans, lambda s: s["end"]), F.greatest)))
+    apart = lambda s, at: F.when((s["start"] > at) | (at == 0), F.concat(F.array_join(F.slice(F.col(signs), at + 1, F.greatest(s["start"] - at, F.lit(0))), ""), F.lit(mark))).otherwise("")
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    rest = F.array_join(F.slice(F.col(signs), last + 1, F.greatest(F.size(signs) - last, F.lit(0))), "")
+    masked = F.concat(F.array_join(F.zip_with(spans, before, apart), ""), rest)
+    return found.withColumn("text", F.when(some, masked).otherwise(F.col("text"))).drop(base, spans, signs, before)
