@@ -3,12 +3,14 @@
 A document is cut into whole sequences first. The rest of length r belongs to the reciprocal class
 k = capacity // r, the largest number of such pieces that share one bin. Where k pieces of that length
 would leave more than a small part of a bin empty, the piece is cut to the next reciprocal capacity
-exactly and what remains is classed again. Each class fills bins of exactly k pieces; a worker fills its
+exactly and what remains is classed again. Short pieces share the classes of 64, 128, 256 and so on to a bin,
+which are at least half full each. Each class fills bins of exactly k pieces; a worker fills its
 own bins without knowing of the others. Only what does not fill a bin in a worker (fewer than k pieces a
 class) meets the leftovers of neighbouring workers; what is left then shares bins by first fit.
 
-Null and empty texts give the end token alone. Repeated rows are packed as they come; pieces of rows
-with equal doc_id differ in their place. An empty table gives an empty result.
+Null and empty texts give the end token alone; texts of any length are cut, and are the only thing of which a
+worker holds one whole. Repeated rows are packed as they come; pieces of rows
+with equal doc_id differ in their place. Further columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from .bpe import Numbering, chunks
 from .common import materialize, ranges, sliced
 
 CAPACITY, END_ID = 4096, 2
-CLASSES = 64  #: lengths up to capacity // CLASSES share the last class
+CLASSES = 64  #: lengths up to capacity // CLASSES are classed by halving: 64, 128, 256, ... to a bin
 WASTE = 0.02  #: the part of a bin that a class may leave empty before a piece is cut
 NEIGHBOURS = 64  #: workers whose leftovers meet
-STORE_WORDS = 600_000
+STORE_WORDS, STORE_CHARS = 200_000, 4_000_000  #: most words and letters that a worker keeps the ids of
+OFTEN = 3  #: how often a word must have been met to be kept beyond that, or beyond a partition
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, sequence_id long, offset long"
 
 #: Latin text whose normal form is itself and whose letters change case one by one; other texts are left to the library whole.
@@ -60,6 +63,11 @@ class WordTokenizer:
     def forget(self) -> None:
         self.words, self.pieces = Store(), Store()
 
+    def thin(self) -> None:
+        """Most words of a corpus are met once; those that recur stay known."""
+        self.words.thin()
+        self.pieces.thin()
+
     def ids_of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many pre-tokens at a time, apart by spaces; the last token of each is marked as a word's end."""
         lines = [" ".join(pieces[i : i + 1000]) for i in range(0, len(pieces), 1000)]
@@ -73,6 +81,7 @@ class WordTokenizer:
     def learn(self, words: list[str]) -> None:
         split = [pretokens(w) for w in words]
         slots = np.fromiter((self.pieces.index[p] for w in split for p in w), np.int64)
+        self.pieces.met(slots)
         if fresh := self.pieces.fresh():
             self.pieces.add(*self.ids_of_pieces(fresh))
         n = self.pieces.len[slots]
@@ -80,8 +89,10 @@ class WordTokenizer:
         self.words.add(self.pieces.take(slots), np.bincount(word, weights=n, minlength=len(words)).astype(np.int64))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words.index) > STORE_WORDS:
-            self.forget()
+        if self.words.full() or self.pieces.full():
+            self.thin()
+            if self.words.full() or self.pieces.full():
+                self.forget()
         number, own = self.words.index.__getitem__, []
         for text in texts:
             if (text.isascii() or PLAIN.fullmatch(text)) and not SEPARATORS.search(text) and not any(s in text for s in self.special):
@@ -89,22 +100,36 @@ class WordTokenizer:
                 own.append(np.fromiter(map(number, words), np.int64, len(words)))
             else:
                 own.append(None)
-        if fresh := self.words.fresh():
+        fresh = self.words.fresh()
+        for slots in own:
+            if slots is not None:
+                self.words.met(slots)
+        if fresh:
             self.learn(fresh)
         return [self.words.take(s) if s is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, np.int64) for s, t in zip(own, texts)]
 
 
 class Store:
-    """Ids of numbered strings in one flat array."""
+    """Ids of numbered strings in one flat array, and how often each was met."""
 
     def __init__(self):
-        self.index = Numbering()
-        self.ids, self.at, self.len = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.index, self.chars = Numbering(), 0
+        self.ids, self.at, self.len, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def full(self) -> bool:
+        return len(self.index) > STORE_WORDS or self.chars > STORE_CHARS
 
     def fresh(self) -> list[str]:
         out, self.index.fresh = self.index.fresh, []
+        self.chars += sum(map(len, out))
         return out
 
+    def met(self, slots: np.ndarray) -> None:
+        if len(slots):
+            if (more := len(self.index) - len(self.count)) > 0:
+                self.count = np.r_[self.count, np.zeros(more, np.int64)]
+            np.add.at(self.count, slots, 1)
+
     def add(self, ids: np.ndarray, n: np.ndarray) -> None:
         self.at = np.r_[self.at, len(self.ids) + np.cumsum(n) - n]
         self.len = np.r_[self.len, n.astype(np.int32)]
@@ -113,6 +138,16 @@ class Store:
     def take(self, slots: np.ndarray) -> np.ndarray:
         return self.ids[ranges(self.at[slots], self.len[slots])]
 
+    def thin(self) -> None:
+        keep = np.flatnonzero(self.count >= OFTEN)
+        own, names = Store(), list(self.index)
+        for i in keep:
+            own.index[names[i]]
+        own.fresh()
+        own.add(self.take(keep), self.len[keep])
+        own.count = self.count[keep] // 2  # what is no longer met goes in time
+        self.__dict__ = own.__dict__
+
 
 def pretokens(word: str) -> list[str]:
     if word.isalpha():
@@ -142,7 +177,9 @@ def cut(n: int, capacity: int = CAPACITY, classes: int = CLASSES, waste: float =
 
 
 def class_of(length: int, capacity: int = CAPACITY, classes: int = CLASSES) -> int:
-    return min(capacity // length, classes)
+    """How many pieces of about this length fill a bin: the reciprocal class, for short ones the power of two times the last class below it."""
+    k = capacity // length
+    return k if k < classes else classes << ((k // classes).bit_length() - 1)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -183,6 +220,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                             open_bins[k] = []
                 if rows:
                     yield record(rows, True)
+        tokens.thin()  # the worker lives on
         left = [p for k in sorted(open_bins) for p in open_bins[k]]
         if left:
             yield record(left, False)
@@ -197,7 +235,7 @@ def settle(key, left: pa.Table, capacity: int) -> pa.Table:
     rooms: list[int] = []
     seq, offset = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
     lengths = left["length"].to_numpy(zero_copy_only=False)
-    kinds = np.minimum(capacity // lengths, CLASSES)
+    kinds = np.array([class_of(int(n), capacity) for n in lengths], np.int64)
     rest = []
     for k in np.unique(kinds):
         own = np.flatnonzero(kinds == k)
