@@ -4,18 +4,24 @@ A vector is coded as a sum of one full-dimensional codeword from each of CODEBOO
 search over the residuals; its own norm and that of the sum are stored. A query's products with all
 codewords form a lookup table, so a candidate's score is a sum of table rows by its codes, scaled by the
 ratio of the stored norms. The SHORTLIST best of each query are scored again on the original vectors, in
-double precision. No vector beyond the list scores more than the list's last guess and the query's norm
-times the largest coding error; a query whose last answer is not above that is scored against all vectors.
+double precision.
+
+A list is too short where many vectors are as near as the code can tell apart, such as near copies. A
+coding error is spread over all directions, so a score is off by about the error over the root of the
+dimension, times the query's norm. Where the last guess of a list is within SURE of these of its last
+answer, the query goes over the codes again, and every candidate whose guess is that near is reranked,
+however many there are. Nothing else is scored: neither pass leaves the codes out.
 
 The books are fitted on at most SAMPLE vectors (those with the smallest hash of their id), by residual
 k-means and rounds of encoding and least squares; every vector is coded. Queries and candidates meet
-block by block; a block of candidates holds codes and norms only. A block's shortlist of a query is cut
-again where blocks come together, on the map side first.
-
-Vectors that are null, empty or zero, hold null or non-finite parts or another dimension than most of the
-sample take no part, nor do rows without an id. Equal vectors are one candidate, which stands for the
-smallest of its ids; ties go to the smaller id. Rows with the query's id are not its candidates. With fewer candidates than asked for all are
-returned. An empty table gives an empty result.
+block by block, so n vectors are moved n / (QUERY_EVERY * QUERY_BLOCK) times as codes, and the work is that of
+the stated queries against all codes, n * n / QUERY_EVERY.
+
+Equal vectors are coded, listed and asked for once; each row then gets its own answer. Every row is a
+candidate but the query's own row: rows that repeat a query's id are candidates like any other. Ties go to the
+smaller id. Vectors that are null, empty or zero, hold null or non-finite parts or another dimension than
+most of the sample take no part, nor do rows without an id. With fewer candidates than asked for all are
+returned. An empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +37,9 @@ from .common import materialize
 CODEBOOKS, WORDS, BEAM = 16, 256, 4
 SAMPLE, ROUNDS = 12_000, 2
 SHORTLIST, TOP = 400, 20
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 65_536
+SURE = 1.0  #: how many typical errors of a score an answer must be away from what the list leaves out
+QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 65_536
 QUERY_EVERY = 20
-EXACT_QUERIES, EXACT_PARTS = 4096, 4_000_000  #: queries of an exact block, and parts of its vectors
 
 
 def usable(vector: Column) -> Column:
@@ -103,151 +109,156 @@ def fit_books(x: np.ndarray, seed: int = 7) -> np.ndarray:
     return books
 
 
+def element(vectors: DataFrame) -> str:
+    """The type of a vector's parts."""
+    return "double" if vectors.schema["embedding"].dataType.elementType.typeName() == "double" else "float"
+
+
+def digests(column: pa.Array, dim: int) -> pa.Array:
+    x = vectors_of(column, dim, np.float64) + 0.0  # one zero
+    return pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v in x], pa.binary())
+
+
 def named(rows: DataFrame, dim: int) -> DataFrame:
-    """The rows with a digest of their vector."""
+    """The rows with a digest of their vector and a number of their own."""
 
     def run(batches):
         for batch in batches:
-            x = vectors_of(batch.column("embedding"), dim) + np.float32(0)  # one zero
-            names = [xxhash.xxh3_128_digest(v.tobytes()) for v in x]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(names, pa.binary()), batch.column("embedding"), batch.column("is_query")], names=["vec_id", "name", "embedding", "is_query"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests(batch.column("embedding"), dim)], names=[*batch.schema.names, "name"])
 
-    return rows.select("vec_id", "embedding", "is_query").mapInArrow(run, "vec_id long, name binary, embedding array<float>, is_query boolean")
+    kept = rows.select("vec_id", "embedding", "is_query", F.monotonically_increasing_id().alias("row"))
+    return kept.mapInArrow(run, f"vec_id long, embedding array<{element(rows)}>, is_query boolean, row long, name binary")
 
 
-def smallest_ids(rows: DataFrame, keep: int) -> DataFrame:
-    """For each distinct vector its smallest ids, cut on the map side first."""
-    own = rows.select("name", "vec_id")
-    low = Window.partitionBy("name").orderBy("vec_id")
-    cut = own.withColumn("place", F.dense_rank().over(low)).filter(F.col("place") <= keep)  # an id may be repeated
-    return cut.groupBy("name").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
+    """One node for each vector, called by the number of its first row; held are its first rows by id, cut on the map side first."""
+    order = Window.partitionBy("name").orderBy("vec_id", "row")
+    first = rows.select("name", "vec_id", "row").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
+    held = first.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("vec_id", "row"))).alias("held"))
+    whole = rows.groupBy("name").agg(F.first("embedding").alias("embedding"), F.max("is_query").alias("asks"))
+    return whole.join(held, "name").select("name", F.element_at("held", 1)["row"].alias("node"), F.element_at("held", 1)["vec_id"].alias("low"), "held", "asks", "embedding")
 
 
-def nearest_of_block(queries: pa.Table, nodes: pa.Table, dim: int, top: int) -> pa.Table:
-    """For each query of a block the best ids of a block of distinct vectors, by exact scores. Ties at the cut go to the smaller id."""
-    q, x = (vectors_of(t.column("embedding"), dim, np.float64) for t in (queries, nodes))
-    ids = nodes.column("ids").combine_chunks()
-    count = np.diff(ids.offsets.to_numpy())
-    flat, owner = ids.flatten().to_numpy(), np.repeat(np.arange(len(x)), count)
-    q_ids = queries.column("query_id").to_numpy()
-    out = []
-    for a in range(0, len(q), 256):
-        guess = q[a : a + 256] @ x.T
-        for k, row in enumerate(guess):
-            n = min(top + 1, len(row))  # one of them may hold nothing but the query's own id
-            least = np.partition(row, len(row) - n)[len(row) - n]
-            near = row >= least - 1e-9 * max(1.0, abs(least))
-            mine = np.flatnonzero(near[owner] & (flat != q_ids[a + k]))
-            score = np.zeros(len(row))
-            score[near] = (x[near] * q[a + k]).sum(axis=1)
-            best = mine[np.lexsort((flat[mine], -score[owner[mine]]))[:top]]
-            out.append((np.full(len(best), q_ids[a + k]), flat[best], score[owner[best]]))
-    parts = [np.concatenate(p) for p in zip(*out)]
-    return pa.table([pa.array(p) for p in parts], names=["query_id", "vec_id", "score"])
-
-
-def shortlist(queries: pa.Table, codes: pa.Table, books: np.ndarray, keep: int) -> pa.Table:
+class Block:
+    """The codes of a block of candidates, and the guesses of queries for them."""
+
+    def __init__(self, table: pa.Table, books: np.ndarray):
+        self.books = books
+        self.codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(-1, len(books))
+        self.scale = table.column("scale").to_numpy().astype(np.float32)
+
+    def guesses(self, q: np.ndarray) -> np.ndarray:
+        tables = np.ascontiguousarray(self.books @ q.T)  # book, word, query
+        out = np.empty((len(self.codes), len(q)), np.float32)
+        for b in range(0, len(out), 8192):
+            own = self.codes[b : b + 8192]
+            total = tables[0][own[:, 0]]
+            for m in range(1, len(self.books)):
+                total += tables[m][own[:, m]]
+            out[b : b + 8192] = total * self.scale[b : b + 8192, None]
+        return np.ascontiguousarray(out.T)
+
+
+def shortlist(queries: pa.Table, index: pa.Table, books: np.ndarray, keep: int) -> pa.Table:
     """For each query of a block the best candidates of a block by lookup tables."""
-    dim = books.shape[2]
-    ids = codes.column("vec_id").to_numpy()
-    alone = codes.column("copies").to_numpy() == 1
-    own = np.frombuffer(b"".join(codes.column("codes").to_pylist()), np.uint8).reshape(-1, len(books))
-    scale = codes.column("scale").to_numpy().astype(np.float32)
-    q_ids = queries.column("query_id").to_numpy()
-    q = vectors_of(queries.column("embedding"), dim)
-    out_ids, out_scores = [], []
+    names, block = index.column("node").to_numpy(), Block(index, books)
+    q = vectors_of(queries.column("embedding"), books.shape[2])
+    nodes, guesses = [], []
+    n = min(keep, len(names))
+    for a in range(0, len(q), 256):
+        for row in block.guesses(q[a : a + 256]):
+            best = np.argpartition(-row, n - 1)[:n] if n < len(row) else np.arange(n)
+            nodes.append(names[best])
+            guesses.append(row[best].astype(np.float64))
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * n), pa.array(np.concatenate(v) if v else np.zeros(0))) for v in (nodes, guesses)]
+    return pa.table([queries.column("query"), *lists], names=["query", "nodes", "guesses"])
+
+
+def near_enough(queries: pa.Table, index: pa.Table, books: np.ndarray, keep: int) -> pa.Table:
+    """For each query of a block the best of those candidates of a block whose guess reaches the query's own least one, by exact scores."""
+    names, low, block = index.column("node").to_numpy(), index.column("low").to_numpy(), Block(index, books)
+    x, q = (vectors_of(t.column("embedding"), books.shape[2], np.float64) for t in (index, queries))
+    asked, least = (queries.column(c).to_numpy() for c in ("query", "least"))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for a in range(0, len(q), 256):
-        part = q[a : a + 256]
-        tables = np.ascontiguousarray(books @ part.T)  # book, word, query
-        score = np.empty((len(ids), len(part)), np.float32)
-        for b in range(0, len(ids), 8192):
-            block = own[b : b + 8192]
-            total = tables[0][block[:, 0]]
-            for m in range(1, len(books)):
-                total += tables[m][block[:, m]]
-            score[b : b + 8192] = total * scale[b : b + 8192, None]
-        score[alone[:, None] & (ids[:, None] == q_ids[None, a : a + 256])] = -np.inf
-        score = np.ascontiguousarray(score.T)
-        n = min(keep, len(ids))
-        best = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
-        for row, own_best in zip(score, best):
-            own_best = own_best[np.isfinite(row[own_best])]
-            out_ids.append(ids[own_best])
-            out_scores.append(row[own_best].astype(np.float64))
-    kinds = [pa.list_(pa.int64()), pa.list_(pa.float64())]
-    return pa.table([pa.array(q_ids), pa.array([x.tolist() for x in out_ids], kinds[0]), pa.array([x.tolist() for x in out_scores], kinds[1])], names=["query_id", "ids", "scores"])
+        for k, row in enumerate(block.guesses(q[a : a + 256].astype(np.float32)), a):
+            near = np.flatnonzero(row >= least[k])
+            score = (x[near] * q[k]).sum(axis=1)
+            best = np.lexsort((low[near], -score))[:keep]
+            out.append((np.full(len(best), asked[k]), names[near[best]], score[best]))
+    return pa.table([pa.array(np.concatenate(p)) for p in zip(*out)], names=["query", "node", "score"])
 
 
 def search(vectors: DataFrame, is_query: Column | None = None, top: int = TOP, keep: int = SHORTLIST) -> DataFrame:
     """The nearest rows of every query row: query_id, rank, vec_id, score."""
     is_query = F.col("vec_id") % QUERY_EVERY == 0 if is_query is None else is_query
-    schema = "query_id long, rank int, vec_id long, score double"
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long"), "embedding", is_query.alias("is_query")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    spark, keep, most = vectors.sparkSession, max(keep, top + 1), top + 1
+    rows = vectors.select(F.col("vec_id").cast("long"), "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     sample = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     if not len(sample):
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = np.array([len(v) for v in sample.column("embedding")])
     dim = int(np.bincount(lengths).argmax())
     sample = sample.filter(pa.array(lengths == dim))
     books = spark.sparkContext.broadcast(fit_books(vectors_of(sample.column("embedding"), dim)))  # CODEBOOKS * WORDS vectors
+    kind = f"array<{element(vectors)}>"
 
     def encode(batches):
         for batch in batches:
             x = vectors_of(batch.column("embedding"), dim)
             for a in range(0, len(x), 2000):
                 codes = beam_encode(x[a : a + 2000], books.value)
-                norm = np.linalg.norm(decode(codes, books.value), axis=1)
-                scale = np.linalg.norm(x[a : a + 2000].astype(np.float64), axis=1) / np.maximum(norm, 1e-12)
-                error = np.linalg.norm(x[a : a + 2000] - decode(codes, books.value) * scale[:, None], axis=1)
-                own = [batch.column(c).slice(a, len(codes)) for c in ("vec_id", "copies")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(error)], names=["vec_id", "copies", "codes", "scale", "error"])
+                near = decode(codes, books.value)
+                scale = np.linalg.norm(x[a : a + 2000].astype(np.float64), axis=1) / np.maximum(np.linalg.norm(near, axis=1), 1e-12)
+                error = np.linalg.norm(x[a : a + 2000] - near * scale[:, None], axis=1)
+                own = batch.slice(a, len(codes))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(error)], names=[*own.schema.names, "codes", "scale", "error"])
 
     rows = materialize(named(rows.filter(F.size("embedding") == dim), dim), "named")
-    # distinct vectors, called by their smallest id; a vector answers for at most top ids besides the query's own
-    whole = rows.groupBy("name").agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies"))
-    nodes = materialize(whole.join(smallest_ids(rows, top + 1), "name").select(F.element_at("ids", 1).alias("vec_id"), "ids", "copies", "embedding"), "nodes")
-    index = materialize(nodes.select("vec_id", "copies", "embedding").mapInArrow(encode, "vec_id long, copies long, codes binary, scale double, error double"), "index")
-    queries = rows.filter("is_query").select(F.col("vec_id").alias("query_id"), "embedding")
-    n_query, n_all = queries.count(), index.count()
-    across, down = max(1, -(-n_query // QUERY_BLOCK)), max(1, -(-n_all // CANDIDATE_BLOCK))
+    nodes = materialize(distinct_vectors(rows, most), "nodes")
+    index = materialize(nodes.select("node", "low", "embedding").mapInArrow(encode, f"node long, low long, embedding {kind}, codes binary, scale double, error double"), "index")
+    asked = nodes.filter("asks").select(F.col("node").alias("query"), "embedding")
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("query_id", "embedding", deal("query_id", across).alias("x"), every(down).alias("y"))
-    right = index.select("vec_id", "copies", "codes", "scale", deal("vec_id", down).alias("y"), every(across).alias("x"))
-    near = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(lambda q, c: shortlist(q, c, books.value, keep), "query_id long, ids array<long>, scores array<double>")
-    near = near.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("c")).select("query_id", F.col("c.ids").alias("vec_id"), F.col("c.scores").alias("guess"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id")
-    near = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep).select("query_id", "vec_id", "guess")
+    n_all = index.count()
+
+    def met(queries: DataFrame, candidates: list[str], do, schema: str) -> DataFrame:
+        """Every block of queries with every block of candidates."""
+        across, down = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-n_all // CANDIDATE_BLOCK))
+        left = queries.select("*", deal("query", across).alias("x"), every(down).alias("y"))
+        right = index.select("node", *candidates, deal("node", down).alias("y"), every(across).alias("x"))
+        return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(do, schema)
 
     def exact(batches):
         for batch in batches:
             a, b = vectors_of(batch.column("own"), dim, np.float64), vectors_of(batch.column("embedding"), dim, np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), batch.column("guess"), pa.array((a * b).sum(axis=1))], names=["query_id", "ids", "guess", "score"])
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pairs = near.join(nodes.select("vec_id", "ids", "embedding"), "vec_id").join(queries.withColumnRenamed("embedding", "own"), "query_id")
-    scored = materialize(pairs.select("query_id", "ids", "guess", "own", "embedding").mapInArrow(exact, "query_id long, ids array<long>, guess double, score double"), "scored")
-    opened = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("query_id <> vec_id")
-    first = opened.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
-    if n_all <= keep:
-        return first
-    first = materialize(first, "first")
-
-    # the largest score that a vector beyond a query's list can have; double room for rounding
-    error = index.agg(F.max("error")).first()[0]
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    last = first.filter(F.col("rank") == top).select("query_id", F.col("score").alias("last"))
-    beyond = scored.groupBy("query_id").agg(F.min("guess").alias("guess"))
-    proven = queries.select("query_id", norm.alias("norm")).join(last, "query_id").join(beyond, "query_id")
-    proven = materialize(proven.filter(F.col("last") > F.col("guess") + F.col("norm") * F.lit(error * 1.001) + F.lit(1e-5) * F.abs("guess")).select("query_id").distinct(), "proven")
-    unproven = queries.join(proven, "query_id", "left_anti")
-    n_left = unproven.count()
-    if not n_left:
-        return first
-    across, down = max(1, -(-n_left // EXACT_QUERIES)), max(1, -(-n_all * dim // EXACT_PARTS))
-    left = unproven.select("query_id", "embedding", deal("query_id", across).alias("x"), every(down).alias("y"))
-    right = nodes.select("ids", "embedding", deal("vec_id", down).alias("y"), every(across).alias("x"))
-    second = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(lambda q, c: nearest_of_block(q, c, dim, top), "query_id long, vec_id long, score double")
-    second = second.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
-    return first.join(proven, "query_id").select("query_id", "rank", "vec_id", "score").unionByName(second)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query", "node", "guess")), pa.array((a * b).sum(axis=1))], names=["query", "node", "guess", "score"])
+
+    def best(scored: DataFrame) -> DataFrame:
+        """The first rows of each query's best nodes as one array, and the score of the last of them."""
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "low")
+        kept = scored.join(nodes.select("node", "low", "held"), "node").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+        opened = kept.select("query", F.explode("held").alias("h"), (-F.col("score")).alias("far")).select("query", F.struct("far", "h.vec_id", "h.row").alias("e"))
+        return opened.groupBy("query").agg(F.slice(F.sort_array(F.collect_list("e")), 1, most).alias("found")).withColumn("last", -F.element_at("found", -1)["far"])
+
+    near = met(asked, ["codes", "scale"], lambda q, c: shortlist(q, c, books.value, keep), "query long, nodes array<long>, guesses array<double>")
+    near = near.select("query", F.explode(F.arrays_zip("nodes", "guesses")).alias("c")).select("query", F.col("c.nodes").alias("node"), F.col("c.guesses").alias("guess"))
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("guess"), "node"))).filter(F.col("place") <= keep)
+    pairs = near.join(nodes.select("node", "embedding"), "node").join(asked.withColumnRenamed("embedding", "own"), "query")
+    scored = materialize(pairs.select("query", "node", "guess", "own", "embedding").mapInArrow(exact, "query long, node long, guess double, score double"), "scored")
+    answers = materialize(best(scored.select("query", "node", "score")), "answers")
+
+    if n_all > keep:
+        error = index.agg(F.percentile_approx("error", 0.99)).first()[0] / float(np.sqrt(dim))
+        norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+        ends = answers.join(scored.groupBy("query").agg(F.min("guess").alias("guess")), "query").join(asked, "query")
+        short = materialize(ends.withColumn("least", F.col("last") - norm * F.lit(SURE * error)).filter("guess >= least").select("query", "embedding", "least"), "short")
+        if not short.isEmpty():
+            again = met(short, ["low", "embedding", "codes", "scale"], lambda q, c: near_enough(q, c, books.value, most), "query long, node long, score double")
+            answers = answers.join(short, "query", "left_anti").unionByName(best(again))
+
+    # each row takes the answer of its vector, less itself
+    given = answers.join(nodes.select(F.col("node").alias("query"), "name"), "query").select("name", "found")
+    own = rows.filter("is_query").select(F.col("vec_id").alias("query_id"), "row", "name").join(given, "name")
+    listed = own.select("query_id", F.posexplode(F.slice(F.filter("found", lambda e: e["row"] != F.col("row")), 1, top)).alias("at", "e"))
+    return listed.select("query_id", (F.col("at") + 1).alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.far")).alias("score"))
