@@ -1,29 +1,30 @@
 """Operator 10: exact n-gram Jaccard join by a blocked sparse product of the document by n-gram incidence.
 
 Rows with the same set of n-grams are one class. Over the classes, the product of the incidence matrix
-with its transpose is formed column block by column block, where a column is an n-gram and its entries
-the classes that hold it. Columns are ordered from rare to frequent (a corpus count); two sets of at
-least the threshold share one of each one's first n - ceil(t * n) + 1 columns, so only those entries
-enter, and a column of one entry is left out. Bounds from the sizes discard a pair before it is verified:
-the smaller set has at least t times the larger, and what can still overlap after the shared column must
-reach t / (1 + t) of both sizes.
+with its transpose is formed block by block: the entries of a block of classes meet those of another column by column,
+a column being an n-gram, and what they share is added up slice by slice of the columns. A pair is kept if
+its sum reaches the threshold.
+
+Bounds from the sizes keep most pairs out of the product. The smaller set has at least t times the larger.
+With columns ordered from rare to frequent (a corpus count), two sets that are alike share one of each one's
+first n - ceil(t * n) + 1 columns, so the product of those entries alone is formed first, its counts are
+added up, and a pair goes on only if its count and the rest of its longer set can reach t / (1 + t) of both sizes.
 
 Only which classes hang together is asked for, so no column emits its pairs. First each column links its
-entries to its most typical class (overlaps of those pairs are accumulated exactly and verified), and the
-components of these links are found. Then the columns whose entries lie in several components are
-multiplied in blocks of entries, for the pairs across components alone. No link is lost: every pair of
-a column is in one component or is verified.
+entries to its most typical class, and the components of the links that hold are found. Then the columns whose
+entries lie in several components are multiplied in blocks of entries, for the pairs across components
+alone. No link is lost: every pair of a column is in one component or is counted.
 
+N-grams are 64 bits of hash, which two sets compare only with each other; classes are named by 128 bits.
 Nulls and texts without words have no set and link with nothing. Fewer words than an n-gram form one.
-Repeated rows, also of one doc_id, are in one class. Row order and ties don't matter. An empty table
-gives an empty result.
+Repeated rows, also of one doc_id, are in one class; so are texts of any length, which are read whole. Row
+order and ties don't matter. An empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +32,18 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, mix64, ranges, text_parts
 from .components import components
 from .lm import read_tokens
-from .tallies import BLOBS, KEY_BITS, TOTALS, add_up, answered, blobs, from_planes, planes
+from .tallies import BLOBS, TOTALS, add_up, answered, bits_for, blobs, from_planes, planes
 
 WORDS, PERCENT = 5, 80
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 BLOCK = 1024  #: entries of a long column that meet in one task
+SLICE = 1 << 20  #: products of entries that are added up at a time
 
 
 def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct 64-bit n-gram hashes of every text."""
-    flat, n, hashes = read_tokens(texts, bits=64)
-    own = hashes[flat] if len(flat) else np.zeros(0, np.uint64)
+    flat, n, hashes = read_tokens(texts)
+    own = hashes[:, 0][flat]
     grams = own.copy()
     with np.errstate(over="ignore"):
         for k in range(1, words):
@@ -72,20 +74,20 @@ def distinct_sets(texts: list[str]) -> tuple[list[np.ndarray], list[bytes | None
     return sets, own, list(seen.values())
 
 
-def short(keys: np.ndarray) -> np.ndarray:
-    return keys >> np.uint64(64 - KEY_BITS)
+def short(keys: np.ndarray, bits: int) -> np.ndarray:
+    return keys >> np.uint64(64 - bits)
 
 
-def count_columns(rows: pa.Table, shards: int) -> pa.Table:
+def count_columns(rows: pa.Table, shards: int, bits: int) -> pa.Table:
     sets, _, first = distinct_sets(rows.column("text").to_pylist())
-    keys = np.concatenate([short(sets[i]) for i in first] or [np.zeros(0, np.uint64)])
-    return blobs(rows.column("bucket")[0].as_py(), [np.unique(keys, return_counts=True)], shards)
+    keys = np.concatenate([short(sets[i], bits) for i in first] or [np.zeros(0, np.uint64)])
+    return blobs(rows.column("bucket")[0].as_py(), [(*np.unique(keys, return_counts=True), None, bits)], shards)
 
 
-def entries(rows: pa.Table, answers: pa.Table, percent: int) -> pa.Table:
+def entries(rows: pa.Table, answers: pa.Table, percent: int, bits: int) -> pa.Table:
     """Per row its set's size and name; once per name, the entries of its first columns and, if any, the set itself."""
     sets, own, first = distinct_sets(rows.column("text").to_pylist())
-    _, column = np.unique(np.concatenate([short(sets[i]) for i in first] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    _, column = np.unique(np.concatenate([short(sets[i], bits) for i in first] or [np.zeros(0, np.uint64)]), return_inverse=True)
     (total,) = answered(answers, 1)
     often = total[column]
     held: dict[int, tuple] = {}
@@ -100,50 +102,78 @@ def entries(rows: pa.Table, answers: pa.Table, percent: int) -> pa.Table:
             continue
         take = np.lexsort((s, df))[:reach]
         shared = np.flatnonzero(df[take] > 1)
-        held[i] = (planes(s[take[shared]]), planes(shared), float(df[take[shared]].sum()) / n, planes(np.diff(s, prepend=np.uint64(0))))
-    cols = list(zip(*[held.get(i, (None, None, None, None)) for i in range(len(sets))])) or [[], [], [], []]
+        held[i] = (planes(s[take[shared]]), float(df[take[shared]].sum()) / n, planes(np.diff(s, prepend=np.uint64(0))))
+    cols = list(zip(*[held.get(i, (None, None, None)) for i in range(len(sets))])) or [[], [], []]
     return pa.table(
-        [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.binary()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.binary())],
-        names=["doc_id", "n_shingles", "name", "columns", "places", "typical", "members"],
+        [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.binary()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.binary())],
+        names=["doc_id", "n_shingles", "name", "columns", "typical", "members"],
     )
 
 
-ENTRIES = "doc_id long, n_shingles long, name binary, columns binary, places binary, typical double, members binary"
-POSTINGS = "gram long, name binary, n long, place long, typical double"
+ENTRIES = "doc_id long, n_shingles long, name binary, columns binary, typical double, members binary"
+POSTINGS = "gram long, name binary, n long, typical double"
 
 
 def postings(batches):
     for batch in batches:
-        grams = [from_planes(x).view(np.int64) for x in batch.column("columns").to_pylist()]
-        places = [from_planes(x).astype(np.int64) for x in batch.column("places").to_pylist()]
-        which = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        take = pa.array(which, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)), batch.column("name").take(take), batch.column("n").take(take), pa.array(np.concatenate(places) if places else np.zeros(0, np.int64)), batch.column("typical").take(take)],
-            names=["gram", "name", "n", "place", "typical"],
-        )
-
-
-def verify(batches, percent: int):
-    """Keeps the pairs whose accumulated overlap reaches the threshold."""
-    for batch in batches:
-        a, b = ([np.cumsum(from_planes(x), dtype=np.uint64) for x in batch.column(c).to_pylist()] for c in ("of_a", "of_b"))
-        keep = []
-        for x, y in zip(a, b):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        grams = [from_planes(x.as_buffer()).view(np.int64) for x in batch.column("columns")]
+        take = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)), *(batch.column(c).take(take) for c in ("name", "n", "typical"))], names=["gram", "name", "n", "typical"])
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """What the sets of two blocks share, for the wanted pairs (sorted, place in right * len(left) + place in left).
+
+    The entries of left are ordered by column; each entry of right multiplies those of its column, and the products are added up by pair, some columns at a time."""
+    out = np.zeros(len(pairs), np.int64)
+    column = np.concatenate(left)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], np.repeat(np.arange(len(left)), [len(s) for s in left])[order]
+    other, own = np.concatenate(right), np.repeat(np.arange(len(right)), [len(s) for s in right])
+    lo, hi = np.searchsorted(column, other), np.searchsorted(column, other, "right")
+    met = np.flatnonzero(hi > lo)
+    met = met[np.argsort(other[met], kind="stable")]
+    lo, n = lo[met], (hi - lo)[met]
+    cut = np.r_[np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()), SLICE)), len(n)]
+    for a, b in zip(cut[:-1], cut[1:]):
+        code = np.repeat(own[met[a:b]] * len(left), n[a:b]) + row[ranges(lo[a:b], n[a:b])]
+        slot = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
+        out += np.bincount(slot[pairs[slot] == code], minlength=len(pairs))
+    return out
+
+
+def multiply(sets: pa.Table, pairs: pa.Table, percent: int) -> pa.Table:
+    """The pairs of a block whose added up overlap reaches the threshold."""
+    place = {name: i for i, name in enumerate(sets.column("name").to_pylist())}
+    held = [np.cumsum(from_planes(x.as_buffer()), dtype=np.uint64) for x in sets.column("members")]
+    a, b = (np.array([place[x] for x in pairs.column(c).to_pylist()], np.int64) for c in ("a", "b"))
+    if not len(a):
+        return pairs.select(["a", "b"])
+    (rows, x), (columns, y) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+    code, first = np.unique(y * len(rows) + x, return_index=True)
+    both = overlaps([held[i] for i in rows], [held[i] for i in columns], code)
+    size = np.array([len(s) for s in held])
+    keep = 100 * both >= percent * (size[a[first]] + size[b[first]] - both)
+    return pairs.select(["a", "b"]).take(pa.array(first[keep]))
 
 
 def across(rows: pa.Table, percent: int) -> pa.Table:
-    """Of columns, or blocks of long ones, the pairs that lie in different components and pass the bounds of sizes and places."""
+    """Of some columns, or blocks of long ones: the pairs of different components and of fitting sizes, how many of these columns they share, and how many of all first columns they must share."""
     rows = rows.sort_by([("gram", "ascending"), ("x", "ascending"), ("y", "ascending"), ("side", "ascending")])
     part = np.stack([rows.column(c).to_numpy() for c in ("gram", "x", "y")])
-    n, place, side = (rows.column(c).to_numpy() for c in ("n", "place", "side"))
-    _, root = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
+    n, side = (rows.column(c).to_numpy() for c in ("n", "side"))
+    root, name = (np.unique(np.array(rows.column(c).to_pylist(), object), return_inverse=True) for c in ("root", "name"))
+    root, (names, name) = root[1], name
     begins = np.flatnonzero(np.r_[True, (part[:, 1:] != part[:, :-1]).any(axis=0)])
     ends = np.r_[begins[1:], len(n)]
-    found = []
+    codes, shared = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    fresh, waiting = [], 0
+
+    def add(codes, shared):
+        every = np.concatenate([codes, *fresh])
+        codes, which = np.unique(every, return_inverse=True)
+        return codes, np.bincount(which, weights=np.r_[shared, np.ones(len(every) - len(shared))]).astype(np.int64)
+
     for first, last in zip(begins, ends):
         if side[first] == side[last - 1]:  # one block with itself; half of a pair of blocks alone has none
             if part[1, first] != part[2, first]:
@@ -153,56 +183,71 @@ def across(rows: pa.Table, percent: int) -> pa.Table:
             middle = first + int(np.count_nonzero(side[first:last] == 0))
             left, right = slice(first, middle), slice(middle, last)
         n1, n2 = n[left][:, None], n[right][None]
-        need = -(-percent * (n1 + n2) // (100 + percent))
         ok = (root[left][:, None] != root[right][None]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
-        ok &= np.minimum(n1 - place[left][:, None], n2 - place[right][None]) >= need
         i, j = np.nonzero(np.triu(ok, 1) if left == right else ok)
         if len(i):
-            found.append(np.stack([i + left.start, j + right.start]))
-    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    return pa.table([rows.column("name").take(pa.array(pairs[0])), rows.column("name").take(pa.array(pairs[1]))], names=["a", "b"])
+            i, j = name[left][i], name[right][j]
+            fresh.append(np.minimum(i, j) * len(names) + np.maximum(i, j))
+            waiting += len(i)
+            if waiting > SLICE:
+                codes, shared = add(codes, shared)
+                fresh, waiting = [], 0
+    codes, shared = add(codes, shared)
+    a, b = codes // max(len(names), 1), codes % max(len(names), 1)
+    size = np.zeros(len(names), np.int64)
+    size[name] = n
+    n1, n2 = size[a], size[b]
+    # what two sets share lies in the first columns of both, or in the rest of the one whose first columns end earlier
+    least = -(-percent * (n1 + n2) // (100 + percent)) - (-(-percent * np.maximum(n1, n2) // 100) - 1)
+    names = pa.array(names.tolist(), pa.binary())
+    return pa.table([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(shared), pa.array(least)], names=["a", "b", "shared", "least"])
 
 
 def join(docs: DataFrame, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest doc_id reachable by links of at least percent."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = text_parts(docs, bucket_bytes)
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)))
-    counted = dealt.groupBy("bucket").applyInArrow(lambda rows: count_columns(rows, buckets), BLOBS)
+    bits = bits_for(buckets * bucket_bytes // 4)
+    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
+    counted = dealt.groupBy("bucket").applyInArrow(lambda rows: count_columns(rows, buckets, bits), BLOBS)
     totals = counted.groupBy("shard").applyInArrow(add_up, TOTALS)  # in one job with what follows: the texts are dealt once
     answers = totals.filter("bucket >= 0").select("bucket", "shard", "level", "counts")
-    rows = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda r, found: entries(r, found, percent), ENTRIES)
+    rows = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda r, found: entries(r, found, percent, bits), ENTRIES)
     rows = materialize(rows, "entries")
 
     # one row for each class that has shared columns
-    held = rows.filter(F.col("columns").isNotNull()).select("name", F.col("n_shingles").alias("n"), "columns", "places", "typical", "members")
+    held = rows.filter(F.col("columns").isNotNull()).select("name", F.col("n_shingles").alias("n"), "columns", "typical", "members")
     classes = held.dropDuplicates(["name"])
-    posted = materialize(classes.select("name", "n", "columns", "places", "typical").mapInArrow(postings, POSTINGS), "postings")
+    posted = materialize(classes.select("name", "n", "columns", "typical").mapInArrow(postings, POSTINGS), "postings")
     members = materialize(classes.select("name", "members"), "members")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = members.select(F.col("name").alias("a"), F.col("members").alias("of_a"))
-        b = members.select(F.col("name").alias("b"), F.col("members").alias("of_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(lambda x: verify(x, percent), "a binary, b binary")
+    def linked(pairs: DataFrame, salts: int) -> DataFrame:
+        """A block has the pairs of some classes b (a part of them, by a); a set stands once in each block that asks for it."""
+        block = F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.lit(salts))), F.lit(4 * buckets)).alias("block")
+        placed = pairs.select("a", "b", block)
+        asked = placed.select("block", F.col("a").alias("name")).union(placed.select("block", "b")).distinct()
+        sets = asked.join(members, "name").select(F.col("block").alias("into"), "name", "members")
+        return sets.groupBy("into").cogroup(placed.groupBy("block")).applyInArrow(lambda own, of: multiply(own, of, percent), "a binary, b binary")
 
     centre = posted.groupBy("gram").agg(F.max(F.struct("typical", "n", "name")).alias("c"), F.count("*").alias("k")).filter("k > 1")
     star = posted.join(centre.select("gram", "c"), "gram").filter(F.col("name") != F.col("c.name"))
     star = star.filter(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")).select(F.col("c.name").alias("a"), F.col("name").alias("b"))
-    links = materialize(verified(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
+    links = materialize(linked(star.distinct(), 1), "links")
     found = components(links)
 
-    labelled = posted.join(found, posted.name == found.node, "left").select("gram", "name", "n", "place", F.coalesce("root", "name").alias("root"))
+    labelled = posted.join(found, posted.name == found.node, "left").select("gram", "name", "n", F.coalesce("root", "name").alias("root"))
     labelled = materialize(labelled, "labelled")
     split = labelled.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).filter("low <> high")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     mixed = labelled.join(split.select("gram", blocks.alias("blocks")), "gram").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = mixed.select("gram", "name", "n", "place", "root", "own", pair)
-    met = met.select("gram", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "name", "n", "place", "root")
+    met = mixed.select("gram", "name", "n", "root", "own", pair)
+    met = met.select("gram", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "name", "n", "root")
     # many short columns to a task; the blocks of a long one to several
     task = F.pmod(F.xxhash64("gram", "x", "y"), F.lit(4 * buckets)).alias("task")
-    pairs = met.groupBy(task).applyInArrow(lambda r: across(r, percent), "a binary, b binary")
-    more = materialize(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
+    pairs = met.groupBy(task).applyInArrow(lambda r: across(r, percent), "a binary, b binary, shared long, least long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least")
+    more = materialize(linked(pairs.select("a", "b"), 16), "links")
     if not more.isEmpty():
         found = components(links.union(more))
 

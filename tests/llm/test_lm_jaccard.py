@@ -12,7 +12,7 @@ from quizloom.llm import jaccard, lm
 from quizloom.llm.components import components
 
 
-def plain_lm(texts, held, order, w):
+def plain_lm(texts, held, order, strength):
     counts = [Counter() for _ in range(order + 1)]
     for t, h in zip(texts, held):
         if not h:
@@ -31,20 +31,26 @@ def plain_lm(texts, held, order, w):
             known += counts[1][(tokens[i],)] > 0
             for k in range(2, order + 1):
                 c = context(tuple(tokens[i - k + 1 : i]))
-                if c:
-                    p = w * counts[k][tuple(tokens[i - k + 1 : i + 1])] / c + (1 - w) * p
+                p = (counts[k][tuple(tokens[i - k + 1 : i + 1])] + strength * p) / (c + strength)
             score += math.log10(p)
         yield len(tokens) - order + 1, known, n, base, score
 
 
-def last_weight(training, order, tokens, w):
-    """The engine's log weight of the last token after the others; None is the end."""
-    text = " ".join(t for t in tokens if t)
-    keys, _ = lm.ngram_keys(training, order)
-    own, _ = lm.ngram_keys([text], order)
-    tables = [np.array([np.count_nonzero(k == d) for d in np.unique(o)], float) for k, o in zip(keys, own)]
-    _, _, _, weight = lm.walk([text], tables, len(keys[0]), len(np.unique(keys[0])), order, w)
-    return weight[len(tokens) - 1]
+def machine_for(training, order, text, strength=2.0, bits=56):
+    """The automaton that one text can reach, and the text's n-grams."""
+    all_keys, own = lm.Grams(training, order, bits).levels, lm.Grams([text], order, bits)
+    tables = []
+    for (keys, which, *_), (mine, *_) in zip(all_keys, own.levels):
+        count = dict(zip(keys.tolist(), np.bincount(which, minlength=len(keys))))
+        tables.append(np.array([count.get(k, 0) for k in mine.tolist()], float))
+    n, v = len(lm.Grams(training, 1).tokens), len(all_keys[0][0])
+    return lm.Automaton(own, tables, n, v, strength), own
+
+
+def last_weight(training, order, tokens):
+    """The log weight of the last token after the others; None is the end."""
+    machine, own = machine_for(training, order, " ".join(t for t in tokens if t))
+    return machine.traverse(own)[len(tokens) - 1]
 
 
 @pytest.mark.parametrize("order,bucket", [(1, 400), (2, 400), (2, 1 << 20), (3, 700)])
@@ -55,7 +61,7 @@ def test_scores_as_plain_code(spark, order, bucket):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
     got = {r.doc_id: r for r in lm.score(docs, order=order, bucket_bytes=bucket).collect()}
-    for i, (n, known, total, base, score) in enumerate(plain_lm(texts, held, order, lm.ARC_WEIGHT)):
+    for i, (n, known, total, base, score) in enumerate(plain_lm(texts, held, order, lm.STRENGTH)):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, held[i])
         assert r.base_score == pytest.approx(base, abs=1e-8) and r.score == pytest.approx(score, abs=1e-8)
@@ -66,11 +72,41 @@ def test_arcs_of_a_state_sum_to_one():
     training = ["a b a c", "a b", "c", ""]
 
     def total(context, order):
-        return sum(10 ** last_weight(training, order, [*context.split(), last], 0.4) for last in ("a", "b", "c", "new", None))
+        return sum(10 ** last_weight(training, order, [*context.split(), last]) for last in ("a", "b", "c", "new", None))
 
     assert total("a", 2) == pytest.approx(1) and total("c", 2) == pytest.approx(1) and total("new", 2) == pytest.approx(1) and total("a b", 3) == pytest.approx(1)
 
 
+def test_states_and_failure_arcs():
+    """By hand: the states that are carried, and a failure arc to the root and on from there."""
+    machine, own = machine_for(["a b c", "a b d"], 3, "a b c x a")
+    state, weights = np.array([machine.starts[-1]]), []
+    seen = []
+    for t in own.tokens:
+        state, w = machine.read(state, np.array([t]))
+        seen.append(int(np.searchsorted(machine.begin, state[0], "right")))  # 0 root, else how long the context is
+        weights.append(10 ** w[0])
+    assert seen[:5] == [2, 2, 2, 0, 1] and machine.fail[machine.starts[-1]] == machine.starts[0] and machine.fail[machine.starts[0]] == 0
+    root = lambda c: (c + 0.1) / (8 + 0.1 * 6)
+    b = (2 + 2 * (2 + 2 * root(2)) / 4) / 4
+    c = (1 + 2 * (1 + 2 * root(1)) / 4) / 4
+    x = 2 / 3 * 2 / 3 * root(0)
+    assert weights[1:4] == pytest.approx([b, c, x])
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_long_texts_are_read_in_stretches(order):
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in (0, 1, 7, 8, 9, 200)]
+    machine, own = machine_for(texts[::2], order, texts[-1])
+    assert np.allclose(machine.traverse(own, 4), machine.traverse(own, 10_000))
+
+
+def test_a_changed_input_is_noticed():
+    with pytest.raises(RuntimeError):
+        lm.scored(["a b"], [np.zeros(7), np.zeros(1)], 1, 1, 56, 2.0)
+
+
 def test_odd_rows(spark, odd, none):
     got = lm.score(odd).collect()
     assert len(got) == odd.count() and all(math.isfinite(r.score) and r.n_tokens >= 1 for r in got)
@@ -117,12 +153,32 @@ def test_components_as_plain_code(spark, seed, bucket, monkeypatch):
     assert len(set(want)) < len(want)
 
 
+def test_block_product():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(30)]
+    left, right = sets[:12], sets[12:]
+    pairs = np.unique(rng.integers(0, 12 * 18, 90))
+    keep = jaccard.SLICE
+    for jaccard.SLICE in (7, keep):
+        got = jaccard.overlaps(left, right, pairs)
+        assert got.tolist() == [len(np.intersect1d(left[p % 12], right[p // 12])) for p in pairs]
+
+
 def test_odd_sets(odd, none):
     got = jaccard.join(odd).collect()
     assert len(got) == odd.count() and {r.component_id for r in got if r.doc_id in (4, 5)} == {4} and {r.component_id for r in got if r.doc_id in (0, 2)} == {0, 2}
     assert jaccard.join(none).count() == 0
 
 
+def test_heavy_nodes(spark, monkeypatch):
+    from quizloom.llm import components as module
+
+    monkeypatch.setattr(module, "LIGHT", 5)
+    links = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5020)] + [(2999, 4000), (4000, 4001)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(3000), 4000, 4001]} | {i: 5000 for i in range(5000, 5021)}
+
+
 @pytest.mark.parametrize("links", [[], [("b", "a"), ("c", "b"), ("x", "y"), ("x", "x")], [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)], [("hub", f"n{i}") for i in range(50)]])
 def test_components(spark, links):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
