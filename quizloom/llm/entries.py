@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, descent, jaccard, lines, lm, neighbours, packing, quality, secrets, toxicity
 from .common import table
@@ -20,8 +19,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), "text", "n_lines", "n_dropped")
+    return lines.report(table(spark, sf_dir, "documents"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 For every host, the pages that hold a line are divided by the pages of the host; lines above the ratio
 leave all of its pages. Lines compare without the white space at their ends; blank lines always stay. A
-line counts once a page. A line on fewer than least_pages pages is never boilerplate, so that hosts of a
-few pages keep their text.
+line counts once a page. A line that one page alone holds recurs nowhere, so it is no boilerplate, whatever its
+share of a small host.
 
 Counts are added up before they are shuffled, by a 96-bit digest of the line, so a host or a line that a
 third of all pages hold is one row per task. A host has at most (mean lines of a page / ratio) lines above
@@ -11,7 +11,8 @@ the ratio; these go to its pages as one array. The planner broadcasts the table
 small, and joins it by host otherwise.
 
 Null texts count as empty, null hosts as one host of their own. Pages that lose all lines stay, with
-empty text. Repeated rows count as pages of their own. An empty table gives an empty result.
+empty text. Repeated rows count as pages of their own. Texts of any length are split whole. Further columns stay as they
+are, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free, materialize
 
-RATIO, LEAST_PAGES = 0.1, 3
+RATIO, LEAST_PAGES = 0.1, 2
 BLANKS = " \t\r"
 
 
@@ -42,17 +43,29 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
     return found.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list("line").alias("lines"))
 
 
+def cleaned(docs: DataFrame, host: str, ratio: float, least_pages: int) -> tuple[DataFrame, str, str]:
+    """docs with clean texts and two more columns, and their names: the lines of a page and those of them that are left."""
+    site, gone, lines, kept = free(docs, "site", "gone", "lines", "kept")
+    hosted = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn(site, F.coalesce(F.col(host).cast("string"), F.lit("")))
+    found = materialize(boilerplate(hosted.select(F.col(site).alias("host"), "text"), ratio, least_pages), "boilerplate")
+    joined = hosted.join(found.select(F.col("host").alias(site), F.col("lines").alias(gone)), site, "left")
+    own = F.split("text", "\n")
+    stay = F.when(F.col(gone).isNotNull(), F.filter(own, lambda x: ~F.array_contains(F.col(gone), digest(trimmed(x)))))
+    joined = joined.withColumn(lines, F.size(own).cast("long")).withColumn(kept, stay)
+    out = joined.withColumn("text", F.coalesce(F.array_join(kept, "\n"), "text")).withColumn(kept, F.coalesce(F.size(kept).cast("long"), F.col(lines)).cast("long"))
+    return out.drop(site, gone), lines, kept
+
+
 def dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """All columns of docs with text without boilerplate lines, and n_lines and n_dropped."""
-    clean = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    hosted = clean.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
-    found = materialize(boilerplate(hosted.select(F.col("_host").alias("host"), "text"), ratio, least_pages), "boilerplate")
-    joined = hosted.join(found.select(F.col("host").alias("_host"), F.col("lines").alias("_drop")), "_host", "left").drop("_host")
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_drop"), digest(trimmed(x))))
-    joined = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
-    n = F.size(F.split("text", "\n")).cast("long")
-    out = joined.withColumn("n_lines", n).withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("_kept"), F.lit(0)).cast("long"))
-    return out.withColumn("text", F.coalesce(F.array_join("_kept", "\n"), "text")).drop("_drop", "_kept")
+    """docs, their texts without boilerplate lines."""
+    return cleaned(docs, host, ratio, least_pages)[0].select(docs.columns)
+
+
+def report(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """Per row: doc_id, host, text without boilerplate lines, n_lines before and n_dropped of them."""
+    own = docs.select("doc_id", "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
+    out, lines, kept = cleaned(own, "host", ratio, least_pages)
+    return out.select("doc_id", "host", "text", F.col(lines).alias("n_lines"), (F.col(lines) - F.col(kept)).alias("n_dropped"))
 
 
 DEDUP_SQL = f"""

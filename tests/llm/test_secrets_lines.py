@@ -104,8 +104,12 @@ def test_lines_as_plain_code(spark, none, odd):
     rows = [(f"h{rng.choice('aaaaab')}", "\n".join(rng.choice([" menu ", "menu", "foot\r", "", f"own {i} {j}", f"rare {i % 30}"]) for j in range(rng.randint(0, 8)))) for i in range(300)]
     rows += [("lone", "menu\nx"), ("", "menu")]
     docs = spark.createDataFrame([(i, h or None, t) for i, (h, t) in enumerate(rows)], "doc_id long, source string, text string")
-    got = {r.doc_id: r for r in lines.dedup(docs).collect()}
+    got = {r.doc_id: r for r in lines.report(docs).collect()}
     for i, (_, text, dropped) in enumerate(plain_dedup(rows, lines.RATIO, lines.LEAST_PAGES)):
         assert (got[i].text, got[i].n_dropped) == (text, dropped)
     assert any(r.n_dropped for r in got.values()) and got[300].text == "menu\nx"
-    assert lines.dedup(none).count() == 0 and lines.dedup(odd).count() == odd.count()
+    assert lines.report(none).count() == 0 and lines.report(odd).count() == odd.count()
+    clash = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(["n_lines", "n_dropped", "gone", "Lines", "kept", "site", "_drop", "host"])])
+    out = lines.dedup(clash)
+    assert out.columns == clash.columns and {(r.n_lines, r.n_dropped, r.gone, r.host) for r in out.collect()} == {(0, 1, 2, 7)}
+    assert {r.doc_id: r.text for r in out.collect()} == {i: r.text for i, r in got.items()}
