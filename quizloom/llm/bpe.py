@@ -5,8 +5,9 @@ adjacent pair by binary search over sorted pair keys, takes the lowest rank of e
 its occurrences, in every word at once; words without a mergeable pair leave the array. Encoded words
 stay in a bounded store in the worker, so a frequent word is merged once.
 
-Nulls and empty texts give no ids; the digests are then those of empty input. Rows are independent:
-repeated rows and extra columns change nothing, an empty table gives an empty result.
+Nulls and empty texts give no ids; the digests are then those of empty input. Texts of any length are coded whole, a few
+at a time. Rows are independent: repeated rows change nothing, further columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names; a temporary one only where none is set and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quizloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -45,6 +47,25 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column has them."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def one_row_each(rows: DataFrame) -> DataFrame:
+    """Of each doc_id one row, the one whose content has the smallest hash, so that repeated ids don't outgrow a bounded sample."""
+    others = [c for c in rows.columns if c != "doc_id"]
+    (place,) = free(rows, "place")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*others), *others)
+    return rows.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
+
+
 def id_crc(col: Column) -> Column:
     """crc32 of the decimal text of an id; a null id counts as empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))

@@ -7,12 +7,12 @@ as the labelled rows' share says, and hands them to the other view as training r
 each view is calibrated on labelled rows that it was not fitted on, and the calibrated log-odds of the
 views add up, less the prior that both hold.
 
-Fitting reads at most FIT labelled rows and POOL others (those with the smallest hash of their id) whose
-crc32 of the id is not 1 modulo 3; scoring reads every text whole.
+Fitting reads at most FIT labelled ids and POOL others (those with the smallest hash) whose
+crc32 is not 1 modulo 3, and one row of each; scoring reads every text whole.
 
 Nulls count as empty text, language, source or length. Rows that are repeated score alike; several labels
 of one id count as good only if all are. Without labelled rows of both kinds all scores are 0.5 and all
-rows are kept. An empty table gives an empty result.
+rows are kept. An empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, sliced
+from .common import id_crc, one_row_each, sliced
 
 FIT, POOL = 8000, 8000
 TURNS, HANDED = 5, 200
@@ -160,14 +160,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     marks = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     place = F.xxhash64("doc_id")
     marked = marks.filter(id_crc(F.col("doc_id")) % 3 != 1).orderBy(place, "doc_id").limit(FIT)
-    others = rows.select("doc_id").join(marks, "doc_id", "left_anti").orderBy(place, "doc_id").limit(POOL).select("doc_id", F.lit(None).cast("int").alias("quality"))
+    others = rows.select("doc_id").distinct().join(marks, "doc_id", "left_anti").orderBy(place, "doc_id").limit(POOL).select("doc_id", F.lit(None).cast("int").alias("quality"))
 
     def run(batches):
         for batch in sliced(batches, 256):
             a, b = views_of(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(a.tolist(), pa.list_(pa.float64())), pa.array(b.tolist(), pa.list_(pa.float64()))], names=["doc_id", "quality", "content", "metadata"])
 
-    got = rows.join(marked.union(others), "doc_id").mapInArrow(run, "doc_id long, quality int, content array<double>, metadata array<double>").toArrow().sort_by("doc_id")
+    got = one_row_each(rows.join(marked.union(others), "doc_id")).mapInArrow(run, "doc_id long, quality int, content array<double>, metadata array<double>").toArrow().sort_by("doc_id")
     known = np.array(got.column("quality").is_valid())
     if not known.any():
         return None

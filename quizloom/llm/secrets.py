@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 #: The patterns of the three kinds, the group and the length that a match needs.
 KINDS = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -134,17 +136,6 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def free(docs: DataFrame, *names: str) -> list[str]:
-    """The names, lengthened until no column has them."""
-    taken, out = {c.lower() for c in docs.columns}, []
-    for name in names:
-        while name in taken:
-            name += "_"
-        taken.add(name)
-        out.append(name)
-    return out
-
-
 def scan(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """docs with two more columns, and their names: the base spans and all spans, arrays of (start, rank in ORDER, end, hit), sorted."""
     base, spans, body, *kinds = free(docs, "base", "spans", "body", *KINDS)

@@ -7,6 +7,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quizloom.llm import lines, quality, secrets, toxicity
 
@@ -75,6 +77,51 @@ def test_toxicity_odd(spark, tables, odd, none, labels):
     kept = toxicity.score(odd, model, keep="_s")
     assert kept.columns == [*odd.columns, "_s"] and kept.count() == odd.count()
     toxicity.fit(none, labels)
+    with pytest.raises(ValueError):
+        toxicity.score(odd, model, keep="Score")
+
+
+def test_repeated_ids_do_not_outgrow_the_samples(spark, monkeypatch):
+    docs = spark.createDataFrame([(7 if i < 300 else i, f"row {i} is an idiot" if i % 2 else f"row {i} is fine", "en", "s", 9) for i in range(340)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in (7, *range(300, 320))], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample(docs, labels)
+    assert sample.count() == sample.select("row").distinct().count() <= 21
+    sizes = []
+    monkeypatch.setattr(quality.CoTrained, "__init__", lambda self, views, y, pool: sizes.append((len(views[0]), len(pool[0]))))
+    quality.fit(docs, labels)
+    assert sizes[0][0] <= 21 and sizes[0][1] <= 21
+
+
+def test_gapped_and_whole_tokens_reach_the_kernel():
+    model = toxicity.Model(["^stupid$", "^moro"])
+    tokens = ["stupid", "s-t-u-p-i-d", "sxtxuxpxixd", "stupixxxd", "stvpid", "moron", "diputs", "thing"]
+    model.meet(tokens)
+    value = {t: model.hot[t][0] if t in model.hot else 0 for t in tokens}
+    assert value["stupid"] == value["s-t-u-p-i-d"] == 1 > value["stupixxxd"] > value["sxtxuxpxixd"] > 0 < value["stvpid"] < 1
+    assert value["diputs"] == value["thing"] == 0 and model.hot["moron"][1] > 0.5
+
+
+def test_common_letters():
+    rng = random.Random(2)
+    model = toxicity.Model(["^abcab$", "^ccd"])
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = next_row(row, x, b)
+        return row[-1]
+
+    def next_row(row, x, b):
+        out = [0]
+        for j, y in enumerate(b):
+            out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+        return out
+
+    words = ["^" + "".join(rng.choice("abcd") for _ in range(rng.randint(0, 9))) + "$" for _ in range(60)]
+    c = toxicity.codes(words, 12)
+    letters = np.array([[1 + model.alphabet.tolist().index(chr(x)) if x and chr(x) in model.alphabet else 0 for x in r] for r in c])
+    for k, mark in enumerate(model.landmarks):
+        assert toxicity.common_letters(letters, model.masks[k], len(mark)).tolist() == [longest(w, mark) for w in words]
 
 
 def test_quality_held_out(spark, tables, odd, none, labels):
@@ -140,12 +187,14 @@ def test_pipeline_as_plain_code(spark, tmp_path):
 
 def test_stages_keep_the_columns(spark, odd, labels, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    names = ["toxic_score", "score", "row", "n_lines", "n_dropped", "gone", "kept", "Lines", "base", "spans", "component_id", "bucket", "name", "place"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(c).alias(c) for c in names])
     for frame in (docs, docs.limit(0)):
         at = frame
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, at, str(tmp_path))
             assert out.columns == docs.columns, name
+            assert not out.filter(" or ".join(f"{c} <> '{c}' or {c} is null" for c in names)).count(), name
             out.write.mode("overwrite").parquet(str(tmp_path / "s" / name.replace(" ", "")))
             at = spark.read.parquet(str(tmp_path / "s" / name.replace(" ", "")))
         corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count()
