@@ -4,6 +4,11 @@ toxicity: rows that score 0.7 or more go. line dedup: lines above a site's boile
 texts. near duplicates: one row of each group stays, the one of the smallest doc_id. secret scans: spans
 are replaced by a mark. packing: the texts become pieces of training sequences.
 
+Null texts count as empty (line dedup writes them so). Rows with a null or repeated id are decided row by row and stay
+apart from each other; rows without a set of words are never near copies. Repeated rows are copies: one stays. Texts of any length
+are read whole. All columns of the input pass through every stage but the last, whatever their names; only text and n_chars
+change. An empty table gives an empty result.
+
 SQL cannot express the first, third and last stage, so ORACLE_SQL is None and the tests hold run()
 against a brute-force version.
 """
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizloom.llm import jaccard, lines, packing, secrets, toxicity
-from quizloom.llm.common import materialize, table
+from quizloom.llm.common import free, materialize, table
 
 
 def recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -27,8 +32,8 @@ def recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep="_toxic")
-    return scored.filter(F.col("_toxic") < toxicity.PREDICT).select(docs.columns)
+    (name,) = free(docs, "toxic_score")
+    return toxicity.score(docs, model, keep=name).filter(F.col(name) < toxicity.PREDICT).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +46,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     # ids that are null or stand for several rows: rows get keys of their own, and the first by (doc_id, key) of each component stays
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
-    stay = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
-    return rows.join(stay, "_row", "left_semi").select(docs.columns)
+    (row,) = free(docs, "row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard.join(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    stay = rows.select(F.col(row).alias("row"), "doc_id").join(found, "row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(stay, row, "left_semi").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
