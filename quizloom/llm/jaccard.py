@@ -7,8 +7,8 @@ its sum reaches the threshold.
 
 Bounds from the sizes keep most pairs out of the product. The smaller set has at least t times the larger.
 With columns ordered from rare to frequent (a corpus count), two sets that are alike share one of each one's
-first n - ceil(t * n) + 1 columns, so the product of those entries alone is formed first, its counts are
-added up, and a pair goes on only if its count and the rest of its longer set can reach t / (1 + t) of both sizes.
+first n - ceil(t * n) + 1 columns, so only pairs that meet in those are multiplied, and of these only pairs of which what
+can still overlap from that column on reaches t / (1 + t) of both sizes.
 
 Only which classes hang together is asked for, so no column emits its pairs. First each column links its
 entries to its most typical class, and the components of the links that hold are found. Then the columns whose
@@ -102,23 +102,25 @@ def entries(rows: pa.Table, answers: pa.Table, percent: int, bits: int) -> pa.Ta
             continue
         take = np.lexsort((s, df))[:reach]
         shared = np.flatnonzero(df[take] > 1)
-        held[i] = (planes(s[take[shared]]), float(df[take[shared]].sum()) / n, planes(np.diff(s, prepend=np.uint64(0))))
-    cols = list(zip(*[held.get(i, (None, None, None)) for i in range(len(sets))])) or [[], [], []]
+        held[i] = (planes(s[take[shared]]), planes(shared), float(df[take[shared]].sum()) / n, planes(np.diff(s, prepend=np.uint64(0))))
+    cols = list(zip(*[held.get(i, (None, None, None, None)) for i in range(len(sets))])) or [[], [], [], []]
     return pa.table(
-        [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.binary()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.binary())],
-        names=["doc_id", "n_shingles", "name", "columns", "typical", "members"],
+        [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.binary()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.binary())],
+        names=["doc_id", "n_shingles", "name", "columns", "places", "typical", "members"],
     )
 
 
-ENTRIES = "doc_id long, n_shingles long, name binary, columns binary, typical double, members binary"
-POSTINGS = "gram long, name binary, n long, typical double"
+ENTRIES = "doc_id long, n_shingles long, name binary, columns binary, places binary, typical double, members binary"
+POSTINGS = "gram long, name binary, n long, place long, typical double"
 
 
 def postings(batches):
     for batch in batches:
-        grams = [from_planes(x.as_buffer()).view(np.int64) for x in batch.column("columns")]
+        grams, places = ([from_planes(x.as_buffer()).view(np.int64) for x in batch.column(c)] for c in ("columns", "places"))
         take = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)), *(batch.column(c).take(take) for c in ("name", "n", "typical"))], names=["gram", "name", "n", "typical"])
+        flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (grams, places)]
+        name, n, typical = (batch.column(c).take(take) for c in ("name", "n", "typical"))
+        yield pa.RecordBatch.from_arrays([flat[0], name, n, flat[1], typical], names=["gram", "name", "n", "place", "typical"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -158,23 +160,15 @@ def multiply(sets: pa.Table, pairs: pa.Table, percent: int) -> pa.Table:
 
 
 def across(rows: pa.Table, percent: int) -> pa.Table:
-    """Of some columns, or blocks of long ones: the pairs of different components and of fitting sizes, how many of these columns they share, and how many of all first columns they must share."""
+    """Of some columns, or blocks of long ones, the pairs of different components that pass the bounds of sizes and places, once each."""
     rows = rows.sort_by([("gram", "ascending"), ("x", "ascending"), ("y", "ascending"), ("side", "ascending")])
     part = np.stack([rows.column(c).to_numpy() for c in ("gram", "x", "y")])
-    n, side = (rows.column(c).to_numpy() for c in ("n", "side"))
-    root, name = (np.unique(np.array(rows.column(c).to_pylist(), object), return_inverse=True) for c in ("root", "name"))
-    root, (names, name) = root[1], name
+    n, place, side = (rows.column(c).to_numpy() for c in ("n", "place", "side"))
+    names, name = np.unique(np.array(rows.column("name").to_pylist(), object), return_inverse=True)
+    root = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)[1]
     begins = np.flatnonzero(np.r_[True, (part[:, 1:] != part[:, :-1]).any(axis=0)])
-    ends = np.r_[begins[1:], len(n)]
-    codes, shared = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    fresh, waiting = [], 0
-
-    def add(codes, shared):
-        every = np.concatenate([codes, *fresh])
-        codes, which = np.unique(every, return_inverse=True)
-        return codes, np.bincount(which, weights=np.r_[shared, np.ones(len(every) - len(shared))]).astype(np.int64)
-
-    for first, last in zip(begins, ends):
+    found, waiting = [np.zeros(0, np.int64)], 0
+    for first, last in zip(begins, np.r_[begins[1:], len(n)]):
         if side[first] == side[last - 1]:  # one block with itself; half of a pair of blocks alone has none
             if part[1, first] != part[2, first]:
                 continue
@@ -183,24 +177,19 @@ def across(rows: pa.Table, percent: int) -> pa.Table:
             middle = first + int(np.count_nonzero(side[first:last] == 0))
             left, right = slice(first, middle), slice(middle, last)
         n1, n2 = n[left][:, None], n[right][None]
+        need = -(-percent * (n1 + n2) // (100 + percent))
         ok = (root[left][:, None] != root[right][None]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
+        ok &= np.minimum(n1 - place[left][:, None], n2 - place[right][None]) >= need
         i, j = np.nonzero(np.triu(ok, 1) if left == right else ok)
         if len(i):
             i, j = name[left][i], name[right][j]
-            fresh.append(np.minimum(i, j) * len(names) + np.maximum(i, j))
+            found.append(np.minimum(i, j) * len(names) + np.maximum(i, j))
             waiting += len(i)
             if waiting > SLICE:
-                codes, shared = add(codes, shared)
-                fresh, waiting = [], 0
-    codes, shared = add(codes, shared)
-    a, b = codes // max(len(names), 1), codes % max(len(names), 1)
-    size = np.zeros(len(names), np.int64)
-    size[name] = n
-    n1, n2 = size[a], size[b]
-    # what two sets share lies in the first columns of both, or in the rest of the one whose first columns end earlier
-    least = -(-percent * (n1 + n2) // (100 + percent)) - (-(-percent * np.maximum(n1, n2) // 100) - 1)
+                found, waiting = [np.unique(np.concatenate(found))], 0
+    pairs = np.unique(np.concatenate(found))
     names = pa.array(names.tolist(), pa.binary())
-    return pa.table([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(shared), pa.array(least)], names=["a", "b", "shared", "least"])
+    return pa.table([names.take(pa.array(pairs // max(len(names), 1))), names.take(pa.array(pairs % max(len(names), 1)))], names=["a", "b"])
 
 
 def join(docs: DataFrame, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -216,9 +205,9 @@ def join(docs: DataFrame, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYT
     rows = materialize(rows, "entries")
 
     # one row for each class that has shared columns
-    held = rows.filter(F.col("columns").isNotNull()).select("name", F.col("n_shingles").alias("n"), "columns", "typical", "members")
+    held = rows.filter(F.col("columns").isNotNull()).select("name", F.col("n_shingles").alias("n"), "columns", "places", "typical", "members")
     classes = held.dropDuplicates(["name"])
-    posted = materialize(classes.select("name", "n", "columns", "typical").mapInArrow(postings, POSTINGS), "postings")
+    posted = materialize(classes.select("name", "n", "columns", "places", "typical").mapInArrow(postings, POSTINGS), "postings")
     members = materialize(classes.select("name", "members"), "members")
 
     def linked(pairs: DataFrame, salts: int) -> DataFrame:
@@ -235,19 +224,18 @@ def join(docs: DataFrame, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYT
     links = materialize(linked(star.distinct(), 1), "links")
     found = components(links)
 
-    labelled = posted.join(found, posted.name == found.node, "left").select("gram", "name", "n", F.coalesce("root", "name").alias("root"))
+    labelled = posted.join(found, posted.name == found.node, "left").select("gram", "name", "n", "place", F.coalesce("root", "name").alias("root"))
     labelled = materialize(labelled, "labelled")
     split = labelled.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).filter("low <> high")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     mixed = labelled.join(split.select("gram", blocks.alias("blocks")), "gram").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = mixed.select("gram", "name", "n", "root", "own", pair)
-    met = met.select("gram", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "name", "n", "root")
+    met = mixed.select("gram", "name", "n", "place", "root", "own", pair)
+    met = met.select("gram", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "name", "n", "place", "root")
     # many short columns to a task; the blocks of a long one to several
     task = F.pmod(F.xxhash64("gram", "x", "y"), F.lit(4 * buckets)).alias("task")
-    pairs = met.groupBy(task).applyInArrow(lambda r: across(r, percent), "a binary, b binary, shared long, least long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least")
-    more = materialize(linked(pairs.select("a", "b"), 16), "links")
+    pairs = met.groupBy(task).applyInArrow(lambda r: across(r, percent), "a binary, b binary")
+    more = materialize(linked(pairs.distinct(), 16), "links")
     if not more.isEmpty():
         found = components(links.union(more))
 
