@@ -126,3 +126,27 @@ def paper_reference(text: Column) -> Column:
     pattern = r"(?i)^(?:\d{4}[_-])?([swm]\d{2})[\s:_/-]*(?:qp|ms)?[\s:_/-]*(\d{1,2})(?:\.\w+)?$"
     clean = F.trim(text)
     return F.when(clean.rlike(pattern), F.struct(F.lower(F.regexp_extract(clean, pattern, 1)).alias("season"), F.regexp_extract(clean, pattern, 2).alias("paper")))
+
+
+def paper_meta(name: Column) -> Column:
+    """(syllabus, session, year, paper, level) of a name such as 9701_s21_qp_12 or 9701_s21_p12, anywhere in the text."""
+    pattern = r"(?i)(\d{4})_([smw])(\d{2})_(?:(?:qp|ms)_|p)(\d{1,2})"
+    group = lambda n: F.regexp_extract(name, pattern, n)
+    paper = to_int(group(4))
+    level = F.when(F.left(paper.cast("string"), F.lit(1)).isin("1", "2"), "AS").otherwise("A")
+    session = F.try_element_at(literal_map(SESSIONS), F.lower(group(2)))
+    return F.when(name.rlike(pattern), F.struct(group(1).alias("syllabus"), session.alias("session"), full_year(to_int(group(3))).alias("year"), paper.alias("paper"), level.alias("level")))
+
+
+def question_id(meta: Column, question: Column, board: str = "cie") -> Column:
+    """board-syllabus-year-session-pN-qLABEL; brackets leave the label, dots become dashes."""
+    label = F.translate(F.translate(question, "()", ""), ".", "-")
+    return F.concat(F.lit(board + "-"), meta["syllabus"], F.lit("-"), meta["year"].cast("string"), F.lit("-"), F.lower(meta["session"]), F.lit("-p"), meta["paper"].cast("string"), F.lit("-q"), label)
+
+
+def pairs(text: Column) -> Column:
+    """key=value pairs between commas as a map; parts without = are left out, the last of a key counts."""
+    parts = F.filter(F.split(text, ","), lambda p: F.instr(p, "=") > 0)
+    entries = F.transform(parts, lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))).alias("key"), F.trim(F.substr(p, F.instr(p, "=") + 1)).alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import outcome_key
-from .relational import distinct_in_order
+from .relational import distinct_in_order, numbered
 
 SEPARATOR = " · "
+STRIDE = 4096  #: old numbers that are counted anew in one task
 
 
 def primary_outcome(outcomes: Column) -> Column:
@@ -26,11 +27,12 @@ def outcome_text(outcomes: Column, texts: Column, outcome: Column) -> Column:
 def grouped(questions: DataFrame, order: str = "ord") -> DataFrame:
     """Adds primary, group_text and seq: groups by outcome, the untagged last; in a group by year, paper and question as text.
 
-    A hand-out is what a rule's limit leaves, so its numbers come from one ordered window."""
+    Numbers are made outcome by outcome and moved by the sizes of those before, so no task sees the whole hand-out."""
     q = questions.withColumn("primary", primary_outcome(F.col("learning_outcomes")))
     untagged = (F.col("primary") == "").cast("int")
-    keys = [untagged, outcome_key(F.col("primary")), F.col("primary"), F.coalesce("year", F.lit(0)), F.coalesce(F.col("paper"), F.lit("")), F.coalesce(F.col("question"), F.lit("")), F.col(order)]
-    q = q.withColumn("seq", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+    group = F.struct(untagged.alias("untagged"), outcome_key(F.col("primary")).alias("key"), F.col("primary").alias("id"))
+    inside = [F.coalesce("year", F.lit(0)), F.coalesce(F.col("paper"), F.lit("")), F.coalesce(F.col("question"), F.lit("")), F.col(order)]
+    q = numbered(q, inside, "seq", bucket=group)
     text = outcome_text(F.col("learning_outcomes"), F.col("learning_outcome_texts"), F.col("primary"))
     return q.withColumn("group_text", F.first(text).over(Window.partitionBy("primary").orderBy("seq")))
 
@@ -73,10 +75,10 @@ def parse_keep(text: Column) -> Column:
     return F.array_distinct(F.filter(numbers, lambda n: n >= 1))
 
 
-def prune(numbered: DataFrame, keep: DataFrame, seq: str = "seq") -> DataFrame:
+def prune(rows: DataFrame, keep: DataFrame, seq: str = "seq") -> DataFrame:
     """The rows whose number is kept, numbered anew."""
-    left = numbered.join(keep.select(F.col(seq)), seq, "left_semi")
-    return left.withColumn(seq, F.row_number().over(Window.orderBy(seq)).cast("long"))
+    left = rows.join(keep.select(F.col(seq)), seq, "left_semi")
+    return numbered(left.withColumnRenamed(seq, "_old"), [F.col("_old")], seq, bucket=F.floor(F.col("_old") / STRIDE)).drop("_old").select(rows.columns)
 
 
 def render(questions: DataFrame) -> DataFrame:
@@ -91,3 +93,26 @@ def render(questions: DataFrame) -> DataFrame:
         F.concat(F.lit("[["), F.col("id"), F.lit("]]")),
     ))
     return q.withColumn("lines", lines).select("seq", F.posexplode("lines").alias("line", "text"))
+
+
+def matches(column: str, pattern: str, kind: str, order: int) -> Column:
+    """(order, pos, id, kind) of every match's first group."""
+    return F.transform(F.regexp_extract_all(column, F.lit(pattern), F.lit(1)), lambda x, i: F.struct(F.lit(order).alias("order"), i.alias("pos"), x.alias("id"), F.lit(kind).alias("kind")))
+
+
+def linked_ids(notes: DataFrame, kinds: dict[str, str], key: str = "doc", text: str = "text") -> DataFrame:
+    """(doc, id, kind, seq): the ids that patterns of several kinds find, once each, by line, then kind, then place in the line."""
+    found = F.flatten(F.array(*[
+        matches("line", p, k, o)
+        for o, (k, p) in enumerate(kinds.items())
+    ]))
+    lines = notes.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line"))
+    rows = lines.select(key, "n", F.explode(found).alias("m"))
+    first = rows.groupBy(key, F.col("m.id").alias("id")).agg(F.min(F.struct("n", "m.order", "m.pos", "m.kind")).alias("at"))
+    seq = F.row_number().over(Window.partitionBy(key).orderBy("at"))
+    return first.select(key, "id", F.col("at.kind").alias("kind"), seq.cast("long").alias("seq"))
+
+
+def missing(wanted: DataFrame, built: DataFrame, key: str = "id") -> DataFrame:
+    """The wanted ids that were not built."""
+    return wanted.join(built.select(key), key, "left_anti")

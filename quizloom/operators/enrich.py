@@ -73,12 +73,26 @@ def main_question(parent: Column, question: Column) -> Column:
     return F.split_part(F.coalesce(F.nullif(parent, F.lit("")), question), F.lit("("), F.lit(1))
 
 
-def merge_reports(questions: DataFrame, reports: DataFrame, scope: dict, source: str, update_difficulty: bool = True) -> DataFrame:
-    """Questions with the facts of their report. scope (year, session, paper) also fills questions that the report doesn't name,
-    where they have no scope of their own."""
+SCOPE = ("year", "session", "paper")
+
+
+def merge_reports(questions: DataFrame, reports: DataFrame, scope: dict | None, source: str, update_difficulty: bool = True) -> DataFrame:
+    """Questions with the facts of their report.
+
+    With a scope (year, session, paper) all questions are of the one paper that the reports are about. Without one, both sides
+    have these columns, and a question meets the report of its own paper alone. The scope also fills
+    questions that their paper's report doesn't name, where they have no scope of their own."""
+    keyed = scope is None
     er = reports.select(*[F.col(c).alias(f"er__{c}") for c in reports.columns], F.lit(True).alias("er__hit"))
     q = questions.withColumn("_main", main_question(F.col("parent_question"), F.col("question")))
-    q = q.join(er, (q["_main"] == er["er__question"]), "left")
+    same = q["_main"] == er["er__question"]
+    if keyed:
+        for c in SCOPE:
+            same &= q[c] == er[f"er__{c}"]
+        reported = reports.select(*SCOPE).distinct().withColumn("er__reported", F.lit(True))
+        q = q.join(er, same, "left").join(reported, list(SCOPE), "left")
+    else:
+        q = q.join(er, same, "left").withColumn("er__reported", F.lit(True))
     hit = F.coalesce("er__hit", F.lit(False))
     at = lambda c: F.col(f"er__{c}")
     errors = F.coalesce(at("common_errors"), F.array().cast("array<string>"))
@@ -88,11 +102,11 @@ def merge_reports(questions: DataFrame, reports: DataFrame, scope: dict, source:
     new |= {c: F.when(hit, at(c)).otherwise(F.col(c)) for c in NULLED}
     new["common_errors"] = F.when(hit, errors).otherwise(F.col("common_errors"))
     new["misconceptions"] = F.when(hit, F.array_union(misc, F.concat(F.filter(errors, lambda e: e != ""), tip))).otherwise(F.col("misconceptions"))
-    for c in ("year", "session", "paper"):
+    for c in SCOPE:
         own = f"er_{c}"
-        value = F.lit(scope.get(c)).cast(dict(questions.dtypes)[own])
+        value = (F.when(F.col("er__reported"), F.col(c)) if keyed else F.lit(scope.get(c))).cast(dict(questions.dtypes)[own])
         new[own] = F.when(hit, value).otherwise(F.coalesce(own, value))
-    new["examiner_report_source"] = F.when(hit, F.lit(source)).otherwise(F.coalesce("examiner_report_source", F.lit(source)))
+    new["examiner_report_source"] = F.when(hit, F.lit(source)).otherwise(F.coalesce("examiner_report_source", F.when(F.col("er__reported"), F.lit(source))))
     if update_difficulty:
         new["difficulty"] = F.when(hit, F.coalesce(at("difficulty"), F.col("difficulty"))).otherwise(F.col("difficulty"))
     return q.select(*[new[c].alias(c) if c in new else F.col(c) for c in questions.columns])
@@ -110,3 +124,17 @@ def with_fallback(left: DataFrame, keyed: DataFrame, keys: list[str], value: str
     for i, k in enumerate(keys):
         out = out.join(keyed.select(F.col("key").alias(k), F.col("value").alias(f"_{i}")), k, "left")
     return out.withColumn(value, F.coalesce(*[f"_{i}" for i in range(len(keys))])).drop(*[f"_{i}" for i in range(len(keys))])
+
+
+def default_outcomes(records: DataFrame, outcomes: DataFrame, carry: str = "id") -> DataFrame:
+    """(id, outcomes): for each code of a record, in their order, the first outcome id of that code as text; codes without one have none."""
+    first = outcomes.groupBy(F.col("parent_code").alias("code")).agg(F.min("lo_id").alias("lo"))
+    rows = records.select(carry, F.posexplode("syllabus_codes").alias("pos", "code")).join(first, "code")
+    return rows.groupBy(carry).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lo"))), lambda s: s["lo"]).alias("outcomes"))
+
+
+def normal_skills(skills: Column, synonyms: dict[str, str], fallback: str = "recall") -> Column:
+    """Skills by their usual names, once each, in order; the fallback where none is known."""
+    named = F.transform(skills, lambda s: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in synonyms.items() for x in p]), s), s))
+    known = F.array_distinct(F.filter(named, lambda s: s.isin(SKILLS)))
+    return F.when(F.size(known) > 0, known).otherwise(F.array(F.lit(fallback)))

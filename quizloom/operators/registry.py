@@ -38,3 +38,10 @@ def staged(names: DataFrame, existing: DataFrame, column: str = "name") -> DataF
 
 def staged_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("season").pivot("kind", ["qp", "ms", "er"]).count().fillna(0)
+
+
+def batch(papers: DataFrame, status: str = "", limit: int | None = None) -> DataFrame:
+    """The papers of any of the states between commas, all where none is named; at most limit, by id."""
+    want = [s.strip() for s in status.split(",") if s.strip()]
+    kept = papers.filter(F.col("status").isin(want)) if want else papers
+    return kept.orderBy("id").limit(limit) if limit else kept

@@ -61,3 +61,15 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "seq", bucket:
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     moved = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     return within.join(moved, within._bucket.eqNullSafe(moved._bucket)).drop(moved._bucket).withColumn(name, F.col("_before") + F.col("_n")).drop("_n", "_before", "_bucket")
+
+
+def search(df: DataFrame, columns: Sequence[Column], text: str, order: Sequence[Column], limit: int = 200) -> DataFrame:
+    """The first rows any of whose columns holds the text, whatever its case; columns are joined by blanks."""
+    hay = F.lower(F.concat_ws(" ", *columns))
+    return df.filter(F.contains(hay, F.lit(text.strip().lower()))).orderBy(*order).limit(limit)
+
+
+def first_existing(wanted: DataFrame, candidates: Column, files: DataFrame, key: str, path: str = "path") -> DataFrame:
+    """(key, path): of each row's candidate paths, in their order, the first that the listing has. Paths that climb out of their root are none."""
+    rows = wanted.select(key, F.posexplode(candidates).alias("pos", path)).filter(~F.col(path).rlike(r"(^|/)\.\.(/|$)"))
+    return rows.join(files.select(path).distinct(), path).groupBy(key).agg(F.min_by(path, "pos").alias(path))

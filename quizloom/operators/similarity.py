@@ -49,9 +49,12 @@ def leaf_sum(leaves: DataFrame, root: str, n: str = "n") -> DataFrame:
 
 
 def content_version(rows: DataFrame, key: str, columns: Sequence[str], length: int = 12) -> DataFrame:
-    """A digest of all rows by key. Each row is digested where it lies, then buckets of digests; the last step sees one digest a bucket."""
-    line = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    buckets = rows.select(key, line.alias("d"), F.pmod(F.xxhash64(key), F.lit(1024)).alias("bucket"))
-    per_bucket = buckets.groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "d"))), lambda s: s["d"]), ""), 256).alias("d"))
+    """A digest of all rows, in whatever order they lie. Each row is digested with its key where it lies; digests that begin alike are sorted and
+    digested again, in two steps, so that the last one sees 256 digests."""
+    line = F.sha2(F.to_json(F.struct(key, *columns), {"ignoreNullFields": "false"}), 256)
+    rows = rows.select(line.alias("d"))
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d")
+    fine = rows.groupBy(F.left("d", F.lit(5)).alias("bucket")).agg(joined)
+    per_bucket = fine.groupBy(F.left("bucket", F.lit(2)).alias("bucket")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda s: s["d"]), ""), 256).alias("d"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda s: s["d"]), "")
     return per_bucket.agg(F.left(F.sha2(whole, 256), F.lit(length)).alias("version"))

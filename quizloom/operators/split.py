@@ -114,3 +114,9 @@ def bind_marks(chunks: DataFrame, part_marks: DataFrame, main_marks: DataFrame,
     out = chunks.join(p, [key, "label"], "left").join(m, [key, "question"], "left")
     text = F.coalesce("_part", F.when(F.col("label").isNull(), F.col("_main")))
     return out.withColumn("mark_scheme", F.when(text.isNull(), F.lit(None)).when(garbage(text), F.lit("[see mark scheme image]")).otherwise(text)).drop("_part", "_main")
+
+
+def later_siblings(chunks: DataFrame, key: str = "doc") -> DataFrame:
+    """Adds later: the labels of the parts that follow in the same question, in order."""
+    after = Window.partitionBy(key, "question").orderBy("part_ord").rowsBetween(1, Window.unboundedFollowing)
+    return chunks.withColumn("later", F.collect_list("label").over(after))

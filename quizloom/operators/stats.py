@@ -81,3 +81,16 @@ def streaks(answers: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 def history(log: DataFrame, n: int | None = None) -> DataFrame:
     """The newest entries: 200, or n between 1 and 500."""
     return log.orderBy(F.desc("answered_at"), F.desc("id")).limit(max(1, min(500, 200 if n is None else n)))
+
+
+def coverage(index: DataFrame, selected: DataFrame) -> DataFrame:
+    """(code, selected, total): how many of a code's questions are selected. index: (code, id) rows."""
+    marked = index.join(selected.select("id").distinct().withColumn("_in", F.lit(True)), "id", "left")
+    return marked.groupBy("code").agg(F.count("_in").alias("selected"), F.count("*").alias("total"))
+
+
+def progress(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Of the questions' states (seen, ok, mistakes): how many were seen, how many have mistakes, and the accuracy of those seen, by learner or in all."""
+    seen = F.count_if(F.col("seen") > 0)
+    right = F.count_if((F.col("seen") > 0) & (F.col("mistakes") == 0))
+    return states.groupBy(*by).agg(seen.alias("seen"), F.count_if(F.col("mistakes") > 0).alias("wrong"), percent(F.when(seen > 0, right / seen)).alias("acc"))
