@@ -5,11 +5,13 @@ as find a pair at the threshold with probability START; leaves that are too full
 further planes as their size asks for, in as many more trees as these need. A cell that no plane splits is
 dealt by hash, otherwise in every tree, and its parts are then bridged: all pairs of the cell that are not
 yet in one component are compared. Rounds then join the lists with each other:
-neighbours of neighbours that are not yet in one component are compared and enter the lists. A leaf gives
+neighbours of neighbours that are not yet in one component are compared and enter the lists. A list that is
+saturated, its last entry being above the threshold, is twice as long in the next round; others keep their length. A leaf gives
 a spanning forest of all its links and for each node the nearest one outside its own component, so that a
-dense group does not fill its lists with itself. Rounds end when none adds a link between components. The recall is audited on a bounded sample of nodes against all others;
-while the audit misses a pair, more trees are grown; if the last of FORESTS audits still misses some, a
-warning states the recall that it measured.
+dense group does not fill its lists with itself. Rounds end when none adds a link between components.
+
+The recall is audited on a sample of AUDIT nodes against all others. While the audit misses a pair, more trees are grown, FORESTS
+times; then all pairs that still lie between components are compared, block by block, so that no graph with a known gap is returned.
 
 Only links above the threshold are kept. Lists serve to find what hangs together; the links of a vector
 are then counted exactly inside its component, block against block, so saturated or cut lists lose none
@@ -17,29 +19,28 @@ and no pairs of a dense group are emitted.
 
 Vectors that are null, empty or zero, hold null or non-finite parts or another dimension than most of a
 sample link with nothing and are their own components. Rows without an id are left as they are, each its
-own component. Repeated rows are vectors of their own. An empty table gives an empty result.
+own component. Repeated rows are vectors of their own. An empty table gives an empty result; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import warnings
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 from .components import components
-from .neighbours import usable, vectors_of
+from .neighbours import digests, element, usable, vectors_of
 
 THRESHOLD = 0.9
 START = 0.999  #: chance that the trees bring a pair at the threshold into one leaf
 LEAF, FULL = 256, 1024  #: nodes wanted in a leaf, and most of them
 LIST, EXPLORE = 8, 0.6  #: length of a list; the least cosine of its entries
-ROUNDS, AUDIT, FORESTS = 5, 200, 5
+AUDIT, FORESTS = 200, 3
 BLOCK = 512
 EXTRA = 12  #: more planes for leaves that are too full
 
@@ -178,14 +179,16 @@ def labels_of(edges: DataFrame, threshold: float) -> DataFrame:
 def descend(edges: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Rounds of joins of the lists with themselves; the edges and the components of the links."""
     length = LIST
-    for _ in range(ROUNDS):
+    while True:  # each round that goes on has joined components
         labels = labels_of(edges, threshold)
         both = edges.select("a", "b", "cosine").union(edges.select(F.col("b"), F.col("a"), "cosine"))
         rooted = both.join(labels.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
         # a node all of whose list is one component has no news for its neighbours
         mixed = rooted.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("a")
-        # from each component in a list the nearest entries: a saturated list thus reaches beyond its own group
-        nearest = rooted.join(mixed, "a").groupBy("a", "root").agg(F.slice(F.sort_array(F.collect_list(F.struct("cosine", "b")), False), 1, length).alias("l"))
+        # from each component in a list the nearest entries, more of them where the list is saturated
+        nearest = rooted.join(mixed, "a").groupBy("a", "root").agg(F.sort_array(F.collect_list(F.struct("cosine", "b")), False).alias("l"))
+        saturated = F.coalesce(F.get("l", F.lit(LIST - 1))["cosine"] >= threshold, F.lit(False))
+        nearest = nearest.withColumn("l", F.slice("l", F.lit(1), F.when(saturated, length).otherwise(LIST)))
         lists = materialize(nearest.select("a", "root", F.explode("l").alias("e")).select(F.col("a").alias("via"), "root", F.col("e.b").alias("node")), "lists")
         other = lists.select("via", F.col("root").alias("other_root"), F.col("node").alias("other"))
         met = lists.join(other, "via").filter((F.col("root") != F.col("other_root")) & (F.col("node") < F.col("other")))
@@ -198,7 +201,6 @@ def descend(edges: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> t
         if settled:
             return edges, labels
         length *= 2
-    return edges, labels_of(edges, threshold)
 
 
 def bridge(cells: DataFrame, labels: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
@@ -283,15 +285,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     def name(batches):
         for batch in batches:
-            x = vectors_of(batch.column("embedding"), dim) + np.float32(0)  # one zero
-            names = [xxhash.xxh3_128_digest(v.tobytes()) for v in x]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(names, pa.binary()), batch.column("embedding")], names=["vec_id", "name", "embedding"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), digests(batch.column("embedding"), dim), batch.column("embedding")], names=["vec_id", "name", "embedding"])
 
-    named = rows.filter(ok).mapInArrow(name, "vec_id long, name binary, embedding array<float>")
+    named = rows.filter(ok).mapInArrow(name, f"vec_id long, name binary, embedding array<{element(rows)}>")
     named = materialize(named, "named")
     nodes = materialize(named.groupBy("name").agg(F.count("*").alias("size"), F.min("vec_id").alias("low"), F.first("embedding").alias("embedding")), "nodes")
     n = nodes.count()
     planes, trees = forest(n, threshold)
+
+    def bridged(edges: DataFrame, labels: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+        across = materialize(bridge(cells, labels, nodes, dim, threshold), "across")
+        if across.isEmpty():
+            return edges, labels
+        edges = materialize(ordered(edges.union(across)), "edges")
+        return edges, labels_of(edges, threshold)
+
     edges = None
     for grown in range(FORESTS):
         keys = leaf_keys(nodes, dim, planes, trees << grown, 11 + grown, threshold)
@@ -303,15 +311,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         edges, labels = descend(edges, nodes, dim, threshold)
         dense = keys.filter("parts is not null").select("name", *CELL)
         if not dense.isEmpty():
-            across = materialize(bridge(dense, labels, nodes, dim, threshold), "across")
-            if not across.isEmpty():
-                edges = materialize(ordered(edges.union(across)), "edges")
-                labels = labels_of(edges, threshold)
-        hits, missed = audit(nodes, labels, dim, threshold, grown)
+            edges, labels = bridged(edges, labels, dense)
+        _, missed = audit(nodes, labels, dim, threshold, grown)
         if not missed:
             break
     else:
-        warnings.warn(f"near-duplicate vectors: after {FORESTS} forests {missed} of {hits} audited links still lie between components, recall {1 - missed / hits:.6f}", stacklevel=2)
+        edges, labels = bridged(edges, labels, nodes.select("name", *[F.lit(0).cast("long").alias(c) for c in CELL]))
 
     # exact counts inside the components
     rooted = labels.join(nodes, labels.node == nodes.name).select("root", "name", "size", "embedding")
