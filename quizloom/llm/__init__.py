@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-scale jobs on documents, embeddings and labels.
+"""Training-data operators: thirteen corpus-scale jobs on documents, embeddings, pages and labels.
 
 Nothing outside this subpackage imports it.
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, descent, jaccard, lines, lm, neighbours, packing, quality, secrets, toxicity
+from . import alignment, bpe, descent, jaccard, lines, lm, neighbours, packing, quality, resample, secrets, toxicity, warc
 from .common import table
 
 
@@ -51,9 +51,21 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {"op1_secret_scans": op1_secret_scans, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_ann_search": op7_ann_search, "op8_embedding_near_dedup": op8_embedding_near_dedup, "op9_bpe": op9_bpe, "op10_ngram_jaccard": op10_ngram_jaccard}
+    return {"op1_secret_scans": op1_secret_scans, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_ann_search": op7_ann_search, "op8_embedding_near_dedup": op8_embedding_near_dedup, "op9_bpe": op9_bpe, "op10_ngram_jaccard": op10_ngram_jaccard, "op11_importance_resampling": op11_importance_resampling, "op12_tokenizer_alignment": op12_tokenizer_alignment, "op13_warc": op13_warc}
 
 
 def oracle_sql() -> dict:
-    return {"op3_line_dedup": lines.DEDUP_SQL}
+    return {"op3_line_dedup": lines.DEDUP_SQL, "op11_importance_resampling": resample.RESAMPLE_SQL, "op13_warc": warc.PAGES_SQL}
