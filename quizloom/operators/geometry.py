@@ -177,18 +177,20 @@ def option_rows(words: DataFrame, bands: DataFrame, most_height: float = 18, lea
 
 
 def content_bottoms(bands: DataFrame, words: DataFrame, drawings: DataFrame, page_bottom: float = 842.0, trailer: str = r"(?i)^(©|Permission|Copyright)", footer: str = r"(?i)UCLES|^\[Turn") -> DataFrame:
-    """Each band (doc, page, question, x0, y0, x1, y1) with the lowest content in it, 10 more, above a copyright trailer if one begins there."""
-    b = bands.select(*PAGE, "question", *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    inside_x = (F.col("x1") >= F.col("b_x0")) & (F.col("x0") <= F.col("b_x1"))
-    w = words.join(b, PAGE).filter(inside_x & (F.col("y1") >= F.col("b_y0") - 2) & (F.col("y0") <= F.col("b_y1") + 2))
-    caps = w.filter(F.col("text").rlike(trailer)).groupBy(*PAGE, "question").agg(F.min("y0").alias("trailer"))
+    """Each band (doc, page, question, x0, y0, x1, y1) with the lowest content in it, 10 more, above a copyright trailer if one begins there.
+
+    Bands with a column bottom know the lower end of their own page; their other columns stay."""
     keys = [*PAGE, "question"]
-    b = b.join(caps, keys, "left").withColumn("cap", F.coalesce(F.col("trailer") - 4, F.col("b_y1")))
-    limits = b.select(*keys, "cap")
-    low_words = w.filter(~F.col("text").rlike(footer) & (F.col("y0") <= page_bottom - 50)).join(limits, keys).filter("y0 <= cap").groupBy(*keys).agg(F.max("y1").alias("w1"))
-    d = drawings.join(b.drop("trailer"), PAGE).filter(inside_x & (F.col("y1") >= F.col("b_y0") - 2) & (F.col("y0") <= F.col("cap")) & (F.col("y0") <= page_bottom - 50))
-    d = d.filter((F.col("y1") - F.col("y0") >= 1.5) | (F.col("x1") - F.col("x0") <= 200))
-    low_drawings = d.groupBy(*keys).agg(F.max("y1").alias("d1"))
-    out = b.join(low_words, keys, "left").join(low_drawings, keys, "left")
-    bottom = F.least("cap", F.greatest(F.col("b_y0") + 36, "w1", "d1") + 10)
-    return out.select(*keys, F.col("b_x0").alias("x0"), F.col("b_y0").alias("y0"), F.col("b_x1").alias("x1"), bottom.alias("y1"))
+    own = F.col("bottom") if "bottom" in bands.columns else F.lit(page_bottom)
+    b = bands.select(*keys, F.struct(*[c for c in bands.columns if c not in keys]).alias("b"), own.alias("page_end"))
+    items = words.select(*PAGE, "x0", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("text")).unionByName(drawings.select(*PAGE, "x0", "y0", "x1", "y1", F.lit(None).cast("string").alias("text")))
+    met = b.join(items, PAGE, "left")
+    touches = (F.col("x1") >= F.col("b.x0")) & (F.col("x0") <= F.col("b.x1")) & (F.col("y1") >= F.col("b.y0") - 2)
+    word = F.col("text").isNotNull() & (F.col("y0") <= F.col("b.y1") + 2)
+    cut = F.min(F.when(touches & word & F.col("text").rlike(trailer), F.col("y0"))).over(Window.partitionBy(*keys))
+    met = met.withColumn("cap", F.coalesce(cut - 4, F.col("b.y1")))
+    ink = F.col("text").isNull() & ((F.col("y1") - F.col("y0") >= 1.5) | (F.col("x1") - F.col("x0") <= 200))
+    content = touches & ((word & ~F.col("text").rlike(footer)) | ink) & (F.col("y0") <= F.col("cap")) & (F.col("y0") <= F.col("page_end") - 50)
+    out = met.groupBy(*keys).agg(F.first("b").alias("b"), F.first("cap").alias("cap"), F.max(F.when(content, F.col("y1"))).alias("low"))
+    y1 = F.least("cap", F.greatest(F.col("b.y0") + 36, "low") + 10)
+    return out.select(*[F.col(c) if c in keys else y1.alias("y1") if c == "y1" else F.col(f"b.{c}") for c in bands.columns])

@@ -1,8 +1,8 @@
 """Documents to questions to parts, as rows of lines and windows over them.
 
 A document is exploded into lines once; boundaries are predicates on a line and its next full line, and
-blocks are what lies between boundaries. Only the strictly consecutive numbering is a fold, over the few
-candidate numbers of a document.
+blocks are what lies between boundaries. Only the choice among candidate numbers is a fold, over the few
+of a document (starts.py).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import part_id, part_key, part_label, part_slug
 from ..functions.text import FOOTER, garbage, paper_style, strip, without_footers
+from . import starts
 
 PAGE_LINE = r"^\s*-{3,} PAGE (\d+) -{3,}\s*$"
 MAIN_LINE = r"^(\d{1,2})(?:\s*[.)])?(?:\s+(.*))?$"
@@ -32,32 +33,22 @@ def next_full(column: Column, key: str) -> Column:
     return F.first(column, ignorenulls=True).over(Window.partitionBy(key).orderBy("n").rowsBetween(1, Window.unboundedFollowing))
 
 
-def consecutive(candidates: Column, style: Column) -> Column:
-    """Of (n, num) in order those that count on: 1, 2, 3, ...; structured papers start anew at 1 after three or more."""
-    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("kept"))
-
-    def step(acc: Column, c: Column) -> Column:
-        goes_on = (c["num"] == acc["last"] + 1) | ((style == "structured") & (c["num"] == 1) & (acc["last"] >= 3))
-        return F.when(goes_on, F.struct(c["num"].alias("last"), F.concat(acc["kept"], F.array(c["n"])).alias("kept"))).otherwise(acc)
-
-    return F.aggregate(candidates, start, step, lambda acc: acc["kept"])
-
-
 def questions(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     """(doc, question, ord, start_line, page, style, text): a row for each main question, in order."""
     rows = lines_of(docs, key, text)
+    end = F.min(F.when(F.col("line").rlike(starts.NOTES_HEADING), F.col("n"))).over(Window.partitionBy(key))
+    rows = rows.withColumn("end", end).filter(F.col("end").isNull() | (F.col("n") < F.col("end"))).drop("end")
     noise = F.col("line").rlike(FOOTER) | F.col("line").rlike(PAGE_LINE) | (F.trim("line") == "")
     rows = rows.withColumn("after", next_full(F.when(~noise, F.trim("line")), key))
     number = F.nullif(F.regexp_extract("line", MAIN_LINE, 1), F.lit("")).cast("int")
     stem = F.trim(F.regexp_extract("line", MAIN_LINE, 2))
     most = F.when(F.col("style") == "mcq", 40).otherwise(20)
-    worded = F.when(stem != "", stem.rlike("[A-Za-z]{3,}") & ((F.size(F.split(stem, r"\s+")) > 3) | (F.length(stem) >= 40) | stem.rlike(r"^\(a\)|\?$|[a-z]{4,}.*[.:]?$")))
-    alone = F.when(F.col("style") == "structured", F.col("after").rlike(r"(?i)^\(a\)(\s|$|\()")).otherwise(F.col("after").rlike("[A-Za-z]{3,}") & ~F.col("after").rlike(r"^\d{1,2}\s*[.)]?\s*$|^[A-D]$"))
-    rows = rows.withColumn("num", F.when(number.between(1, most) & F.coalesce(worded, alone, F.lit(False)), number))
-    picked = rows.filter("num is not null").groupBy(key).agg(F.first("style").alias("style"), F.array_sort(F.collect_list(F.struct("n", "num"))).alias("c"))
-    starts = picked.select(key, F.explode(consecutive(F.col("c"), F.col("style"))).alias("n"), F.lit(True).alias("starts"))
+    rows = rows.withColumn("num", F.when(number.between(1, most) & starts.plausible(stem, F.col("after"), F.col("style")), number)).withColumn("class", starts.line_class(stem))
+    picked = rows.filter("num is not null").groupBy(key).agg(F.first("style").alias("style"), F.array_sort(F.collect_list(F.struct("n", "num", "class"))).alias("c"))
+    taken = F.when(F.col("style") == "mcq", starts.best_picks(F.col("c"))).otherwise(starts.consecutive(F.col("c"), F.col("style")))
+    opened = picked.select(key, F.explode(taken).alias("n"), F.lit(True).alias("starts"))
     w = Window.partitionBy(key).orderBy("n")
-    rows = rows.join(starts, [key, "n"], "left").withColumn("ord", F.count("starts").over(w)).filter("ord > 0")
+    rows = rows.join(opened, [key, "n"], "left").withColumn("ord", F.count("starts").over(w)).filter("ord > 0")
     first = F.min(F.when(F.col("starts"), F.struct("n", "num", "page")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("line").rlike(PAGE_LINE), F.struct("n", "line")))), lambda s: s["line"]), "\n")
     out = rows.groupBy(key, "ord").agg(first.alias("f"), F.first("style").alias("style"), body.alias("text"))

@@ -26,15 +26,16 @@ def joined(lines: Column, by: str = "\n") -> Column:
 
 # ---------------------------------------------------------------- papers and mark schemes
 
-ASKED_SQL = "asked AS (SELECT * FROM (SELECT o_custkey AS doc, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 20)"
+ASKED_SQL = "asked AS (SELECT o_custkey * 10000 + (r - 1) // 20 AS doc, o_orderkey, o_orderstatus, (r - 1) % 20 + 1 AS k FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders))"
 STEM_SQL = "k || ' Explain how order number ' || o_orderkey || ' was priced.'"
 PART_SQL = {"a": "'(a) State the status ' || o_orderstatus || ' of it.'", "b": "'(b) Give the order a name.'"}
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 20 orders of a customer as the questions k of a paper."""
-    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), "o_orderkey", "o_orderstatus", k.alias("k")).filter("k <= 20")
+    """The orders of a customer as the questions k of papers of up to 20."""
+    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = table(spark, sf_dir, "orders").withColumn("r", r)
+    return rows.select((F.col("o_custkey") * 10000 + F.floor((F.col("r") - 1) / 20)).alias("doc"), "o_orderkey", "o_orderstatus", ((F.col("r") - 1) % 20 + 1).alias("k"))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,25 +127,25 @@ def report_paper_stats(spark, sf_dir):
     return reports.paper_stats(rows)
 
 
-ER_PAPER = "'1' || (doc_id % 3)"
+ER_PAPER = "(doc_id // 240) || '-' || (doc_id % 3)"
 
 
 @query(f"""WITH q AS (SELECT doc_id, CAST(2020 + doc_id % 2 AS INTEGER) AS year, {ER_PAPER} AS paper, doc_id // 6 % 40 AS main, CAST(n_chars % 5 + 1 AS INTEGER) AS difficulty FROM documents),
-r AS (SELECT CAST(2020 + doc_id % 2 AS INTEGER) AS year, {ER_PAPER} AS paper, doc_id // 6 AS main, quality FROM labels WHERE doc_id // 6 < 30 AND doc_id % 6 <> 5)
+r AS (SELECT CAST(2020 + doc_id % 2 AS INTEGER) AS year, {ER_PAPER} AS paper, doc_id // 6 % 40 AS main, quality FROM labels WHERE doc_id % 6 <> 5)
 SELECT q.doc_id, CASE WHEN r.main IS NULL THEN q.difficulty WHEN r.quality = 1 THEN 2 ELSE 5 END AS difficulty, CASE WHEN r.main IS NULL THEN NULL WHEN r.quality = 1 THEN 'easy' ELSE 'particularly_difficult' END AS band,
     CASE WHEN s.paper IS NOT NULL THEN q.year END AS er_year, CASE WHEN s.paper IS NOT NULL THEN q.paper END AS er_paper, CASE WHEN s.paper IS NOT NULL THEN 'report' END AS source
 FROM q LEFT JOIN r ON q.year = r.year AND q.paper = r.paper AND q.main = r.main LEFT JOIN (SELECT DISTINCT year, paper FROM r) s ON q.year = s.year AND q.paper = s.paper""")
 def enrich_many_papers(spark, sf_dir):
-    """Questions of six papers whose numbers collide, each with its own paper's report; one paper has none."""
+    """Papers of forty questions whose numbers collide, each with its own report; every sixth paper has none."""
     i, none, strings = F.col("doc_id"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-    scope = [(2020 + i % 2).cast("int").alias("year"), F.lit("MJ").alias("session"), said("1", i % 3).alias("paper")]
+    scope = [(2020 + i % 2).cast("int").alias("year"), F.lit("MJ").alias("session"), said(F.floor(i / 240), "-", i % 3).alias("paper")]
     questions = table(spark, sf_dir, "documents").select(
         "doc_id", *scope, F.lit("").alias("parent_question"), said(F.floor(i / 6) % 40, "(a)").alias("question"), (F.col("n_chars") % 5 + 1).cast("int").alias("difficulty"), strings.alias("misconceptions"), strings.alias("common_errors"),
         *[none.alias(c) for c in (*enrich.KEPT_IF_NULL, "er_session", "er_paper", "examiner_report_source")], *[F.lit(0.5).alias(c) for c in enrich.NULLED], F.lit(None).cast("int").alias("er_year"),
     )
     easy = F.col("quality") == 1
-    rows = table(spark, sf_dir, "labels").filter((F.floor(i / 6) < 30) & (i % 6 != 5)).select(
-        *scope, said(F.floor(i / 6)).alias("question"), F.when(easy, "easy").otherwise("particularly_difficult").alias("examiner_band"), F.when(easy, 2).otherwise(5).alias("difficulty"),
+    rows = table(spark, sf_dir, "labels").filter(i % 6 != 5).select(
+        *scope, said(F.floor(i / 6) % 40).alias("question"), F.when(easy, "easy").otherwise("particularly_difficult").alias("examiner_band"), F.when(easy, 2).otherwise(5).alias("difficulty"),
         none.alias("common_incorrect"), strings.alias("common_errors"), none.alias("examiner_notes"), none.alias("difficulty_source"), *[F.lit(None).cast("double").alias(c) for c in enrich.NULLED],
     )
     return enrich.merge_reports(questions, rows, None, "report").select("doc_id", "difficulty", F.col("examiner_band").alias("band"), "er_year", "er_paper", F.col("examiner_report_source").alias("source"))

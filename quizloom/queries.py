@@ -463,10 +463,19 @@ def interval_best_overlap(spark, sf_dir):
     return geometry.best_overlap(items, bands, ["doc"]).select("item", long(F.col("question")).alias("question"), "score")
 
 
-@query("""WITH n AS (SELECT unnest(['x_s21_qp_11.pdf', 'x_w20_ms_21.pdf', 'x_s21_qp_12.pdf', 'x_m22_er.pdf', 'notes.txt']) AS name) SELECT regexp_extract(name, '_([swm][0-9]{2})_', 1) AS season, count(*) FILTER (WHERE contains(name, '_qp_')) AS qp, count(*) FILTER (WHERE contains(name, '_ms_')) AS ms, count(*) FILTER (WHERE contains(name, '_er')) AS er FROM n WHERE regexp_matches(name, '_[swm][0-9]{2}_(qp|ms|er)') GROUP BY ALL""")
+STAGED_SQL = "'x' || s_suppkey || '_' || substr('swm', CAST(s_suppkey % 3 AS INTEGER) + 1, 1) || (10 + s_suppkey % 13) || CASE s_suppkey % 5 WHEN 1 THEN '_ms_' || (11 + s_suppkey % 50) WHEN 2 THEN '_er' WHEN 3 THEN '_gt' ELSE '_qp_' || (11 + s_suppkey % 50) END || '.pdf'"
+
+
+@query(f"""WITH n AS (SELECT s_suppkey, {STAGED_SQL} AS name FROM supplier), f AS (SELECT * FROM n WHERE s_suppkey % 4 <> 1)
+SELECT regexp_extract(name, '_([swm][0-9]{{2}})_', 1) AS season, count(*) FILTER (WHERE contains(name, '_qp_')) AS qp, count(*) FILTER (WHERE contains(name, '_ms_')) AS ms, count(*) FILTER (WHERE contains(name, '_er')) AS er FROM f GROUP BY ALL""")
 def staged_by_season(spark, sf_dir):
-    names = spark.createDataFrame([(n,) for n in ("x_s21_qp_11.pdf", "x_w20_ms_21.pdf", "x_s21_qp_12.pdf", "x_m22_er.pdf", "notes.txt")], "name string")
-    return registry.staged_counts(registry.staged(names, names.limit(0)))
+    """File names of every supplier; those of every fourth are listed already."""
+    i = F.col("s_suppkey")
+    paper = (11 + i % 50).cast("string")
+    kind = F.when(i % 5 == 1, F.concat(F.lit("_ms_"), paper)).when(i % 5 == 2, "_er").when(i % 5 == 3, "_gt").otherwise(F.concat(F.lit("_qp_"), paper))
+    name = F.concat(F.lit("x"), i.cast("string"), F.lit("_"), F.substr(F.lit("swm"), (i % 3 + 1).cast("int"), F.lit(1)), (10 + i % 13).cast("string"), kind, F.lit(".pdf"))
+    names = table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name"))
+    return registry.staged_counts(registry.staged(names.select("name"), names.filter(i % 4 == 1).select("name")))
 
 
-from . import papers  # noqa: E402, F401  registers the queries over composed papers
+from . import pages, papers  # noqa: E402, F401  register the queries over composed papers and pages
