@@ -24,6 +24,7 @@ result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,6 +47,10 @@ ANSWERS = "bucket long, stripe int, places binary, counts binary, best binary"
 NUMBER = pa.int64()
 
 
+#: Fixed: the pre-token pattern of A for texts of ASCII alone.
+ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+
+
 class LeftTokenizer(ByteBPE):
     """A: byte-level merges with a store of words; special tokens are plain text. Long unbroken words go to the library, whose heap is faster on them."""
 
@@ -68,6 +73,9 @@ class LeftTokenizer(ByteBPE):
         own = [np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, np.int64) if x else next(short) for w, x in zip(words, long)]
         return np.concatenate(own), np.array([len(x) for x in own], np.int64)
 
+    def pretokens(self, text: str) -> list[str]:
+        return ASCII_PRETOKEN.findall(text) if text.isascii() else super().pretokens(text)
+
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if sum(map(len, self.index.fresh)) + len(self.ids) > STORE_CHARS:
             self.clear()
@@ -86,7 +94,8 @@ class RightTokenizer:
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.length = np.array([len(b) for b in self.bytes], np.int64)
         self.apart = all("▁" not in n.lstrip("▁") for n in names)
-        self.stretch = regex.compile(r" +[^ ]*|[^ ]+")
+        self.stretch = regex.compile(r" +[^ ]*")
+        self.space = [self.model.piece_to_id("▁")]
         self.forget()
 
     def forget(self) -> None:
@@ -94,14 +103,20 @@ class RightTokenizer:
         self.ids, self.at, self.len, self.good = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def learn(self, stretches: list[str]) -> None:
-        """A stretch begins with the space that the model adds by itself."""
-        ids = self.model.encode([s[1:] for s in stretches], num_threads=1)
+        """Stretches without their first space, which the model adds by itself, but to nothing."""
+        ids = [own if own else self.space for own in self.model.encode(stretches, num_threads=1)]
         n = np.array([len(i) for i in ids], np.int64)
-        good = [b"".join([self.bytes[i] for i in own]) == s.encode() for own, s in zip(ids, stretches)]
+        good = [b"".join([self.bytes[i] for i in own]) == b" " + s.encode() for own, s in zip(ids, stretches)]
         self.at = np.r_[self.at, len(self.ids) + np.cumsum(n) - n]
         self.len, self.good = np.r_[self.len, n], np.r_[self.good, np.array(good, bool)]
         self.ids = np.r_[self.ids, np.array([i for own in ids for i in own], np.int64)]
 
+    def cut(self, text: str) -> list[str]:
+        """Stretches of a space and the text, without their first space."""
+        if "  " in text or text[0] == " ":
+            return [s[1:] for s in self.stretch.findall(" " + text)]
+        return text.split(" ")
+
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, the number of each text's, and whether they give the text back."""
         if not self.apart:
@@ -112,7 +127,7 @@ class RightTokenizer:
             self.forget()
         number, slots = self.index.__getitem__, []
         for text in texts:
-            words = self.stretch.findall(" " + text)
+            words = self.cut(text) if text else []
             slots.append(np.fromiter(map(number, words), np.int64, len(words)))
         if self.index.fresh:
             self.chars += sum(map(len, self.index.fresh))
@@ -150,40 +165,37 @@ class Stretches:
     """The cuts of a block of texts, by A and by B, as offsets in all of its bytes."""
 
     def __init__(self, length_a: np.ndarray, length_b: np.ndarray):
-        ends_a, ends_b = np.cumsum(length_a), np.cumsum(length_b)
-        self.ends = np.union1d(ends_a, ends_b)
-        self.a = np.searchsorted(ends_a, self.ends)  # the token of each side that a stretch belongs to
-        self.b = np.searchsorted(ends_b, self.ends)
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        self.last_a, self.last_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)  # last tokens of each group
+        size = int(length_a.sum())
+        cut_a, cut_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+        cut_a[np.cumsum(length_a)], cut_b[np.cumsum(length_b)] = True, True
+        self.ends = np.flatnonzero(cut_a | cut_b)
+        own_a, own_b = cut_a[self.ends], cut_b[self.ends]
+        self.a, self.b = np.cumsum(own_a) - own_a, np.cumsum(own_b) - own_b  # the token of each side that a stretch belongs to
+        common = own_a & own_b
+        self.last_a, self.last_b = self.a[common], self.b[common]  # last tokens of each group
 
 
-def decimal_table(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def decimals(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The digits of 0 to size - 1 one after another, where each number begins and how many digits it has."""
     names = [str(i).encode() for i in range(size)]
     n = np.array([len(x) for x in names], np.int64)
     return np.frombuffer(b"".join(names), np.uint8), np.cumsum(n) - n, n
 
 
-@lru_cache(maxsize=2)
-def decimals(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return decimal_table(size)
-
-
-def spelled(ids_a: np.ndarray, ids_b: np.ndarray, cuts: Stretches) -> tuple[bytes, np.ndarray]:
-    """'a1,a2|b1;a3|b2;' of all groups, and where each group ends."""
-    digits, at, n = decimals(int(max(ids_a.max(initial=0), ids_b.max(initial=0))) + 1)
-    group_a = np.searchsorted(cuts.last_a, np.arange(len(ids_a)))
-    group_b = np.searchsorted(cuts.last_b, np.arange(len(ids_b)))
-    b_before = np.r_[0, cuts.last_b + 1][group_a]  # tokens of B in the groups before
-    a_up_to = (cuts.last_a + 1)[group_b]
-    place_a, place_b = np.arange(len(ids_a)) + b_before, np.arange(len(ids_b)) + a_up_to
+def spelled(ids_a: np.ndarray, ids_b: np.ndarray, cuts: Stretches, size: int) -> tuple[bytes, np.ndarray]:
+    """'a1,a2|b1;a3|b2;' of all groups, and where each group ends; ids are below size."""
+    digits, at, n = decimals(size)
+    in_group_a, in_group_b = np.diff(cuts.last_a, prepend=-1), np.diff(cuts.last_b, prepend=-1)
+    place_a = np.arange(len(ids_a)) + np.repeat(cuts.last_b + 1 - in_group_b, in_group_a)  # behind the tokens of B in the groups before
+    place_b = np.arange(len(ids_b)) + np.repeat(cuts.last_a + 1, in_group_b)
     word, mark = np.empty(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
     word[place_a], word[place_b] = ids_a, ids_b
     mark[place_a[cuts.last_a]], mark[place_b[cuts.last_b]] = ord("|"), ord(";")
-    ends = np.cumsum(n[word] + 1)
+    length = n[word]
+    ends = np.cumsum(length + 1)
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    out[ranges(ends - n[word] - 1, n[word])] = digits[ranges(at[word], n[word])]
+    out[ranges(ends - length - 1, length)] = digits[ranges(at[word], length)]
     out[ends - 1] = mark
     return out.tobytes(), ends[place_b[cuts.last_b]]
 
@@ -234,7 +246,7 @@ def figures(bucket: int, docs: list, texts: list[str], a: LeftTokenizer, b: Righ
     cuts = Stretches(a.piece_len[ids_a], b.length[ids_b])
     text_a = np.repeat(np.arange(some), n_a)
     text_of = text_a[cuts.a]
-    spelling, group_ends = spelled(ids_a, ids_b, cuts)
+    spelling, group_ends = spelled(ids_a, ids_b, cuts, max(len(a.piece_len), len(b.length)))
     groups = np.bincount(text_a[cuts.last_a], minlength=some)
     ends = np.r_[0, group_ends][np.cumsum(groups)]  # each text's part of the spelling
     digests = ["" if not g else hashlib.sha256(spelling[x : y - 1]).hexdigest() for g, x, y in zip(groups, np.r_[0, ends[:-1]], ends)]
