@@ -102,7 +102,7 @@ def headers_of(raw: bytes, what: str) -> tuple[str, dict[str, str], int]:
     name = None
     for line in lines:
         if line[:1] in (" ", "\t") and name:  # a folded line goes on
-            found[name] += " " + line.strip()
+            found[name] = f"{found[name]} {line.strip()}".strip()
             continue
         name, colon, value = line.partition(":")
         name = name.lower()
@@ -303,7 +303,7 @@ class WarcWriter(DataSourceArrowWriter):
 
         def opened():
             files.append(f"part-{uuid.uuid4().hex}.warc.zst")
-            stream = system.open_output_stream(f"{folder}/{files[-1]}")
+            stream = system.open_output_stream(f"{folder}/{files[-1]}", compression=None)  # frames are made here, not guessed from the name
             head = dictionary_frame(dictionary) if dictionary else b""
             info = record("warcinfo", f"urn:uuid:{uuid.uuid4()}", date, b"software: quizloom\r\nformat: WARC File Format 1.1\r\n", [("WARC-Filename", files[-1])], "application/warc-fields")
             stream.write(head + codec.compress(info))
@@ -377,7 +377,7 @@ class WarcReader(DataSourceReader):
         schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in RECORDS.split(", "))])
         system, _ = storage(self.path)
         rows, size = [], 0
-        with system.open_input_stream(partition.path) as file:
+        with system.open_input_stream(partition.path, compression=None) as file:
             for found in records_in(file, partition.path.rpartition("/")[2]):
                 if self.strict and found.get("problem"):
                     raise Broken(f"{partition.path} at {found['offset']}: {found['problem']}")
@@ -403,7 +403,10 @@ def train(pages: DataFrame, rows: int = SAMPLE_ROWS, most: int = DICTIONARY_BYTE
     """A dictionary from at most so many payloads, of which the first SAMPLE_BYTES are shown to the trainer; None where there is too little to train on.
 
     It bears on the size of archives alone, never on what they hold."""
-    sample = pages.filter("octet_length(html) > 0").select(F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("html"), F.xxhash64("page_id", "html").alias("h")).orderBy("h").limit(rows)
+    some = pages.filter("octet_length(html) > 0").select(F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("html"), F.xxhash64("page_id", "html").alias("h"))
+    # about twice as many rows as are asked for reach the driver, whatever the number of partitions
+    share = min(1.0, 2.0 * rows / max(1, some.count()))
+    sample = some.filter(F.col("h") <= int(-(2**63) + share * (2**64 - 1025))).orderBy("h").limit(rows)
     shown = [bytes(r["html"]) for r in sample.collect()]
     if not shown:
         return None
