@@ -138,3 +138,37 @@ def normal_skills(skills: Column, synonyms: dict[str, str], fallback: str = "rec
     named = F.transform(skills, lambda s: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in synonyms.items() for x in p]), s), s))
     known = F.array_distinct(F.filter(named, lambda s: s.isin(SKILLS)))
     return F.when(F.size(known) > 0, known).otherwise(F.array(F.lit(fallback)))
+
+
+# ---------------------------------------------------------------- rewriting the vocabulary
+
+
+def expanded_outcomes(found: DataFrame) -> DataFrame:
+    """(code, outcomes): the outcomes of each subtopic from what was read of it (code, ord, num, text, parts of letter and text), in order.
+
+    Lettered parts are outcomes of their own, each after the shared text; one without parts needs a text."""
+    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    text, key = clean(F.col("text")), F.concat("code", F.lit("-"), F.col("num").cast("string"))
+    part = lambda p: F.struct(F.concat(key, p["letter"]).alias("id"), F.when(text != "", F.concat(text, F.lit(" ("), p["letter"], F.lit(") "), clean(p["text"]))).otherwise(clean(p["text"])).alias("text"))
+    whole = F.when(text != "", F.array(F.struct(key.alias("id"), text.alias("text")))).otherwise(F.array().cast("array<struct<id:string,text:string>>"))
+    own = F.when(F.size("parts") > 0, F.transform("parts", part)).otherwise(whole)
+    rows = found.select("code", "ord", own.alias("own"))
+    return rows.groupBy("code").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "own"))), lambda s: s["own"])).alias("outcomes"))
+
+
+def merged_vocabulary(topics: DataFrame, found: DataFrame) -> DataFrame:
+    """topics with the learning outcomes of every subtopic as they were read; topics, subtopics and all their other fields stay as they
+    are and where they are. A subtopic of which nothing was read has none."""
+    none = F.array().cast("array<struct<id:string,text:string>>")
+    subs = topics.select(F.col("code").alias("_topic"), F.posexplode("subtopics").alias("_at", "_sub"))
+    met = subs.join(expanded_outcomes(found).select(F.col("code").alias("_code"), F.col("outcomes").alias("_outcomes")), F.col("_sub.code") == F.col("_code"), "left")
+    filled = F.col("_sub").withField("learning_outcomes", F.coalesce("_outcomes", none))
+    back = met.groupBy("_topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", filled.alias("_sub")))), lambda s: s["_sub"]).alias("_subs"))
+    out = topics.join(back, F.col("code") == F.col("_topic"), "left")
+    return out.select(*[F.coalesce("_subs", "subtopics").alias(c) if c == "subtopics" else F.col(c) for c in topics.columns])
+
+
+def vocabulary_counts(topics: DataFrame) -> DataFrame:
+    """One row: subtopics, their outcomes, and subtopics without any."""
+    rows = topics.select(F.explode("subtopics").alias("s")).select(F.size("s.learning_outcomes").alias("n"))
+    return rows.agg(F.count("*").alias("subtopics"), F.coalesce(F.sum("n"), F.lit(0)).alias("outcomes"), F.count_if(F.col("n") == 0).alias("empty"))

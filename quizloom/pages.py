@@ -5,12 +5,15 @@ As in papers.py the SQL states what was composed, so it computes places and neve
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import clips, split
-from .papers import joined, said
+from .operators import clips, enrich, export, geometry, split, staging, symbols, tagging
+from .papers import joined, said, topics
 from .queries import long, query, table
+from .sources import store
 
 # ---------------------------------------------------------------- multiple-choice papers with false numbers
 
@@ -250,3 +253,183 @@ def mark_scheme_rows(spark, sf_dir):
 def mark_scheme_clips(spark, sf_dir):
     words, pages = scheme_words(spark, sf_dir)
     return placed(clips.scheme_clips(clips.scheme_rows(clips.upright(words, pages), pages)), "question")
+
+
+# ---------------------------------------------------------------- notes of papers, in two versions
+
+#: Twenty documents a paper; every second paper has parts. The papers of one in seven lack a clip once. Run 1 lacks the ids with 2 at the end, run 2 those
+#: with 0, and in run 2 those with 1 say something else.
+NOTES_SQL = """d AS (SELECT doc_id, doc_id // 20 AS p, doc_id % 20 AS n, doc_id % 10 AS e, (doc_id // 20) % 2 = 1 AS parted, run FROM documents, (SELECT unnest([1, 2]) AS run) r WHERE NOT (run = 1 AND doc_id % 10 = 2) AND NOT (run = 2 AND doc_id % 10 = 0)),
+bad AS (SELECT DISTINCT run, p FROM d WHERE p % 7 = 3 AND n = 5), ok AS (SELECT d.* FROM d LEFT JOIN bad ON d.run = bad.run AND d.p = bad.p WHERE bad.p IS NULL),
+n AS (SELECT run, 'questions/q' || doc_id || '.md' AS path, 'question' AS kind, CASE WHEN e = 1 THEN run END || '' AS said FROM ok
+    UNION ALL SELECT run, 'syllabus/' || (e + 1) || '.1.md', 'code', string_agg('q' || doc_id, ',' ORDER BY 'q' || doc_id) FROM ok GROUP BY run, e
+    UNION ALL SELECT DISTINCT run, 'syllabus/' || (e + 1) || '.md', 'code', '' FROM ok
+    UNION ALL SELECT run, 'syllabus/lo/' || (e + 1) || '.1-1.md', 'outcome', string_agg('q' || doc_id, ',' ORDER BY 'q' || doc_id) FROM ok GROUP BY run, e
+    UNION ALL SELECT run, 'papers/p' || p || '.md', 'paper', string_agg('q' || doc_id, ',' ORDER BY doc_id) FROM ok GROUP BY run, p
+    UNION ALL SELECT run, 'questions/p' || p || '-q' || (n // 2 + 1) || '.md', 'index', string_agg('q' || doc_id, ',' ORDER BY doc_id) FROM ok WHERE parted GROUP BY run, p, n // 2)"""
+
+
+def exported(spark: SparkSession, sf_dir: str, run: int) -> tuple[DataFrame, DataFrame]:
+    """The notes of a run and its findings."""
+    i, p, n = F.col("doc_id"), F.floor(F.col("doc_id") / 20), F.col("doc_id") % 20
+    docs = table(spark, sf_dir, "documents").filter(i % 10 != (2 if run == 1 else 0))
+    question = F.when(p % 2 == 1, said(F.floor(n / 2) + 1, F.when(n % 2 == 0, "(a)").otherwise("(b)"))).otherwise(said(n + 1))
+    paper, code = said("p", p).alias("paper_id"), said(i % 10 + 1, ".1")
+    records = docs.select(
+        paper, said("q", i).alias("id"), question.alias("question"), F.when(p % 2 == 1, said(F.floor(n / 2) + 1)).alias("parent_question"),
+        F.array(code).alias("syllabus_codes"), F.array(said(code, "-1"), F.lit(" ")).alias("learning_outcomes"),
+    )
+    text = said("Say ", F.col("lang"), F.when((i % 10 == 1) & F.lit(run == 2), " again").otherwise(""), ".\nSection B\n\n7\nThe rest of it.\nA x B y C z D w\n--- MARK SCHEME ---\nM1 for it")
+    drafts = docs.select(paper, export.draft_stem(question).alias("stem"), text.alias("text"))
+    clips_of = docs.filter(~((p % 7 == 3) & (n == 5))).select(paper, question.alias("question"), said("assets/q", i, "-paper.png").alias("path"), F.lit(1).alias("ord"))
+    more = docs.filter(i % 3 == 0).select(paper, question.alias("question"), said("assets/q", i, "-ms.png").alias("path"), F.lit(2).alias("ord"))
+    rows, found = export.whole_papers(store.kept(export.gathered(records, drafts, clips_of.unionByName(more)), "records"))
+    rows = store.kept(rows, "whole")
+    none = spark.createDataFrame([], "code string, title string, lo_id string, parent_code string, text string")
+    return export.notes(rows, none.select("code", "title"), none.select("lo_id", "parent_code", "text"), ["id", "question", "syllabus_codes"]), found
+
+
+@query(f"""WITH {NOTES_SQL}, a AS (SELECT * FROM n WHERE run = 1), b AS (SELECT * FROM n WHERE run = 2)
+SELECT coalesce(b.path, a.path) AS path, coalesce(b.kind, a.kind) AS kind, CASE WHEN b.path IS NULL THEN 'gone' WHEN a.path IS NULL THEN 'new' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.said IS DISTINCT FROM b.said""")
+def exported_changes(spark, sf_dir):
+    """What the second of two exports writes."""
+    root = f"{store.shared_folder(spark)}/quizloom/{uuid.uuid4().hex}/notes"
+    store.publish(exported(spark, sf_dir, 1)[0], root)
+    return store.publish(exported(spark, sf_dir, 2)[0], root).select("path", "kind", "change")
+
+
+@query("SELECT 'p' || doc_id // 20 AS paper_id, 'q' || doc_id AS id, 'missing_paper_clip' AS problem FROM documents WHERE (doc_id // 20) % 7 = 3 AND doc_id % 20 = 5")
+def export_findings(spark, sf_dir):
+    return exported(spark, sf_dir, 1)[1]
+
+
+# ---------------------------------------------------------------- rules as rows, and the vocabulary rewritten
+
+RULE_ROWS = [  # place, pattern, codes, outcomes, skills, whether it needs an outcome; the vocabulary has no 9.1, 7.7 and 1.1-9
+    (0, r"(?i)\blicense\b", "9.1", "9.1-1", "recall", True), (1, r"(?i)\bthat\b.*\bwith\b", "7.7 2.2", "2.2-1 7.7-1", "define draw", True), (2, r"(?i)\bthe\b", "1.1", "1.1-9", "recall", True),
+    (3, r"(?i)\bder\b", "3.9 3.3", "", "juggle", False), (4, "[0-9]{3,}", "3.3 1.1", "", "explain", False), (5, r"(?i)\bla\b", "9.9", "", "recall", False), (6, "en", "3.3", "3.3-1", "predict explain", True),
+]
+
+
+@query(f"""WITH r(place, pattern, codes, outcomes, needs) AS (VALUES {", ".join(f"({i}, '{p}', '{c}', '{o}', {n})" for i, p, c, o, _, n in RULE_ROWS)}),
+v AS (SELECT list((n_regionkey + 1) || '.' || (n_nationkey + 1)) AS vc, list((n_regionkey + 1) || '.' || (n_nationkey + 1) || '-1') AS vo FROM nation),
+k AS (SELECT r.*, list_filter(string_split(codes, ' '), lambda c: list_contains(vc, c)) AS own, list_filter(string_split(outcomes, ' '), lambda o: list_contains(vo, o)) AS los FROM r, v),
+g AS (SELECT * FROM k WHERE len(own) > 0 AND (NOT needs OR len(los) > 0)),
+m AS (SELECT doc_id, min(place) AS place FROM documents JOIN g ON regexp_matches(text, pattern) GROUP BY doc_id),
+d AS (SELECT documents.doc_id, g.place, coalesce(own, ['1']) AS own, coalesce(los, []) AS los FROM documents LEFT JOIN m ON documents.doc_id = m.doc_id LEFT JOIN g ON m.place = g.place)
+SELECT doc_id, CAST(place AS INTEGER) AS rule, array_to_string(own, ',') AS codes, CASE WHEN len(los) > 0 THEN array_to_string(los, ',') WHEN place IS NULL THEN NULL ELSE array_to_string(list_transform(own, lambda c: c || '-1'), ',') END AS outcomes,
+    CASE place WHEN 1 THEN 'recall,draw' WHEN 4 THEN 'explain' WHEN 6 THEN 'explain' ELSE 'recall' END AS skills FROM d""")
+def ruled_tags(spark, sf_dir):
+    codes, outcomes = enrich.vocabulary(topics(spark, sf_dir))
+    rows = [(i, "body", p, c.split(), o.split(), s.split(), n) for i, p, c, o, s, n in RULE_ROWS]
+    records = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    out = tagging.tagged(records, spark.createDataFrame(rows, tagging.RULES), codes, outcomes)
+    return out.select("doc_id", "rule", F.array_join("syllabus_codes", ",").alias("codes"), F.nullif(F.array_join("learning_outcomes", ","), F.lit("")).alias("outcomes"), F.array_join("skills", ",").alias("skills"))
+
+
+READ_SQL = """s AS (SELECT (n_regionkey + 1) || '.' || (n_nationkey + 1) AS code, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS num, s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 4 <> 3),
+o AS (SELECT code, num, 0 AS part, code || '-' || num AS id, 'know ' || s_name AS text FROM s WHERE s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0
+    UNION ALL SELECT code, num, p, code || '-' || num || substr('ab', p, 1), CASE WHEN s_suppkey % 5 <> 0 THEN 'know ' || s_name || ' (' || substr('ab', p, 1) || ') ' ELSE '' END || 'part ' || p FROM s, (SELECT unnest([1, 2]) AS p) t WHERE s_suppkey % 3 = 0)"""
+
+
+def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as the outcomes that were read of their nation's subtopic: every third has parts, every fifth no text; every fourth nation has none."""
+    i = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).filter("n_nationkey % 4 <> 3")
+    num = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    parts = F.array(*[F.struct(F.lit(c).alias("letter"), F.lit(f" part  {n}").alias("text")) for n, c in enumerate("ab", 1)])
+    found = rows.select(
+        said(F.col("n_regionkey") + 1, ".", F.col("n_nationkey") + 1).alias("code"), num.alias("ord"), num.alias("num"), F.when(i % 5 != 0, said("know  ", F.col("s_name"), "\n")).alias("text"),
+        F.when(i % 3 == 0, parts).otherwise(F.slice(parts, 1, 0)).alias("parts"),
+    )
+    return enrich.merged_vocabulary(topics(spark, sf_dir).withColumn("colour", F.concat(F.lit("of "), "title")), found)
+
+
+@query(f"""WITH {READ_SQL} SELECT 'of ' || r_name AS colour, n_name AS title, o.id, o.text, row_number() OVER (PARTITION BY o.code ORDER BY num, part) AS place
+FROM o JOIN nation ON o.code = (n_regionkey + 1) || '.' || (n_nationkey + 1) JOIN region ON n_regionkey = r_regionkey""")
+def merged_vocabulary(spark, sf_dir):
+    subs = rewritten(spark, sf_dir).select("colour", F.explode("subtopics").alias("s"))
+    return subs.select("colour", "s.title", F.posexplode("s.learning_outcomes").alias("at", "o")).select("colour", "title", "o.id", "o.text", long(F.col("at") + 1).alias("place"))
+
+
+@query(f"WITH {READ_SQL}, n AS (SELECT n_nationkey, (n_regionkey + 1) || '.' || (n_nationkey + 1) AS code FROM nation) SELECT (SELECT count(*) FROM n) AS subtopics, (SELECT count(*) FROM o) AS outcomes, (SELECT count(*) FROM n WHERE code NOT IN (SELECT code FROM o)) AS empty")
+def vocabulary_counts(spark, sf_dir):
+    return enrich.vocabulary_counts(rewritten(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- papers through stages
+
+STAGED_PAPERS_SQL = """p AS (SELECT s_suppkey AS i, s_suppkey % 7 NOT IN (3, 5) AS good, s_suppkey % 10 = 1 AS more FROM supplier),
+o AS (SELECT i, 'split' AS stage, CASE WHEN good AND more THEN 2 ELSE 1 END AS run, CASE WHEN good THEN 'ok' ELSE 'failed' END AS status, CASE i % 7 WHEN 3 THEN 'no_paper' WHEN 5 THEN 'no_questions' END AS detail, CASE WHEN good AND more THEN 4 WHEN good THEN 3 ELSE 0 END AS n FROM p
+    UNION ALL SELECT i, 'marks', CASE WHEN more THEN 2 ELSE 1 END, CASE i % 3 WHEN 0 THEN 'skipped' WHEN 1 THEN 'ok' ELSE 'failed' END, CASE i % 3 WHEN 0 THEN 'no_scheme' WHEN 2 THEN 'no_marks' END, CASE i % 3 WHEN 1 THEN 2 ELSE 0 END FROM p WHERE good
+    UNION ALL SELECT i, 'report', CASE WHEN more THEN 2 ELSE 1 END, CASE WHEN i % 2 = 0 THEN 'skipped' WHEN i % 4 = 1 THEN 'ok' ELSE 'failed' END, CASE WHEN i % 2 = 0 THEN 'no_report' WHEN i % 4 = 3 THEN 'no_facts' END, CASE WHEN i % 4 = 1 THEN 1 ELSE 0 END FROM p WHERE good)"""
+
+
+def staged_papers(spark: SparkSession, sf_dir: str, run: int) -> tuple[DataFrame, DataFrame]:
+    i = F.col("s_suppkey")
+    paper = "Answer all.\n1 Explain what is meant by this.\n(a) State it.\n(b) Name it.\n2 Describe the other thing here.\n(a) Draw it."
+    more = F.when((i % 10 == 1) & F.lit(run == 2), "\n3 Explain the third thing of it.\n(a) Say it.").otherwise("")
+    report = "9701 Chemistry June 2021\nPaper 9701/11\nMultiple Choice\nGeneral comments\nQuestion 3 were found to be easy."
+    texts = {"qp": F.when(i % 7 == 5, "No questions here.").when(i % 7 != 3, F.concat(F.lit(paper), more)), "ms": F.when(i % 3 == 1, "1(a)\nM1\n2(a)\nA1").when(i % 3 == 2, "nothing"), "er": F.when(i % 4 == 1, report).when(i % 4 == 3, "nothing")}
+    rows = table(spark, sf_dir, "supplier").select(said("p", i).alias("paper_id"), *[t.alias(k) for k, t in texts.items()])
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("text")) for k in texts])).alias("d")
+    return rows.select("paper_id"), rows.select("paper_id", kinds).select("paper_id", "d.kind", "d.text").filter("text is not null")
+
+
+@query(f"WITH {STAGED_PAPERS_SQL} SELECT 'p' || i AS paper_id, stage, run, status, detail, CAST(n AS BIGINT) AS n FROM o")
+def staged_outcomes(spark, sf_dir):
+    """Two runs; the second does only what changed."""
+    root = f"{store.shared_folder(spark)}/quizloom/{uuid.uuid4().hex}/papers"
+    staging.run(spark, root, *staged_papers(spark, sf_dir, 1))
+    return staging.run(spark, root, *staged_papers(spark, sf_dir, 2)).select("paper_id", "stage", "run", "status", "detail", "n")
+
+
+# ---------------------------------------------------------------- drawn symbols
+
+SIGNS_SQL = """p AS (SELECT p_partkey AS doc, p_size % 5 AS v, p_partkey % 3 AS a, 200 + p_size AS x FROM part),
+s AS (SELECT *, x + CASE WHEN v = 4 THEN 22 ELSE 18 END AS x1, 'ΔH' || CASE WHEN v = 4 THEN substr('₁₂₃', CAST(doc % 3 AS INTEGER) + 1, 1) ELSE '' END || '⦵' AS text FROM p WHERE v IN (0, 4))"""
+
+
+def drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Strokes, glyphs and texts of one page a part: signs (variants 0 and 4) and what is none: no bar, too few strokes, two groups."""
+    v, x, rows = F.col("p_size") % 5, (200 + F.col("p_size")).cast("double"), table(spark, sf_dir, "part")
+    shift = F.when(v == 3, 10.0).otherwise(0.0)
+    stroke = lambda n, x0, y0, x1, y1, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(n).alias("ord"), (x + x0).alias("x0"), F.lit(100.0 + y0).alias("y0"), (x + x1).alias("x1"), (F.lit(100.0) + y1).alias("y1")))
+    strokes = F.array_compact(F.array(
+        stroke(1, 0.0, 0.0, 6.0, F.lit(8.0)), stroke(2, 7.0 + shift, 0.0, 13.0 + shift, F.lit(8.0)), stroke(3, 14.0 + shift, 4.0, 18.0 + shift, F.when(v == 1, 6.0).otherwise(4.6)), stroke(4, 14.5 + shift, 1.0, 17.0 + shift, F.lit(3.5), v != 2),
+        stroke(5, 19.0, 3.0, 22.0, F.lit(8.0), v == 4), stroke(6, -150.0, 20.0, 50.0, F.lit(20.5)), stroke(7, 40.0, 4.0, 40.3, F.lit(4.3)),
+    ))
+    page = [F.col("p_partkey").alias("doc"), F.lit(1).alias("page")]
+    drawn_rows = rows.select(*page, F.explode(strokes).alias("s")).select("doc", "page", "s.*")
+    glyphs = rows.filter(v == 4).select(*page, F.lit(5).alias("ord"), (F.col("p_partkey") % 3 + 1).cast("string").alias("char"))
+    a = F.col("p_partkey") % 3
+    token = lambda x0, x1, text: F.struct(x0.cast("double").alias("x0"), F.lit(114.0).alias("y0"), x1.cast("double").alias("x1"), F.lit(124.0).alias("y1"), text.alias("text"))
+    left_end = F.when(a == 1, x + 9).otherwise(F.lit(130.0))
+    texts = F.array(token(F.lit(100.0), left_end, F.when(a == 0, "carbon").otherwise("C(s)")), token(F.when(a == 1, x + 14).otherwise(F.lit(300.0)), F.lit(340.0), F.lit("CO2(g)")))
+    return drawn_rows, glyphs, rows.select(*page, F.explode(texts).alias("t")).select("doc", "page", "t.*", F.lit("text").alias("kind"))
+
+
+@query(f"WITH {SIGNS_SQL} SELECT doc, CAST(x AS DOUBLE) AS x0, CAST(100 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(108 AS DOUBLE) AS y1, text FROM s")
+def enthalpy_signs(spark, sf_dir):
+    strokes, glyphs, _ = drawn(spark, sf_dir)
+    return symbols.enthalpy_signs(strokes, glyphs).select("doc", "x0", "y0", "x1", "y1", "text")
+
+
+@query(f"""WITH {SIGNS_SQL} SELECT doc, 'sign' AS what, CAST(CASE WHEN a = 2 THEN 215 - (x1 - x) / 2 ELSE x END AS DOUBLE) AS x0, CAST(CASE WHEN a = 2 THEN 112 ELSE 100 END AS DOUBLE) AS y0, CAST(CASE WHEN a = 2 THEN 233 - (x1 - x) / 2 ELSE x1 END AS DOUBLE) AS x1, CAST(CASE WHEN a = 2 THEN 124 ELSE 108 END AS DOUBLE) AS y1 FROM s
+UNION ALL SELECT doc, 'arrow', 211, 114, 219, 124 FROM s WHERE a = 2""")
+def reaction_arrows(spark, sf_dir):
+    strokes, glyphs, texts = drawn(spark, sf_dir)
+    arrows, signs = symbols.reaction_arrows(texts.unionByName(symbols.enthalpy_signs(strokes, glyphs)))
+    own = ["doc", "x0", "y0", "x1", "y1"]
+    return signs.select(*own, F.lit("sign").alias("what")).unionByName(arrows.select(*own, F.lit("arrow").alias("what")))
+
+
+@query(f"""WITH {SIGNS_SQL}, t AS (SELECT p.doc, p.a, s.text AS sign FROM p LEFT JOIN s ON p.doc = s.doc)
+SELECT doc, CASE WHEN a = 0 THEN 'carbon' ELSE 'C(s)' END || CASE WHEN a = 2 AND sign IS NOT NULL THEN ' ' || sign || '→' ELSE '' END || ' CO2(g)' AS line FROM t""")
+def lines_with_symbols(spark, sf_dir):
+    """The line of a reaction as it reads with its sign and arrow."""
+    strokes, glyphs, texts = drawn(spark, sf_dir)
+    tokens = symbols.with_symbols(texts, strokes, glyphs).withColumn("doc", F.col("doc").cast("string")).withColumn("ord", F.monotonically_increasing_id())
+    lines = geometry.page_lines(tokens).filter(F.contains("text", F.lit("CO2(g)")))
+    return lines.select(long(F.col("doc")).alias("doc"), F.col("text").alias("line"))
