@@ -22,7 +22,8 @@ HEAD_LINE = r"(?i)^\d{1,2}\([a-z]\)(?:\([ivx]+\))?\s*$"
 
 def lines_of(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     """(doc, n, line, page, style): every line with the page it stands on, the last page mark before it."""
-    rows = docs.select(key, paper_style(F.col(text)).alias("style"), F.posexplode(F.split(text, "\n")).alias("n", "line"))
+    styled = docs.select(key, text, paper_style(F.col(text)).alias("style"))  # a step before the lines, or it would be found anew for each
+    rows = styled.select(key, "style", F.posexplode(F.split(text, "\n")).alias("n", "line"))
     mark = F.nullif(F.regexp_extract("line", PAGE_LINE, 1), F.lit("")).cast("int")
     w = Window.partitionBy(key).orderBy("n")
     return rows.withColumn("page", F.last(mark, ignorenulls=True).over(w))
