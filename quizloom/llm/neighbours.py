@@ -10,7 +10,9 @@ A list is too short where many vectors are as near as the code can tell apart, s
 coding error is spread over all directions, so a score is off by about the error over the root of the
 dimension, times the query's norm. Where the last guess of a list is within SURE of these of its last
 answer, the query goes over the codes again, and every candidate whose guess is that near is reranked,
-however many there are. Nothing else is scored: neither pass leaves the codes out.
+however many there are. Nothing else is scored: neither pass leaves the codes out. SURE is a typical error, not a
+bound: answers are approximate, with a recall that is measured, and the last bits of the books, hence single codes,
+may differ between machines.
 
 The books are fitted on at most SAMPLE vectors (those with the smallest hash of their id), by residual
 k-means and rounds of encoding and least squares; every vector is coded. Queries and candidates meet
