@@ -150,3 +150,36 @@ def pairs(text: Column) -> Column:
     entries = F.transform(parts, lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))).alias("key"), F.trim(F.substr(p, F.instr(p, "=") + 1)).alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda later: later["key"] == e["key"]))
     return F.map_from_entries(last)
+
+
+def has_options(question_type: Column, paper: Column) -> Column:
+    """Whether a question must show options: by its type, else by its paper's kind; where neither is known it must."""
+    kind = F.lower(F.coalesce(question_type, F.lit("")))
+    return F.when(kind.isin("structured", "extended", "practical", "data"), False).when((kind == "mcq") | paper.isNull(), True).otherwise(paper_kind(paper) == "mcq")
+
+
+def name_needs_options(name: Column) -> Column:
+    """The same by a file's name: only those of other papers than the first need none."""
+    number = F.regexp_extract(name, r"(?i)qp_(\d+)", 1)
+    return F.when(number != "", paper_kind(number) == "mcq").otherwise(True)
+
+
+def leading_int(value: Column) -> Column:
+    """The whole number that a text begins with, 0 where it begins with none."""
+    return F.coalesce(F.regexp_extract(value.cast("string"), r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
+
+
+def quiz_order(year: Column, paper: Column, question: Column) -> list[Column]:
+    """By year, then by the numbers that paper and question begin with."""
+    return [leading_int(year), leading_int(paper), leading_int(question)]
+
+
+def source_label(year: Column, session: Column, paper: Column) -> Column:
+    """2021 MJ P11, without what isn't known."""
+    return F.concat(F.coalesce(F.nullif(year.cast("string"), F.lit("")), F.lit("?")), F.lit(" "), F.coalesce(F.concat(F.nullif(session, F.lit("")), F.lit(" ")), F.lit("")), F.coalesce(F.concat(F.lit("P"), F.nullif(paper.cast("string"), F.lit(""))), F.lit("")))
+
+
+def one_line(text: Column, most: int) -> Column:
+    """White space as single blanks, cut with a mark where it is longer."""
+    flat = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.length(flat) > most, F.concat(F.left(flat, F.lit(most)), F.lit("…"))).otherwise(flat)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SUBSCRIPTS, SUPERSCRIPTS, PLAIN = "₀₁₂₃₄₅₆₇₈₉₊₋", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻", "0123456789+-"
+#: Fixed: what can be lowered and raised besides.
+LOWERED, RAISED = {"=": "₌", "(": "₍", ")": "₎", "a": "ₐ", "e": "ₑ", "o": "ₒ", "x": "ₓ"}, {"=": "⁼", "(": "⁽", ")": "⁾"}
 ARROWS = ["\uf0ae", "\uf0d7", "\u2261", "\uff1d"]
 
 #: Fixed patterns: noise of page feet, mark grids read as text, page marks, sections of notes.
@@ -37,11 +39,11 @@ def from_scripts(text: Column) -> Column:
 
 
 def to_subscripts(text: Column) -> Column:
-    return F.translate(text, PLAIN, SUBSCRIPTS)
+    return F.translate(text, PLAIN + "".join(LOWERED), SUBSCRIPTS + "".join(LOWERED.values()))
 
 
 def to_superscripts(text: Column) -> Column:
-    return F.translate(text, PLAIN, SUPERSCRIPTS)
+    return F.translate(text, PLAIN + "".join(RAISED), SUPERSCRIPTS + "".join(RAISED.values()))
 
 
 def arrows(text: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions.text import LOWERED, PLAIN, RAISED, SUBSCRIPTS, SUPERSCRIPTS
+
 PAGE = ["doc", "page"]
 
 
@@ -103,7 +105,7 @@ def body_sizes(spans: DataFrame) -> DataFrame:
 
 
 TOKENS = "doc string, page int, ord int, x0 double, y0 double, x1 double, y1 double, text string, kind string"
-SUB, SUP, DIGITS = "₀₁₂₃₄₅₆₇₈₉₊₋", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻", "0123456789+-"
+LOW, HIGH = str.maketrans(dict(zip(PLAIN, SUBSCRIPTS)) | LOWERED), str.maketrans(dict(zip(PLAIN, SUPERSCRIPTS)) | RAISED)
 
 
 def tokens(spans: DataFrame, script: float = 0.78) -> DataFrame:
@@ -125,7 +127,7 @@ def tokens(spans: DataFrame, script: float = 0.78) -> DataFrame:
                 before = (last["y0"] + last["y1"]) / 2
                 if abs(before - middle) < r.body * 1.2 and x0 - last["x1"] < r.body:
                     raised = middle < before - r.body * 0.05
-                    last["text"] += text.strip().translate(str.maketrans(DIGITS, SUP if raised else SUB))
+                    last["text"] += text.strip().translate(HIGH if raised else LOW)
                     last.update(x1=max(last["x1"], r.x1), y0=min(last["y0"], r.y0), y1=max(last["y1"], r.y1))
                     continue
             out.append({"doc": r.doc, "page": r.page, "ord": len(out), "x0": x0, "y0": r.y0, "x1": r.x1, "y1": r.y1, "text": text, "kind": "text"})

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST_NAMES = 1000  #: names that may be looked for inside others
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key. row_number with a limit of 1 is cut on the map side before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -73,3 +76,21 @@ def first_existing(wanted: DataFrame, candidates: Column, files: DataFrame, key:
     """(key, path): of each row's candidate paths, in their order, the first that the listing has. Paths that climb out of their root are none."""
     rows = wanted.select(key, F.posexplode(candidates).alias("pos", path)).filter(~F.col(path).rlike(r"(^|/)\.\.(/|$)"))
     return rows.join(files.select(path).distinct(), path).groupBy(key).agg(F.min_by(path, "pos").alias(path))
+
+
+def resolved_names(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """(asked, path): for each name asked for the file that is meant, of files (path, place of its folder): the path itself, else the first whose
+    stem it is, else the first whose stem holds it, folder by folder and by name; names that nothing fits are left out.
+
+    Exact names are met by key. Only the names that are left, a question's few, are looked for inside all stems."""
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    known = files.select("path", "place", stem.alias("stem"))
+    wanted = asked.select("asked").distinct()
+    exact = wanted.join(known, F.col("asked") == F.col("path")).select("asked", "path", F.lit(1).alias("rank"), "place")
+    same = wanted.join(known, F.col("asked") == F.col("stem")).select("asked", "path", F.lit(2).alias("rank"), "place")
+    met = exact.unionByName(same)
+    rest = wanted.join(met.select("asked").distinct(), "asked", "left_anti").filter("asked <> ''")
+    if rest.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names are neither a path nor a stem")
+    inside = known.join(F.broadcast(rest), F.contains("stem", "asked")).select("asked", "path", F.lit(3).alias("rank"), "place")
+    return first_by(met.unionByName(inside), ["asked"], [F.col("rank"), F.col("place"), F.col("path")]).select("asked", "path")

@@ -22,12 +22,9 @@ KEY_PAIR = r"(?:^|\s)(\d{1,2})\s*\n?\s*([A-D])(?=\s|$)"
 
 def sections(reports: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     """(doc, year, session, paper, title, section): a row for each paper of a report; reports without a session have none."""
-    head = reports.filter(F.col(text).rlike(SESSION)).select(
-        key,
-        F.regexp_extract(text, SESSION, 2).cast("int").alias("year"),
-        F.element_at(literal_map(MONTHS), F.lower(F.regexp_extract(text, SESSION, 1))).alias("session"),
-        F.posexplode(F.split(text, r"(?i)(?=Paper\s+\d{4}/\d+\s*\n)")).alias("ord", "section"),
-    )
+    month = F.element_at(literal_map(MONTHS), F.lower(F.regexp_extract(text, SESSION, 1)))
+    dated = reports.filter(F.col(text).rlike(SESSION)).select(key, text, F.regexp_extract(text, SESSION, 2).cast("int").alias("year"), month.alias("session"))  # once a report
+    head = dated.select(key, "year", "session", F.posexplode(F.split(text, r"(?i)(?=Paper\s+\d{4}/\d+\s*\n)")).alias("ord", "section"))
     rows = head.filter(F.col("section").rlike(rf"(?i)^{PAPER[4:]}"))
     return rows.select(key, "year", "session", F.regexp_extract("section", PAPER, 1).alias("paper"), F.trim(F.regexp_extract("section", PAPER, 2)).alias("title"), "ord", "section")
 

@@ -94,3 +94,11 @@ def progress(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     seen = F.count_if(F.col("seen") > 0)
     right = F.count_if((F.col("seen") > 0) & (F.col("mistakes") == 0))
     return states.groupBy(*by).agg(seen.alias("seen"), F.count_if(F.col("mistakes") > 0).alias("wrong"), percent(F.when(seen > 0, right / seen)).alias("acc"))
+
+
+def round_summary(states: DataFrame, current: DataFrame, key: str = "question_id", by: Sequence[str] = ()) -> DataFrame:
+    """Of the questions of a round (by, key): how many there are, how many of them were answered, and the share that was ever right."""
+    met = current.join(states.select(*by, key, "seen", "ok"), [*by, key], "left")
+    done = F.count_if(F.col("seen") > 0)
+    right = F.count_if((F.col("seen") > 0) & F.col("ok"))
+    return met.groupBy(*by).agg(F.count("*").alias("questions"), done.alias("done"), F.coalesce(percent(F.when(done > 0, right / done)), F.lit(0)).cast("long").alias("acc"))

@@ -478,4 +478,4 @@ def staged_by_season(spark, sf_dir):
     return registry.staged_counts(registry.staged(names.select("name"), names.filter(i % 4 == 1).select("name")))
 
 
-from . import pages, papers  # noqa: E402, F401  register the queries over composed papers and pages
+from . import filings, pages, papers  # noqa: E402, F401  register the queries over composed papers, pages and files

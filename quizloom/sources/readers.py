@@ -108,3 +108,22 @@ def pick(spark: SparkSession, path: str) -> DataFrame:
     whole = T.StructType([T.StructField("title", T.StringType()), T.StructField("slug", T.StringType()), T.StructField("questions", T.ArrayType(entry))])
     head = spark.read.schema(whole).option("multiLine", True).json(path)
     return head.select("title", "slug", F.posexplode("questions").alias("ord", "q")).select("title", "slug", "ord", "q.*")
+
+
+def drafts(spark: SparkSession, root: str, only: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """(question, text, _path) of the drafts q*.txt of a folder in the order of the first number in their names; only keeps some questions."""
+    rows = whole_files(spark, root, "q*.txt")
+    stem = F.regexp_extract("_path", r"/q([^/]+)\.txt$", 1)
+    question = F.when(stem.rlike(r"^\d+$"), F.regexp_replace(stem, r"^0+(?=\d)", "")).otherwise(stem)
+    rows = rows.select(question.alias("question"), F.col("value").alias("text"), "_path").filter("question <> ''")
+    if only:
+        rows = rows.filter(F.col("question").isin(*map(str, only)))
+    number = F.coalesce(F.regexp_extract("question", r"\d+", 0).try_cast("int"), F.lit(0))
+    return rows.orderBy(number, "_path").limit(limit) if limit is not None else rows.orderBy(number, "_path")
+
+
+def code_titles(spark: SparkSession, root: str) -> DataFrame:
+    """(code, title) of hub notes whose front matter (JSON flow) has a code; a note without a title is called by its file."""
+    rows = notes(spark, root).select("_path", "stem", F.get_json_object("front", "$.code").alias("code"), F.get_json_object("front", "$.title").alias("title"))
+    last = rows.filter("code is not null").groupBy("code").agg(F.max_by(F.struct("stem", "title"), "_path").alias("n"))
+    return last.select("code", F.coalesce(F.nullif("n.title", F.lit("")), F.col("n.stem")).alias("title"))

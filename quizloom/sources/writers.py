@@ -62,3 +62,17 @@ def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
 def bundle(questions: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A JSON line for each question; what a browser loads in pieces needs no single row."""
     return questions.select(F.to_json(F.struct(*columns)).alias("value"))
+
+
+def illustrated(questions: DataFrame, files: DataFrame, root: str = "assets/structured/") -> tuple[DataFrame, DataFrame]:
+    """Questions (id, figures, ...) with paper_img and ms_img, the first figure of each kind, and (id, reason) of those that lack an entry or whose
+    image the listing (path) lacks."""
+    name = lambda f: F.substring_index(f, "/", -1)
+    of = lambda end: F.get(F.filter(F.transform(F.coalesce("figures", F.array().cast("array<string>")), name), lambda n: F.endswith(n, F.lit(end))), F.lit(0))
+    rows = questions.withColumn("_paper", of("-paper.png")).withColumn("_ms", of("-ms.png"))
+    there = files.select(name(F.col("path")).alias("_name")).distinct()
+    rows = rows.join(there.select(F.col("_name").alias("_paper"), F.lit(True).alias("_has_paper")), "_paper", "left").join(there.select(F.col("_name").alias("_ms"), F.lit(True).alias("_has_ms")), "_ms", "left")
+    reason = F.when(F.col("_paper").isNull() | F.col("_ms").isNull(), "missing figure entries").when(F.col("_has_paper").isNull() | F.col("_has_ms").isNull(), "missing image file")
+    judged = rows.withColumn("reason", reason)
+    images = [F.concat(F.lit(root), "_paper").alias("paper_img"), F.concat(F.lit(root), "_ms").alias("ms_img")]
+    return judged.filter("reason is null").select(*questions.columns, *images), judged.filter("reason is not null").select("id", "reason")
