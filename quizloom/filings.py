@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import papers
+from .composed import said
 from .functions import keys
 from .functions.text import section
 from .operators import relational, stats
-from .papers import said, topics
 from .plans.rules import SelectRules, select
 from .queries import ANSWERS_SQL, BANK_SQL, FIRST, answers, bank, long, query, table
 from .sources import readers, store, writers
@@ -160,7 +161,7 @@ def registry_read(spark, sf_dir):
 @query("SELECT CAST(n_regionkey + 1 AS VARCHAR) AS topic, (n_regionkey + 1) || '.' || (n_nationkey + 1) AS code, n_name AS title, CAST(1 AS BIGINT) AS outcomes FROM nation")
 def vocabulary_read(spark, sf_dir):
     """The vocabulary as one YAML file, in JSON flow."""
-    whole = topics(spark, sf_dir).agg(F.to_json(F.struct(F.collect_list(F.struct("code", "title", "level", "subtopics")).alias("topics"))).alias("value"))
+    whole = papers.topics(spark, sf_dir).agg(F.to_json(F.struct(F.collect_list(F.struct("code", "title", "level", "subtopics")).alias("topics"))).alias("value"))
     tree = readers.vocabulary(spark, filed(whole, F.lit("v.yaml"), F.col("value")) + "/v.yaml")
     return tree.select(F.col("code").alias("topic"), F.explode("subtopics").alias("s")).select("topic", "s.code", "s.title", long(F.size("s.learning_outcomes")).alias("outcomes"))
 

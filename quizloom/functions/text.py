@@ -39,10 +39,19 @@ def from_scripts(text: Column) -> Column:
 
 
 def to_subscripts(text: Column) -> Column:
-    return F.translate(text, PLAIN + "".join(LOWERED), SUBSCRIPTS + "".join(LOWERED.values()))
+    return F.translate(text, PLAIN, SUBSCRIPTS)
 
 
 def to_superscripts(text: Column) -> Column:
+    return F.translate(text, PLAIN, SUPERSCRIPTS)
+
+
+def lowered(text: Column) -> Column:
+    """Everything that can stand below a line, as it does there."""
+    return F.translate(text, PLAIN + "".join(LOWERED), SUBSCRIPTS + "".join(LOWERED.values()))
+
+
+def raised(text: Column) -> Column:
     return F.translate(text, PLAIN + "".join(RAISED), SUPERSCRIPTS + "".join(RAISED.values()))
 
 
@@ -167,55 +176,112 @@ def atom_salad(line: Column) -> Column:
     return F.coalesce((line != "") & ~prose & (signs | (atoms & ~F.coalesce(option, F.lit(False)) & ~short)), F.lit(False))
 
 
-DELTA_H = re.compile(r"ΔH(?:_\{?([0-9]+|[cCfF])\}?|([₀-₉]+)|([0-9]+)|([cC]))?(?:\^\{?⦵\}?|⦵|°|⊖)?")
-TOKEN = re.compile(r"(?<![A-Za-z\\$])(\[?(?:[A-Z][a-z]?[₀-₉0-9]*)+\]?[₀-₉0-9]*)([⁺⁻+\-]*)(?=\(|\s|$|[–—+\-=×·,;:?])")
+#: Fixed: how the sign of an enthalpy change is set, with or without what stands below it and the sign of the standard state.
+ENTHALPY = re.compile(r"ΔH(_\{?(?:\d+|[cCfF])\}?|[₀-₉]+|\d+|[cC])?(?:\^\{?⦵\}?|[⦵°⊖])?")
+#: Fixed: capitals that are words or letters of options, and what may follow a formula.
 SKIPPED = {"A", "B", "C", "D", "I", "In", "At", "As", "No", "He", "The", "It", "Is", "On"}
+FOLLOWS, CHARGE_SIGNS = "(–—+-=×·,;:?", "⁺⁻+-"
+WORD = re.compile(r"(?<![A-Za-z\\$])\[?[A-Z][A-Za-z0-9₀-₉]*\]?[0-9₀-₉]*[⁺⁻+\-]*")
+ELEMENTS = re.compile(r"([A-Z][a-z]?)([0-9₀-₉]*)")
 
 
-def _latex_delta(m: re.Match) -> str:
-    sub = (m.group(1) or m.group(2) or m.group(3) or m.group(4) or "").translate(str.maketrans(SUBSCRIPTS, PLAIN))
-    name = rf"_{{\mathrm{{{sub.lower()}}}}}" if sub.lower() in ("c", "f") else f"_{{{sub}}}" if sub.isdigit() else ""
-    return rf"$\Delta H{name}^{{\ominus}}$"
+def _plain(text: str) -> str:
+    return text.translate(str.maketrans(SUBSCRIPTS + SUPERSCRIPTS, PLAIN + PLAIN))
 
 
-def _latex_formula(m: re.Match) -> str:
-    body, charge = m.group(1), m.group(2)
-    letters = re.sub(r"[^A-Za-z]", "", body)
-    if letters in SKIPPED or not re.search(r"[₀-₉0-9]|[A-Z][a-z]?[A-Z]", body):
-        return m.group(0)
-    plain = body.translate(str.maketrans(SUBSCRIPTS, PLAIN))
-    sub = re.sub(r"(\d+)", r"_{\1}", plain)
-    sign = charge.translate(str.maketrans("⁺⁻", "+-"))
-    return rf"$\mathrm{{{sub}{'^{' + sign + '}' if sign else ''}}}$"
+def _enthalpy(m: re.Match) -> str:
+    low = _plain((m.group(1) or "").strip("_{}")).lower()
+    below = "" if not low else f"_{{{low}}}" if low.isdigit() else rf"_{{\mathrm{{{low}}}}}"
+    return rf"$\Delta H{below}^{{\ominus}}$"
+
+
+def _formula(m: re.Match) -> str:
+    """A word as math if it is a formula: elements with counts, perhaps in brackets, then as much of a charge as may stand before what follows."""
+    word = m.group(0)
+    body = word.rstrip(CHARGE_SIGNS)
+    follows = lambda end: (m.string[m.start() + end :][:1] or " ")
+    end = next((n for n in range(len(word), len(body) - 1, -1) if follows(n).isspace() or follows(n) in FOLLOWS), None)
+    inside, bracket, outside = body.removeprefix("[").partition("]")
+    parts = ELEMENTS.findall(inside)
+    if end is None or "".join(e + n for e, n in parts) != inside or bool(bracket) != body.startswith("[") or "".join(e for e, _ in parts) in SKIPPED:
+        return word
+    if len(parts) < 2 and not any(n for _, n in parts) and not outside:
+        return word
+    count = lambda n: f"_{{{_plain(n)}}}" if n else ""
+    charge = f"^{{{_plain(word[len(body):end])}}}" if end > len(body) else ""
+    formula = "".join(e + count(n) for e, n in parts)
+    return rf"$\mathrm{{{'[' + formula + ']' if bracket else formula}{count(outside)}{charge}}}$" + word[end:]
 
 
 @F.pandas_udf(StringType())
 def latex(texts: pd.Series) -> pd.Series:
-    """Enthalpy symbols and formulae as math; the replacement depends on the match, which SQL can't say."""
-    return texts.map(lambda t: TOKEN.sub(_latex_formula, DELTA_H.sub(_latex_delta, t)) if isinstance(t, str) else None)
+    """Enthalpy signs and formulae as math; what a word becomes depends on how it divides into elements, which SQL can't say."""
+    return texts.map(lambda t: WORD.sub(_formula, ENTHALPY.sub(_enthalpy, t)) if isinstance(t, str) else None)
+
+
+OPTIONS = ["A", "B", "C", "D"]
+
 
+def tokens_of(line: Column) -> Column:
+    return F.filter(F.split(line, r"\s+"), lambda t: t != "")
 
-PACKED = r"^(.*?)(?<![A-Za-z])A\s+(\S.*?)\s+B\s+(\S.*?)\s+C\s+(\S.*?)\s+D\s+(\S.*?)\s*$"
+
+def options_of(line: Column) -> Column:
+    """(lead, texts) of a line on which A, B, C and D stand in this order with words behind each; null for other lines.
+
+    One scan over the words: the first A, alone or behind a sign, opens the options; the next letter in turn opens the next one as soon as the
+    one before has a word; everything else belongs to what is open."""
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("lead"), F.array().cast("array<string>").alias("texts"))
+    more = lambda text, word: F.ltrim(F.concat(text, F.lit(" "), word))
+
+    def step(acc: Column, word: Column) -> Column:
+        n, lead, texts = acc["n"], acc["lead"], acc["texts"]
+        open_text = F.coalesce(F.try_element_at(texts, F.lit(-1)), F.lit(""))
+        first = (n == 0) & word.rlike("(?:^|[^A-Za-z])A$")
+        following = (n > 0) & (n < 4) & (open_text != "") & (word == F.get(F.array(*map(F.lit, OPTIONS)), n))
+        fresh = F.concat(texts, F.array(F.lit("")))
+        longer = F.concat(F.slice(texts, 1, F.greatest(F.size(texts) - 1, F.lit(0))), F.array(more(open_text, word)))
+        return F.when(first, F.struct(F.lit(1).alias("n"), more(lead, F.left(word, F.length(word) - 1)).alias("lead"), fresh.alias("texts"))).when(
+            following, F.struct((n + 1).alias("n"), lead.alias("lead"), fresh.alias("texts"))
+        ).when(n == 0, F.struct(n.alias("n"), more(lead, word).alias("lead"), texts.alias("texts"))).otherwise(F.struct(n.alias("n"), lead.alias("lead"), longer.alias("texts")))
+
+    found = F.aggregate(tokens_of(line), start, step)
+    whole = (found["n"] == 4) & (F.try_element_at(found["texts"], F.lit(-1)) != "")
+    return F.when(line.rlike(r"A\s.*\sB\s.*\sC\s.*\sD\s+\S") & whole, F.struct(F.rtrim(found["lead"]).alias("lead"), found["texts"].alias("texts")))
 
 
 def option_lines(text: Column) -> Column:
-    """Options that run together on one line as a line each, after what stands before them."""
-    bare = r"^\s*A\s+B\s+C\s+D\s*$"
-    packed = lambda x: F.ltrim(F.regexp_replace(F.trim(x), PACKED, "$1\nA $2\nB $3\nC $4\nD $5"), F.lit("\n "))
-    tidy = lambda x: F.regexp_replace(packed(x), r" +\n", "\n")
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(bare), "A\nB\nC\nD").when(F.trim(x).rlike(PACKED), tidy(x)).otherwise(x))
-    return F.array_join(lines, "\n")
+    """Options that run together on one line as a line each, after what stands before them; letters alone too."""
+    lettered = lambda t, i: F.concat(F.get(F.array(*map(F.lit, OPTIONS)), i), F.lit(" "), t)
+
+    def lines(x: Column) -> Column:
+        found = options_of(x)
+        apart = F.array_join(F.concat(F.filter(F.array(found["lead"]), lambda v: v != ""), F.transform(found["texts"], lettered)), "\n")
+        return F.when(tokens_of(x) == F.array(*map(F.lit, OPTIONS)), "\n".join(OPTIONS)).when(found.isNotNull(), apart).otherwise(x)
+
+    return F.array_join(F.transform(F.split(text, "\n"), lines), "\n")
+
+
+def line_kinds(lines: Column) -> Column:
+    """For each line the letter of the option that it is, "row" where all four stand on it, or nothing."""
+
+    def kind(x: Column) -> Column:
+        words, found = tokens_of(x), options_of(x)
+        row = (found["lead"] == "") & F.forall(F.slice(found["texts"], 1, 3), lambda t: F.length(t) > 1)
+        letter = F.get(words, F.lit(0))
+        return F.when(F.coalesce(row, F.lit(False)), "row").when((F.size(words) > 1) & letter.isin(OPTIONS), letter).otherwise("")
+
+    return F.transform(lines, kind)
 
 
 def without_repeated_options(body: Column, clip: Column) -> Column:
-    """The body without its option lines where a clip shows them: a packed row, or three lines or more with A and D among them."""
+    """The body without its option lines where a clip shows them: where a line holds all four, or three lines or more are options, A and D among them."""
     lines = F.split(body, "\n")
-    packed = lambda x: F.trim(x).rlike(r"^A\s+\S.+\s+B\s+\S.+\s+C\s+\S.+\s+D\s+\S")
-    option = lambda x: F.trim(x).rlike(r"^[A-D]\s+\S")
-    letters = F.transform(F.filter(lines, option), lambda x: F.left(F.trim(x), F.lit(1)))
-    upright = (F.size(letters) >= 3) & F.array_contains(letters, "A") & F.array_contains(letters, "D")
-    kept = F.array_join(F.filter(lines, lambda x: ~(packed(x) | option(x))), "\n")
-    return F.when(clip & (F.exists(lines, packed) | upright), strip(F.regexp_replace(kept, r"\n{3,}", "\n\n"))).otherwise(body)
+    kinds = line_kinds(lines)
+    options = F.filter(kinds, lambda k: k != "")
+    listed = (F.size(options) >= 3) & F.array_contains(options, "A") & F.array_contains(options, "D")
+    kept = F.array_join(F.filter(lines, lambda x, i: F.get(kinds, i) == ""), "\n")
+    return F.when(clip & (F.array_contains(options, "row") | listed), strip(F.regexp_replace(kept, r"\n{3,}", "\n\n"))).otherwise(body)
 
 
 #: Fixed: what begins the shared key of a paper's last section, and the lines that it is made of.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import to_subscripts
+from ..functions.text import lowered
 from .geometry import PAGE, bands, x_groups
 
 ENTHALPY, STANDARD, ARROW = "ΔH", "⦵", "→"
@@ -40,7 +40,7 @@ def enthalpy_signs(strokes: DataFrame, glyphs: DataFrame | None = None) -> DataF
     lowest = F.array_max(F.transform(tall, lambda s: F.struct((s["y0"] + s["y1"]).alias("mid"), (-s["ord"]).alias("first"))))
     found = shape.filter(fits).withColumn("ord", (-lowest["first"]).cast(dict(strokes.dtypes)["ord"]))
     read = found.join(glyphs.select(*PAGE, "ord", "char"), [*PAGE, "ord"], "left") if glyphs is not None else found.withColumn("char", F.lit(None).cast("string"))
-    text = F.concat(F.lit(ENTHALPY), F.coalesce(to_subscripts(F.nullif(c("char"), F.lit("?"))), F.lit("")), F.lit(STANDARD))
+    text = F.concat(F.lit(ENTHALPY), F.coalesce(lowered(F.nullif(c("char"), F.lit("?"))), F.lit("")), F.lit(STANDARD))
     return read.select(*PAGE, *BOX, text.alias("text"), F.lit("symbol").alias("kind"))
 
 

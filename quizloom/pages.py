@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import papers
+from .composed import joined, said
 from .operators import clips, enrich, export, geometry, split, staging, symbols, tagging
-from .papers import joined, said, topics
 from .queries import long, query, table
 from .sources import store
 
@@ -321,7 +322,7 @@ d AS (SELECT documents.doc_id, g.place, coalesce(own, ['1']) AS own, coalesce(lo
 SELECT doc_id, CAST(place AS INTEGER) AS rule, array_to_string(own, ',') AS codes, CASE WHEN len(los) > 0 THEN array_to_string(los, ',') WHEN place IS NULL THEN NULL ELSE array_to_string(list_transform(own, lambda c: c || '-1'), ',') END AS outcomes,
     CASE place WHEN 1 THEN 'recall,draw' WHEN 4 THEN 'explain' WHEN 6 THEN 'explain' ELSE 'recall' END AS skills FROM d""")
 def ruled_tags(spark, sf_dir):
-    codes, outcomes = enrich.vocabulary(topics(spark, sf_dir))
+    codes, outcomes = enrich.vocabulary(papers.topics(spark, sf_dir))
     rows = [(i, "body", p, c.split(), o.split(), s.split(), n) for i, p, c, o, s, n in RULE_ROWS]
     records = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("id"), F.col("text").alias("body"))
     out = tagging.tagged(records, spark.createDataFrame(rows, tagging.RULES), codes, outcomes)
@@ -343,7 +344,7 @@ def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
         said(F.col("n_regionkey") + 1, ".", F.col("n_nationkey") + 1).alias("code"), num.alias("ord"), num.alias("num"), F.when(i % 5 != 0, said("know  ", F.col("s_name"), "\n")).alias("text"),
         F.when(i % 3 == 0, parts).otherwise(F.slice(parts, 1, 0)).alias("parts"),
     )
-    return enrich.merged_vocabulary(topics(spark, sf_dir).withColumn("colour", F.concat(F.lit("of "), "title")), found)
+    return enrich.merged_vocabulary(papers.topics(spark, sf_dir).withColumn("colour", F.concat(F.lit("of "), "title")), found)
 
 
 @query(f"""WITH {READ_SQL} SELECT 'of ' || r_name AS colour, n_name AS title, o.id, o.text, row_number() OVER (PARTITION BY o.code ORDER BY num, part) AS place

@@ -8,22 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .composed import joined, said
 from .functions import keys, text
 from .operators import assemble, audit, enrich, registry, relational, reports, similarity, split, stats
 from .plans.rules import SelectRules, select
 from .queries import ANSWERS_SQL, BANK_SQL, FIRST, answers, bank, long, query, table
 
 
-def said(*parts) -> Column:
-    """Parts as one text; columns as they are, anything else as a literal."""
-    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-
-
-def joined(lines: Column, by: str = "\n") -> Column:
-    """(place, text) structs as one text."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(lines)), lambda s: s["text"]), by)
-
-
 # ---------------------------------------------------------------- papers and mark schemes
 
 ASKED_SQL = "asked AS (SELECT o_custkey * 10000 + (r - 1) // 20 AS doc, o_orderkey, o_orderstatus, (r - 1) % 20 + 1 AS k FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders))"

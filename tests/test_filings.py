@@ -43,7 +43,7 @@ def test_labels(spark):
     assert [one(spark, keys.leading_int(F.lit(v).cast("string"))) for v in ("12(a)", " -3x", "x3", "", None)] == [12, -3, 0, 0, 0]
     rows = spark.createDataFrame([(2021, "11", "2"), (2021, "2", "10"), (None, "x", "1")], "year int, paper string, question string")
     assert [r.question for r in rows.orderBy(*keys.quiz_order(F.col("year"), F.col("paper"), F.col("question"))).collect()] == ["1", "10", "2"]
-    assert one(spark, text.to_subscripts(F.lit("x2=(ae)o"))) == "ₓ₂₌₍ₐₑ₎ₒ" and one(spark, text.to_superscripts(F.lit("2=(x)"))) == "²⁼⁽x⁾"
+    assert one(spark, text.lowered(F.lit("x2=(ae)o"))) == "ₓ₂₌₍ₐₑ₎ₒ" and one(spark, text.raised(F.lit("2=(x)"))) == "²⁼⁽x⁾"
 
 
 def test_a_round_without_answers(spark):

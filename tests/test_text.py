@@ -26,6 +26,11 @@ def one(spark, value, column):
     (text.option_lines, "Which?\nA one B two C three D four", "Which?\nA one\nB two\nC three\nD four"),
     (text.latex, "ΔH₁⦵ of CH₄ and [PCl₄]⁺ is A", r"$\Delta H_{1}^{\ominus}$ of $\mathrm{CH_{4}}$ and $\mathrm{[PCl_{4}]^{+}}$ is A"),
     (text.latex, None, None),
+    (text.latex, "ΔH_{f}^{⦵} is 5, ΔHc° and ΔH for Na+ ions (Fe2+, SO₄²⁻) In H2O.", r"$\Delta H_{\mathrm{f}}^{\ominus}$ is 5, $\Delta H_{\mathrm{c}}^{\ominus}$ and $\Delta H^{\ominus}$ for Na+ ions ($\mathrm{Fe_{2}^{+}}$, SO₄²⁻) In H2O."),
+    (text.latex, "NaCl(aq) + H2O → Hello C6H12O6; I2, [Fe(CN)6] OH- and NH4+ x", r"$\mathrm{NaCl}$(aq) + $\mathrm{H_{2}O}$ → Hello $\mathrm{C_{6}H_{12}O_{6}}$; I2, [Fe(CN)6] $\mathrm{OH^{-}}$ and $\mathrm{NH_{4}^{+}}$ x"),
+    (text.option_lines, "Which?A one  B two\tC x y D four five ", "Which?\nA one\nB two\nC x y\nD four five"),
+    (text.option_lines, "A B two C three D four\n A  B C D \nA one B two C three D", "A B two C three D four\nA\nB\nC\nD\nA one B two C three D"),
+    (text.option_lines, "kelvinA one B two C three D four", "kelvinA one B two C three D four"),
 ])
 def test_functions(spark, f, value, want):
     assert one(spark, value, f) == want
