@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import papers
 from .composed import joined, said
+from .functions import text
 from .operators import clips, enrich, export, geometry, split, staging, symbols, tagging
 from .queries import long, query, table
 from .sources import store
@@ -434,3 +435,55 @@ def lines_with_symbols(spark, sf_dir):
     tokens = symbols.with_symbols(texts, strokes, glyphs).withColumn("doc", F.col("doc").cast("string")).withColumn("ord", F.monotonically_increasing_id())
     lines = geometry.page_lines(tokens).filter(F.contains("text", F.lit("CO2(g)")))
     return lines.select(long(F.col("doc")).alias("doc"), F.col("text").alias("line"))
+
+
+# ---------------------------------------------------------------- spans, boxes and lettering
+
+LETTERING_SQL = "['" + "','".join(text.SYMBOLS) + "']"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_size, ({LETTERING_SQL})[CAST(p_partkey % 14 AS INTEGER) + 1] AS a, ({LETTERING_SQL})[p_size % 14 + 1] AS b FROM part)
+SELECT p_partkey, a || ' ' || b || CASE WHEN p_size % 8 = 4 THEN '−' ELSE '' END || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ' =' WHEN 2 THEN ' water' ELSE ' OH' END AS line, CASE p_size % 4 WHEN 2 THEN false WHEN 0 THEN p_size % 8 = 4 AND length(b) = 2 AND a <> 'C' ELSE true END AS salad FROM t""")
+def lettered_lines(spark, sf_dir):
+    """Two symbols, the second perhaps charged, with nothing, a bond, a word or another one behind them."""
+    s = F.col("p_size")
+    symbol = lambda n: F.get(F.array(*map(F.lit, text.SYMBOLS)), n.cast("int"))
+    line = said(symbol(F.col("p_partkey") % 14), " ", symbol(s % 14), F.when(s % 8 == 4, "−").otherwise(""), F.when(s % 4 == 0, "").when(s % 4 == 1, " =").when(s % 4 == 2, " water").otherwise(" OH"))
+    return table(spark, sf_dir, "part").select("p_partkey", line.alias("line")).withColumn("salad", text.atom_salad(F.col("line")))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS doc, 'CO' || CASE WHEN p_size % 2 = 0 THEN '²' ELSE '₂' END AS text, 50.0::DOUBLE AS x0, CASE WHEN p_size % 2 = 0 THEN 98 ELSE 100 END::DOUBLE AS y0, 64.0::DOUBLE AS x1, CASE WHEN p_size % 2 = 0 THEN 111 ELSE 112 END::DOUBLE AS y1 FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_brand, 70 + 2 * 11 * 0.33::DOUBLE, 100, 120, 111 FROM part""")
+def span_tokens(spark, sf_dir):
+    """A formula with a small span behind it, raised or lowered, and a text with blanks in front."""
+    raised = F.col("p_size") % 2 == 0
+    span = lambda n, x0, y0, x1, y1, t, size: F.struct(F.lit(n).alias("ord"), F.lit(x0).alias("x0"), y0.cast("double").alias("y0"), F.lit(x1).alias("x1"), y1.cast("double").alias("y1"), t.alias("text"), F.lit(size).alias("size"))
+    own = F.array(
+        span(0, 50.0, F.lit(100), 60.0, F.lit(111), F.lit("CO"), 11.0), span(1, 60.0, F.when(raised, 98).otherwise(106), 64.0, F.when(raised, 104).otherwise(112), F.lit("2"), 7.0),
+        span(2, 70.0, F.lit(100), 120.0, F.lit(111), said("  ", F.col("p_brand"), " "), 11.0), span(3, 130.0, F.lit(100), 140.0, F.lit(111), F.lit("  "), 11.0),
+    )
+    spans = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.explode(own).alias("s")).select("doc", "page", "s.*")
+    return geometry.tokens(spans).select("doc", "text", "x0", "y0", "x1", "y1")
+
+
+@query("SELECT p_partkey AS doc, unnest(CASE WHEN (100 - 2 * p_size) / 50 <= 0.55 THEN [1, 2, 3] ELSE [1, 3] END) AS box FROM part")
+def larger_boxes(spark, sf_dir):
+    """A small box slides out of a large one; a third stands apart."""
+    x = (2 * F.col("p_size")).cast("double")
+    box = lambda n, x0, y0, x1, y1: F.struct(F.lit(n).alias("ord"), x0.alias("x0"), F.lit(y0).alias("y0"), x1.alias("x1"), F.lit(y1).alias("y1"))
+    own = F.array(box(1, F.lit(0.0), 0.0, F.lit(100.0), 100.0), box(2, x, 0.0, x + 50, 50.0), box(3, F.lit(300.0), 0.0, F.lit(310.0), 10.0))
+    boxes_of = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.lit(1).alias("page"), F.explode(own).alias("b")).select("doc", "page", "b.*")
+    return geometry.larger_of_overlapping(boxes_of).select("doc", F.col("ord").alias("box"))
+
+
+@query("SELECT p_partkey AS doc, 5 AS question, 100.0::DOUBLE AS x0, 200.0::DOUBLE AS y0, (108 + 3 * (40 + p_size))::DOUBLE AS x1, CASE WHEN p_size % 5 = 1 THEN 215 ELSE 210 END::DOUBLE AS y1 FROM part WHERE p_size % 5 < 2 AND 8 + 3 * (40 + p_size) >= 180")
+def option_row_boxes(spark, sf_dir):
+    """Letters A to D from left to right, 40 and more apart; in some D stands a little or far too low, or B and C are swapped, or D is missing."""
+    v, step = F.col("p_size") % 5, (40 + F.col("p_size")).cast("double")
+    place = [F.lit(0), F.when(v == 3, 2).otherwise(1), F.when(v == 3, 1).otherwise(2), F.lit(3)]
+    low = F.when(v == 1, 5.0).when(v == 2, 30.0).otherwise(0.0)
+    letter = lambda n, c: F.struct((100 + place[n] * step).alias("x0"), (F.lit(200.0) + (low if n == 3 else 0.0)).alias("y0"), (108 + place[n] * step).alias("x1"), (F.lit(210.0) + (low if n == 3 else 0.0)).alias("y1"), F.lit(c).alias("text"))
+    own = F.array_compact(F.array(*[F.when((v != 4) if n == 3 else F.lit(True), letter(n, c)) for n, c in enumerate("ABCD")]))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.lit(1).alias("page"), F.explode(own).alias("w")).select("doc", "page", "w.*")
+    bands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.lit(1).alias("page"), F.lit(5).alias("question"), F.lit(150.0).alias("y0"), F.lit(260.0).alias("y1"))
+    return geometry.option_rows(rows, bands).drop("page")
