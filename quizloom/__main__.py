@@ -7,9 +7,9 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import assemble, audit, enrich, relational, reports, split
+from .operators import assemble, audit, enrich, export, relational, reports, split, staging, tagging
 from .plans.rules import select
-from .sources import readers, writers
+from .sources import readers, store, writers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,6 +25,8 @@ def parser() -> argparse.ArgumentParser:
         "er-extract": ("reports", "out"),
         "audit": ("questions", "vocabulary"),
         "papers": ("registry",),
+        "tag": ("drafts", "vocabulary", "paper", "out"),
+        "stage": ("documents", "out"),
     }.items():
         v = verbs.add_parser(name)
         for a in args:
@@ -63,6 +65,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         audit.by_code(found).show(100, truncate=False)
         total = audit.summary(notes, found).first()
         return 2 if not total["checked"] else int(total["failed"] > 0)
+    elif a.verb == "tag":
+        codes, los = enrich.vocabulary(readers.vocabulary(spark, a.vocabulary))
+        drafts = readers.drafts(spark, a.drafts).select(F.concat(F.lit(f"{a.paper}-q"), "question").alias("id"), "question", F.substring_index("text", export.MARKER, 1).alias("body"))
+        store.write_files(tagging.sidecars(tagging.tagged(drafts, tagging.rule_rows(spark), codes, los)), a.out)
+    elif a.verb == "stage":
+        files = readers.whole_files(spark, a.documents, "*.txt").select(F.regexp_extract("_path", r"([^/]+)\.(?:qp|ms|er)\.txt$", 1).alias("paper_id"), F.regexp_extract("_path", r"\.(qp|ms|er)\.txt$", 1).alias("kind"), F.col("value").alias("text")).filter("kind <> ''")
+        done = staging.run(spark, a.out, files.select("paper_id"), files)
+        done.orderBy("paper_id", "stage").show(1000, truncate=False)
+        return int(not done.filter("status = 'failed'").isEmpty())
     else:
         readers.registry(spark, a.registry).groupBy("status").count().orderBy("status").show()
     return 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import first_by
+
 #: Fixed: report fields that stay as they are where the report has none, and those that then become null.
 KEPT_IF_NULL = ("examiner_band", "examiner_notes", "difficulty_source", "common_incorrect")
 NULLED = ("facility", "percent_correct", "discrimination")
@@ -81,8 +83,10 @@ def merge_reports(questions: DataFrame, reports: DataFrame, scope: dict | None,
 
     With a scope (year, session, paper) all questions are of the one paper that the reports are about. Without one, both sides
     have these columns, and a question meets the report of its own paper alone. The scope also fills
-    questions that their paper's report doesn't name, where they have no scope of their own."""
+    questions that their paper's report doesn't name, where they have no scope of their own. Of several rows that a report has of
+    a question the hardest counts."""
     keyed = scope is None
+    reports = first_by(reports, [*(SCOPE if keyed else ()), "question"], [F.col("difficulty").desc_nulls_last(), F.to_json(F.struct(*reports.columns))])
     er = reports.select(*[F.col(c).alias(f"er__{c}") for c in reports.columns], F.lit(True).alias("er__hit"))
     q = questions.withColumn("_main", main_question(F.col("parent_question"), F.col("question")))
     same = q["_main"] == er["er__question"]

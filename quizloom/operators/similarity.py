@@ -33,14 +33,10 @@ def related(pairs: DataFrame, scope: Sequence[str] = (), k: int = 8) -> DataFram
 
 
 def roll_up(rows: DataFrame, levels: Sequence[str], item: str) -> DataFrame:
-    """Distinct items at each level of a tree; the levels below a root are null in its row."""
-    sets = [levels[: i + 1] for i in range(len(levels))]
-    out = None
-    for own in sets:
-        part = rows.groupBy(*own).agg(F.count_distinct(item).alias("n"))
-        part = part.select(*[F.col(c) if c in own else F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) for c in levels], "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Distinct items at each level of a tree, in one pass; the levels below a root are null in its row."""
+    everything = (1 << len(levels)) - 1
+    sets = rows.rollup(*levels).agg(F.count_distinct(item).alias("n"), F.grouping_id().alias("_set"))
+    return sets.filter(F.col("_set") != everything).select(*levels, "n")
 
 
 def leaf_sum(leaves: DataFrame, root: str, n: str = "n") -> DataFrame:

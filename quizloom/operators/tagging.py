@@ -67,3 +67,11 @@ def tagged(records: DataFrame, rules: DataFrame, codes: DataFrame, outcomes: Dat
     own = F.when(F.size("_outcomes") > 0, F.col("_outcomes")).otherwise(F.coalesce("_first", none))
     skills = normal_skills(F.coalesce("_skills", none), SKILL_NAMES)
     return met.join(first, "id", "left").withColumn("learning_outcomes", own).withColumn("skills", skills).select(*records.columns, "syllabus_codes", "learning_outcomes", "skills", "rule")
+
+
+def sidecars(tags: DataFrame) -> DataFrame:
+    """Rows (path, value, gone) of a file for each tagged draft (id, question, ...) and one index of all: ids, codes and rules in the order of ids."""
+    own = tags.select(F.concat(F.lit("tagged/q"), "question", F.lit(".json")).alias("path"), F.to_json(F.struct(*[c for c in tags.columns if c != "body"])).alias("value"))
+    line = F.to_json(F.struct("id", "syllabus_codes", "rule"))
+    index = tags.groupBy(F.substring_index("id", "-q", 1).alias("paper")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda s: s["line"]), "\n").alias("value"))
+    return own.unionByName(index.select(F.concat(F.lit("tagged/index-"), "paper", F.lit(".jsonl")).alias("path"), "value")).withColumn("gone", F.lit(False))

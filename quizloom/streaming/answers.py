@@ -17,7 +17,8 @@ def merge_into(path: str, keys: Sequence[str], stamps: Sequence[str] = ("answere
     """A foreachBatch function: the newest row of each key, whatever the order of arrival.
 
     The table is kept in parts by a hash of the key; a batch rewrites only the parts that it touches, each from
-    the version before to a new one, so replaying a batch gives the same table."""
+    the version before to a new one, so replaying a batch gives the same table. The new rows are written beside the table first: what
+    overwrites a part never reads it."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -33,9 +34,9 @@ def merge_into(path: str, keys: Sequence[str], stamps: Sequence[str] = ("answere
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
                 merged = batch
-            merged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist()
-            merged.count()
-            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+            merged.write.mode("overwrite").parquet(f"{path}-next")
+            fresh = spark.read.schema(merged.schema).parquet(f"{path}-next")
+            fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
         finally:
             batch.unpersist()
 

@@ -84,3 +84,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert lines[0] == "### 5.1-1" and lines.index("[[q1]]") < lines.index("[[q0]]")
     assert main(["audit", f"{at}/bank", f"{at}/v.yaml"], spark) == 1 and "unknown_code" in capsys.readouterr().out
     assert main(["los", f"{at}/v.yaml", "5"], spark) == 0 and "5.1-1" in capsys.readouterr().out
+
+
+def test_tagging_and_staging_from_the_command_line(spark, tmp_path, capsys):
+    (tmp_path / "v.yaml").write_text("topics: [{code: 5, title: E, level: AS, subtopics: [{code: '5.1', title: H, learning_outcomes: [{id: 5.1-5, text: t}]}]}]\n")
+    for folder, files in {"drafts": {"q1.txt": "Use Hess's law.\n--- MARK SCHEME ---\nisotope", "q2a-i.txt": "nothing"}, "papers": {"good.qp.txt": "1 Explain what is meant by this.\n(a) State it.", "good.ms.txt": "1(a)\nM1", "bad.qp.txt": "x", "other.txt": "x"}}.items():
+        (tmp_path / folder).mkdir()
+        for name, text in files.items():
+            (tmp_path / folder / name).write_text(text)
+    at = f"file://{tmp_path}"
+    assert main(["tag", f"{at}/drafts", f"{at}/v.yaml", "p11", f"{at}/out"], spark) == 0
+    assert json.loads((tmp_path / "out/tagged/q1.json").read_text()) | {"rule": 0} == {"id": "p11-q1", "question": "1", "syllabus_codes": ["5.1"], "learning_outcomes": ["5.1-5"], "skills": ["calculate"], "rule": 0}
+    assert [json.loads(x)["id"] for x in (tmp_path / "out/tagged/index-p11.jsonl").read_text().splitlines()] == ["p11-q1", "p11-q2a-i"]
+    assert main(["stage", f"{at}/papers", f"{at}/run"], spark) == 1
+    out = capsys.readouterr().out
+    assert "no_questions" in out and "no_report" in out and "other" not in out
