@@ -487,3 +487,25 @@ def option_row_boxes(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.lit(1).alias("page"), F.explode(own).alias("w")).select("doc", "page", "w.*")
     bands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.lit(1).alias("page"), F.lit(5).alias("question"), F.lit(150.0).alias("y0"), F.lit(260.0).alias("y1"))
     return geometry.option_rows(rows, bands).drop("page")
+
+
+SHAPES_SQL = "'Which is it?' || chr(10) || {head} || chr(10) || {a} || chr(10) || {b} || chr(10) || {c} || chr(10) || {d} || chr(10) || 'end'"
+
+
+@query(f"""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN {SHAPES_SQL.format(head="'| | PCl' || p_size || ' | [X]+ |' || chr(10) || '| --- | --- | --- |'", a="'| A | pyramidal | ' || p_brand || ' |'", b="'| B | square planar | bent |'", c="'| C | ' || p_brand || ' | tetrahedral |'", d="'| D | non-linear | linear |'")}
+    ELSE {SHAPES_SQL.format(head="CASE WHEN p_size % 3 = 1 THEN 'PCl' ELSE 'the ' END || p_size || ' [X]+'", a="'A pyramidal ' || p_brand", b="'B square planar bent'", c="'C ' || p_brand || ' tetrahedral'", d="CASE WHEN p_size % 3 = 1 THEN 'D bent' ELSE 'D non-linear linear' END")} END AS body FROM part""")
+def option_tables(spark, sf_dir):
+    """Tables of shapes: whole, with a row of one shape, and under a head that is no formula."""
+    v, s, brand = F.col("p_size") % 3, F.col("p_size"), F.col("p_brand")
+    body = said("Which is it?\n", F.when(v == 2, "the ").otherwise("PCl"), s, " [X]+\nA pyramidal ", brand, "\nB square planar bent\nC ", brand, " tetrahedral\nD ", F.when(v == 1, "bent").otherwise("non-linear linear"), "\nend")
+    return table(spark, sf_dir, "part").select("p_partkey", text.options_table(body).alias("body"))
+
+
+@query("SELECT p_partkey, 'What does ' || p_name || ' show?' || CASE WHEN p_size % 4 = 3 THEN chr(10) || 'enthalpy' || chr(10) || 'A' || chr(10) || 'B' || chr(10) || 'C' || chr(10) || 'D' WHEN p_size % 4 = 1 THEN chr(10) || 'A some text' ELSE '' END || chr(10) || p_size || ' mol of it' AS body FROM part")
+def diagram_labels(spark, sf_dir):
+    """Axes and atoms by a figure; letters that stand alone go where the options are drawings, and all stays without a figure."""
+    v = F.col("p_size") % 4
+    options = F.when(v == 1, "A some text").otherwise("A\nB\nC\nD")
+    atoms = F.when(v == 3, "").when(v == 2, "C H O\n").otherwise("0 x\n")
+    body = said("What does ", F.col("p_name"), " show?\n", F.when(v == 3, "enthalpy\n").otherwise(said("enthalpy\n", atoms)), options, "\n", F.col("p_size"), " mol of it")
+    return table(spark, sf_dir, "part").select("p_partkey", text.without_labels(body, v != 3).alias("body"))

@@ -121,3 +121,29 @@ def test_marks(spark):
 def test_key(spark):
     got = one(spark, "1 C 1\n2 B 1\nnoise\n12 D 1", text.answer_key)
     assert [(r.q, r.a) for r in got] == [("1", "C"), ("2", "B"), ("12", "D")]
+
+
+SHAPED = "Which?\nPCl3 [PCl4]+\nA pyramidal square planar\nB Trigonal planar  bent\nC odd tetrahedral\nD linear x\nend"
+
+
+@pytest.mark.parametrize("value,want", [
+    (SHAPED, "Which?\n| | PCl3 | [PCl4]+ |\n| --- | --- | --- |\n| A | pyramidal | square planar |\n| B | Trigonal planar | bent |\n| C | odd | tetrahedral |\n| D | linear | x |\nend"),
+    (SHAPED.replace("linear x", "linear"), None), (SHAPED.replace("PCl3", "the"), None), (SHAPED.replace("\nD linear x\nend", ""), None), ("", None),
+    (SHAPED + "\n" + SHAPED, lambda t: t.count("| --- | --- | --- |") == 2),
+])
+def test_tables_of_shapes(spark, value, want):
+    got = one(spark, value, text.options_table)
+    assert want(got) if callable(want) else got == (value if want is None else want)
+
+
+@pytest.mark.parametrize("value,figure,want", [
+    ("The graph is shown.\nenthalpy\nprogress of reaction\n0 x\n4000 3000 2000\nWhat is T?", True, "The graph is shown.\nWhat is T?"),
+    ("The graph is shown.\nenthalpy", False, "The graph is shown.\nenthalpy"),
+    ("Which one is it?\nC H O\n⁺ –\nA one two\nB two", True, "Which one is it?\nA one two\nB two"),
+    ("Which drawing is it?\nA\nB\nC\nD\nXY\n1 Zn", True, "Which drawing is it?\n1 Zn"),
+    ("Which drawing is it?\nA B C D\nOH ZZ", True, "Which drawing is it?"),
+    ("Which row is it?\nA ✓ ✗\nB ✗ ✓\nC ✓ ✓\nwords stay", True, "Which row is it?\nwords stay"),
+    ("Why?\x01\nSection B\n\n1 only\nmore words\n© UCLES 2021", True, "Why?\nmore words"),
+])
+def test_labels_of_a_diagram(spark, value, figure, want):
+    assert one(spark, value, lambda c: text.without_labels(c, F.lit(figure))) == want
