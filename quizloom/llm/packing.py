@@ -3,8 +3,8 @@
 A document is cut into whole sequences first. The rest of length r belongs to the reciprocal class
 k = capacity // r, the largest number of such pieces that share one bin. Where k pieces of that length
 would leave more than a small part of a bin empty, the piece is cut to the next reciprocal capacity
-exactly and what remains is classed again. Short pieces share the classes of 64, 128, 256 and so on to a bin,
-which are at least half full each. Each class fills bins of exactly k pieces; a worker fills its
+exactly and what remains is classed again. Short pieces have classes like all others: up to a 64th of a bin every length is
+one of its own, which wastes less than one piece a bin. Each class fills bins of exactly k pieces; a worker fills its
 own bins without knowing of the others. Only what does not fill a bin in a worker (fewer than k pieces a
 class) meets the leftovers of neighbouring workers; what is left then shares bins by first fit.
 
@@ -29,7 +29,7 @@ from .bpe import Numbering, chunks
 from .common import materialize, ranges, sliced
 
 CAPACITY, END_ID = 4096, 2
-CLASSES = 64  #: lengths up to capacity // CLASSES are classed by halving: 64, 128, 256, ... to a bin
+CLASSES = 64  #: lengths up to capacity // CLASSES are never cut
 WASTE = 0.02  #: the part of a bin that a class may leave empty before a piece is cut
 NEIGHBOURS = 64  #: workers whose leftovers meet
 STORE_WORDS, STORE_CHARS = 200_000, 4_000_000  #: most words and letters that a worker keeps the ids of
@@ -176,10 +176,9 @@ def cut(n: int, capacity: int = CAPACITY, classes: int = CLASSES, waste: float =
     return out
 
 
-def class_of(length: int, capacity: int = CAPACITY, classes: int = CLASSES) -> int:
-    """How many pieces of about this length fill a bin: the reciprocal class, for short ones the power of two times the last class below it."""
-    k = capacity // length
-    return k if k < classes else classes << ((k // classes).bit_length() - 1)
+def class_of(length: int, capacity: int = CAPACITY) -> int:
+    """How many pieces of this length fill a bin: the reciprocal class."""
+    return capacity // length
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -102,6 +102,13 @@ def test_short_texts_fill_sequences(spark):
     assert len({(r.doc_id, r.start) for r in rows}) == 9000 and len({r.sequence_id for r in rows}) <= 2 * total / packing.CAPACITY + 3
 
 
+@pytest.mark.parametrize("length", [33, 40, 50, 64, 66])
+def test_texts_of_one_short_length_leave_little_padding(spark, length):
+    docs = spark.range(6000).selectExpr("id doc_id", f"repeat('the ', {length - 1}) text").repartition(4)
+    rows = packing.pack(docs, WORD).collect()
+    assert {r.length for r in rows} == {length} and 6000 * length / packing.CAPACITY / len({r.sequence_id for r in rows}) >= 0.97
+
+
 def test_recurring_words_stay_known(monkeypatch):
     monkeypatch.setattr(packing, "STORE_WORDS", 50)
     word = packing.WordTokenizer(WORD)
