@@ -34,6 +34,7 @@ from .tallies import from_planes, planes
 
 ORDER, BUCKETS, SEED, LEAST_WORDS, SHARE = 1, 10_000, 2024, 20, 10
 BLOCK_WORDS = 1 << 20
+COPIES = 1 << 16  #: equal rows that come apart at a time
 #: Upper-case letters to lower case, every other byte that no word holds to a space; bytes of 128 and more belong to words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 FEATURES = "doc_id long, row long, n_words long, n_features long, buckets binary, totals binary"
@@ -188,35 +189,31 @@ def draw(scored: DataFrame, share: int = SHARE, least_words: int = LEAST_WORDS)
     own = ["score", "doc_id", "row", "n_words", "n_features", "weight"]
     groups = scored.filter(fits).groupBy(*own).agg(F.count("*").alias("copies"))
     last = [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("row").asc_nulls_last(), "n_features", "weight", "n_words"]
-    placed = materialize(groups.repartitionByRange(*last).sortWithinPartitions(*last).withColumn("place", F.monotonically_increasing_id()), "placed")
-    part = F.shiftright("place", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.sum("copies").alias("n")).collect()  # one row a partition
-    before, ahead = {}, 0
+    schema = ", ".join(f"{c} long" for c in [*own, "copies", "part", "ahead"])
+    placed = materialize(groups.select(*own, "copies").repartitionByRange(*last).sortWithinPartitions(*last).mapInArrow(numbered, schema), "placed")
+    sizes = placed.groupBy("part").agg(F.max(F.col("ahead") + F.col("copies")).alias("n")).collect()  # one row a partition
+    before, total = [], 0
     for r in sorted(sizes, key=lambda r: r["part"]):
-        before[r["part"]], ahead = ahead, ahead + r["n"]
-
-    def run(batches):
-        at, here = None, 0
-        for batch in batches:
-            places = batch.column("place").to_numpy()
-            copies = batch.column("copies").to_numpy()
-            ranks = np.zeros(len(places), np.int64)
-            for p in np.unique(places >> 33):  # a batch may end one partition and begin the next
-                mine = np.flatnonzero(places >> 33 == p)
-                here = before[int(p)] if p != at else here
-                ends = here + np.cumsum(copies[mine])
-                ranks[mine], here, at = ends - copies[mine], int(ends[-1]), p
-            keep = [batch.column(c) for c in own]
-            yield pa.RecordBatch.from_arrays([*keep, batch.column("copies"), pa.array(ranks)], [*own, "copies", "ahead"])
-
-    return ranked(placed, run, own, most).unionByName(scored.filter(~fits | fits.isNull()).select(*own, F.lit(None).cast("long").alias("rank")))
-
-
-def ranked(placed: DataFrame, run, own: list[str], most: int) -> DataFrame:
-    schema = ", ".join(f"{c} long" for c in [*own, "copies", "ahead"])
-    each = placed.mapInArrow(run, schema).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    rank = F.col("ahead") + F.col("nth")
-    return each.select(*own, F.when(rank <= most, rank).alias("rank"))
+        before.append((r["part"], total))
+        total += r["n"]
+    moved = placed.join(F.broadcast(scored.sparkSession.createDataFrame(before, "part long, before long")), "part")
+    rank = F.col("before") + F.col("ahead") + F.col("nth")
+    # equal rows come apart again in two steps, so that no array is long
+    block = moved.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES))))
+    each = block.withColumn("nth", F.explode(F.sequence(F.col("block") * COPIES + 1, F.least("copies", (F.col("block") + 1) * COPIES))))
+    return each.select(*own, F.when(rank <= most, rank).alias("rank")).unionByName(scored.filter(~fits | fits.isNull()).select(*own, F.lit(None).cast("long").alias("rank")))
+
+
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order with their partition and the rows, copies counted, that are ahead of them in it."""
+    from pyspark import TaskContext
+
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        copies = batch.column("copies").to_numpy()
+        ends = at + np.cumsum(copies)
+        at = int(ends[-1]) if len(ends) else at
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(copies), part, np.int64)), pa.array(ends - copies)], [*batch.schema.names, "part", "ahead"])
 
 
 def resample(docs: DataFrame, target: DataFrame, order: int = ORDER, buckets: int = BUCKETS, seed: int = SEED, share: int = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -107,8 +107,10 @@ def test_odd_and_empty_tables(spark, odd, none):
     assert ordered(rows) == ordered(plain([(r.doc_id, r.text) for r in odd.collect()], []))
 
 
-def test_a_hot_row_is_one_row_of_the_ranking(spark):
+@pytest.mark.parametrize("copies", [1 << 16, 64])
+def test_a_hot_row_is_one_row_of_the_ranking(spark, monkeypatch, copies):
     """Ten thousand equal rows: ranked as so many rows, shuffled as one."""
+    monkeypatch.setattr(resample, "COPIES", copies)
     docs = spark.range(10_000).selectExpr("cast(null as long) doc_id", "repeat('same words ', 12) text").unionByName(frame(spark, [(i, f"alpha w{i} " * 15) for i in range(100)], 2))
     scored = resample.score(docs, frame(spark, [(0, "alpha")], 1))
     got = resample.draw(scored)
