@@ -32,7 +32,7 @@ CAPACITY, END_ID = 4096, 2
 CLASSES = 64  #: lengths up to capacity // CLASSES are never cut
 WASTE = 0.02  #: the part of a bin that a class may leave empty before a piece is cut
 NEIGHBOURS = 64  #: workers whose leftovers meet
-STORE_WORDS, STORE_CHARS = 200_000, 4_000_000  #: most words and letters that a worker keeps the ids of
+STORE_WORDS, STORE_CHARS = 300_000, 6_000_000  #: most words and letters that a worker keeps the ids of
 OFTEN = 3  #: how often a word must have been met to be kept beyond that, or beyond a partition
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, sequence_id long, offset long"
 
