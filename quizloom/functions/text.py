@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ PAGE = r"\n?----- PAGE \d+ -----\n?"
 FRONT = r"(?s)^---\s*\n(.*?)\n---\s*\n"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is found once however often use names it; a column that is named again is found again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, line ends too."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -165,15 +171,19 @@ def atom_salad(line: Column) -> Column:
 
     Two short tokens may be a value and its unit, and a letter A to D before one symbol is an option; both stay."""
     made_of = lambda t, signs: F.translate(t, signs, "") == ""
+
+    def lettering(clean: Column, tokens: Column) -> Column:
+        signs = F.forall(tokens, lambda t: made_of(t, CHARGES + DOTS))
+        atoms = F.forall(tokens, lambda t: F.rtrim(t, F.lit(CHARGES)).isin(SYMBOLS) | made_of(t, BONDS))
+        two = F.size(tokens) == 2
+        option = two & F.get(tokens, F.lit(0)).isin(list("ABCD")) & F.rtrim(F.get(tokens, F.lit(1)), F.lit(CHARGES)).rlike("^[A-Z][A-Za-z]?$")
+        prose = F.exists(tokens, lambda t: t.rlike("[a-z]{3,}")) | F.startswith(clean, F.lit("|"))
+        short = two & F.forall(tokens, lambda t: F.length(t) <= 2)
+        return ~prose & (signs | (atoms & ~F.coalesce(option, F.lit(False)) & ~short))
+
     clean = strip(F.regexp_replace(line, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""))
-    tokens = F.filter(F.split(clean, r"\s+"), lambda t: t != "")
-    signs = F.forall(tokens, lambda t: made_of(t, CHARGES + DOTS))
-    atoms = F.forall(tokens, lambda t: F.rtrim(t, F.lit(CHARGES)).isin(SYMBOLS) | made_of(t, BONDS))
-    two = F.size(tokens) == 2
-    option = two & F.get(tokens, F.lit(0)).isin(list("ABCD")) & F.rtrim(F.get(tokens, F.lit(1)), F.lit(CHARGES)).rlike("^[A-Z][A-Za-z]?$")
-    prose = F.exists(tokens, lambda t: t.rlike("[a-z]{3,}")) | F.startswith(clean, F.lit("|"))
-    short = two & F.forall(tokens, lambda t: F.length(t) <= 2)
-    return F.coalesce((line != "") & ~prose & (signs | (atoms & ~F.coalesce(option, F.lit(False)) & ~short)), F.lit(False))
+    salad = once(clean, lambda x: once(tokens_of(x), lambda tokens: lettering(x, tokens)))
+    return F.coalesce((line != "") & salad, F.lit(False))
 
 
 #: Fixed: how the sign of an enthalpy change is set, with or without what stands below it and the sign of the standard state.
@@ -245,43 +255,44 @@ def options_of(line: Column) -> Column:
             following, F.struct((n + 1).alias("n"), lead.alias("lead"), fresh.alias("texts"))
         ).when(n == 0, F.struct(n.alias("n"), more(lead, word).alias("lead"), texts.alias("texts"))).otherwise(F.struct(n.alias("n"), lead.alias("lead"), longer.alias("texts")))
 
-    found = F.aggregate(tokens_of(line), start, step)
-    whole = (found["n"] == 4) & (F.try_element_at(found["texts"], F.lit(-1)) != "")
-    return F.when(line.rlike(r"A\s.*\sB\s.*\sC\s.*\sD\s+\S") & whole, F.struct(F.rtrim(found["lead"]).alias("lead"), found["texts"].alias("texts")))
+    whole = lambda found: (found["n"] == 4) & (F.try_element_at(found["texts"], F.lit(-1)) != "")
+    options = once(F.aggregate(tokens_of(line), start, step), lambda found: F.when(whole(found), F.struct(F.rtrim(found["lead"]).alias("lead"), found["texts"].alias("texts"))))
+    return F.when(line.rlike(r"A\s.*\sB\s.*\sC\s.*\sD\s+\S"), options)
 
 
 def option_lines(text: Column) -> Column:
     """Options that run together on one line as a line each, after what stands before them; letters alone too."""
     lettered = lambda t, i: F.concat(F.get(F.array(*map(F.lit, OPTIONS)), i), F.lit(" "), t)
 
-    def lines(x: Column) -> Column:
-        found = options_of(x)
+    def lines(x: Column, found: Column) -> Column:
         apart = F.array_join(F.concat(F.filter(F.array(found["lead"]), lambda v: v != ""), F.transform(found["texts"], lettered)), "\n")
         return F.when(tokens_of(x) == F.array(*map(F.lit, OPTIONS)), "\n".join(OPTIONS)).when(found.isNotNull(), apart).otherwise(x)
 
-    return F.array_join(F.transform(F.split(text, "\n"), lines), "\n")
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x: once(options_of(x), lambda found: lines(x, found))), "\n")
 
 
 def line_kinds(lines: Column) -> Column:
     """For each line the letter of the option that it is, "row" where all four stand on it, or nothing."""
 
-    def kind(x: Column) -> Column:
-        words, found = tokens_of(x), options_of(x)
+    def kind(words: Column, found: Column) -> Column:
         row = (found["lead"] == "") & F.forall(F.slice(found["texts"], 1, 3), lambda t: F.length(t) > 1)
         letter = F.get(words, F.lit(0))
         return F.when(F.coalesce(row, F.lit(False)), "row").when((F.size(words) > 1) & letter.isin(OPTIONS), letter).otherwise("")
 
-    return F.transform(lines, kind)
+    return F.transform(lines, lambda x: once(tokens_of(x), lambda words: once(options_of(x), lambda found: kind(words, found))))
 
 
 def without_repeated_options(body: Column, clip: Column) -> Column:
     """The body without its option lines where a clip shows them: where a line holds all four, or three lines or more are options, A and D among them."""
     lines = F.split(body, "\n")
-    kinds = line_kinds(lines)
-    options = F.filter(kinds, lambda k: k != "")
-    listed = (F.size(options) >= 3) & F.array_contains(options, "A") & F.array_contains(options, "D")
-    kept = F.array_join(F.filter(lines, lambda x, i: F.get(kinds, i) == ""), "\n")
-    return F.when(clip & (F.array_contains(options, "row") | listed), strip(F.regexp_replace(kept, r"\n{3,}", "\n\n"))).otherwise(body)
+
+    def without(kinds: Column) -> Column:
+        options = F.filter(kinds, lambda k: k != "")
+        listed = (F.size(options) >= 3) & F.array_contains(options, "A") & F.array_contains(options, "D")
+        kept = F.array_join(F.filter(lines, lambda x, i: F.get(kinds, i) == ""), "\n")
+        return F.when(F.array_contains(options, "row") | listed, strip(F.regexp_replace(kept, r"\n{3,}", "\n\n"))).otherwise(body)
+
+    return F.when(clip, once(line_kinds(lines), without)).otherwise(body)
 
 
 #: Fixed: what begins the shared key of a paper's last section, and the lines that it is made of.
@@ -315,27 +326,33 @@ HEAD = r"(?:\[[^\]]+\][⁺+\-]*|[A-Z][A-Za-z0-9₀-₉⁺⁻+\-]*)(?:\([^)]*\))?
 
 def two_cells(text: Column) -> Column:
     """(left, right) of a row of two shapes: a shape and the rest, else the rest and a shape; null where neither is."""
-    flat, shape = F.btrim(F.regexp_replace(text, r"\s+", " ")), "|".join(SHAPES)
-    found = lambda pattern: F.when(flat.rlike(pattern), F.struct(F.regexp_extract(flat, pattern, 1).alias("left"), F.regexp_extract(flat, pattern, 2).alias("right")))
-    return F.coalesce(found(rf"(?i)^({shape})\s*(\S.*)$"), found(rf"(?i)^(\S.*)\s({shape})$"))
+    shape = "|".join(SHAPES)
+
+    def cells(flat: Column) -> Column:
+        found = lambda pattern: F.when(flat.rlike(pattern), F.struct(F.regexp_extract(flat, pattern, 1).alias("left"), F.regexp_extract(flat, pattern, 2).alias("right")))
+        return F.coalesce(found(rf"(?i)^({shape})\s*(\S.*)$"), found(rf"(?i)^(\S.*)\s({shape})$"))
+
+    return once(F.btrim(F.regexp_replace(text, r"\s+", " ")), cells)
 
 
 def options_table(text: Column) -> Column:
-    """Two formulae on a line with four options of two shapes below them, as a table; other lines stay."""
-    lines = F.split(text, "\n")
+    """Two formulae on a line with four options of two shapes below them, as a table; other lines stay.
+
+    The lines, their cells and the heads among them are found once for a text, so the work grows with its lines."""
     option = r"^\s*([A-D])\s+(\S.*?)\s*$"
-    rows = F.transform(lines, lambda x: F.when(x.rlike(option), two_cells(F.regexp_extract(x, option, 2))))
     head = rf"^\s*({HEAD})\s+({HEAD})\s*$"
-    heads = F.transform(lines, lambda x, i: x.rlike(head) & ~x.rlike(option) & F.forall(F.sequence(i + 1, i + 4), lambda k: F.get(rows, k).isNotNull()))
+    cells_of = lambda lines: F.transform(lines, lambda x: F.when(x.rlike(option), two_cells(F.regexp_extract(x, option, 2))))
+    heads_of = lambda lines, rows: F.transform(lines, lambda x, i: x.rlike(head) & ~x.rlike(option) & F.forall(F.sequence(i + 1, i + 4), lambda k: F.get(rows, k).isNotNull()))
 
-    def rebuilt(x: Column, i: Column) -> Column:
+    def rebuilt(x: Column, i: Column, rows: Column, heads: Column) -> Column:
         row = F.get(rows, i)
         below = F.exists(F.sequence(i - 4, i - 1), lambda k: F.coalesce(F.get(heads, k), F.lit(False)))
         titles = F.concat(F.lit("| | "), F.regexp_extract(x, head, 1), F.lit(" | "), F.regexp_extract(x, head, 2), F.lit(" |\n| --- | --- | --- |"))
         cells = F.concat(F.lit("| "), F.regexp_extract(x, option, 1), F.lit(" | "), row["left"], F.lit(" | "), row["right"], F.lit(" |"))
         return F.when(F.get(heads, i), titles).when(below, cells).otherwise(x)
 
-    return F.array_join(F.transform(lines, rebuilt), "\n")
+    table = lambda lines, rows, heads: F.array_join(F.transform(lines, lambda x, i: rebuilt(x, i, rows, heads)), "\n")
+    return once(F.split(text, "\n"), lambda lines: once(cells_of(lines), lambda rows: once(heads_of(lines, rows), lambda heads: table(lines, rows, heads))))
 
 
 #: Fixed: the words on the axes and arrows of diagrams, the marks of a table of ticks, and what is left of a mechanism.
@@ -353,23 +370,26 @@ def without_labels(body: Column, figure: Column) -> Column:
 
     Where the options are drawings - their letters stand alone, or with ticks, or with chains of atoms - their letters go too, and so does every
     line without a word. The shared key, control signs and page feet go in any case."""
-    raw = F.transform(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
     bare, ticked = rf"^[A-D]$|^[A-D](?:\s+[{TICKS}])+$", lambda x: F.regexp_replace(x, CONTROLS, "")
-    alone = F.array_distinct(F.filter(raw, lambda x: x.isin(OPTIONS)))
-    texts = F.exists(raw, lambda x: x.rlike(r"^[A-D]\s+\S"))
-    in_row = F.exists(raw, lambda x: tokens_of(x) == F.array(*map(F.lit, OPTIONS)))
-    drawn = in_row | F.exists(raw, lambda x: x.rlike(MECHANISM) | x.rlike(DEBRIS)) | ((F.size(alone) == 4) & ~texts)
-    drawn = drawn | (F.size(F.filter(raw, lambda x: F.btrim(ticked(x)).rlike(bare))) >= 3)
-    lines = F.split(F.regexp_replace(without_key(body), CONTROLS, ""), "\n")
 
-    def label(x: Column) -> Column:
-        clean = F.btrim(x, F.lit(" \t\r"))
+    def drawings(raw: Column) -> Column:
+        alone = F.array_distinct(F.filter(raw, lambda x: x.isin(OPTIONS)))
+        texts = F.exists(raw, lambda x: x.rlike(r"^[A-D]\s+\S"))
+        in_row = F.exists(raw, lambda x: tokens_of(x) == F.array(*map(F.lit, OPTIONS)))
+        drawn = in_row | F.exists(raw, lambda x: x.rlike(MECHANISM) | x.rlike(DEBRIS)) | ((F.size(alone) == 4) & ~texts)
+        return drawn | (F.size(F.filter(raw, lambda x: F.btrim(ticked(x)).rlike(bare))) >= 3)
+
+    def label(clean: Column, drawn: Column) -> Column:
         axis = clean.rlike(f"(?i)^(?:{'|'.join(AXES)})$")
         crumbs = clean.rlike(r"^[⁺⁻+\u2212–—\s.•·*-]+$")
         of_drawing = clean.rlike("^[A-D]$") | (tokens_of(clean) == F.array(*map(F.lit, OPTIONS))) | (~clean.rlike(r"^\d+\b") & ~clean.rlike("[a-z]{3,}"))
-        return (clean != "") & (axis | crumbs | atom_salad(clean) | (drawn & of_drawing))
+        return (clean != "") & (axis | crumbs | (drawn & of_drawing) | atom_salad(clean))
 
-    kept = F.when(figure, F.filter(lines, lambda x: ~label(x))).otherwise(lines)
+    trimmed = lambda x: F.btrim(x, F.lit(" \t\r"))
+    drawn = once(F.transform(F.split(body, "\n"), trimmed), drawings)
+    lines = F.split(F.regexp_replace(without_key(body), CONTROLS, ""), "\n")
+    unlabelled = once(drawn, lambda drawn: F.filter(lines, lambda x: ~once(trimmed(x), lambda clean: label(clean, drawn))))
+    kept = F.when(figure, unlabelled).otherwise(lines)
     return without_footers(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 

@@ -60,6 +60,13 @@ def best_scored_questions(spark, sf_dir):
 # ---------------------------------------------------------------- structured papers as words in boxes
 
 RIGHT, BOTTOM = 595.0, 842.0
+
+
+def spread_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, dealt over the tasks: a file of one row group is read by one task, and each row stands for a page or a text here."""
+    return table(spark, sf_dir, "part").repartition("p_partkey")
+
+
 #: A question k of a paper opens at 80 or, where k is even, at 400 of the page on which the one before ends; it goes on for up to two pages.
 LAID_SQL = f"""o AS ({FORTY_SQL}), laid AS (SELECT *, o_orderkey % 3 AS extra, CASE WHEN k % 2 = 1 THEN 80 ELSE 400 END AS y, o_orderkey % 10 <> 0 AS has_a, o_orderkey % 13 = 5 AS false_next,
     CAST(1 + (k - 1) // 2 + coalesce(sum(o_orderkey % 3) OVER (PARTITION BY doc ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS page,
@@ -498,7 +505,7 @@ def option_tables(spark, sf_dir):
     """Tables of shapes: whole, with a row of one shape, and under a head that is no formula."""
     v, s, brand = F.col("p_size") % 3, F.col("p_size"), F.col("p_brand")
     body = said("Which is it?\n", F.when(v == 2, "the ").otherwise("PCl"), s, " [X]+\nA pyramidal ", brand, "\nB square planar bent\nC ", brand, " tetrahedral\nD ", F.when(v == 1, "bent").otherwise("non-linear linear"), "\nend")
-    return table(spark, sf_dir, "part").select("p_partkey", text.options_table(body).alias("body"))
+    return spread_parts(spark, sf_dir).select("p_partkey", text.options_table(body).alias("body"))
 
 
 @query("SELECT p_partkey, 'What does ' || p_name || ' show?' || CASE WHEN p_size % 4 = 3 THEN chr(10) || 'enthalpy' || chr(10) || 'A' || chr(10) || 'B' || chr(10) || 'C' || chr(10) || 'D' WHEN p_size % 4 = 1 THEN chr(10) || 'A some text' ELSE '' END || chr(10) || p_size || ' mol of it' AS body FROM part")
@@ -508,4 +515,4 @@ def diagram_labels(spark, sf_dir):
     options = F.when(v == 1, "A some text").otherwise("A\nB\nC\nD")
     atoms = F.when(v == 3, "").when(v == 2, "C H O\n").otherwise("0 x\n")
     body = said("What does ", F.col("p_name"), " show?\n", F.when(v == 3, "enthalpy\n").otherwise(said("enthalpy\n", atoms)), options, "\n", F.col("p_size"), " mol of it")
-    return table(spark, sf_dir, "part").select("p_partkey", text.without_labels(body, v != 3).alias("body"))
+    return spread_parts(spark, sf_dir).select("p_partkey", text.without_labels(body, v != 3).alias("body"))

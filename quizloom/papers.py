@@ -337,7 +337,7 @@ def drawing_lines(spark, sf_dir):
 def option_rows(spark, sf_dir):
     packed = said("Which is it? A ", F.col("p_brand"), " B two C ", F.col("p_size"), " g D none\nend")
     listed = said("Which is it?\nA ", F.col("p_brand"), "\nB two\nD none\nend")
-    return table(spark, sf_dir, "part").select("p_partkey", text.option_lines(packed).alias("lines"), text.without_repeated_options(listed, F.col("p_size") % 2 == 0).alias("stem"))
+    return table(spark, sf_dir, "part").repartition("p_partkey").select("p_partkey", text.option_lines(packed).alias("lines"), text.without_repeated_options(listed, F.col("p_size") % 2 == 0).alias("stem"))
 
 
 @query("SELECT p_partkey, 'a → b − c×' || p_size AS plain, CAST(p_size AS BIGINT) AS marks, CASE WHEN p_size % 2 = 0 THEN 'Explain,State' ELSE 'Explain,Draw' END AS commands FROM part")
