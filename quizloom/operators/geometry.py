@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+from collections import namedtuple
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import LOWERED, PLAIN, RAISED, SUBSCRIPTS, SUPERSCRIPTS
@@ -60,40 +65,66 @@ def x_groups(boxes: DataFrame, gap: float = 5.0, keys: list[str] | None = None)
     return boxes.withColumn("_new", F.coalesce(F.col("x0") > edge + gap, F.lit(True)).cast("int")).withColumn("group", F.sum("_new").over(w)).drop("_new")
 
 
+FOLDED = 10_000  #: rows that a batch of a fold's results holds
+
+
+def folded(rows: DataFrame, order: list[Column], fold: Callable[[Iterator], Iterable[tuple]], schema: StructType | str) -> DataFrame:
+    """fold(rows of a page, in order) for every page: its results are tuples of the schema.
+
+    A task's pages stream by one after the other, sorted by Spark: millions of small pages are no calls of their own, and a large one is
+    never held but by what its fold keeps. Missing numbers are NaN."""
+    names = rows.columns
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, row = to_arrow_schema(schema), namedtuple("Row", names, rename=True)
+        values = lambda c: c.to_numpy(zero_copy_only=False).tolist() if pa.types.is_floating(c.type) else c.to_pylist()
+        stream = itertools.chain.from_iterable(map(row._make, zip(*map(values, b.columns))) for b in batches)
+        doc, at = names.index(PAGE[0]), names.index(PAGE[1])
+        results = itertools.chain.from_iterable(fold(page) for _, page in itertools.groupby(stream, key=lambda r: (r[doc], r[at])))
+        while some := list(itertools.islice(results, FOLDED)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type, from_pandas=True) for c, f in zip(zip(*some), arrow)], schema=arrow)
+
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, *order).mapInArrow(run, schema)
+
+
+def last_null(*names: str) -> list[Column]:
+    return [F.col(n).asc_nulls_last() for n in names]
+
+
 def bands(boxes: DataFrame, tolerance: float = 8.0) -> DataFrame:
     """Boxes in order of y with the number of their band: a box joins while it is near the running mean. Order-dependent, a page at a time."""
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", "ord"])
-        out, mean, n, band = [], 0.0, 0, 0
-        for y0, y1 in zip(page["y0"], page["y1"]):
-            y = (y0 + y1) / 2
+    def fold(page: Iterator) -> Iterator[tuple]:
+        mean, n, band = 0.0, 0, 0
+        for r in page:
+            y = (r.y0 + r.y1) / 2
             if n and abs(y - mean) > tolerance:
                 band, n = band + 1, 0
             mean = (mean * n + y) / (n + 1)
             n += 1
-            out.append(band)
-        return page.assign(band=out)
+            yield (*r, band)
 
-    return boxes.groupBy(*PAGE).applyInPandas(fold, StructType([*boxes.schema.fields, StructField("band", IntegerType())]))
+    return folded(boxes, last_null("y0", "x0", "ord"), fold, StructType([*boxes.schema.fields, StructField("band", IntegerType())]))
 
 
 def larger_of_overlapping(boxes: DataFrame, most: float = 0.55) -> DataFrame:
     """Greedy, larger first: a box stays while it shares at most this part of the smaller area with those that stay."""
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(area=(page.x1 - page.x0) * (page.y1 - page.y0)).sort_values(["area", "ord"], ascending=[False, True])
+    def fold(page: Iterator) -> Iterator[tuple]:
         kept: list = []
-        for r in page.itertuples():
-            for k in kept:
+        for r in page:
+            area = (r.x1 - r.x0) * (r.y1 - r.y0)
+            for k, other in kept:
                 shared = max(0.0, min(r.x1, k.x1) - max(r.x0, k.x0)) * max(0.0, min(r.y1, k.y1) - max(r.y0, k.y0))
-                if shared > most * max(min(r.area, k.area), 1e-9):
+                if shared > most * max(min(area, other), 1e-9):
                     break
             else:
-                kept.append(r)
-        return page.loc[[k.Index for k in kept]].drop(columns="area")
+                kept.append((r, area))
+                yield r
 
-    return boxes.groupBy(*PAGE).applyInPandas(fold, boxes.schema)
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return folded(boxes, [F.nullif(area, F.lit(float("nan"))).desc_nulls_last(), *last_null("ord")], fold, boxes.schema)
 
 
 def body_sizes(spans: DataFrame) -> DataFrame:
@@ -113,15 +144,14 @@ def tokens(spans: DataFrame, script: float = 0.78) -> DataFrame:
     middle. A page at a time, as each span depends on the token before."""
     sized = spans.join(body_sizes(spans), PAGE, "left").withColumn("body", F.coalesce("body", F.lit(11.0)))
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in page.sort_values("ord").itertuples(index=False):
+    def fold(page: Iterator) -> Iterator[tuple]:
+        last, n = None, 0
+        for r in page:
             text = r.text.lstrip(" ")
             x0 = r.x0 + (len(r.text) - len(text)) * r.size * 0.33
             text = text.rstrip()
             if not text:
                 continue
-            last = out[-1] if out else None
             middle = (r.y0 + r.y1) / 2
             if last and 0 < r.body and r.size / r.body < script:
                 before = (last["y0"] + last["y1"]) / 2
@@ -130,38 +160,42 @@ def tokens(spans: DataFrame, script: float = 0.78) -> DataFrame:
                     last["text"] += text.strip().translate(HIGH if raised else LOW)
                     last.update(x1=max(last["x1"], r.x1), y0=min(last["y0"], r.y0), y1=max(last["y1"], r.y1))
                     continue
-            out.append({"doc": r.doc, "page": r.page, "ord": len(out), "x0": x0, "y0": r.y0, "x1": r.x1, "y1": r.y1, "text": text, "kind": "text"})
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TOKENS.split(", ")])
+            if last:
+                yield tuple(last.values())
+            last, n = {"doc": r.doc, "page": r.page, "ord": n, "x0": x0, "y0": r.y0, "x1": r.x1, "y1": r.y1, "text": text, "kind": "text"}, n + 1
+        if last:
+            yield tuple(last.values())
 
-    return sized.groupBy(*PAGE).applyInPandas(fold, TOKENS)
+    return folded(sized, last_null("ord"), fold, TOKENS)
 
 
 def page_lines(tokens: DataFrame, tolerance: float = 5.5, gap: float = 2.8) -> DataFrame:
     """(doc, page, line, text): a token is on the line of the line's first token while their middles are close; a gap, a symbol beside
     a word or a comma before one gives a blank. The first token of a line decides, so a page is folded in order."""
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(mid=(page.y0 + page.y1) / 2, late=(page.kind != "symbol").astype(int))
-        page = page.assign(row=(page.mid / tolerance).round()).sort_values(["row", "x0", "late", "ord"])
-        lines: list[list] = []
-        for t in page.itertuples(index=False):
-            if lines and abs(lines[-1][0].mid - t.mid) <= tolerance:
-                lines[-1].append(t)
-            else:
-                lines.append([t])
-        texts = []
-        for line in lines:
-            text, last = "", None
-            for t in sorted(line, key=lambda t: (t.x0, t.late)):
-                if last is not None:
-                    word = t.text[:1].isalnum()
-                    apart = t.x0 - last.x1 > gap or (t.kind == "symbol" and last.text[-1:].isalnum()) or (word and (last.kind == "symbol" or last.text[-1:] in ",;:"))
-                    text += " " if apart and not text.endswith(" ") else ""
-                text, last = text + t.text, t
-            texts.append(" ".join(text.split(" ")).strip())
-        return pd.DataFrame({"doc": page.doc.iloc[0], "page": page.page.iloc[0], "line": range(len(texts)), "text": texts})
-
-    return tokens.groupBy(*PAGE).applyInPandas(fold, "doc string, page int, line int, text string")
+    def read(line: list) -> str:
+        text, last = "", None
+        for t in sorted(line, key=lambda t: (t.x0, t.late)):
+            if last is not None:
+                word = t.text[:1].isalnum()
+                apart = t.x0 - last.x1 > gap or (t.kind == "symbol" and last.text[-1:].isalnum()) or (word and (last.kind == "symbol" or last.text[-1:] in ",;:"))
+                text += " " if apart and not text.endswith(" ") else ""
+            text, last = text + t.text, t
+        return " ".join(text.split(" ")).strip()
+
+    def fold(page: Iterator) -> Iterator[tuple]:
+        line, n = [], 0
+        for t in page:
+            if line and not abs(line[0].mid - t.mid) <= tolerance:
+                yield t.doc, t.page, n, read(line)
+                line, n = [], n + 1
+            line.append(t)
+        yield line[0].doc, line[0].page, n, read(line)
+
+    mid = (F.col("y0") + F.col("y1")) / 2
+    rows = tokens.select(*PAGE, "x0", "x1", "text", "kind", "ord", mid.alias("mid"), F.coalesce(F.col("kind") != "symbol", F.lit(True)).cast("int").alias("late"))
+    row = F.bround(F.col("mid") / tolerance)  # halves go to the even number
+    return folded(rows, [row.asc_nulls_last(), *last_null("x0", "late", "ord")], fold, "doc string, page int, line int, text string")
 
 
 def option_rows(words: DataFrame, bands: DataFrame, most_height: float = 18, least_width: float = 180) -> DataFrame:

@@ -6,6 +6,8 @@ are gaps: the nearest formulae to the left and to the right of a sign, by page,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,43 +46,49 @@ def enthalpy_signs(strokes: DataFrame, glyphs: DataFrame | None = None) -> DataF
     return read.select(*PAGE, *BOX, text.alias("text"), F.lit("symbol").alias("kind"))
 
 
-def nearest(side: str, when: Column) -> Column:
+def nearest(side: str, fits: Callable[[Column], Column]) -> Column:
     """The box of the last formula on the left, or of the first on the right, of those that fit."""
-    box = F.struct(*[F.col(f"f_{b}").alias(b) for b in BOX])
-    return F.max_by(box, F.when(when, F.col("f_x1"))) if side == "left" else F.min_by(box, F.when(when, F.col("f_x0")))
+    own = F.filter("formulae", fits)
+    ends = F.transform(own, lambda f: F.struct(f["x1" if side == "left" else "x0"].alias("end"), f.alias("box")))
+    return (F.array_max(ends) if side == "left" else F.array_min(ends))["box"]
 
 
-def reaction_arrows(tokens: DataFrame, least_gap: float = 8.0) -> tuple[DataFrame, DataFrame]:
-    """Arrows, and the symbols of tokens (doc, page, x0, y0, x1, y1, text, kind) with those moved that an arrow was found for.
+def arrows_and_symbols(tokens: DataFrame, least_gap: float = 8.0) -> DataFrame:
+    """The symbols of tokens (doc, page, x0, y0, x1, y1, text, kind) and, of kind text, the arrows that were found for them; symbols with an arrow stand above it.
 
     Formulae (texts with a bracket) beside a symbol are its reaction, else those beside the place on the line below it. An arrow stands
-    in the middle of the gap between them, and its symbol above it."""
+    in the middle of the gap between them. A symbol meets the texts of its page once, and both come out of that one pass."""
     c = F.col
     signs = tokens.filter("kind = 'symbol'").select(*PAGE, *BOX, "text", F.monotonically_increasing_id().alias("sign"))
     texts = tokens.filter("kind <> 'symbol'").select(*PAGE, *[F.col(b).alias(f"f_{b}") for b in BOX], F.contains("text", F.lit("(")).alias("formula"), ((F.col("y0") + F.col("y1")) / 2).alias("f_mid"))
     mid, across = (c("x0") + c("x1")) / 2, (c("y0") + c("y1")) / 2
-    away = c("f_mid") - across
-    met = signs.join(texts, PAGE, "left").withColumn("away", away).withColumn("mid", mid)
-    beside = c("formula") & (F.abs("away") <= 18)
+    met = signs.join(texts, PAGE, "left").withColumn("away", c("f_mid") - across)
+    formula = F.struct(c("f_mid").alias("mid"), *[c(f"f_{b}").alias(b) for b in BOX])
     first = met.groupBy("sign", *PAGE, *BOX, "text").agg(
-        nearest("left", beside & (c("f_x1") <= c("mid") + 2)).alias("left"), nearest("right", beside & (c("f_x0") >= c("mid") - 2)).alias("right"),
-        F.min_by("f_mid", F.when(c("away").between(0, 22), F.abs(c("away") - 12))).alias("line"),
+        F.collect_list(F.when(c("formula"), formula)).alias("formulae"), F.min_by("f_mid", F.when(c("away").between(0, 22), F.abs(c("away") - 12))).alias("line"),
     )
+    beside = lambda f: F.abs(f["mid"] - across) <= 18
+    on_line = lambda f: F.abs(f["mid"] - c("line")) <= 6
+    both = first.withColumn("left", nearest("left", lambda f: beside(f) & (f["x1"] <= mid + 2))).withColumn("right", nearest("right", lambda f: beside(f) & (f["x0"] >= mid - 2)))
     whole = c("left").isNotNull() & c("right").isNotNull()
-    below = first.filter(~whole & c("line").isNotNull()).select("sign", *PAGE, "x0", "x1", "line").join(texts, PAGE).filter(c("formula") & (F.abs(c("f_mid") - c("line")) <= 6))
-    second = below.groupBy("sign").agg(nearest("left", c("f_x1") < c("x0")).alias("left2"), nearest("right", c("f_x0") > c("x1")).alias("right2"))
-    both = first.join(second, "sign", "left").withColumn("a", F.when(whole, c("left")).otherwise(c("left2"))).withColumn("b", F.when(whole, c("right")).otherwise(c("right2")))
+    both = both.withColumn("left2", nearest("left", lambda f: on_line(f) & (f["x1"] < c("x0")))).withColumn("right2", nearest("right", lambda f: on_line(f) & (f["x0"] > c("x1"))))
+    both = both.withColumn("a", F.when(whole, c("left")).otherwise(c("left2"))).withColumn("b", F.when(whole, c("right")).otherwise(c("right2")))
     hit = F.coalesce(c("b.x0") - c("a.x1") >= least_gap, F.lit(False))
     at, top, low = (c("a.x1") + c("b.x0")) / 2, F.least("a.y0", "b.y0"), F.greatest("a.y1", "b.y1")
-    arrows = both.filter(hit).select(*PAGE, (at - 4).alias("x0"), top.alias("y0"), (at + 4).alias("x1"), low.alias("y1"), F.lit(ARROW).alias("text"), F.lit("text").alias("kind"))
     x0 = at - (c("x1") - c("x0")) / 2
     place = {"x0": x0, "y0": top - 2, "x1": x0 + 18, "y1": low}
-    moved = both.select(*PAGE, *[F.when(hit, place[b]).otherwise(c(b)).alias(b) for b in BOX], "text", F.lit("symbol").alias("kind"))
-    return arrows, moved
+    moved = F.struct(*[F.when(hit, place[b]).otherwise(c(b)).alias(b) for b in BOX], c("text").alias("text"), F.lit("symbol").alias("kind"))
+    arrow = F.struct((at - 4).alias("x0"), top.alias("y0"), (at + 4).alias("x1"), low.alias("y1"), F.lit(ARROW).alias("text"), F.lit("text").alias("kind"))
+    return both.select(*PAGE, F.explode(F.array_compact(F.array(moved, F.when(hit, arrow)))).alias("t")).select(*PAGE, "t.*")
+
+
+def reaction_arrows(tokens: DataFrame, least_gap: float = 8.0) -> tuple[DataFrame, DataFrame]:
+    """Arrows, and the symbols with those moved that an arrow was found for, as two tables; who needs both reads arrows_and_symbols once."""
+    every = arrows_and_symbols(tokens, least_gap)
+    return every.filter("kind = 'text'"), every.filter("kind = 'symbol'")
 
 
 def with_symbols(tokens: DataFrame, strokes: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:
     """The texts of pages with the enthalpy signs and arrows that are drawn on them, as tokens for geometry.page_lines."""
     texts = tokens.select(*PAGE, *BOX, "text", "kind")
-    arrows, signs = reaction_arrows(texts.unionByName(enthalpy_signs(strokes, glyphs)))
-    return texts.unionByName(signs).unionByName(arrows)
+    return texts.unionByName(arrows_and_symbols(texts.unionByName(enthalpy_signs(strokes, glyphs))))

@@ -402,7 +402,7 @@ s AS (SELECT *, x + CASE WHEN v = 4 THEN 22 ELSE 18 END AS x1, 'ΔH' || CASE WHE
 
 def drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Strokes, glyphs and texts of one page a part: signs (variants 0 and 4) and what is none: no bar, too few strokes, two groups."""
-    v, x, rows = F.col("p_size") % 5, (200 + F.col("p_size")).cast("double"), table(spark, sf_dir, "part")
+    v, x, rows = F.col("p_size") % 5, (200 + F.col("p_size")).cast("double"), spread_parts(spark, sf_dir)
     shift = F.when(v == 3, 10.0).otherwise(0.0)
     stroke = lambda n, x0, y0, x1, y1, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(n).alias("ord"), (x + x0).alias("x0"), F.lit(100.0 + y0).alias("y0"), (x + x1).alias("x1"), (F.lit(100.0) + y1).alias("y1")))
     strokes = F.array_compact(F.array(
@@ -429,9 +429,8 @@ def enthalpy_signs(spark, sf_dir):
 UNION ALL SELECT doc, 'arrow', 211, 114, 219, 124 FROM s WHERE a = 2""")
 def reaction_arrows(spark, sf_dir):
     strokes, glyphs, texts = drawn(spark, sf_dir)
-    arrows, signs = symbols.reaction_arrows(texts.unionByName(symbols.enthalpy_signs(strokes, glyphs)))
-    own = ["doc", "x0", "y0", "x1", "y1"]
-    return signs.select(*own, F.lit("sign").alias("what")).unionByName(arrows.select(*own, F.lit("arrow").alias("what")))
+    both = symbols.arrows_and_symbols(texts.unionByName(symbols.enthalpy_signs(strokes, glyphs)))
+    return both.select("doc", "x0", "y0", "x1", "y1", F.when(F.col("kind") == "symbol", "sign").otherwise("arrow").alias("what"))
 
 
 @query(f"""WITH {SIGNS_SQL}, t AS (SELECT p.doc, p.a, s.text AS sign FROM p LEFT JOIN s ON p.doc = s.doc)

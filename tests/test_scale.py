@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quizloom.functions import text
+from quizloom.operators import geometry
 
 
 @pytest.mark.parametrize("made,part,most", [
     (lambda c: text.options_table(c), "bipyramidal", 6), (lambda c: text.option_lines(c), "aggregate(", 1), (lambda c: text.without_repeated_options(c, F.lit(True)), "aggregate(", 1),
-    (lambda c: text.without_labels(c, F.lit(True)), r"\x0e-\x1f", 3),
+    (lambda c: text.without_labels(c, F.lit(True)), r"\x0e-\x1f", 4),
 ])
 def test_steps_of_a_text_are_taken_once(spark, made, part, most):
     plan = spark.range(1).select(made(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
@@ -19,3 +20,20 @@ def test_long_texts(spark):
     rows = "\n".join(["PCl5 [X]+", "A pyramidal one", "B square planar bent", "C two tetrahedral", "D non-linear linear", "end"] * 100)
     got = spark.range(1).select(text.options_table(F.concat(F.lit(rows), F.col("id").cast("string"))).alias("x")).first().x
     assert got.count("| --- | --- | --- |") == 100 and got.count("| D | non-linear | linear |") == 100
+
+
+BOXES = "doc long, page int, ord int, x0 double, y0 double, x1 double, y1 double"
+
+
+def test_pages_stream_through_a_task(spark):
+    """Many small pages are no calls of their own, a page may be longer than a batch, and keys and numbers may be null."""
+    i = F.col("id")
+    small = spark.range(3000).select((2**60 + i).alias("doc"), F.lit(1).alias("page"), F.explode(F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(0.0).alias("x0"), F.lit(y).alias("y0"), F.lit(9.0).alias("x1"), F.lit(y + 2).alias("y1")) for n, y in enumerate((0.0, 1.0, 50.0))])).alias("b")).select("doc", "page", "b.*")
+    long = spark.range(25000).select(F.lit(7).cast("long").alias("doc"), F.lit(1).alias("page"), i.cast("int").alias("ord"), F.lit(0.0).alias("x0"), (i * 20.0).alias("y0"), F.lit(9.0).alias("x1"), (i * 20.0 + 5).alias("y1"))
+    odd = spark.createDataFrame([(None, None, 1, 0.0, 1.0, 9.0, 2.0), (None, None, 2, 0.0, None, 9.0, 2.0)], BOXES)
+    rows = geometry.bands(small.unionByName(long).unionByName(odd))
+    assert "FlatMapGroupsInPandas" not in rows._jdf.queryExecution().toString()
+    got = {r.doc: (r.n, r.most) for r in rows.groupBy("doc").agg(F.count("*").alias("n"), F.max("band").alias("most")).collect()}
+    assert len(got) == 3002 and got[7] == (25000, 24999) and got[2**60 + 5] == (3, 1) and got[None] == (2, 0)
+    kept = geometry.larger_of_overlapping(small).groupBy("doc").count().distinct().select("count").distinct().collect()
+    assert [r[0] for r in kept] == [3]
