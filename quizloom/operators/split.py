@@ -29,9 +29,10 @@ def lines_of(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame
     return rows.withColumn("page", F.last(mark, ignorenulls=True).over(w))
 
 
-def next_full(column: Column, key: str) -> Column:
-    """The next value that isn't null, after this row."""
-    return F.first(column, ignorenulls=True).over(Window.partitionBy(key).orderBy("n").rowsBetween(1, Window.unboundedFollowing))
+def next_full(rows: DataFrame, column: Column, key: str, name: str) -> DataFrame:
+    """rows with the next value that isn't null, after each row. A frame that ends with its partition would be read anew for each row."""
+    after = F.expr(f"lead(_full) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY n)")
+    return rows.withColumn("_full", column).withColumn(name, after).drop("_full")
 
 
 def questions(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
@@ -40,17 +41,19 @@ def questions(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFram
     end = F.min(F.when(F.col("line").rlike(starts.NOTES_HEADING), F.col("n"))).over(Window.partitionBy(key))
     rows = rows.withColumn("end", end).filter(F.col("end").isNull() | (F.col("n") < F.col("end"))).drop("end")
     noise = F.col("line").rlike(FOOTER) | F.col("line").rlike(PAGE_LINE) | (F.trim("line") == "")
-    rows = rows.withColumn("after", next_full(F.when(~noise, F.trim("line")), key))
+    full = next_full(rows, F.when(~noise, F.trim("line")), key, "after")
     number = F.nullif(F.regexp_extract("line", MAIN_LINE, 1), F.lit("")).cast("int")
     stem = F.trim(F.regexp_extract("line", MAIN_LINE, 2))
     most = F.when(F.col("style") == "mcq", 40).otherwise(20)
-    rows = rows.withColumn("num", F.when(number.between(1, most) & starts.plausible(stem, F.col("after"), F.col("style")), number)).withColumn("class", starts.line_class(stem))
-    picked = rows.filter("num is not null").groupBy(key).agg(F.first("style").alias("style"), F.array_sort(F.collect_list(F.struct("n", "num", "class"))).alias("c"))
+    full = full.withColumn("num", F.when(number.between(1, most) & starts.plausible(stem, F.col("after"), F.col("style")), number)).withColumn("class", starts.line_class(stem))
+    picked = full.filter("num is not null").groupBy(key).agg(F.first("style").alias("style"), F.array_sort(F.collect_list(F.struct("n", "num", "class"))).alias("c"))
     taken = F.when(F.col("style") == "mcq", starts.best_picks(F.col("c"))).otherwise(starts.consecutive(F.col("c"), F.col("style")))
-    opened = picked.select(key, F.explode(taken).alias("n"), F.lit(True).alias("starts"))
-    w = Window.partitionBy(key).orderBy("n")
-    rows = rows.join(opened, [key, "n"], "left").withColumn("ord", F.count("starts").over(w)).filter("ord > 0")
-    first = F.min(F.when(F.col("starts"), F.struct("n", "num", "page")))
+    # the lines stay where their document lies: they meet its openers, which are in order, and count those that stand before them
+    numbers = F.transform("taken", lambda t: F.get(F.filter("c", lambda c: c["n"] == t), F.lit(0))["num"])
+    picked = picked.select(key, "style", "c", taken.alias("taken")).select(key, "style", "taken", numbers.alias("nums"))
+    rows = rows.select(key, "n", "line", "page").join(picked, key)
+    rows = rows.withColumn("ord", F.size(F.filter("taken", lambda t: t <= F.col("n")))).filter("ord > 0")
+    first = F.min(F.when(F.col("n") == F.get("taken", F.col("ord") - 1), F.struct("n", F.get("nums", F.col("ord") - 1).alias("num"), "page")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("line").rlike(PAGE_LINE), F.struct("n", "line")))), lambda s: s["line"]), "\n")
     out = rows.groupBy(key, "ord").agg(first.alias("f"), F.first("style").alias("style"), body.alias("text"))
     return out.select(key, F.col("f.num").cast("string").alias("question"), F.col("ord").cast("int"), (F.col("f.n") + 1).alias("start_line"), F.col("f.page").alias("page"), "style", without_footers(F.col("text")).alias("text"))

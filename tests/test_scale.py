@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quizloom.functions import text
-from quizloom.operators import geometry
+from quizloom.operators import geometry, split, tagging
 
 
 @pytest.mark.parametrize("made,part,most", [
@@ -37,3 +37,19 @@ def test_pages_stream_through_a_task(spark):
     assert len(got) == 3002 and got[7] == (25000, 24999) and got[2**60 + 5] == (3, 1) and got[None] == (2, 0)
     kept = geometry.larger_of_overlapping(small).groupBy("doc").count().distinct().select("count").distinct().collect()
     assert [r[0] for r in kept] == [3]
+
+
+def test_numbered_lines_are_looked_at_once(spark):
+    docs = spark.createDataFrame([("d", "1 Explain what is meant by this.\n\n(a) State it.\n2 Describe the other thing.")], "doc string, text string")
+    found = split.questions(docs)
+    assert "specifiedwindowframe(RowFrame, 1, unboundedfollowing$())" not in found._jdf.queryExecution().analyzed().toString()  # such a frame is read anew for each row
+    assert [(r.question, r.start_line) for r in found.orderBy("ord").collect()] == [("1", 1), ("2", 4)]
+
+
+def test_what_rules_give_is_sent_to_the_texts(spark):
+    """Most texts have the same few rules: joined by rule they would meet in one task."""
+    codes, outcomes = spark.createDataFrame([("1",)], "code string"), spark.createDataFrame([("1-1", "1")], "lo_id string, parent_code string")
+    rules = spark.createDataFrame([(0, "body", "a", ["1"], [], ["recall"], False)], tagging.RULES)
+    rows = tagging.tagged(spark.range(3).select("id", F.lit("a").alias("body")), rules, codes, outcomes)
+    assert "strategy=broadcast" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.rule for r in rows.collect()] == [0, 0, 0]
