@@ -58,7 +58,7 @@ def tagged(records: DataFrame, rules: DataFrame, codes: DataFrame, outcomes: Dat
     placed = records.withColumn("rule", first_place(usable, stem_of(text), text))
     given = usable.select(F.col("place").alias("rule"), F.col("codes").alias("_codes"), F.col("outcomes").alias("_outcomes"), F.col("skills").alias("_skills"))
     spare = codes.filter(F.col("code").isin(ORGANIC_CODE, OTHER_CODE)).agg(F.collect_set("code").alias("spare")).join(codes.agg(F.min("code").alias("least")))
-    met = placed.join(given, "rule", "left").crossJoin(spare)  # one row
+    met = placed.join(F.broadcast(given), "rule", "left").crossJoin(F.broadcast(spare))  # at most MOST_RULES rows, and one
     wanted = F.when(text.rlike(ORGANIC), ORGANIC_CODE).otherwise(OTHER_CODE)
     fallback = F.array(F.when(F.array_contains("spare", wanted), wanted).otherwise(F.col("least")))
     met = met.withColumn("syllabus_codes", F.coalesce("_codes", fallback)).drop("_codes", "spare", "least")
