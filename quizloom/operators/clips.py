@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import distinctive_words, word_hits
+from ..sources.store import kept
 from .geometry import PAGE, content_bottoms, question_bands
 
 LEFT, RIGHT_INSET, TOP, FOOT = 40.0, 32.0, 48.0, 36.0  #: margins of a page
@@ -29,6 +30,12 @@ KEY_SENTENCE = ["correct", "response", "combination", "statements", "used", "as"
 HAS_KEY, HAS_ASK = f"(?i)(?:{'|'.join(KEY)})", f"(?i)(?:{'|'.join(ASKS)})"
 
 
+def merged_with(rows: DataFrame) -> DataFrame:
+    """The other side of a join by page or document. Both sides grow with the papers, so they are merged: some thirty joins of a plan that send
+    what seems small to the driver, all at once, are too much for it."""
+    return rows.hint("merge")
+
+
 # ---------------------------------------------------------------- texts of bands
 
 
@@ -37,7 +44,7 @@ def band_texts(bands: DataFrame, words: DataFrame, keys: list[str], line_gap: fl
     b = bands.select(*keys, F.struct(*[c for c in bands.columns if c not in keys]).alias("b"), F.struct("x0", "y0", "x1", "y1").alias("box"))
     middles = words.select(*[F.col(c).alias(f"w_{c}") for c in PAGE], F.col("x0").alias("left"), ((F.col("x0") + F.col("x1")) / 2).alias("mx"), ((F.col("y0") + F.col("y1")) / 2).alias("my"), F.col("text").alias("word"))
     inside = (F.col("doc") == F.col("w_doc")) & (F.col("page") == F.col("w_page")) & F.col("mx").between(F.col("box.x0"), F.col("box.x1")) & F.col("my").between(F.col("box.y0"), F.col("box.y1"))
-    met = b.join(middles, inside, "left")
+    met = b.join(merged_with(middles), inside, "left")
     w = Window.partitionBy(*keys).orderBy("my", "left")
     fresh = F.coalesce(F.col("my") - F.lag("my").over(w) > line_gap, F.lit(True)).cast("int")
     lined = met.withColumn("fresh", fresh).withColumn("line", F.sum("fresh").over(w))
@@ -102,7 +109,7 @@ def first_bands(marks: DataFrame, words: DataFrame, pages: DataFrame, drawings:
     """The band of every opener on its own page, cut below its lowest content, with next: whether another question opens below it."""
     w = Window.partitionBy(*PAGE).orderBy("y", "question")
     inset = F.when(F.col("practical"), 0.0).otherwise(RIGHT_INSET) if "practical" in pages.columns else F.lit(RIGHT_INSET)
-    rows = marks.withColumn("below", F.lead("y").over(w)).join(pages, PAGE)
+    rows = marks.withColumn("below", F.lead("y").over(w)).join(merged_with(pages), PAGE)
     top = F.greatest(F.lit(0.0), F.col("y") - 2)
     raw = rows.select(
         *PAGE, "question", "bottom", F.col("below").isNotNull().alias("next"), F.lit(LEFT).alias("x0"), top.alias("y0"),
@@ -123,7 +130,7 @@ def valid_openings(bands: DataFrame, words: DataFrame, accept: Column | None = N
 def page_stops(words: DataFrame) -> DataFrame:
     """(doc, page, y): what ends a question besides the next one: a heading of the qualitative part, and a blank page at its top."""
     analysis = words.filter(F.col("text").rlike("(?i)^analysis$")).select(*PAGE, F.col("y0").alias("ay"), F.col("x0").alias("ax"))
-    heads = words.filter(F.col("text").rlike("(?i)^Qualitative$") & (F.col("x0") < 80) & (F.col("y0") < 200)).join(analysis, PAGE)
+    heads = words.filter(F.col("text").rlike("(?i)^Qualitative$") & (F.col("x0") < 80) & (F.col("y0") < 200)).join(merged_with(analysis), PAGE)
     heads = heads.filter((F.abs(F.col("ay") - F.col("y0")) < 4) & (F.col("ax") > F.col("x0")) & (F.col("ax") < F.col("x0") + 140)).groupBy(*PAGE).agg(F.min("y0").alias("y"))
     after = F.lead("text").over(Window.partitionBy(*PAGE).orderBy("y0", "x0"))
     blank, part = F.bool_or(F.col("text").rlike("(?i)^BLANK$") & F.col("after").rlike("(?i)^PAGE$")), F.bool_or(F.col("text").rlike(r"(?i)^\([a-z]\)"))
@@ -139,14 +146,14 @@ def continued(opened: DataFrame, marks: DataFrame, words: DataFrame, pages: Data
     its page to that of its stop; the pages between are whole. A document has few numbers, so they meet its stops by document."""
     none = F.lit(None).cast("int")
     stops = marks.select("doc", F.col("page").alias("p"), "y", F.col("question").alias("number")).unionByName(page_stops(words).select("doc", F.col("page").alias("p"), "y", none.alias("number")))
-    ends = stops.groupBy("doc").agg(F.collect_list(F.struct("p", "y", "number")).alias("stops")).join(pages.groupBy("doc").agg(F.max("page").alias("end")), "doc", "right")
+    ends = stops.groupBy("doc").agg(F.collect_list(F.struct("p", "y", "number")).alias("stops")).join(merged_with(pages.groupBy("doc").agg(F.max("page").alias("end"))), "doc", "right")
     box = [*PAGE, "question", "x0", "y0", "x1", "y1"]
-    own = opened.select(*box, "next").join(ends, "doc")
+    own = opened.select(*box, "next").join(merged_with(ends), "doc")
     later = F.filter("stops", lambda s: (s["p"] > F.col("page")) & (s["number"].isNull() | (s["number"] >= F.col("question"))))
     at = F.transform(later, lambda s: F.struct(s["p"].alias("p"), F.when(s["number"] == F.col("question"), 0.0).otherwise(s["y"]).alias("y"), s["number"].alias("number")))
     own = own.withColumn("stop", F.array_min(at)).withColumn("first", F.col("page"))
     end = F.when(F.col("next"), F.col("page")).otherwise(F.coalesce(F.col("stop.p"), F.col("end")))
-    each = own.withColumn("page", F.explode(F.sequence("page", end))).join(pages.select(*PAGE, "bottom"), PAGE)
+    each = own.withColumn("page", F.explode(F.sequence("page", end))).join(merged_with(pages.select(*PAGE, "bottom")), PAGE)
     here, at_stop, heading = F.col("page") == F.col("first"), F.col("page") == F.col("stop.p"), F.col("stop.number").isNull()
     y0 = F.when(here, F.col("y0")).otherwise(TOP)
     y1 = F.when(here, F.col("y1")).when(at_stop, F.col("stop.y") - F.when(heading, 2.0).otherwise(4.0)).otherwise(F.col("bottom") - LAST_LINE)
@@ -168,8 +175,9 @@ def numbered_bands(bands: DataFrame, keys: list[str]) -> DataFrame:
 
 def structured_clips(words: DataFrame, pages: DataFrame, drawings: DataFrame) -> DataFrame:
     """(doc, page, question, band, x0, y0, x1, y1): the bands of every question of papers without options, over page ends."""
-    marks = openers(words)
+    marks = kept(openers(words), "marks")
     opened = valid_openings(first_bands(marks, words, pages, drawings), words)
+    opened = kept(opened, "opened")
     return numbered_bands(continued(opened, marks, words, pages, drawings), ["doc", "question"]).select(BAND)
 
 
@@ -190,17 +198,17 @@ def key_regions(words: DataFrame, pages: DataFrame) -> DataFrame:
     sentence below that. A page may have several."""
     heads = words.filter(F.col("text").rlike("(?i)^responses?$")).select(*PAGE, F.col("y0").alias("head")).distinct()
     ones = words.filter(F.col("text").isin("1,", "1")).select(*PAGE, F.col("x0").alias("ox"), F.col("y0").alias("row"))
-    near = words.filter(F.lower("text").isin("2", "and")).select(*PAGE, "x0", "y0", F.lower("text").alias("word")).join(ones, PAGE)
+    near = words.filter(F.lower("text").isin("2", "and")).select(*PAGE, "x0", "y0", F.lower("text").alias("word")).join(merged_with(ones), PAGE)
     near = near.filter((F.abs(F.col("y0") - F.col("row")) < 8) & (F.col("x0") - F.col("ox")).between(0, 79.999))
     rows = near.groupBy(*PAGE, "row").agg(F.collect_set("word").alias("both")).filter(F.size("both") == 2).select(*PAGE, "row")
-    tops = heads.join(rows, PAGE).filter((F.col("row") > F.col("head")) & (F.col("row") <= F.col("head") + 70)).groupBy(*PAGE, "head").agg(F.min("row").alias("row"))
+    tops = heads.join(merged_with(rows), PAGE).filter((F.col("row") > F.col("head")) & (F.col("row") <= F.col("head") + 70)).groupBy(*PAGE, "head").agg(F.min("row").alias("row"))
     # heads of the same row belong to one block: the lowest stands right above it
     tops = tops.groupBy(*PAGE, "row").agg(F.min("head").alias("head")).withColumn("top", F.col("head") - 2)
     tops = tops.withColumn("next_top", F.lead("top").over(Window.partitionBy(*PAGE).orderBy("top")))
-    said = words.filter(F.rtrim(F.lower("text"), F.lit(".")).isin(KEY_SENTENCE)).select(*PAGE, "y0", "y1").join(tops, PAGE)
+    said = words.filter(F.rtrim(F.lower("text"), F.lit(".")).isin(KEY_SENTENCE)).select(*PAGE, "y0", "y1").join(merged_with(tops), PAGE)
     said = said.filter(F.col("y0").between(F.col("top") - 2, F.col("top") + 140) & (F.col("next_top").isNull() | (F.col("y0") < F.col("next_top"))))
     lows = said.groupBy(*PAGE, "top").agg(F.max("y1").alias("low"))
-    found = tops.join(lows, [*PAGE, "top"], "left").join(pages.select(*PAGE, "right"), PAGE)
+    found = tops.join(merged_with(lows), [*PAGE, "top"], "left").join(merged_with(pages.select(*PAGE, "right")), PAGE)
     boxes = found.select(*PAGE, F.lit(LEFT).alias("x0"), F.greatest(F.lit(0.0), F.col("top")).alias("y0"), (F.col("right") - RIGHT_INSET).alias("x1"), (F.greatest(F.col("top") + 50, "low") + 8).alias("y1"))
     told = band_texts(boxes.withColumn("top", F.col("y0")), words, [*PAGE, "top"])
     letters = lambda c: F.col("text").rlike(rf"(?:^|\s){c}(?:\s|$)")
@@ -214,7 +222,7 @@ def keys_for(asking: DataFrame, keys: DataFrame, marks: DataFrame) -> DataFrame:
     A question asks at a handful of pages, so keys are met by page; the best place wins."""
     places = asking.select("doc", "question", F.col("page").alias("own"), F.col("y0").alias("q0"), F.col("y1").alias("q1"), "next", F.explode(F.sequence(F.col("page") - LOOK_BACK, F.col("page") + 1)).alias("page"))
     tops = marks.groupBy(*PAGE).agg(F.min("y").alias("first_mark"))
-    met = places.join(keys, PAGE).join(tops, PAGE, "left")
+    met = places.join(merged_with(keys), PAGE).join(merged_with(tops), PAGE, "left")
     away = F.col("page") - F.col("own")
     below = (away == 0) & (F.col("y0") >= F.col("q1") - 20)
     above = (away == 0) & (F.col("y0") < F.col("q0") - 2)
@@ -237,19 +245,20 @@ def letters_shown(text: Column) -> Column:
 def choice_clips(words: DataFrame, pages: DataFrame, drawings: DataFrame) -> DataFrame:
     """(doc, page, question, band, x0, y0, x1, y1) of multiple-choice papers: a question's band and, for statement questions without a key of
     their own, the shared key as a second band. What doesn't show A to D in the end is no clip; the first that does wins."""
-    marks = openers(words)
+    # what several steps read is written once; as one plan it would be found anew for each, and outgrow the driver
+    marks = kept(openers(words), "marks")
     bands = first_bands(marks, words, pages, drawings)
     keys = [*PAGE, "question"]
     told = band_texts(bands, words, keys)
     good = told.filter(shows_question(F.col("question"), F.col("lines")) & ~opens_next(F.col("question"), F.col("text")))
-    good = good.withColumn("asks", statements(F.col("question"), F.col("text")) & ~F.col("text").rlike(HAS_KEY))
-    shared = keys_for(good.filter("asks"), key_regions(words, pages), marks)
-    found = good.join(shared.select("doc", "question", F.col("own").alias("page"), F.lit(True).alias("shared")), keys, "left")
+    good = kept(good.withColumn("asks", statements(F.col("question"), F.col("text")) & ~F.col("text").rlike(HAS_KEY)), "good")
+    shared = kept(keys_for(good.filter("asks"), key_regions(words, pages), marks), "shared")
+    found = good.join(shared.select("doc", "question", F.col("own").alias("page"), F.lit(True).alias("shared")).hint("merge"), keys, "left")
     whole = F.when(F.col("asks"), F.coalesce("shared", F.lit(False))).otherwise(letters_shown(F.col("text")))
     w = Window.partitionBy("doc", "question").orderBy("page")
     first = found.filter(whole).withColumn("nth", F.row_number().over(w)).filter("nth = 1")
     box = [*PAGE, "question", "x0", "y0", "x1", "y1"]
-    taken = shared.join(first.filter("asks").select("doc", "question", F.col("page").alias("own")), ["doc", "question", "own"], "left_semi")
+    taken = shared.join(first.filter("asks").select("doc", "question", F.col("page").alias("own")).hint("merge"), ["doc", "question", "own"], "left_semi")
     return first.select(*box, F.lit(1).alias("band")).unionByName(taken.select(*box, F.lit(2).alias("band"))).select(BAND)
 
 
@@ -285,7 +294,7 @@ def spread(spans: DataFrame, pages: DataFrame, keys: list[str], least: float = 6
 
     A last page on which less than 10 would be left, and a span without height, give none."""
     some = spans.filter((F.col("p1") > F.col("p0")) | ((F.col("p1") == F.col("p0")) & (F.col("y1") > F.col("y0") + least)))
-    each = some.withColumn("page", F.explode(F.sequence("p0", "p1"))).join(pages.select(*PAGE, "right", "bottom"), PAGE)
+    each = some.withColumn("page", F.explode(F.sequence("p0", "p1"))).join(merged_with(pages.select(*PAGE, "right", "bottom")), PAGE)
     first, last = F.col("page") == F.col("p0"), F.col("page") == F.col("p1")
     top = F.when(first, F.greatest(F.lit(0.0), F.col("y0"))).otherwise(TOP)
     end = F.when(last, F.least(F.col("bottom") - 20, F.col("y1"))).otherwise(F.col("bottom") - FOOT)
@@ -307,7 +316,7 @@ def part_clips(words: DataFrame, pages: DataFrame) -> DataFrame:
     c = F.col
     w = Window.partitionBy("doc").orderBy("page", "y", "at", c("letter").asc_nulls_first(), c("roman").asc_nulls_first())
     ends = pages.groupBy("doc").agg(F.max(F.struct("page", (c("bottom") - LAST_LINE + 2).alias("y"))).alias("end"))  # 2 are taken off again below
-    events = part_events(words, openers(words)).join(ends, "doc").withColumn("stop", F.coalesce(F.lead(F.struct("page", "y")).over(w), c("end")))
+    events = kept(part_events(words, openers(words)), "events").join(merged_with(ends), "doc").withColumn("stop", F.coalesce(F.lead(F.struct("page", "y")).over(w), c("end")))
     inside, by_letter, place = Window.partitionBy("doc", "question"), Window.partitionBy("doc", "question", "letter"), F.struct("page", "y")
     events = (
         events.withColumn("opened", F.min(F.when(c("kind") == "question", place)).over(inside))
@@ -328,7 +337,7 @@ def part_clips(words: DataFrame, pages: DataFrame) -> DataFrame:
     preamble = F.when((c("kind") == "roman") & late, span(c("lettered"), 2.0, c("first_roman")))
     keys = ["doc", "label"]
     spans = leaves.select(*keys, F.explode(F.array_compact(F.array(stem, preamble, own))).alias("s")).select(*keys, "s.*")
-    return numbered_bands(merged(spread(spans, pages, keys), keys), keys).select("doc", "label", "page", "band", "x0", "y0", "x1", "y1")
+    return numbered_bands(merged(spread(kept(spans, "spans"), pages, keys), keys), keys).select("doc", "label", "page", "band", "x0", "y0", "x1", "y1")
 
 
 def upright(words: DataFrame, pages: DataFrame) -> DataFrame:
@@ -347,7 +356,7 @@ def scheme_rows(words: DataFrame, pages: DataFrame, header: float = 52.0) -> Dat
     found = words.filter(F.trim("text").rlike(r"(?i)^\d{1,2}\([a-z]\)(?:\([ivx]+\))?$"))
     tops = found.groupBy(*PAGE, F.lower(F.trim("text")).alias("label")).agg(F.min("y0").alias("y"))
     w = Window.partitionBy(*PAGE).orderBy("y", "label")
-    rows = tops.join(pages.select(*PAGE, "right", "bottom"), PAGE).withColumn("top", F.when(F.row_number().over(w) == 1, header).otherwise(F.col("y"))).withColumn("end", F.coalesce(F.lead("y").over(w), F.col("bottom") - 28))
+    rows = tops.join(merged_with(pages.select(*PAGE, "right", "bottom")), PAGE).withColumn("top", F.when(F.row_number().over(w) == 1, header).otherwise(F.col("y"))).withColumn("end", F.coalesce(F.lead("y").over(w), F.col("bottom") - 28))
     low = F.when(F.col("end") <= F.col("top") + 12, F.least(F.col("bottom") - 20, F.col("top") + 36)).otherwise(F.col("end"))
     last = Window.partitionBy("doc", "label").orderBy(F.desc("page"))
     out = rows.select("doc", "label", "page", F.lit(36.0).alias("x0"), F.greatest(F.lit(0.0), F.col("top")).alias("y0"), (F.col("right") - RIGHT_INSET).alias("x1"), F.least("bottom", low).alias("y1"))

@@ -220,7 +220,7 @@ def content_bottoms(bands: DataFrame, words: DataFrame, drawings: DataFrame, pag
     own = F.col("bottom") if "bottom" in bands.columns else F.lit(page_bottom)
     b = bands.select(*keys, F.struct(*[c for c in bands.columns if c not in keys]).alias("b"), own.alias("page_end"))
     items = words.select(*PAGE, "x0", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("text")).unionByName(drawings.select(*PAGE, "x0", "y0", "x1", "y1", F.lit(None).cast("string").alias("text")))
-    met = b.join(items, PAGE, "left")
+    met = b.join(items.hint("merge"), PAGE, "left")
     touches = (F.col("x1") >= F.col("b.x0")) & (F.col("x0") <= F.col("b.x1")) & (F.col("y1") >= F.col("b.y0") - 2)
     word = F.col("text").isNotNull() & (F.col("y0") <= F.col("b.y1") + 2)
     cut = F.min(F.when(touches & word & F.col("text").rlike(trailer), F.col("y0"))).over(Window.partitionBy(*keys))

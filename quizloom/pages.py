@@ -96,6 +96,12 @@ def as_words(rows: DataFrame, words: list) -> DataFrame:
     return rows.select("doc", F.explode(F.array_compact(F.array(*words))).alias("w")).select("doc", "w.*")
 
 
+def composed(words: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words, pages and no drawings, composed once: the operators read them many times."""
+    words, pages = store.kept(words, "words"), store.kept(pages, "pages")
+    return words, pages, words.select("doc", "page", "x0", "y0", "x1", "y1").limit(0)
+
+
 def structured_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words, pages and no drawings of papers with far-left digits, feet, a trailer and a blank last page."""
     rows = laid(spark, sf_dir)
@@ -114,7 +120,7 @@ def structured_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     last = as_words(ends, boxes((page, 60, 600, "Permission"), (page, 120, 600, "reproduce"), (page + 1, 250, 400, "BLANK"), (page + 1, 300, 400, "PAGE")))
     words = own.unionByName(feet).unionByName(last)
     pages = every.select("doc", "page", F.lit(RIGHT).alias("right"), F.lit(BOTTOM).alias("bottom"))
-    return words, pages, words.select("doc", "page", "x0", "y0", "x1", "y1").limit(0)
+    return composed(words, pages)
 
 
 def placed(clips: DataFrame, *keys: str) -> DataFrame:
@@ -178,7 +184,7 @@ def choice_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     keyed = [(at, x, top + dy, t, (F.col("variant") == v) & (F.col("most") >= need)) for v, tops in KEY_TOPS.items() for at, top, need in tops for t, x, dy in block]
     words = own.unionByName(as_words(papers, boxes(*keyed)))
     pages = papers.select("doc", F.explode(F.sequence(F.lit(1), ((F.col("most") - 1) / 4 + 1).cast("int"))).alias("page"), F.lit(RIGHT).alias("right"), F.lit(BOTTOM).alias("bottom"))
-    return words, pages, words.select("doc", "page", "x0", "y0", "x1", "y1").limit(0)
+    return composed(words, pages)
 
 
 @query(f"""WITH {CHOICES_SQL},

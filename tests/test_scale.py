@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quizloom import pages
 from quizloom.functions import text
 from quizloom.operators import geometry, split, tagging
 
@@ -53,3 +54,9 @@ def test_what_rules_give_is_sent_to_the_texts(spark):
     rows = tagging.tagged(spark.range(3).select("id", F.lit("a").alias("body")), rules, codes, outcomes)
     assert "strategy=broadcast" in rows._jdf.queryExecution().optimizedPlan().toString()
     assert [r.rule for r in rows.collect()] == [0, 0, 0]
+
+
+def test_clips_are_made_in_steps(spark):
+    """As one plan the clips of choice papers read the orders over 90 times and sent 39 tables to the driver."""
+    plan = pages.choice_question_clips(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("FileScan") <= 6
