@@ -6,10 +6,14 @@ read by Spark.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import fnmatch
+from collections.abc import Iterator, Sequence
+from functools import partial, reduce
 from typing import Any
 
+import pyarrow as pa
 import yaml
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,12 +21,90 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions.text import front_and_body
 from ..plans.rules import RuleError, SelectRules
+from . import store
+
+FOUND = "path string, size long, folder boolean"
+BATCH_FILES, BATCH_BYTES = 1000, 8 << 20  #: a batch of contents ends with the file that reaches one of them
+
+
+def listed_by_tasks(root: str, pattern: str) -> bool:
+    """Whether tasks can list a folder themselves: it is there, its store is named and known to them, and neither name nor pattern needs Spark's globs."""
+    if ":/" not in root or any(c in root for c in "*?[]{}\\%#") or any(c in pattern for c in "[]{}\\"):
+        return False
+    try:
+        system, folder = fs.FileSystem.from_uri(root)
+        return system.get_file_info(folder).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def _within(root: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, size, folder) of what lies directly in each folder; what is hidden to Spark's readers is left out."""
+    system, top = fs.FileSystem.from_uri(root)
+    top = top.rstrip("/")
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            inside = folder.removeprefix(root.rstrip("/"))
+            found = [i for i in system.get_file_info(fs.FileSelector(top + inside)) if not (n := i.base_name).startswith(".") and not n.endswith("._COPYING_") and ("=" in n or not n.startswith("_"))]
+            found = [i for i in found if i.type == fs.FileType.Directory or i.type == fs.FileType.File and fnmatch.fnmatchcase(i.base_name, pattern)]
+            for at in range(0, len(found), 10000):
+                some = found[at : at + 10000]
+                yield pa.RecordBatch.from_pydict({
+                    "path": pa.array([f"{folder.rstrip('/')}/{i.base_name}" for i in some], pa.string()),
+                    "size": pa.array([i.size for i in some], pa.int64()),
+                    "folder": pa.array([i.type == fs.FileType.Directory for i in some], pa.bool_()),
+                })
+
+
+def _contents(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_path, value): the bytes of each file, in the order of the rows."""
+    system, top = fs.FileSystem.from_uri(root)
+    top = top.rstrip("/")
+    for batch in batches:
+        paths, values, size = [], [], 0
+        for path in batch.column("path").to_pylist():
+            with system.open_input_stream(top + path.removeprefix(root.rstrip("/")), compression=None) as f:
+                value = f.read()
+            paths.append(path)
+            values.append(value)
+            size += len(value)
+            if len(paths) >= BATCH_FILES or size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pydict({"_path": paths, "value": pa.array(values, pa.binary())})
+                paths, values, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_pydict({"_path": paths, "value": pa.array(values, pa.binary())})
+
+
+def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, size) of the files below a folder, without their contents.
+
+    Folders are listed level by level, each by one task, so that no file passes through the driver. Stores and patterns
+    that only Spark knows are listed by Spark's driver, which leaves out empty files."""
+    if not listed_by_tasks(root, pattern):
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+        return rows.select(F.col("path"), F.col("length").alias("size"))
+    level, files = spark.range(0, 1, 1, 1).select(F.lit(root).alias("path")), []
+    while not files or not folders.isEmpty():
+        found = store.kept(level.mapInArrow(partial(_within, root, pattern), FOUND), "listing")
+        files.append(found.filter("not folder").select("path", "size"))
+        folders = found.filter("folder").select("path")
+        level = folders.repartition(store.shares(spark), "path")
+    return reduce(DataFrame.unionByName, files)
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """(_path, value): the files of a listing of the folder with their texts, in the order of the rows."""
+    rows = files.select("path").mapInArrow(partial(_contents, root), "_path string, value binary")
+    return rows.select("_path", F.col("value").cast("string").alias("value"))
 
 
 def whole_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """(_path, value): files below a folder whose name fits."""
+    if listed_by_tasks(root, pattern):
+        return contents(listing(spark, root, pattern).repartition(store.shares(spark), "path"), root)
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
-    return rows.select(F.col("_metadata.file_path").alias("_path"), "value")
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # blanks and signs of a name are encoded
+    return rows.select(plain.alias("_path"), "value")
 
 
 def question_columns(value: Column) -> list[Column]:
@@ -60,12 +142,6 @@ def notes(spark: SparkSession, root: str, stems: Sequence[str] = ()) -> DataFram
     return rows.select("_path", "stem", front_and_body(F.col("value")).alias("n")).select("_path", "stem", "n.front", "n.body")
 
 
-def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, size) of the files below a folder, without their contents."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return rows.select(F.col("path"), F.col("length").alias("size"))
-
-
 def yaml_of(spark: SparkSession, path: str) -> Any:
     """A small YAML file, by any path that Spark reads."""
     rows = spark.read.text(path, wholetext=True).limit(1).collect()
@@ -111,15 +187,22 @@ def pick(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drafts(spark: SparkSession, root: str, only: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    """(question, text, _path) of the drafts q*.txt of a folder in the order of the first number in their names; only keeps some questions."""
-    rows = whole_files(spark, root, "q*.txt")
+    """(question, text, _path) of the drafts q*.txt of a folder in the order of the first number in their names; only keeps some questions.
+
+    Names alone decide which drafts are read and in what order, so texts are read last, once and where they stay."""
+    apart = listed_by_tasks(root, "q*.txt")
+    rows = listing(spark, root, "q*.txt").select(F.col("path").alias("_path")) if apart else whole_files(spark, root, "q*.txt")
     stem = F.regexp_extract("_path", r"/q([^/]+)\.txt$", 1)
     question = F.when(stem.rlike(r"^\d+$"), F.regexp_replace(stem, r"^0+(?=\d)", "")).otherwise(stem)
-    rows = rows.select(question.alias("question"), F.col("value").alias("text"), "_path").filter("question <> ''")
+    rows = rows.withColumn("question", question).filter("question <> ''")
     if only:
         rows = rows.filter(F.col("question").isin(*map(str, only)))
     number = F.coalesce(F.regexp_extract("question", r"\d+", 0).try_cast("int"), F.lit(0))
-    return rows.orderBy(number, "_path").limit(limit) if limit is not None else rows.orderBy(number, "_path")
+    rows = rows.orderBy(number, "_path")
+    rows = rows.limit(limit) if limit is not None else rows
+    if apart:
+        rows = contents(rows.select(F.col("_path").alias("path")), root).withColumn("question", question)
+    return rows.select("question", F.col("value").alias("text"), "_path")
 
 
 def code_titles(spark: SparkSession, root: str) -> DataFrame:

@@ -28,6 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def shares(spark: SparkSession) -> int:
+    """Partitions for work that takes its time by the row, as with files: small rows would else meet in one task."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def kept(rows: DataFrame, name: str) -> DataFrame:
     """Rows that several plans read, written once to the shared folder."""
     spark = rows.sparkSession
@@ -116,6 +121,7 @@ class NoteWriter(DataSourceArrowWriter):
 
         system, folder = fs.FileSystem.from_uri(self.root)
         attempt = TaskContext.get().taskAttemptId()
+        made = set()
         for batch in iterator:
             for path, value, gone in zip(*[batch.column(c).to_pylist() for c in ("path", "value", "gone")]):
                 clean = posixpath.normpath(path)
@@ -126,8 +132,10 @@ class NoteWriter(DataSourceArrowWriter):
                     if system.get_file_info(target).type != fs.FileType.NotFound:
                         system.delete_file(target)
                     continue
-                system.create_dir(posixpath.dirname(target), recursive=True)
-                draft = f"{posixpath.dirname(target)}/.{posixpath.basename(target)}.{attempt}"
+                if (parent := posixpath.dirname(target)) not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                draft = f"{parent}/.{posixpath.basename(target)}.{attempt}"
                 with system.open_output_stream(draft, compression=None) as out:
                     out.write((value or "").encode())
                 system.move(draft, target)
@@ -136,5 +144,6 @@ class NoteWriter(DataSourceArrowWriter):
 
 def write_files(changed: DataFrame, folder: str) -> None:
     """The rows of publish() as files below a folder."""
-    changed.sparkSession.dataSource.register(NoteFiles)
-    changed.select("path", "value", "gone").write.format("note_files").mode("append").save(folder)
+    spark = changed.sparkSession
+    spark.dataSource.register(NoteFiles)
+    changed.select("path", "value", "gone").repartition(shares(spark), "path").write.format("note_files").mode("append").save(folder)

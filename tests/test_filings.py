@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quizloom.functions import keys, text
 from quizloom.operators import relational, stats
-from quizloom.sources import readers, writers
+from quizloom.sources import readers, store, writers
 
 
 def one(spark, column):
@@ -21,6 +21,40 @@ def test_drafts_in_the_order_of_their_numbers(spark, tmp_path):
     assert [r.question for r in readers.drafts(spark, root, limit=2).collect()] == ["x", "2"]
 
 
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Spark's driver listed every file, and read each of them in tasks of 32, twice where they were sorted, all of them for a limit."""
+    for name in ("q10.txt", "a/q2.txt", "a/b/q3.txt", "a/.q4.txt", "_a/q5.txt", ".b/q6.txt", "a/_q7.txt", "a/q8.md", "c/q9 x.txt", "c/qé%.txt", "c=1/q12.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "a/q11.txt").write_bytes(b"")
+    (tmp_path / "a/q13.txt").write_bytes(b"\xff\n")
+    (tmp_path / "none").mkdir()
+    root = f"file://{tmp_path}"
+    monkeypatch.setattr(readers, "BATCH_FILES", 2)
+    plan = lambda rows: rows._jdf.queryExecution().toString()
+    rows = {"first": readers.drafts(spark, root, limit=2), "all": readers.drafts(spark, root), "sizes": readers.listing(spark, root, "q*.txt"), "none": readers.listing(spark, f"{root}/none")}
+    assert "binaryFile" not in plan(rows["sizes"]) and "FileScan text" not in plan(rows["all"])
+    assert plan(rows["first"]).index("MapInArrow") < plan(rows["first"]).index("GlobalLimit")  # texts are read after the limit
+    assert [tuple(r) for r in rows["first"].select("question", "text").collect()] == [("é%", "c/qé%.txt"), ("2", "a/q2.txt")]
+    every = [(r.question, bytes(r.text)) for r in rows["all"].select("question", F.col("text").cast("binary").alias("text")).collect()]
+    assert every == [("é%", "c/qé%.txt".encode()), ("2", b"a/q2.txt"), ("3", b"a/b/q3.txt"), ("9 x", b"c/q9 x.txt"), ("10", b"q10.txt"), ("11", b""), ("12", b"c=1/q12.txt"), ("13", b"\xff\n")]
+    assert sorted(r.size for r in rows["sizes"].collect()) == [0, 2, 7, 8, 10, 10, 10, 11] and rows["none"].count() == 0
+    monkeypatch.setattr(readers, "listed_by_tasks", lambda *_: False)  # a store that only Spark knows; empty files are left out there
+    assert [(r.question, bytes(r.text)) for r in readers.drafts(spark, root).select("question", F.col("text").cast("binary").alias("text")).collect()] == [r for r in every if r[1]]
+
+
+def test_files_are_written_by_many_tasks(spark, tmp_path):
+    """A table of small rows is one partition; one task wrote all of its files."""
+    rows = spark.range(0, 400, 1, 1).select(F.concat(F.col("id") % 3, F.lit("/"), "id").alias("path"), F.lit("é").alias("value"), F.lit(False).alias("gone"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("files", "files")
+    store.write_files(rows, f"file://{tmp_path}")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("files") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) > 1
+    assert sorted(int(p.name) for p in tmp_path.rglob("*") if p.is_file()) == list(range(400)) and (tmp_path / "1/4").read_text() == "é"
+
+
 def test_the_file_that_is_meant(spark, monkeypatch):
     files = spark.createDataFrame([("a/5-1-energy.md", 1), ("b/5-1-energy.md", 2), ("b/5-1.md", 2), ("a/more-energy.md", 1), ("a/5-1.md.bak", 3)], "path string, place int")
     asked = spark.createDataFrame([("b/5-1-energy.md",), ("5-1-energy",), ("5-1",), ("energy",), ("none",), ("",)], "asked string")
