@@ -93,7 +93,7 @@ def notes_by_stem(spark, sf_dir):
 def listed_files(spark, sf_dir):
     rows = table(spark, sf_dir, "part")
     i = F.col("p_partkey")
-    root = filed(rows, said(F.when(F.col("p_size") % 2 == 0, "a/").otherwise("b/"), i, ".txt"), F.col("p_name"))
+    root = filed(rows, said(F.when(F.col("p_size") % 2 == 0, "a/").otherwise("b/"), dealt(i), i, ".txt"), F.col("p_name"))
     found = readers.listing(spark, root, "*.txt").filter(F.contains("path", F.lit("/a/")))
     return found.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("id"), "size")
 
