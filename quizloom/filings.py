@@ -67,7 +67,7 @@ def draft_files(spark, sf_dir):
 @query("SELECT c_custkey AS question, row_number() OVER (ORDER BY c_custkey) AS place FROM customer ORDER BY c_custkey LIMIT 25")
 def first_drafts(spark, sf_dir):
     i = F.col("c_custkey")
-    rows = readers.drafts(spark, filed(table(spark, sf_dir, "customer"), said("q", i, ".txt"), F.col("c_name")), limit=25)
+    rows = readers.drafts(spark, filed(table(spark, sf_dir, "customer"), said(dealt(i), "q", i, ".txt"), F.col("c_name")), limit=25)
     return relational.numbered(rows.select(F.col("question").cast("long").alias("question")), [F.col("question")], "place")
 
 
