@@ -66,12 +66,18 @@ def bundle(questions: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def illustrated(questions: DataFrame, files: DataFrame, root: str = "assets/structured/") -> tuple[DataFrame, DataFrame]:
     """Questions (id, figures, ...) with paper_img and ms_img, the first figure of each kind, and (id, reason) of those that lack an entry or whose
-    image the listing (path) lacks."""
+    image the listing (path) lacks.
+
+    The listing grows, and the sizes of its files don't tell by how much, so it is merged and never sent to all tasks. Names that are
+    missing meet nothing, each at a place of its own, where null keys would meet in one task."""
     name = lambda f: F.substring_index(f, "/", -1)
     of = lambda end: F.get(F.filter(F.transform(F.coalesce("figures", F.array().cast("array<string>")), name), lambda n: F.endswith(n, F.lit(end))), F.lit(0))
     rows = questions.withColumn("_paper", of("-paper.png")).withColumn("_ms", of("-ms.png"))
-    there = files.select(name(F.col("path")).alias("_name")).distinct()
-    rows = rows.join(there.select(F.col("_name").alias("_paper"), F.lit(True).alias("_has_paper")), "_paper", "left").join(there.select(F.col("_name").alias("_ms"), F.lit(True).alias("_has_ms")), "_ms", "left")
+    there = files.select(name(F.col("path")).alias("_name")).repartition("_name").distinct()  # dealt first: names are mostly distinct where they lie
+    for kind in ("_paper", "_ms"):
+        sought = F.coalesce(kind, F.concat(F.lit("/"), F.xxhash64("id").cast("string")))  # no name has a slash
+        found = there.select(F.col("_name").alias("_sought"), F.lit(True).alias(f"_has{kind}"))
+        rows = rows.withColumn("_sought", sought).join(found.hint("merge"), "_sought", "left").drop("_sought")
     reason = F.when(F.col("_paper").isNull() | F.col("_ms").isNull(), "missing figure entries").when(F.col("_has_paper").isNull() | F.col("_has_ms").isNull(), "missing image file")
     judged = rows.withColumn("reason", reason)
     images = [F.concat(F.lit(root), "_paper").alias("paper_img"), F.concat(F.lit(root), "_ms").alias("ms_img")]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quizloom import pages
 from quizloom.functions import text
 from quizloom.operators import geometry, split, tagging
+from quizloom.sources import writers
 
 
 @pytest.mark.parametrize("made,part,most", [
@@ -60,3 +61,19 @@ def test_clips_are_made_in_steps(spark):
     """As one plan the clips of choice papers read the orders over 90 times and sent 39 tables to the driver."""
     plan = pages.choice_question_clips(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and plan.count("FileScan") <= 6
+
+
+def test_a_listing_is_not_sent_to_all_tasks(spark):
+    """Its estimated size was small at any number of files; null names would meet in one task of a merge."""
+    i = F.col("id").cast("string")
+    rows = spark.range(4000).select("id", F.array(F.concat(i, F.lit("-paper.png"))).alias("figures"))
+    files = spark.range(10).select(F.concat(F.col("id").cast("string"), F.lit("-paper.png")).alias("path"))
+    for part, n in zip(writers.illustrated(rows, files), (0, 4000)):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "hashpartitioning(_ms" not in plan and part.count() == n
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [len(p) for p in writers.illustrated(rows, files)[1].rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 2000
