@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import kept, shares
 from .relational import top_by
 
 
@@ -25,8 +26,9 @@ def related(pairs: DataFrame, scope: Sequence[str] = (), k: int = 8) -> DataFram
     """For (scope, id, code) rows the k other ids of the scope that share most codes, ties by id.
 
     Pairs are counted before they are ranked, and ranks are cut on the map side; codes that all ids of a
-    scope share are the caller's to leave out."""
-    own = pairs.select(*scope, "id", "code").distinct()
+    scope share are the caller's to leave out. Rows are made once and dealt by their number, so that what a task holds doesn't grow with the table."""
+    rows = kept(pairs.select(*scope, "id", "code").dropna(), "codes")
+    own = rows.repartition(shares(rows.sparkSession, rows.count()), *scope, "code").distinct()
     other = own.withColumnRenamed("id", "other")
     shared = own.join(other, [*scope, "code"]).filter("id <> other").groupBy(*scope, "id", "other").agg(F.count("*").alias("shared"))
     return top_by(shared, [*scope, "id"], [F.desc("shared"), F.asc("other")], k)

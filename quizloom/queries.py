@@ -16,6 +16,7 @@ from .functions import keys, text
 from .functions.classify import Rule, first_match
 from .operators import assemble, audit, enrich, geometry, registry, relational, similarity, stats
 from .plans.rules import SelectRules, select
+from .sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -291,7 +292,9 @@ def history_topn(spark, sf_dir):
 s AS (SELECT a.scope, a.id, b.id AS other, count(*) AS shared FROM r a JOIN r b ON a.scope = b.scope AND a.code = b.code AND a.id <> b.id GROUP BY a.scope, a.id, b.id),
 n AS (SELECT *, row_number() OVER (PARTITION BY scope, id ORDER BY shared DESC, other) AS rank FROM s) SELECT * FROM n WHERE rank <= 8""")
 def related_top8(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem")
+    n = store.shares(spark, lines.count())
+    rows = lines.repartition(n, "l_orderkey").join(table(spark, sf_dir, "orders").repartition(n, "o_orderkey").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     pairs = rows.select(F.col("o_custkey").alias("scope"), F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("code"))
     return similarity.related(pairs, ["scope"]).withColumn("rank", long(F.col("rank")))
 

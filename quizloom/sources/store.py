@@ -28,9 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def shares(spark: SparkSession) -> int:
-    """Partitions for work that takes its time by the row, as with files: small rows would else meet in one task."""
-    return 4 * spark.sparkContext.defaultParallelism
+SHARE = 500_000  #: rows that a task holds
+
+
+def shares(spark: SparkSession, rows: int = 0) -> int:
+    """Partitions for work that takes its time or memory by the row, as with files: small rows would else meet in few tasks."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-rows // SHARE))
 
 
 def kept(rows: DataFrame, name: str) -> DataFrame:

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from quizloom import pages
 from quizloom.functions import text
-from quizloom.operators import geometry, split, tagging
-from quizloom.sources import writers
+from quizloom.operators import geometry, similarity, split, tagging
+from quizloom.sources import store, writers
 
 
 @pytest.mark.parametrize("made,part,most", [
@@ -77,3 +77,15 @@ def test_a_listing_is_not_sent_to_all_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(sizes) < 2000
+
+
+def test_related_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """What a task holds grew with the table: its partitions were as many as their bytes say, and the rows were made twice."""
+    monkeypatch.setattr(store, "SHARE", 10)
+    pairs = spark.range(600).select(F.lit("p").alias("paper"), (F.col("id") % 200).alias("id"), F.floor(F.col("id") / 4).alias("code"))
+    odd = spark.createDataFrame([("p", 1000, None), ("p", None, 1), (None, 1001, 1)], "paper string, id long, code long")
+    rows = similarity.related(pairs.unionByName(odd), ["paper"], 2)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan and plan.count(", 60), REPARTITION_BY_NUM") == 2
+    got = {(r.id, r.other, r.shared, r["rank"]) for r in rows.filter("id in (0, 1001)").collect()}
+    assert got == {(0, 1, 3, 1), (0, 2, 3, 2)}
