@@ -28,11 +28,11 @@ BATCH_FILES, BATCH_BYTES = 1000, 8 << 20  #: a batch of contents ends with the f
 
 
 def listed_by_tasks(root: str, pattern: str) -> bool:
-    """Whether tasks can list a folder themselves: it is there, its store is named and known to them, and neither name nor pattern needs Spark's globs."""
-    if ":/" not in root or any(c in root for c in "*?[]{}\\%#") or any(c in pattern for c in "[]{}\\"):
+    """Whether tasks can list a folder themselves: it is there, they know its store, and neither name nor pattern needs Spark's globs."""
+    if any(c in root for c in "*?[]{}\\" + "%#" * (not store.local(root))) or any(c in pattern for c in "[]{}\\"):
         return False
     try:
-        system, folder = fs.FileSystem.from_uri(root)
+        system, folder = store.reached(root)
         return system.get_file_info(folder).type == fs.FileType.Directory
     except (pa.ArrowException, OSError):
         return False
@@ -40,7 +40,7 @@ def listed_by_tasks(root: str, pattern: str) -> bool:
 
 def _within(root: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(path, size, folder) of what lies directly in each folder; what is hidden to Spark's readers is left out."""
-    system, top = fs.FileSystem.from_uri(root)
+    system, top = store.reached(root)
     top = top.rstrip("/")
     for batch in batches:
         for folder in batch.column("path").to_pylist():
@@ -58,7 +58,7 @@ def _within(root: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Itera
 
 def _contents(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_path, value): the bytes of each file, in the order of the rows."""
-    system, top = fs.FileSystem.from_uri(root)
+    system, top = store.reached(root)
     top = top.rstrip("/")
     for batch in batches:
         paths, values, size = [], [], 0
@@ -80,6 +80,7 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
     Folders are listed level by level, each by one task, so that no file passes through the driver. Stores and patterns
     that only Spark knows are listed by Spark's driver, which leaves out empty files."""
+    root = store.named(spark, root)
     if not listed_by_tasks(root, pattern):
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
         return rows.select(F.col("path"), F.col("length").alias("size"))

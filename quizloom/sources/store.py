@@ -7,6 +7,7 @@ state is the last row of each path; a base holds all of it, so that readers need
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,6 +29,29 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def named(spark: SparkSession, path: str) -> str:
+    """The path with its store. One without is in Spark's default store, and tasks cannot ask which that is."""
+    if re.match(r"[a-zA-Z][\w+.-]*:/", path):
+        return path
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub("^file:/(?!/)", "file:///", whole)
+
+
+def local(path: str) -> str | None:
+    """The folder of a local path, whose signs stand for themselves as they do to Spark; None in other stores."""
+    found = re.fullmatch("(?:file:(?://(?=/))?)?(/(?!/).*)", path, re.DOTALL)
+    return found and found[1]
+
+
+def reached(path: str) -> tuple:
+    """(store, folder) of a path, for tasks."""
+    from pyarrow import fs
+
+    folder = local(path)
+    return (fs.LocalFileSystem(), folder) if folder else fs.FileSystem.from_uri(path)
+
+
 SHARE = 500_000  #: rows that a task holds
 
 
@@ -122,7 +146,7 @@ class NoteWriter(DataSourceArrowWriter):
         from pyarrow import fs
         from pyspark import TaskContext
 
-        system, folder = fs.FileSystem.from_uri(self.root)
+        system, folder = reached(self.root)
         attempt = TaskContext.get().taskAttemptId()
         made = set()
         for batch in iterator:
@@ -149,4 +173,4 @@ def write_files(changed: DataFrame, folder: str) -> None:
     """The rows of publish() as files below a folder."""
     spark = changed.sparkSession
     spark.dataSource.register(NoteFiles)
-    changed.select("path", "value", "gone").repartition(shares(spark), "path").write.format("note_files").mode("append").save(folder)
+    changed.select("path", "value", "gone").repartition(shares(spark), "path").write.format("note_files").mode("append").save(named(spark, folder))

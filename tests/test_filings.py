@@ -1,5 +1,7 @@
 """Readers, sinks and small rules: what the registered queries over files don't reach."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,23 @@ def test_files_are_written_by_many_tasks(spark, tmp_path):
     assert sorted(int(p.name) for p in tmp_path.rglob("*") if p.is_file()) == list(range(400)) and (tmp_path / "1/4").read_text() == "é"
 
 
+@pytest.mark.parametrize("form", [str, os.path.relpath, "file:{}".format, "file://{}".format])
+def test_folders_of_any_local_path_are_listed_by_tasks(spark, tmp_path, form):
+    """A path without a store, as spark.checkpoint.dir may be, was listed by Spark's driver: memory and time by the file."""
+    top = tmp_path / "a b%20#"
+    root, i = form(top), F.col("id").cast("string")
+    store.write_files(spark.range(40).select(F.concat(F.col("id") % 3, F.lit("/q"), i, F.lit(".txt")).alias("path"), i.alias("value"), F.lit(False).alias("gone")), root)
+    assert sorted(str(p.relative_to(top)) for p in top.rglob("*") if p.is_file()) == sorted(f"{n % 3}/q{n}.txt" for n in range(40))
+    found = readers.listing(spark, root, "q*.txt")
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    assert {r.path[-8:]: r.size for r in found.collect() if r.path.endswith(("/0/q0.txt", "/0/q39.txt"))} == {"0/q0.txt": 1, "/q39.txt": 2} and found.count() == 40
+
+
+@pytest.mark.parametrize("path,want", [("/a b%", "/a b%"), ("file:/a", "/a"), ("file:///a/b", "/a/b"), ("file://host/a", None), ("s3://a/b", None), ("a", None)])
+def test_local_paths(path, want):
+    assert store.local(path) == want
+
+
 def test_the_file_that_is_meant(spark, monkeypatch):
     files = spark.createDataFrame([("a/5-1-energy.md", 1), ("b/5-1-energy.md", 2), ("b/5-1.md", 2), ("a/more-energy.md", 1), ("a/5-1.md.bak", 3)], "path string, place int")
     asked = spark.createDataFrame([("b/5-1-energy.md",), ("5-1-energy",), ("5-1",), ("energy",), ("none",), ("",)], "asked string")
