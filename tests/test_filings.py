@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quizloom import filings
 from quizloom.functions import keys, text
 from quizloom.operators import relational, stats
 from quizloom.sources import readers, store, writers
@@ -69,6 +70,15 @@ def test_folders_of_any_local_path_are_listed_by_tasks(spark, tmp_path, form):
     assert {r.path[-8:]: r.size for r in found.collect() if r.path.endswith(("/0/q0.txt", "/0/q39.txt"))} == {"0/q0.txt": 1, "/q39.txt": 2} and found.count() == 40
 
 
+def test_first_drafts_by_a_path_without_a_store(spark, tmp_path, monkeypatch):
+    """Spark's driver listed all drafts for the first of them, and all were read."""
+    monkeypatch.setattr(store, "shared_folder", lambda _: str(tmp_path))
+    rows = filings.first_drafts(spark, "/root/testdata/sf0.001")
+    assert "FileScan text" not in rows._jdf.queryExecution().toString()
+    want = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").orderBy("c_custkey").limit(25).collect()
+    assert [tuple(r) for r in rows.orderBy("place").collect()] == [(r.c_custkey, n) for n, r in enumerate(want, 1)]
+
+
 @pytest.mark.parametrize("path,want", [("/a b%", "/a b%"), ("file:/a", "/a"), ("file:///a/b", "/a/b"), ("file://host/a", None), ("s3://a/b", None), ("a", None)])
 def test_local_paths(path, want):
     assert store.local(path) == want
