@@ -79,6 +79,14 @@ def test_first_drafts_by_a_path_without_a_store(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in rows.orderBy("place").collect()] == [(r.c_custkey, n) for n, r in enumerate(want, 1)]
 
 
+def test_all_drafts_by_a_path_without_a_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_folder", lambda _: str(tmp_path))
+    rows = filings.draft_files(spark, "/root/testdata/sf0.001")
+    assert "FileScan text" not in rows._jdf.queryExecution().toString()
+    want = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").orderBy("c_custkey").collect()
+    assert [tuple(r) for r in rows.collect()] == [(f"{r.c_custkey}{'a-i' * (r.c_custkey % 4 == 0)}", f"Order of {r.c_name}") for r in want]
+
+
 @pytest.mark.parametrize("path,want", [("/a b%", "/a b%"), ("file:/a", "/a"), ("file:///a/b", "/a/b"), ("file://host/a", None), ("s3://a/b", None), ("a", None)])
 def test_local_paths(path, want):
     assert store.local(path) == want
