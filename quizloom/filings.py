@@ -42,7 +42,7 @@ def tagged_files(spark: SparkSession, sf_dir: str) -> str:
     year = F.when(i % 5 == 0, said('"', 2000 + i % 24, '"')).otherwise(said(2000 + i % 24))
     body = said('{"id": "', F.when(i % 17 == 2, "").otherwise(said("q", i)), '", "year": ', year, ', "marks": ', F.when(i % 7 == 0, "true").otherwise(said(i % 9)), F.when(i % 3 == 0, "").otherwise(said(', "syllabus_codes": ["', i % 12 + 1, '.1", 5]')), ', "extra": {"n": 1}}')
     value = F.when(i % 17 == 0, said("{", i)).when(i % 17 == 1, said("[", i, "]")).otherwise(body)
-    return filed(table(spark, sf_dir, "documents"), said("p", i % 10, F.when(i % 17 == 3, "/drafts/q").otherwise("/tagged/q"), i, ".json"), value)
+    return filed(table(spark, sf_dir, "documents"), said("p", dealt(i), F.when(i % 17 == 3, "drafts/q").otherwise("tagged/q"), i, ".json"), value)
 
 
 @query("""SELECT 'q' || doc_id AS id, CAST(2000 + doc_id % 24 AS INTEGER) AS year, CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id % 9 AS INTEGER) END AS marks, CASE WHEN doc_id % 3 = 0 THEN '' ELSE (doc_id % 12 + 1) || '.1,5' END AS codes FROM documents WHERE doc_id % 17 > 3""")

@@ -87,6 +87,18 @@ def test_all_drafts_by_a_path_without_a_store(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in rows.collect()] == [(f"{r.c_custkey}{'a-i' * (r.c_custkey % 4 == 0)}", f"Order of {r.c_name}") for r in want]
 
 
+def test_records_by_a_path_without_a_store(spark, tmp_path, monkeypatch):
+    """Spark's driver listed them all, and they lay in twenty folders at any number of records."""
+    monkeypatch.setattr(store, "shared_folder", lambda _: str(tmp_path))
+    rows, left = filings.tagged_records(spark, "/root/testdata/sf0.001"), filings.rejected_records(spark, "/root/testdata/sf0.001")
+    assert not any("FileScan text" in r._jdf.queryExecution().toString() for r in (rows, left))
+    ids = [r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()]
+    assert sorted((r.id, r.codes) for r in rows.collect()) == sorted((f"q{i}", "" if i % 3 == 0 else f"{i % 12 + 1}.1,5") for i in ids if i % 17 > 3)
+    assert sorted(r.stem for r in left.collect()) == sorted(f"q{i}" for i in ids if i % 17 < 3)
+    places = [p.parent for p in tmp_path.rglob("q*.json")]
+    assert len(places) == 2 * len(ids) and len(set(places)) > 40
+
+
 @pytest.mark.parametrize("path,want", [("/a b%", "/a b%"), ("file:/a", "/a"), ("file:///a/b", "/a/b"), ("file://host/a", None), ("s3://a/b", None), ("a", None)])
 def test_local_paths(path, want):
     assert store.local(path) == want
